@@ -34,10 +34,13 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums: dict[str, Column],
-                maxes: dict[str, Column] | None = None) -> DataFrame:
+                maxes: dict[str, Column] | None = None, exclusive: bool = False) -> DataFrame:
     """Add inclusive running sums (``sums``: out name -> value column) and running maxima
     (``maxes``) per ``part`` ordered by ``order``.
 
+    With ``exclusive=True`` the current row is left out (running values of the rows
+    strictly before; sums start at 0, maxima at null).
+
     ``chunk`` must be monotone in ``order`` within a group (e.g. ``floor(id / 2^20)``);
     each (group, chunk) is one bounded window partition and the chunk offsets come from a
     window over the chunk-total table, which has rows/chunk_size rows.
@@ -47,7 +50,8 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums
     d = df.withColumn("_chunk", chunk)
     for name, v in {**sums, **maxes}.items():
         d = d.withColumn(f"_v_{name}", v)
-    w_local = Window.partitionBy(*part, "_chunk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    w_local = Window.partitionBy(*part, "_chunk").orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
     for name in sums:
         d = d.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
     for name in maxes:
@@ -64,7 +68,7 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums
     offs = offs.select(*part, "_chunk", *[f"_o_{n}" for n in list(sums) + list(maxes)])
     out = d.join(offs, on=[*part, "_chunk"], how="inner")
     for n in sums:
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
+        out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_o_{n}"))
     for n in maxes:
         out = out.withColumn(n, F.greatest(F.col(f"_l_{n}"), F.col(f"_o_{n}")))
     drop = ["_chunk"] + [f"_{p}_{n}" for n in list(sums) + list(maxes) for p in ("v", "l", "o")]
