@@ -149,7 +149,6 @@ class OrdinalEncode(Op):
         exprs = {}
         for c, lv in self.state.items():
             pos = F.array_position(F.array(*[F.lit(x) for x in lv]), F.col(c))
-            exprs[c] = F.coalesce(pos - 1, F.lit(-1)).cast("double")
             exprs[c] = F.when(pos > 0, (pos - 1).cast("double")).otherwise(F.lit(-1.0))
         return _replace(df, exprs)
 
@@ -224,20 +223,19 @@ class VarianceFilter(Op):
 
 
 def anova_f(df: DataFrame, cols: list[str], label: str) -> dict:
-    """One-way ANOVA F per column from per-class count/sum/sum-of-squares (one grouped pass)."""
+    """One-way ANOVA F per column from per-class count, mean and population variance (one
+    grouped pass; the merged moments are numerically stable, unlike raw sums of squares)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        aggs += [F.sum(c).alias(f"s{i}"), F.sum(F.col(c) * F.col(c)).alias(f"q{i}")]
+        aggs += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
     rows = df.groupBy(label).agg(*aggs).collect()  # one row per class
     k = len(rows)
     n = sum(r["n"] for r in rows)
     out = {}
     for i, c in enumerate(cols):
-        tot_s = sum(r[f"s{i}"] for r in rows)
-        tot_q = sum(r[f"q{i}"] for r in rows)
-        ss_tot = tot_q - tot_s * tot_s / n
-        ss_between = sum(r[f"s{i}"] ** 2 / r["n"] for r in rows) - tot_s * tot_s / n
-        ss_within = ss_tot - ss_between
+        grand = sum(r["n"] * r[f"m{i}"] for r in rows) / n
+        ss_between = sum(r["n"] * (r[f"m{i}"] - grand) ** 2 for r in rows)
+        ss_within = sum(r["n"] * r[f"v{i}"] for r in rows)
         dfb, dfw = k - 1, n - k
         out[c] = (ss_between / dfb) / (ss_within / dfw) if ss_within > 0 and dfb > 0 else float("inf")
     return out

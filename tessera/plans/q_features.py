@@ -1 +1,330 @@
-"""Registered queries."""
+"""Fitted feature-operator queries (FE1-FE29, FE38/39) on the base views.
+
+Where an operator's output COLUMNS depend on fitted state (dropped columns, one-hot
+levels, random pairs) the query returns the long form (row_id, feature, value), so the
+oracle SQL derives the same state itself instead of hard-coding it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import sql_uniform
+from ..functions.scalar import r6
+from ..operators import features as FE
+from ..sources import views as V
+from .registry import register
+from .sqlv import with_views
+
+NUM = ["o_totalprice", "c_acctbal", "days", "month"]
+DIRTY = ["o_totalprice", "c_acctbal", "days", "month", "null_col"]
+
+
+def long_form(df, key, cols, name="feature"):
+    return df.select(key, *cols).unpivot(key, cols, name, "value").select(key, name, r6("value").alias("value"))
+
+
+def _unpivot_sql(src, cols, key="row_id", alias="x"):
+    vals = ", ".join(f"('{c}', {alias}.{c})" for c in cols)
+    return f"SELECT {alias}.{key}, u.name, u.value FROM {src} {alias}, LATERAL (SELECT * FROM (VALUES {vals}) v(name, value)) u"
+
+
+def _finite(c):
+    return f"CASE WHEN isfinite({c}) THEN {c} END"
+
+
+# ================================================================ FE1 / FE1b
+@register("fe1_clean_median", ids=("FE1", "C1", "C2"), sql=lambda: with_views("dirty") + f"""
+, m AS (SELECT {', '.join(f'quantile_cont({_finite(c)}, 0.5) AS m_{c}' for c in DIRTY)} FROM dirty)
+SELECT row_id, {', '.join(f'round(coalesce({_finite(c)}, m_{c}, 0.0), 6) AS {c}' for c in DIRTY)} FROM dirty, m""")
+def fe1_clean_median(spark, d):
+    """FE1: NaN/+inf/-inf/null -> column median of finite values; all-bad column -> 0."""
+    df = V.dirty(spark, d).select("row_id", *DIRTY)
+    out = FE.CleanNumeric(DIRTY, "median").fit_transform(df)
+    return out.select("row_id", *[r6(c).alias(c) for c in DIRTY])
+
+
+@register("fe1b_clean_mean_drop_empty", ids=("FE1b", "C2"), sql=lambda: with_views("dirty") + f"""
+, l AS ({_unpivot_sql('dirty', DIRTY)}),
+m AS (SELECT name, avg({_finite('value')}) AS fill FROM l GROUP BY name)
+SELECT l.row_id, l.name AS feature, round(coalesce({_finite('l.value')}, m.fill), 6) AS value
+FROM l JOIN m USING (name) WHERE m.fill IS NOT NULL""")
+def fe1b_clean_mean_drop_empty(spark, d):
+    """FE1b: mean strategy; a column without finite values is dropped (long form)."""
+    df = V.dirty(spark, d).select("row_id", *DIRTY)
+    op = FE.CleanNumeric(DIRTY, "mean", drop_empty=True).fit(df)
+    return long_form(op.transform(df), "row_id", op.outputs())
+
+
+# ================================================================ FE2 / FE3
+@register("fe2_fe3_scalers", ids=("FE2", "FE3a", "FE3b"), sql=lambda: with_views("base") + f"""
+, s AS (SELECT {', '.join(f'avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}, '
+                          f'quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}' for c in NUM)} FROM base)
+SELECT row_id, {', '.join(
+    f"round(({c} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 6) AS std_{c}, "
+    f"round(({c} - lo_{c}) / CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END, 6) AS mm_{c}, "
+    f"round(({c} - q_{c}[2]) / CASE WHEN q_{c}[3] = q_{c}[1] THEN 1 ELSE q_{c}[3] - q_{c}[1] END, 6) AS rb_{c}"
+    for c in NUM)} FROM base, s""")
+def fe2_fe3_scalers(spark, d):
+    """FE2 standard (population std), FE3a min-max, FE3b robust (median / IQR)."""
+    b = V.base(spark, d).select("row_id", *NUM)
+    b = b.select("row_id", *[F.col(c).alias(f"{p}_{c}") for p in ("std", "mm", "rb") for c in NUM])
+    ops = [FE.StandardScale([f"std_{c}" for c in NUM]), FE.MinMaxScale([f"mm_{c}" for c in NUM]),
+           FE.RobustScale([f"rb_{c}" for c in NUM])]
+    for op in ops:
+        b = op.fit_transform(b)
+    return b.select("row_id", *[r6(c).alias(c) for c in b.columns if c != "row_id"])
+
+
+# ================================================================ FE4 / FE5
+_PRIO = V.BASE_ROLES["ordinal"]["o_orderpriority"]
+
+
+@register("fe4_fe5_encoders", ids=("FE4", "FE5", "C4"), sql=lambda: with_views("base") + f"""
+, fit AS (SELECT * FROM base WHERE c_mktsegment <> 'MACHINERY'),
+lv AS (SELECT DISTINCT c_mktsegment AS lvl FROM fit),
+lvs AS (SELECT list(lvl ORDER BY lvl) AS levels FROM lv),
+lv1 AS (SELECT lvl FROM lv WHERE lvl > (SELECT min(lvl) FROM lv))
+SELECT b.row_id, 'c_mktsegment_' || lv1.lvl AS feature, CASE WHEN b.c_mktsegment = lv1.lvl THEN 1.0 ELSE 0.0 END AS value
+FROM base b, lv1
+UNION ALL
+SELECT b.row_id, 'o_orderpriority', CAST(coalesce(list_position([{', '.join(repr(x) for x in _PRIO)}], b.o_orderpriority) - 1, -1) AS DOUBLE)
+FROM base b
+UNION ALL
+SELECT b.row_id, 'segment_code', CAST(coalesce(list_position(lvs.levels, b.c_mktsegment) - 1, -1) AS DOUBLE) FROM base b, lvs""")
+def fe4_fe5_encoders(spark, d):
+    """FE4 ordinal with given order and with sorted-distinct order (unknown -> -1);
+    FE5 one-hot with the first level dropped (unknown -> zeros). Fitted without the
+    MACHINERY segment so that level is unseen at transform time."""
+    b = V.base(spark, d).select("row_id", "o_orderpriority", "c_mktsegment",
+                                F.col("c_mktsegment").alias("segment_code"))
+    fit = b.filter(F.col("c_mktsegment") != "MACHINERY")
+    ordi = FE.OrdinalEncode({"o_orderpriority": _PRIO, "segment_code": None}).fit(fit)
+    oh = FE.OneHot(["c_mktsegment"]).fit(fit)
+    out = oh.transform(ordi.transform(b))
+    return long_form(out, "row_id", oh.outputs() + ["o_orderpriority", "segment_code"])
+
+
+# ================================================================ FE6 / FE7 / FE8 / FE9
+@register("fe6_iqr_clip", ids=("FE6",), sql=lambda: with_views("base") + f"""
+, q AS (SELECT {', '.join(f'quantile_cont({c}, [0.25, 0.75]) AS q_{c}' for c in NUM)} FROM base)
+SELECT row_id, {', '.join(f'round(least(greatest({c}, q_{c}[1] - 2.0 * (q_{c}[2] - q_{c}[1])), q_{c}[2] + 2.0 * (q_{c}[2] - q_{c}[1])), 6) AS {c}' for c in NUM)}
+FROM base, q""")
+def fe6_iqr_clip(spark, d):
+    b = V.base(spark, d).select("row_id", *NUM)
+    return FE.IQRClip(NUM, 2.0).fit_transform(b).select("row_id", *[r6(c).alias(c) for c in NUM])
+
+
+_VF_COLS = ["const_col", "o_totalprice", "c_acctbal", "days", "month"]
+
+
+@register("fe7_fe8_variance_filters", ids=("FE7", "FE8", "C3"), sql=lambda: with_views("base") + f"""
+, x AS (SELECT row_id, 1.0::DOUBLE AS const_col, o_totalprice, c_acctbal, days, month FROM base),
+v AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(_VF_COLS))}) t(idx, name)),
+l AS ({_unpivot_sql('x', _VF_COLS)}),
+s AS (SELECT v.idx, l.name, var_pop(l.value) AS vp FROM l JOIN v USING (name) GROUP BY v.idx, l.name)
+SELECT name AS column_name, round(vp, 2) AS var_pop,
+  (vp >= 1e-10 OR (NOT EXISTS (SELECT 1 FROM s WHERE vp >= 1e-10) AND idx = 0)) AS kept_constant_rule,
+  vp > 13.0 AS kept_threshold FROM s""")
+def fe7_fe8_variance_filters(spark, d):
+    """FE7 constant remover (var < 1e-10 dropped, first kept if all constant) and FE8
+    variance threshold (keep var_pop > t); decisions as rows."""
+    b = V.base(spark, d).select("row_id", F.lit(1.0).alias("const_col"), *NUM)
+    f7 = FE.VarianceFilter(_VF_COLS, 1e-10, keep_first_if_empty=True, strict_less=True).fit(b)
+    f8 = FE.VarianceFilter(_VF_COLS, 13.0, keep_first_if_empty=False, strict_less=False).fit(b)
+    rows = [(c, round(f7.state["var"][c], 2), c in f7.outputs(), c in f8.outputs()) for c in _VF_COLS]
+    # The decisions are O(columns) values; the variances themselves come from the one-pass fit.
+    return spark.createDataFrame(rows, "column_name string, var_pop double, kept_constant_rule boolean, kept_threshold boolean")
+
+
+_AGG = V.BASE_AGG_SQL
+_F_COLS = NUM + [f"{k}_{c}" for c in V.LINE_COLS for k in ("sum", "avg", "max")]
+
+
+@register("fe9_anova_select", ids=("FE9",), sql=lambda: with_views("base_agg") + f"""
+, v AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(_F_COLS))}) t(idx, name)),
+l AS ({_unpivot_sql('base_agg', _F_COLS + ['label'])}),
+y AS (SELECT row_id, value AS label FROM l WHERE name = 'label'),
+g AS (SELECT l.name, y.label, count(*) AS n, avg(l.value) AS m, var_pop(l.value) AS vp
+      FROM l JOIN y USING (row_id) WHERE l.name <> 'label' GROUP BY 1, 2),
+t AS (SELECT name, sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS grand FROM g GROUP BY name),
+f AS (SELECT g.name, (sum(g.n * (g.m - t.grand) * (g.m - t.grand)) / (max(t.k) - 1))
+        / (sum(g.n * g.vp) / (max(t.n) - max(t.k))) AS f FROM g JOIN t USING (name) GROUP BY g.name),
+r AS (SELECT f.name, f.f, row_number() OVER (ORDER BY f.f DESC, v.idx) AS rk FROM f JOIN v USING (name))
+SELECT name AS column_name, round(f, 6) AS f_stat, rk <= {max(1, int(len(_F_COLS) * 50 / 100))} AS kept FROM r""")
+def fe9_anova_select(spark, d):
+    """FE9: one-way ANOVA F per column from one grouped pass; keep the top 50 %."""
+    b = V.base_agg(spark, d)
+    op = FE.SelectPercentileF(_F_COLS, "label", 50).fit(b)
+    rows = [(c, round(op.state["f"][c], 6), c in op.outputs()) for c in _F_COLS]
+    return spark.createDataFrame(rows, "column_name string, f_stat double, kept boolean")
+
+
+# ================================================================ FE10-FE17
+def _pairs_sql(kind, n_feat, n_in, seed=42):
+    ui = sql_uniform(seed, kind, "t", "'i'")
+    uj = sql_uniform(seed, kind, "t", "'j'")
+    return f"""p_{kind} AS (SELECT t, i, CASE WHEN j0 < i THEN j0 ELSE j0 + 1 END AS j FROM (
+  SELECT t, CAST(floor({ui} * {n_in}) AS INTEGER) AS i, CAST(floor({uj} * {n_in - 1}) AS INTEGER) AS j0
+  FROM range(0, {n_feat}) r(t)) q)"""
+
+
+_PAIR_OPS = {"ratio": "a.value / (b.value + 1e-8)", "product": "a.value * b.value",
+             "difference": "a.value - b.value", "sum": "a.value + b.value"}
+_TAG = {"ratio": "ratio", "product": "product", "difference": "diff", "sum": "sum"}
+
+
+@register("fe10_fe13_random_pairs", ids=("FE10", "FE11", "FE12", "FE13", "FE40"), sql=lambda: with_views("base") + ", "
+          + ", ".join(_pairs_sql(k, 5, 4) for k in _PAIR_OPS) + f"""
+, cols AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(NUM))}) t(idx, name)),
+l AS (SELECT u.row_id, cols.idx, u.value FROM ({_unpivot_sql('base', NUM)}) u JOIN cols USING (name))
+""" + " UNION ALL ".join(
+    f"SELECT DISTINCT a.row_id, '{_TAG[k]}_' || p.i || '_' || p.j AS feature, round({_PAIR_OPS[k]}, 6) AS value "
+    f"FROM p_{k} p JOIN l a ON a.idx = p.i JOIN l b ON b.idx = p.j AND b.row_id = a.row_id" for k in _PAIR_OPS))
+def fe10_fe13_random_pairs(spark, d):
+    """FE10-FE13: five hash-drawn pairs per kind (ratio, product, difference, sum)."""
+    b = V.base(spark, d).select("row_id", *NUM)
+    parts = []
+    for kind in _PAIR_OPS:
+        op = FE.RandomPairs(NUM, kind, 5, seed=42)
+        parts.append(long_form(op.transform(b), "row_id", list(dict.fromkeys(op.outputs()))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("fe14_fe17_unary", ids=("FE14", "FE15", "FE16", "FE17", "F1"), sql=lambda: with_views("base") + f"""
+SELECT row_id, {', '.join(
+    f"round(1.0 / ({c} + 1e-8), 6) AS inv_{c}, round({c} * {c}, 6) AS {c}_sq, "
+    f"round(sqrt(abs({c})) * sign({c}), 6) AS sqrt_{c}, round(ln(abs({c}) + 1) * sign({c}), 6) AS log_{c}"
+    for c in ['c_acctbal', 'days'])} FROM base""")
+def fe14_fe17_unary(spark, d):
+    b = V.base(spark, d).select("row_id", "c_acctbal", "days")
+    outs = []
+    for kind in ("reciprocal", "square", "sqrt", "log"):
+        op = FE.Unary(["c_acctbal", "days"], kind)
+        outs.append(op.transform(b).select("row_id", *op.outputs()))
+    r = outs[0]
+    for o in outs[1:]:
+        r = r.join(o, "row_id")
+    return r.select("row_id", *[r6(c).alias(c) for c in r.columns if c != "row_id"])
+
+
+# ================================================================ FE18 binning
+@register("fe18_binning", ids=("FE18", "C10"), sql=lambda: with_views("base") + f"""
+, e AS (SELECT {', '.join(f"list_sort(list_distinct(quantile_cont({c}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS qe_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM)} FROM base)
+SELECT row_id, {', '.join(
+    f"CAST(len(list_filter(qe_{c}[2:len(qe_{c}) - 1], lambda x: x <= {c})) AS DOUBLE) AS q_{c}, "
+    f"CAST((CASE WHEN {c} >= lo_{c} + (hi_{c} - lo_{c}) * 1 / 4 THEN 1 ELSE 0 END + CASE WHEN {c} >= lo_{c} + (hi_{c} - lo_{c}) * 2 / 4 THEN 1 ELSE 0 END"
+    f" + CASE WHEN {c} >= lo_{c} + (hi_{c} - lo_{c}) * 3 / 4 THEN 1 ELSE 0 END) AS DOUBLE) AS u_{c}" for c in NUM)}
+FROM base, e""")
+def fe18_binning(spark, d):
+    """FE18: quantile bins (5, linear percentiles, equal edges merged, e.g. month) and
+    uniform bins (4); ordinal code = number of inner edges <= x."""
+    b = V.base(spark, d).select("row_id", *[F.col(c).alias(f"q_{c}") for c in NUM], *[F.col(c).alias(f"u_{c}") for c in NUM])
+    q = FE.Binning([f"q_{c}" for c in NUM], 5, "quantile").fit(b)
+    u = FE.Binning([f"u_{c}" for c in NUM], 4, "uniform").fit(b)
+    out = u.transform(q.transform(b))
+    cols = q.outputs() + u.outputs()
+    return out.select("row_id", *[F.col(c).alias(c.replace("binned_", "")) for c in cols])
+
+
+# ================================================================ FE22 noise
+def _noise_sql(c, dist, seed=42, scale=0.05):
+    u = sql_uniform(seed, f"noise|{c}", "row_id")
+    s = f"({scale} * sd_{c})"
+    if dist == "uniform":
+        return f"({u} - 0.5) * sqrt(12.0) * {s}"
+    if dist == "laplace":
+        return f"-({s} / sqrt(2.0)) * sign({u} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5))"
+    return f"{s} * (-ln(1.0 - {u}) - 1.0)"
+
+
+@register("fe22_noise_injection", ids=("FE22",), sql=lambda: with_views("base") + f"""
+, s AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop({c}), 0), 1.0) AS sd_{c}' for c in NUM)} FROM base),
+pick AS (SELECT name FROM (VALUES {', '.join(f"('{c}')" for c in NUM)}) t(name)
+  ORDER BY {sql_uniform(42, 'noisecol', 'name')}, name LIMIT 2)
+""" + " UNION ALL ".join(
+    f"SELECT row_id, '{dist}' AS dist, '{c}' AS feature, round(CASE WHEN '{c}' IN (SELECT name FROM pick) "
+    f"THEN {c} + {_noise_sql(c, dist)} ELSE {c} END, 6) AS value FROM base, s"
+    for dist in ("uniform", "laplace", "exponential") for c in NUM))
+def fe22_noise_injection(spark, d):
+    """FE22: centred noise on a hash-chosen half of the columns (uniform, laplace,
+    exponential), sd = 0.05 x column sd; deterministic per (seed, column, row)."""
+    b = V.base(spark, d).select("row_id", *NUM)
+    parts = []
+    for dist in ("uniform", "laplace", "exponential"):
+        op = FE.NoiseInjector(NUM, "row_id", fraction=0.5, dist=dist, scale=0.05, seed=42).fit(b)
+        parts.append(long_form(op.transform(b), "row_id", NUM).withColumn("dist", F.lit(dist)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ================================================================ FE23-FE28
+_AP = ["o_totalprice", "c_acctbal", "month"]
+
+
+@register("fe23_fe25_all_pairs", ids=("FE23", "FE24", "FE25", "FE39"), sql=lambda: with_views("base") + f"""
+, m AS (SELECT {', '.join(f'min({c}) AS mn_{c}' for c in _AP)} FROM base)
+SELECT row_id, {', '.join(
+    [f"round({a} - {b}, 6) AS diff_{a}_{b}, round({a} + {b}, 6) AS sum_{a}_{b}" for i, a in enumerate(_AP) for b in _AP[i + 1:]]
+    + [f"round({a} / ({b} + mn_{b} + 1.0), 6) AS ratio_{a}_{b}" for a in _AP for b in _AP if a != b])} FROM base, m""")
+def fe23_fe25_all_pairs(spark, d):
+    """FE23/FE24 all-pairs difference and sum, FE25 ordered-pair offset ratio; blocks are
+    unioned side by side (FE39)."""
+    b = V.base(spark, d).select("row_id", *_AP)
+    ops = [FE.AllPairs(_AP, "difference"), FE.AllPairs(_AP, "sum"), FE.AllPairs(_AP, "ratio").fit(b)]
+    out = b
+    for op in ops:
+        out = op.transform(out)
+    cols = [c for op in ops for c in op.outputs()]
+    return out.select("row_id", *[r6(c).alias(c) for c in cols])
+
+
+@register("fe26_fe28_offset_ops", ids=("FE26", "FE27", "FE28", "T16"), sql=lambda: with_views("base") + f"""
+, m AS (SELECT {', '.join(f'min({c}) AS mn_{c}' for c in ['c_acctbal', 'days'])} FROM base)
+SELECT row_id, {', '.join(
+    f"round(CASE WHEN {c} + mn_{c} + 1.0 <> 0 THEN 1.0 / ({c} + mn_{c} + 1.0) END, 6) AS reciprocal_off_{c}, "
+    f"round(CASE WHEN {c} + mn_{c} + 1.0 > 0 THEN ln({c} + mn_{c} + 1.0) END, 6) AS log_off_{c}, "
+    f"round(CASE WHEN {c} + mn_{c} + 1.0 >= 0 THEN sqrt({c} + mn_{c} + 1.0) END, 6) AS sqrt_off_{c}"
+    for c in ['c_acctbal', 'days'])} FROM base, m""")
+def fe26_fe28_offset_ops(spark, d):
+    """FE26-FE28 with the reference's x + min + 1 formula; undefined values are null."""
+    b = V.base(spark, d).select("row_id", "c_acctbal", "days")
+    cols = []
+    for kind in ("reciprocal", "log", "sqrt"):
+        op = FE.OffsetUnary(["c_acctbal", "days"], kind).fit(b)
+        b = op.transform(b)
+        cols += op.outputs()
+    return b.select("row_id", *[r6(c).alias(c) for c in cols])
+
+
+# ================================================================ FE29 polynomial
+_PL = ["c_acctbal", "days", "month"]
+
+
+def _poly_sql(io, bias, tag):
+    terms = FE.poly_terms(len(_PL), 2, io, bias)
+    out = []
+    for t in terms:
+        name = "poly_1" if not t else "poly_" + "_".join(_PL[i] for i in t)
+        expr = "1.0::DOUBLE" if not t else " * ".join(_PL[i] for i in t)
+        out.append(f"round({expr}, 6) AS {tag}{name}")
+    return ", ".join(out)
+
+
+@register("fe29_polynomial", ids=("FE29",), sql=lambda: with_views("base") + f"""
+SELECT row_id, {_poly_sql(False, True, 'f_')}, {_poly_sql(True, False, 'i_')} FROM base""")
+def fe29_polynomial(spark, d):
+    """FE29: degree-2 terms in the order 1, x_i, x_i*x_j (i<=j); interaction-only variant
+    without bias."""
+    b = V.base(spark, d).select("row_id", *_PL)
+    full = FE.Polynomial(_PL, 2, False, True)
+    inter = FE.Polynomial(_PL, 2, True, False)
+    a = full.transform(b).select("row_id", *[F.col(c).alias("f_" + c) for c in full.outputs()])
+    c = inter.transform(b).select("row_id", *[F.col(x).alias("i_" + x) for x in inter.outputs()])
+    j = a.join(c, "row_id")
+    return j.select("row_id", *[r6(x).alias(x) for x in j.columns if x != "row_id"])
