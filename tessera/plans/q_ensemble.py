@@ -1 +1,157 @@
-"""Registered queries."""
+"""Ensemble-algebra queries (EN1-EN10, EN13, EN17, EN18) on the long prediction table
+and the run log (B5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import sql_bits, sql_uniform
+from ..functions.scalar import r6
+from ..operators import ensemble as E
+from ..operators.metrics import auc, confusion
+from ..operators.sampling import stratified_split
+from ..sources import views as V
+from .q_metrics import auc_sql
+from .registry import register
+from .sqlv import with_views
+
+ALL = list(range(V.N_MODELS))
+
+
+@register("en1_en2_row_aggregates", ids=("EN1", "EN2"), sql=lambda: with_views("preds") + """
+SELECT row_id, round(least(greatest(avg(p), 0.0), 1.0), 6) AS p_mean, round(least(greatest(median(p), 0.0), 1.0), 6) AS p_median,
+  CAST(least(greatest(avg(p), 0.0), 1.0) >= 0.5 AS INTEGER) AS label_mean, count(p) AS n_models FROM preds GROUP BY row_id""")
+def en1_en2_row_aggregates(spark, d):
+    p = V.preds(spark, d)
+    m = E.aggregate_rows(p, "mean")
+    md = E.aggregate_rows(p, "median").select("row_id", F.col("p_ens").alias("p_median"))
+    j = m.join(md, "row_id")
+    return j.select("row_id", r6("p_ens").alias("p_mean"), r6("p_median").alias("p_median"),
+                    E.hard_label("p_ens").alias("label_mean"), "n_models")
+
+
+_EN3 = list(range(10))
+
+
+@register("en3_en18_ensemble_auc_cm", ids=("EN3", "EN18", "MT1", "MT3"), sql=lambda: with_views(
+    "preds", extra=f"""e AS (SELECT row_id, max(label) AS label, avg(p) AS s FROM preds WHERE model_id < {len(_EN3)} GROUP BY row_id), """
+    + auc_sql("e", "s", "1")) + """
+SELECT round(coalesce((SELECT auc FROM a), 0.0), 6) AS auc, count_if(s < 0.5 AND label = 0) AS tn, count_if(s >= 0.5 AND label = 0) AS fp,
+  count_if(s < 0.5 AND label = 1) AS fn, count_if(s >= 0.5 AND label = 1) AS tp FROM e""")
+def en3_en18_ensemble_auc_cm(spark, d):
+    """EN3 mean-aggregated ensemble AUC (empty -> 0) and EN18 confusion counts."""
+    p = V.preds(spark, d).filter(F.col("model_id").isin(_EN3))
+    e = p.groupBy("row_id").agg(F.max("label").alias("label"), F.avg("p").alias("s"))
+    a = auc(e, "s", "label").select(F.coalesce("auc", F.lit(0.0)).alias("auc"))
+    c = confusion(e, "s", "label", 0.5).drop("accuracy")
+    return a.crossJoin(c).select(r6("auc").alias("auc"), "tn", "fp", "fn", "tp")
+
+
+_ENS, _META = list(range(20)), list(range(12))
+
+
+@register("en4_hybrid_score", ids=("EN4",), sql=lambda: with_views("preds") + f"""
+, g AS (SELECT row_id, max(label) AS label,
+  avg(CASE WHEN model_id < 12 THEN score END) AS ms, avg(CASE WHEN model_id >= 12 THEN p END) AS mn
+  FROM preds WHERE model_id < 20 GROUP BY row_id)
+SELECT row_id, label, round(((1.0 / (1.0 + exp(-8.0 * ms))) * 12 + mn * 8) / 20, 6) AS p_hybrid FROM g""")
+def en4_hybrid_score(spark, d):
+    """EN4: (meta * n_old + mean(new) * n_new) / n with 12 meta members of 20."""
+    p = V.preds(spark, d)
+    h = E.hybrid_score(p, _ENS, _META)
+    lab = p.filter(F.col("model_id") == 0).select("row_id", "label")
+    return h.join(lab, "row_id").select("row_id", "label", r6("p_ens").alias("p_hybrid"))
+
+
+def _corr_pairs_sql(lo, hi):
+    return f"""pr AS (SELECT a.model_id AS model_a, b.model_id AS model_b, corr(a.p, b.p) AS r
+  FROM preds a JOIN preds b ON a.row_id = b.row_id AND a.model_id < b.model_id
+  WHERE a.model_id BETWEEN {lo} AND {hi} AND b.model_id BETWEEN {lo} AND {hi} GROUP BY 1, 2)"""
+
+
+@register("en5_en7_diversity", ids=("EN5", "EN6", "EN7", "EN9"), sql=lambda: with_views("preds", extra=_corr_pairs_sql(0, 63)) + """
+SELECT round(avg(r), 6) AS diversity, round(avg(abs(r)), 6) AS diversity_abs, round(min(r), 6) AS min_corr,
+  round(max(r), 6) AS max_corr, round(stddev_pop(r), 6) AS std_corr, count(*) AS n_pairs, 64 AS n_models,
+  avg(r) < 0.3 AS is_diverse FROM pr""")
+def en5_en7_diversity(spark, d):
+    """EN5 mean signed correlation, EN6 mean |r|, EN7 detailed stats, EN9 threshold test;
+    all from one distributed Pearson matrix."""
+    mat = E.correlation_matrix(V.preds(spark, d), ALL)
+    st = E.detailed_diversity(mat)
+    row = (round(E.diversity(mat), 6), round(E.diversity_abs(mat), 6), round(st["min_corr"], 6), round(st["max_corr"], 6),
+           round(st["std_corr"], 6), st["n_pairs"], st["n_models"], E.diversity(mat) < 0.3)
+    return spark.createDataFrame([row], "diversity double, diversity_abs double, min_corr double, max_corr double, "
+                                        "std_corr double, n_pairs long, n_models int, is_diverse boolean")
+
+
+@register("en8_correlation_matrix", ids=("EN8",), sql=lambda: with_views("preds", extra=_corr_pairs_sql(0, 15)) + """
+SELECT model_a, model_b, round(r, 6) AS r FROM pr
+UNION ALL SELECT model_b, model_a, round(r, 6) FROM pr
+UNION ALL SELECT DISTINCT model_id, model_id, 1.0::DOUBLE FROM preds WHERE model_id <= 15""")
+def en8_correlation_matrix(spark, d):
+    """EN8: full matrix in long form (diagonal 1)."""
+    models = list(range(16))
+    mat = E.correlation_matrix(V.preds(spark, d), models)
+    f = E.matrix_frame(spark, mat, models)
+    return f.select("model_a", "model_b", r6("r").alias("r"))
+
+
+@register("en9_compare_ensembles", ids=("EN9",), sql=lambda: with_views("preds") + """
+, pa AS (SELECT a.model_id AS ma, b.model_id AS mb, corr(a.p, b.p) AS r FROM preds a JOIN preds b
+  ON a.row_id = b.row_id AND a.model_id < b.model_id GROUP BY 1, 2),
+s AS (SELECT CASE WHEN ma < 32 AND mb < 32 THEN 'A' WHEN ma >= 32 AND mb >= 32 THEN 'B' END AS ens, avg(r) AS div
+      FROM pa GROUP BY 1 HAVING ens IS NOT NULL)
+SELECT round((SELECT div FROM s WHERE ens = 'A'), 6) AS div_a, round((SELECT div FROM s WHERE ens = 'B'), 6) AS div_b,
+  round((SELECT div FROM s WHERE ens = 'B') - (SELECT div FROM s WHERE ens = 'A'), 6) AS delta""")
+def en9_compare_ensembles(spark, d):
+    p = V.preds(spark, d)
+    a = E.diversity(E.correlation_matrix(p, list(range(32))))
+    b = E.diversity(E.correlation_matrix(p, list(range(32, 64))))
+    return spark.createDataFrame([(round(a, 6), round(b, 6), round(b - a, 6))], "div_a double, div_b double, delta double")
+
+
+@register("en10_acceptance_rows", ids=("EN10", "C7"), sql=lambda: with_views("runlog") + f"""
+, x AS (SELECT iteration_num, stage1_val_auc - 0.75 AS delta, temperature AS t, {sql_uniform(42, 'accept', 'iteration_num')} AS u FROM runlog),
+y AS (SELECT *, CASE WHEN delta >= 0 THEN 1.0 ELSE exp(delta / t) END AS prob FROM x)
+SELECT iteration_num, (delta > 0 OR delta = 0 OR u < prob) AS accepted, round(prob, 6) AS accept_prob,
+  CASE WHEN delta > 0 THEN 'improvement' WHEN delta = 0 THEN 'equal score' WHEN u < prob THEN 'annealing accept'
+       ELSE 'rejected: worse score' END AS reason FROM y""")
+def en10_acceptance_rows(spark, d):
+    """EN10: decision, probability and reason per candidate against a current score."""
+    r = V.runlog(spark, d, with_num_models=False).withColumn("current", F.lit(0.75))
+    a = E.acceptance_columns(r, "stage1_val_auc", "current", "temperature", "iteration_num")
+    return a.select("iteration_num", "accepted", r6("accept_prob").alias("accept_prob"), "reason")
+
+
+@register("en13_meta_training_set", ids=("EN13", "J2", "U1"), sql=lambda: with_views("preds") + f"""
+, rows AS (SELECT DISTINCT row_id, label FROM preds),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_bits(42, 'split', 'row_id')}, row_id) AS rk,
+  count(*) OVER (PARTITION BY label) AS n FROM rows),
+s AS (SELECT row_id, CASE WHEN rk <= (n * 600000) // 1000000 THEN 'train' WHEN rk <= (n * 950000) // 1000000 THEN 'val1' ELSE 'val2' END AS split FROM r),
+m AS (SELECT s.row_id, s.split, {sql_uniform(42, 'meta', 's.row_id')} AS u FROM s WHERE split <> 'train')
+SELECT p.row_id, CASE WHEN m.split = 'val1' OR m.u < 0.9 THEN 'meta_train' ELSE 'meta_holdout' END AS part,
+  {', '.join(f'round(max(CASE WHEN p.model_id = {i} THEN p.p END), 6) AS m{i}' for i in range(8))}
+FROM preds p JOIN m USING (row_id) GROUP BY p.row_id, part""")
+def en13_meta_training_set(spark, d):
+    """EN13: stacked model probabilities on val1 + 90 % of val2 (meta_train); the other
+    10 % of val2 is held out (T15: never scored on training rows)."""
+    p = V.preds(spark, d)
+    rows = p.select("row_id", "label").distinct()
+    s = stratified_split(rows, "row_id", "label").filter(F.col("split") != "train")
+    from ..functions.hashing import hash_uniform
+
+    s = s.withColumn("part", F.when((F.col("split") == "val1") | (hash_uniform(42, "meta", "row_id") < 0.9), "meta_train")
+                     .otherwise("meta_holdout")).select("row_id", "part")
+    wide = E.wide_matrix(p, list(range(8)))
+    return wide.join(s, "row_id").select("row_id", "part", *[r6(str(i)).alias(f"m{i}") for i in range(8)])
+
+
+@register("en17_retrain_schedule", ids=("EN17",), sql=lambda: with_views("runlog") + """
+SELECT run_id, iteration_num, num_models, CAST(floor(num_models / 5) AS INTEGER) AS retrain_batch,
+  (floor(num_models / 5) IN (1, 2) OR floor(num_models / 5) % 3 = 0) AS optimise,
+  CASE WHEN floor(num_models / 5) = 1 THEN 10 WHEN floor(num_models / 5) = 2 THEN 8 ELSE 5 END AS trials
+FROM runlog WHERE accepted = 1 AND num_models % 5 = 0""")
+def en17_retrain_schedule(spark, d):
+    r = V.runlog(spark, d).filter(F.col("accepted") == 1)
+    s = E.retrain_schedule(r, 5)
+    return s.select("run_id", "iteration_num", "num_models", "retrain_batch", "optimise", "trials")

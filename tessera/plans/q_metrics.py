@@ -1 +1,93 @@
-"""Registered queries."""
+"""Metric queries (MT1-MT4, MT8-MT10) on the long prediction table (B4) and the resource
+table (B9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalar import r6
+from ..operators.metrics import auc, confusion, normalized_confusion
+from ..sources import views as V
+from .registry import register
+from .sqlv import with_views
+
+
+def auc_sql(src: str, score: str, by: str) -> str:
+    return f"""g AS (SELECT {by}, {score} AS s, sum(label) AS pos, count(*) - sum(label) AS neg FROM {src} GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below FROM g),
+a AS (SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS auc,
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM c GROUP BY {by})"""
+
+
+@register("mt1_auc_per_model", ids=("MT1", "D4"), sql=lambda: with_views("preds", extra=auc_sql("preds", "score", "model_id")) + """
+SELECT model_id, round(auc, 6) AS auc, n_pos, n_neg FROM a""")
+def mt1_auc_per_model(spark, d):
+    """MT1: exact tie-corrected AUC for all 64 models in one pass (prefix sums over distinct
+    scores, chunked per model)."""
+    a = auc(V.preds(spark, d), "score", "label", by=["model_id"])
+    return a.select("model_id", r6("auc").alias("auc"), "n_pos", "n_neg")
+
+
+@register("mt2_mt3_confusion", ids=("MT2", "MT3"), sql=lambda: with_views("preds") + """
+SELECT model_id, count_if(p < 0.5 AND label = 0) AS tn, count_if(p >= 0.5 AND label = 0) AS fp,
+  count_if(p < 0.5 AND label = 1) AS fn, count_if(p >= 0.5 AND label = 1) AS tp,
+  round(avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM preds GROUP BY model_id""")
+def mt2_mt3_confusion(spark, d):
+    c = confusion(V.preds(spark, d), "p", "label", 0.5, by=["model_id"])
+    return c.withColumn("accuracy", r6("accuracy"))
+
+
+@register("mt4_normalized_confusion", ids=("MT4",), sql=lambda: with_views("preds") + """
+, x AS (SELECT model_id, label, CAST(p >= 0.5 AS INTEGER) AS pred FROM preds WHERE model_id < 8),
+c AS (SELECT model_id, label, pred, count(*) AS count FROM x GROUP BY 1, 2, 3)
+SELECT model_id, label, pred, count, round(count / sum(count) OVER (PARTITION BY model_id, label), 6) AS rate FROM c""")
+def mt4_normalized_confusion(spark, d):
+    p = V.preds(spark, d).filter(F.col("model_id") < 8).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    cnt = p.groupBy("model_id", "label", "pred").agg(F.count(F.lit(1)).alias("count"))
+    tot = cnt.groupBy("model_id", "label").agg(F.sum("count").alias("_t"))
+    return cnt.join(tot, ["model_id", "label"]).select("model_id", "label", "pred", "count",
+                                                       r6(F.col("count") / F.col("_t")).alias("rate"))
+
+
+@register("mt8_auc_on_hard_labels", ids=("MT8",), sql=lambda: with_views(
+    "preds", extra="h AS (SELECT model_id, CAST(p >= 0.5 AS DOUBLE) AS hard, label FROM preds), " + auc_sql("h", "hard", "model_id")) + """
+SELECT model_id, round(auc, 6) AS auc_hard FROM a""")
+def mt8_auc_on_hard_labels(spark, d):
+    """MT8: the reference's quirk of scoring AUC on hard 0/1 predictions."""
+    h = V.preds(spark, d).withColumn("hard", (F.col("p") >= 0.5).cast("double"))
+    return auc(h, "hard", "label", by=["model_id"]).select("model_id", r6("auc").alias("auc_hard"))
+
+
+@register("mt9_mt10_scaling_model", ids=("MT9", "MT10"), sql=lambda: with_views("sizes") + """
+, z AS (SELECT *, (sample_size / 1000.0) * (sample_size / 1000.0) * n_iter AS zr,
+               (sample_size / 1000.0) * (sample_size / 1000.0) AS zm FROM sizes),
+f AS (SELECT regr_slope(runtime_seconds, zr) AS slope, regr_intercept(runtime_seconds, zr) AS intercept,
+             regr_r2(runtime_seconds, zr) AS r2, regr_slope(peak_memory_mb, zm) AS m_slope,
+             regr_intercept(peak_memory_mb, zm) AS m_intercept, regr_r2(peak_memory_mb, zm) AS m_r2 FROM z),
+e AS (SELECT sqrt(avg((runtime_seconds - (intercept + slope * zr)) * (runtime_seconds - (intercept + slope * zr)))) AS rmse FROM z, f)
+SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(rmse, 6) AS rmse,
+  round(m_slope, 6) AS m_slope, round(m_intercept, 6) AS m_intercept, round(m_r2, 6) AS m_r2,
+  greatest(1, CAST(floor((3600.0 - intercept) / slope / ((5000 / 1000.0) * (5000 / 1000.0))) AS BIGINT)) AS n_iter_for_hour,
+  CASE WHEN (2048.0 - m_intercept) / m_slope > 0 THEN greatest(1, CAST(floor(1000.0 * sqrt((2048.0 - m_intercept) / m_slope)) AS BIGINT)) ELSE 1 END AS size_for_2gb
+FROM f, e""")
+def mt9_mt10_scaling_model(spark, d):
+    """MT9 runtime/memory scaling regressions (regr_* built-ins, residual RMSE) and MT10
+    inversions as expressions over the fitted row (no driver round trip)."""
+    s = V.sizes(spark, d)
+    zr = (F.col("sample_size") / 1000.0) * (F.col("sample_size") / 1000.0) * F.col("n_iter")
+    zm = (F.col("sample_size") / 1000.0) * (F.col("sample_size") / 1000.0)
+    z = s.withColumn("zr", zr).withColumn("zm", zm)
+    f = z.agg(F.regr_slope("runtime_seconds", "zr").alias("slope"), F.regr_intercept("runtime_seconds", "zr").alias("intercept"),
+              F.regr_r2("runtime_seconds", "zr").alias("r2"), F.regr_slope("peak_memory_mb", "zm").alias("m_slope"),
+              F.regr_intercept("peak_memory_mb", "zm").alias("m_intercept"), F.regr_r2("peak_memory_mb", "zm").alias("m_r2"))
+    res = z.crossJoin(F.broadcast(f))  # one-row side
+    e = res.agg(F.sqrt(F.avg((F.col("runtime_seconds") - (F.col("intercept") + F.col("slope") * F.col("zr"))) ** 2)).alias("rmse"))
+    out = f.crossJoin(e)
+    return out.select(
+        r6("slope").alias("slope"), r6("intercept").alias("intercept"), r6("r2").alias("r2"), r6("rmse").alias("rmse"),
+        r6("m_slope").alias("m_slope"), r6("m_intercept").alias("m_intercept"), r6("m_r2").alias("m_r2"),
+        F.greatest(F.lit(1), F.floor((F.lit(3600.0) - F.col("intercept")) / F.col("slope") / F.lit(25.0))).cast("bigint").alias("n_iter_for_hour"),
+        F.when((F.lit(2048.0) - F.col("m_intercept")) / F.col("m_slope") > 0,
+               F.greatest(F.lit(1), F.floor(F.lit(1000.0) * F.sqrt((F.lit(2048.0) - F.col("m_intercept")) / F.col("m_slope")))))
+        .otherwise(F.lit(1)).cast("bigint").alias("size_for_2gb"))

@@ -17,7 +17,7 @@ FROM workers GROUP BY worker_id"""
 
 VIEWS = {
     "base": V.BASE_SQL, "base_agg": V.BASE_AGG_SQL, "dirty": V.DIRTY_SQL, "preds": V.PREDS_SQL,
-    "runlog": V.RUNLOG_SQL, "workers": V.WORKERS_SQL, "lists": V.LISTS_SQL, "semi": V.SEMI_SQL,
+    "runlog": V.RUNLOG_SQL, "workers": V.WORKERS_SQL, "lists": V.LISTS_SQL, "semiview": V.SEMI_SQL,
     "sizes": V.SIZES_SQL, "dups": V.DUPS_SQL, "epochs": EPOCHS_SQL, "wstate": WSTATE_SQL,
 }
 DEPS = {"epochs": ["runlog"], "wstate": ["workers"]}
