@@ -56,10 +56,13 @@ class GaussianNB:
             e = e - F.lit(0.5 / v) * (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m))
         return e
 
+    def decision(self) -> Column:
+        return self.jll(1) - self.jll(0)
+
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         if set(self.state) != {0, 1}:
             raise ValueError("binary Gaussian NB needs both classes in training data")
-        return df.withColumn(out, sigmoid(self.jll(1) - self.jll(0)))
+        return df.withColumn(out, sigmoid(self.decision()))
 
 
 # ---------------------------------------------------------------- M9/M10/M11 (normal equations)
@@ -98,11 +101,14 @@ class LDA:
         self.state = {"w": w.tolist(), "b": float(b)}
         return self
 
-    def transform(self, df, out="p"):
+    def decision(self):
         z = F.lit(self.state["b"])
         for c, w in zip(self.features, self.state["w"]):
             z = z + F.lit(w) * F.col(c)
-        return df.withColumn(out, sigmoid(z))
+        return z
+
+    def transform(self, df, out="p"):
+        return df.withColumn(out, sigmoid(self.decision()))
 
 
 class QDA:
@@ -133,8 +139,11 @@ class QDA:
                 q = q + F.lit(s["inv"][i][j]) * d[i] * d[j]
         return F.lit(s["c"]) - F.lit(0.5) * q
 
+    def decision(self):
+        return self._score(1) - self._score(0)
+
     def transform(self, df, out="p"):
-        return df.withColumn(out, sigmoid(self._score(1) - self._score(0)))
+        return df.withColumn(out, sigmoid(self.decision()))
 
 
 class Ridge:
@@ -209,3 +218,160 @@ def ml_probability(df: DataFrame, out: str = "p") -> DataFrame:
     if "probability" in df.columns:
         return df.withColumn(out, vector_to_array("probability")[1])
     return df.withColumn(out, sigmoid(vector_to_array("rawPrediction")[1]))
+
+
+# ---------------------------------------------------------------- M14 exact kNN
+def knn_predict(spark, train: DataFrame, query: DataFrame, features: list[str], key: str = "row_id",
+                label: str = "label", k: int = 5, p_norm: int = 2, weights: str = "uniform",
+                block_rows: int = 200_000) -> DataFrame:
+    """Exact k-nearest-neighbour probability for every query row.
+
+    The (sampled) train side is cut into blocks of at most ``block_rows`` rows (each block's
+    size is counted before it is broadcast). For every block one ``mapInPandas`` pass over
+    the query partitions computes distances in numpy and keeps only the k best (distance,
+    train key) per query row; the per-block candidates are unioned and reduced to the
+    global top k per query with a grouped window. Nothing beyond k candidates per
+    (query, block) is ever emitted, and the result equals brute force (ties broken by
+    train key).
+    """
+    import pandas as pd
+
+    n_train = train.count()
+    n_blocks = max(1, -(-n_train // block_rows))
+    tb = train.select(key, label, *features).withColumn(
+        "_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)))
+    outs = []
+    for b in range(n_blocks):
+        blk = tb.filter(F.col("_blk") == b).drop("_blk").toPandas()  # <= block_rows rows by construction
+        bc = spark.sparkContext.broadcast((blk[features].to_numpy(dtype=float), blk[key].to_numpy(),
+                                           blk[label].to_numpy(dtype=float)))
+
+        def topk(it, bc=bc):
+            xs, keys, ys = bc.value
+            for pdf in it:
+                if len(pdf) == 0 or len(xs) == 0:
+                    continue
+                q = pdf[features].to_numpy(dtype=float)
+                if p_norm == 1:
+                    dist = np.abs(q[:, None, :] - xs[None, :, :]).sum(axis=2)
+                else:
+                    dist = np.sqrt(((q[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2))
+                kk = min(k, xs.shape[0])
+                order = np.lexsort((np.broadcast_to(keys, dist.shape), dist), axis=1)[:, :kk]
+                rows = np.repeat(np.arange(len(pdf)), kk)
+                cols = order.ravel()
+                yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "_d": dist[rows, cols],
+                                    "_tk": keys[cols], "_y": ys[cols]})
+
+        outs.append(query.select(key, *features).mapInPandas(
+            topk, f"{key} long, _d double, _tk long, _y double"))
+    cand = outs[0]
+    for o in outs[1:]:
+        cand = cand.unionByName(o)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("_d", "_tk")
+    best = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    if weights == "distance":
+        wt = F.lit(1.0) / F.greatest(F.col("_d"), F.lit(1e-12))
+        return best.groupBy(key).agg((F.sum(wt * F.col("_y")) / F.sum(wt)).alias("p"))
+    return best.groupBy(key).agg(F.avg("_y").alias("p"))
+
+
+# ---------------------------------------------------------------- M7 AdaBoost (SAMME, stumps)
+def adaboost(train: DataFrame, features: list[str], label: str = "label", rounds: int = 5,
+             checkpoint_every: int = 10):
+    """SAMME on depth-1 trees: each round fits a weighted stump (pyspark.ml), computes the
+    weighted error in one aggregation and updates the weight column; lineage is cut with
+    ``checkpoint()`` every ``checkpoint_every`` rounds. Returns [(alpha, stump_model)]."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    d = assemble(train, features).withColumn("_w", F.lit(1.0))
+    n = d.count()
+    d = d.withColumn("_w", F.lit(1.0 / n))
+    models = []
+    for r in range(rounds):
+        stump = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol="features", weightCol="_w",
+                                       predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw").fit(d)
+        scored = stump.transform(d)
+        miss = (F.col("_pred") != F.col(label).cast("double")).cast("double")
+        err = scored.agg((F.sum(F.col("_w") * miss) / F.sum("_w")).alias("e")).first()["e"]
+        err = min(max(err, 1e-10), 1 - 1e-10)
+        alpha = math.log((1 - err) / err)  # SAMME with 2 classes
+        models.append((alpha, stump))
+        d = scored.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss)).drop("_pred", "_prob", "_raw")
+        tot = d.agg(F.sum("_w")).first()[0]
+        d = d.withColumn("_w", F.col("_w") / F.lit(tot))
+        if (r + 1) % checkpoint_every == 0:
+            d = d.checkpoint()
+    return models
+
+
+def adaboost_predict(df: DataFrame, models, features: list[str], out: str = "p") -> DataFrame:
+    d = assemble(df, features)
+    score = F.lit(0.0)
+    for i, (alpha, m) in enumerate(models):
+        d = m.setPredictionCol(f"_p{i}").setProbabilityCol(f"_pb{i}").setRawPredictionCol(f"_r{i}").transform(d)
+        score = score + F.lit(alpha) * (F.lit(2.0) * F.col(f"_p{i}") - F.lit(1.0))
+    return d.withColumn(out, sigmoid(score))
+
+
+# ---------------------------------------------------------------- M15 Platt calibration
+def platt_calibrated(train: DataFrame, score_fn, fold_col: str = "fold", label: str = "label", k: int = 3):
+    """Sigmoid calibration over k folds: for each fold fit the base model on the other
+    folds (``score_fn(train_part) -> fitted model with .decision()``), fit a 1-D logistic
+    on its margin over the held-out fold; the calibrated probability is the average of
+    the k calibrated models. Returns a function df -> df with column ``p``."""
+    parts = []
+    for f in range(k):
+        fitted = score_fn(train.filter(F.col(fold_col) != f))
+        hold = train.filter(F.col(fold_col) == f).withColumn("_m", fitted.decision())
+        lr = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=0.0, maxIter=100)
+        cal = lr.fit(VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(hold))
+        parts.append((fitted, float(cal.coefficients[0]), float(cal.intercept)))
+
+    def apply(df: DataFrame) -> DataFrame:
+        acc = F.lit(0.0)
+        for fitted, a, b in parts:
+            acc = acc + sigmoid(F.lit(a) * fitted.decision() + F.lit(b))
+        return df.withColumn("p", acc / F.lit(float(k)))
+
+    return apply
+
+
+# ---------------------------------------------------------------- M6 extra trees
+def extra_trees(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 5, max_depth: int = 5,
+                seed: int = 42):
+    """Randomised trees: per tree, every feature is cut at hash-drawn random thresholds
+    between its min and max (``Bucketizer`` bins), then a weighted decision tree is grown
+    on the binned features over all rows. Returns a function df -> df with column ``p``."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import Bucketizer
+
+    from ..functions.hashing import py_uniform
+
+    mm = train.agg(*[F.min(c).alias(f"lo_{c}") for c in features], *[F.max(c).alias(f"hi_{c}") for c in features]).first()
+    trees = []
+    for t in range(n_trees):
+        splits = {}
+        for c in features:
+            lo, hi = mm[f"lo_{c}"], mm[f"hi_{c}"]
+            cuts = sorted({lo + (hi - lo) * py_uniform(seed, "et", t, c, j) for j in range(8)})
+            splits[c] = [-float("inf")] + cuts + [float("inf")]
+        bk = Bucketizer(splitsArray=[splits[c] for c in features], inputCols=features,
+                        outputCols=[f"_b{t}_{c}" for c in features], handleInvalid="keep")
+        binned = bk.transform(train)
+        cols = [f"_b{t}_{c}" for c in features]
+        dt = DecisionTreeClassifier(maxDepth=max_depth, labelCol=label, featuresCol="features", seed=seed + t,
+                                    predictionCol=f"_pr{t}", probabilityCol=f"_pp{t}", rawPredictionCol=f"_rr{t}")
+        trees.append((bk, cols, dt.fit(assemble(binned, cols))))
+
+    def apply(df: DataFrame) -> DataFrame:
+        d = df
+        acc = F.lit(0.0)
+        for i, (bk, cols, model) in enumerate(trees):
+            d = model.transform(assemble(bk.transform(d), cols)).drop("features")
+            acc = acc + vector_to_array(f"_pp{i}")[1]
+        return d.withColumn("p", acc / F.lit(float(len(trees))))
+
+    return apply

@@ -1 +1,237 @@
-"""Registered queries."""
+"""Classifier queries on the planted-signal view (B11): exact SQL oracles for the
+sufficient-statistic models (LDA, QDA, ridge) and exact kNN; invariant (rows-only) checks
+for the pyspark.ml families, CV and random search (M1-M15, MT5-MT7)."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from ..functions.hashing import py_uniform, sql_bits
+from ..functions.scalar import r6
+from ..operators import models as M
+from ..operators.features import StandardScale
+from ..operators.metrics import auc
+from ..operators.sampling import kfold, simple_sample, stratified_split
+from ..sources import views as V
+from .q_metrics import auc_sql
+from .registry import register
+
+X = ["x1", "x2"]
+
+
+def planted_frame(spark, d):
+    """Planted view split 60/35/5 by its label y, features standardised on train."""
+    pl = V.planted(spark, d).select("row_id", F.col("o_totalprice").alias("x1"), F.col("c_acctbal").alias("x2"),
+                                    F.col("y").alias("label"))
+    s = stratified_split(pl, "row_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    sc = StandardScale(X).fit(s.filter(F.col("split") == "train"))
+    return sc.transform(s)
+
+
+def _z_sql():
+    return f"""WITH pb AS ({V.planted_sql()}),
+r AS (SELECT row_id, o_totalprice, c_acctbal, y, row_number() OVER (PARTITION BY y ORDER BY {sql_bits(42, 'split', 'row_id')}, row_id) AS rk,
+      count(*) OVER (PARTITION BY y) AS n FROM pb),
+s AS (SELECT row_id, o_totalprice, c_acctbal, y AS label, CASE WHEN rk <= (n * 600000) // 1000000 THEN 'train'
+      WHEN rk <= (n * 950000) // 1000000 THEN 'val1' ELSE 'val2' END AS split FROM r),
+st AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1, avg(c_acctbal) AS m2, stddev_pop(c_acctbal) AS s2
+       FROM s WHERE split = 'train'),
+z AS (SELECT row_id, label, split, (o_totalprice - m1) / s1 AS x1, (c_acctbal - m2) / s2 AS x2 FROM s, st)"""
+
+
+def _val_auc(scored, score="score"):
+    v = scored.filter(F.col("split") != "train")
+    return auc(v, score, "label").select(r6("auc").alias("auc"))
+
+
+# ================================================================ M9 LDA
+@register("m9_lda", ids=("M9",), sql=lambda: _z_sql() + """,
+cm AS (SELECT label, count(*) AS n, avg(x1) AS a1, avg(x2) AS a2, var_pop(x1) AS v1, var_pop(x2) AS v2,
+       covar_pop(x1, x2) AS c12 FROM z WHERE split = 'train' GROUP BY label),
+pool AS (SELECT sum(n * v1) / (sum(n) - 2) AS p11, sum(n * v2) / (sum(n) - 2) AS p22, sum(n * c12) / (sum(n) - 2) AS p12,
+         max(CASE WHEN label = 1 THEN a1 END) - max(CASE WHEN label = 0 THEN a1 END) AS d1,
+         max(CASE WHEN label = 1 THEN a2 END) - max(CASE WHEN label = 0 THEN a2 END) AS d2 FROM cm),
+w AS (SELECT (p22 * d1 - p12 * d2) / (p11 * p22 - p12 * p12) AS w1, (p11 * d2 - p12 * d1) / (p11 * p22 - p12 * p12) AS w2 FROM pool),
+v AS (SELECT label, w1 * x1 + w2 * x2 AS score FROM z, w WHERE split <> 'train'),
+""" + auc_sql("v", "score", "1") + """
+SELECT round((SELECT auc FROM a), 6) AS auc, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM w""")
+def m9_lda(spark, d):
+    """M9: class means + pooled covariance from one grouped aggregation; AUC on val."""
+    z = planted_frame(spark, d)
+    m = M.LDA(X).fit(z.filter(F.col("split") == "train"))
+    a = _val_auc(z.withColumn("score", m.decision()))
+    return a.select("auc", F.lit(round(m.state["w"][0], 6)).alias("w1"), F.lit(round(m.state["w"][1], 6)).alias("w2"))
+
+
+# ================================================================ M10 QDA
+QDA_REG = 0.1
+
+
+@register("m10_qda", ids=("M10",), sql=lambda: _z_sql() + f""",
+cm AS (SELECT label, count(*) AS n, avg(x1) AS a1, avg(x2) AS a2, (1 - {QDA_REG}) * var_samp(x1) + {QDA_REG} AS s11,
+       (1 - {QDA_REG}) * var_samp(x2) + {QDA_REG} AS s22, (1 - {QDA_REG}) * covar_samp(x1, x2) AS s12
+       FROM z WHERE split = 'train' GROUP BY label),
+k AS (SELECT *, s11 * s22 - s12 * s12 AS det, ln(n / (SELECT sum(n) FROM cm)) - 0.5 * ln(s11 * s22 - s12 * s12) AS c FROM cm),
+sc AS (SELECT z.row_id, z.label, z.split, k.label AS cls,
+       k.c - 0.5 * ((k.s22 / k.det) * (z.x1 - k.a1) * (z.x1 - k.a1) + 2 * (-k.s12 / k.det) * (z.x1 - k.a1) * (z.x2 - k.a2)
+                     + (k.s11 / k.det) * (z.x2 - k.a2) * (z.x2 - k.a2)) AS q FROM z, k),
+v AS (SELECT label, max(CASE WHEN cls = 1 THEN q END) - max(CASE WHEN cls = 0 THEN q END) AS score
+      FROM sc WHERE split <> 'train' GROUP BY row_id, label),
+""" + auc_sql("v", "score", "1") + """
+SELECT round(auc, 6) AS auc FROM a""")
+def m10_qda(spark, d):
+    """Per-class covariance (1-r) S_k + r I; AUC of the log-odds on val."""
+    z = planted_frame(spark, d)
+    m = M.QDA(X, reg=QDA_REG).fit(z.filter(F.col("split") == "train"))
+    return _val_auc(z.withColumn("score", m.decision()))
+
+
+# ================================================================ M11 ridge
+ALPHA = 10.0
+
+
+@register("m11_ridge", ids=("M11", "FE41"), sql=lambda: _z_sql() + f""",
+tr0 AS (SELECT * FROM z WHERE split = 'train'),
+tr AS (SELECT x1, x2, CASE WHEN label = 1 THEN 1.0 ELSE -1.0 END AS t,
+       (SELECT count(*) FROM tr0) / (2.0 * count(*) OVER (PARTITION BY label)) AS w FROM tr0),
+mu AS (SELECT sum(w * x1) / sum(w) AS mx1, sum(w * x2) / sum(w) AS mx2, sum(w * t) / sum(w) AS mt FROM tr),
+cv AS (SELECT sum(w * (x1 - mx1) * (x1 - mx1)) + {ALPHA} AS c11, sum(w * (x2 - mx2) * (x2 - mx2)) + {ALPHA} AS c22,
+       sum(w * (x1 - mx1) * (x2 - mx2)) AS c12, sum(w * (x1 - mx1) * (t - mt)) AS r1, sum(w * (x2 - mx2) * (t - mt)) AS r2
+       FROM tr, mu),
+b AS (SELECT (c22 * r1 - c12 * r2) / (c11 * c22 - c12 * c12) AS b1, (c11 * r2 - c12 * r1) / (c11 * c22 - c12 * c12) AS b2 FROM cv),
+bb AS (SELECT b1, b2, mt - mx1 * b1 - mx2 * b2 AS b0 FROM b, mu),
+v AS (SELECT label, b0 + b1 * x1 + b2 * x2 AS score FROM z, bb WHERE split <> 'train'),
+""" + auc_sql("v", "score", "1") + """
+SELECT round((SELECT auc FROM a), 6) AS auc, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2 FROM bb""")
+def m11_ridge(spark, d):
+    """Ridge on a +/-1 target with balanced weights (normal equations from one Gram
+    aggregation, intercept unpenalised)."""
+    z = planted_frame(spark, d)
+    m = M.Ridge(X, alpha=ALPHA).fit(z.filter(F.col("split") == "train"))
+    b = m.state["beta"]
+    a = _val_auc(z.withColumn("score", m.decision()))
+    return a.select("auc", *[F.lit(round(b[i], 6)).alias(f"b{i}") for i in range(3)])
+
+
+# ================================================================ M14 exact kNN
+@register("m14_knn_exact", ids=("M14", "J7"), sql=lambda: _z_sql() + f""",
+tr AS (SELECT row_id AS tk, x1, x2, label FROM z WHERE split = 'train' ORDER BY {sql_bits(42, 'knn', 'row_id')}, row_id LIMIT 1000),
+q AS (SELECT row_id, x1, x2 FROM z WHERE split = 'val1'),
+dd AS (SELECT q.row_id, tr.tk, tr.label, sqrt((q.x1 - tr.x1) * (q.x1 - tr.x1) + (q.x2 - tr.x2) * (q.x2 - tr.x2)) AS dist FROM q, tr),
+kr AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, tk) AS rn FROM dd)
+SELECT row_id, round(avg(label), 6) AS p FROM kr WHERE rn <= 5 GROUP BY row_id""")
+def m14_knn_exact(spark, d):
+    """5-NN (uniform, Euclidean) of every val1 row against a 1,000-row train sample;
+    blockwise broadcast + per-partition top-k + merge (no pair table)."""
+    z = planted_frame(spark, d)
+    tr = simple_sample(z.filter(F.col("split") == "train"), "row_id", 1000, salt="knn")
+    q = z.filter(F.col("split") == "val1")
+    p = M.knn_predict(spark, tr, q, X, k=5, block_rows=400)
+    return p.select("row_id", r6("p").alias("p"))
+
+
+# ================================================================ pyspark.ml families (rows-only)
+def _ml_auc(spark, d, kind, params):
+    z = planted_frame(spark, d)
+    train = z.filter(F.col("split") == "train")
+    w = train.groupBy("label").count().collect()
+    n = sum(r["count"] for r in w)
+    wmap = {r["label"]: n / (2.0 * r["count"]) for r in w}
+    train = train.withColumn("weight", F.when(F.col("label") == 1, wmap.get(1, 1.0)).otherwise(wmap.get(0, 1.0)))
+    est = M.ml_estimator(kind, {**params, "n_in": len(X)}, label="label", weight="weight", n_rows=n)
+    model = est.fit(M.assemble(train, X))
+    scored = M.ml_probability(model.transform(M.assemble(z, X)))
+    return _val_auc(scored, "p").select(F.lit(kind).alias("model"), "auc", F.lit(n).alias("n_train"))
+
+
+@register("m1_logistic_balanced", ids=("M1", "FE41"))
+def m1_logistic_balanced(spark, d):
+    return _ml_auc(spark, d, "logistic", {"C": 1.0})
+
+
+@register("m2_logistic_l1", ids=("M2",))
+def m2_logistic_l1(spark, d):
+    return _ml_auc(spark, d, "logistic_l1", {"C": 0.5})
+
+
+@register("m3_random_forest", ids=("M3",))
+def m3_random_forest(spark, d):
+    return _ml_auc(spark, d, "random_forest", {"n_estimators": 20, "max_depth": 5})
+
+
+@register("m5_sgd_elastic", ids=("M5",))
+def m5_sgd_elastic(spark, d):
+    return _ml_auc(spark, d, "sgd", {"C": 1.0})
+
+
+@register("m12_gbt", ids=("M12",))
+def m12_gbt(spark, d):
+    return _ml_auc(spark, d, "hist_gbt", {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1})
+
+
+@register("m13_mlp", ids=("M13",))
+def m13_mlp(spark, d):
+    return _ml_auc(spark, d, "mlp", {"hidden": 8})
+
+
+@register("m4_m15_svc_calibrated", ids=("M4", "M15", "M11"))
+def m4_m15_svc_calibrated(spark, d):
+    """Linear margin model calibrated with sigmoid (Platt) fits over 3 folds,
+    averaged (ridge margin as the linear SVC stand-in keeps the fit a Gram aggregation)."""
+    z = planted_frame(spark, d)
+    train = kfold(z.filter(F.col("split") == "train"), "row_id", "label", k=3)
+    cal = M.platt_calibrated(train, lambda part: M.Ridge(X, alpha=1.0).fit(part), k=3)
+    scored = cal(z)
+    return _val_auc(scored, "p").select(F.lit("svc_calibrated").alias("model"), "auc")
+
+
+@register("m6_extra_trees", ids=("M6",))
+def m6_extra_trees(spark, d):
+    z = planted_frame(spark, d)
+    fn = M.extra_trees(z.filter(F.col("split") == "train"), X, n_trees=3, max_depth=4)
+    return _val_auc(fn(z), "p").select(F.lit("extra_trees").alias("model"), "auc")
+
+
+@register("m7_adaboost", ids=("M7",))
+def m7_adaboost(spark, d):
+    z = planted_frame(spark, d)
+    models = M.adaboost(z.filter(F.col("split") == "train"), X, rounds=4)
+    scored = M.adaboost_predict(z, models, X)
+    return _val_auc(scored, "p").select(F.lit("adaboost").alias("model"), "auc", F.lit(len(models)).alias("rounds"))
+
+
+# ================================================================ CV and random search
+@register("mt5_mt6_cv_oof", ids=("MT5", "MT6", "SM9", "U1"))
+def mt5_mt6_cv_oof(spark, d):
+    """MT5 per-fold AUC and MT6 out-of-fold predictions (union of the k held-out folds)
+    with Gaussian NB fitted per fold."""
+    z = kfold(planted_frame(spark, d).filter(F.col("split") == "train"), "row_id", "label", k=3)
+    oof = None
+    for f in range(3):
+        nb = M.GaussianNB(X).fit(z.filter(F.col("fold") != f))
+        part = nb.transform(z.filter(F.col("fold") == f))
+        oof = part if oof is None else oof.unionByName(part)
+    per_fold = auc(oof, "p", "label", by=["fold"]).select("fold", r6("auc").alias("auc"))
+    overall = auc(oof, "p", "label").select(F.lit(-1).alias("fold"), r6("auc").alias("auc"))
+    return per_fold.unionByName(overall)
+
+
+@register("mt7_random_search_cv", ids=("MT7", "SM11", "O4"))
+def mt7_random_search_cv(spark, d, n_draws: int = 4):
+    """MT7: hash-drawn QDA regularisation values, 3-fold CV mean AUC each, best by mean
+    AUC (ties by draw id)."""
+    z = kfold(planted_frame(spark, d).filter(F.col("split") == "train"), "row_id", "label", k=3)
+    z = z.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    for i in range(n_draws):
+        reg = round(10 ** (-4 + 4 * py_uniform(42, "qda_reg", i)), 6)
+        scores = []
+        for f in range(3):
+            m = M.QDA(X, reg=reg).fit(z.filter(F.col("fold") != f))
+            a = auc(z.filter(F.col("fold") == f).withColumn("s", m.decision()), "s", "label").first()["auc"]
+            scores.append(a)
+        rows.append((i, reg, round(sum(scores) / 3, 6)))
+    best = max(rows, key=lambda r: (r[2], -r[0]))
+    return spark.createDataFrame([(i, reg, m, i == best[0]) for i, reg, m in rows],
+                                 "draw int, reg double, mean_auc double, best boolean")
