@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import config_hash_col, sql_bits
+from ..functions.hashing import config_hash_col, sql_bits, sql_uniform
 from ..functions.scalar import clock_text, r6, runtime_text
 from ..operators import logs as L
 from ..operators.metrics import auc
@@ -649,3 +649,25 @@ def f7_json_props(spark, d):
     e = read_table(spark, d, "events")
     g = e.groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("doc", F.to_json(F.struct("k", "n")))
+
+
+# ================================================================ W6 annealing fold
+@register("w6_anneal_fold", ids=("W6", "EN10", "W5"), sql=lambda: "WITH RECURSIVE " + with_views("runlog")[5:] + f"""
+, x AS (SELECT run_id, iteration_num, stage1_val_auc AS c, temperature AS t,
+        {sql_uniform(42, 'anneal', 'iteration_num')} AS u,
+        row_number() OVER (PARTITION BY run_id ORDER BY iteration_num) AS k FROM runlog),
+f AS (SELECT run_id, k, iteration_num, true AS accepted, c AS cur FROM x WHERE k = 1
+      UNION ALL
+      SELECT x.run_id, x.k, x.iteration_num,
+             (x.c > f.cur OR x.c = f.cur OR x.u < exp((x.c - f.cur) / x.t)) AS accepted,
+             CASE WHEN (x.c > f.cur OR x.c = f.cur OR x.u < exp((x.c - f.cur) / x.t)) THEN x.c ELSE f.cur END AS cur
+      FROM f JOIN x ON x.run_id = f.run_id AND x.k = f.k + 1)
+SELECT run_id, iteration_num, accepted, round(cur, 6) AS current_score FROM f""")
+def w6_anneal_fold(spark, d):
+    """Per-run annealing acceptance as an exact chunked composition (see
+    operators/anneal.py); the oracle is a recursive CTE."""
+    from ..operators.anneal import anneal_fold
+
+    r = V.runlog(spark, d, with_num_models=False)
+    a = anneal_fold(r)
+    return a.select("run_id", "iteration_num", "accepted", r6("current_score").alias("current_score"))
