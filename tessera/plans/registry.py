@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         q_models,
         q_pseudo,
         q_sampling,
+        q_search,
         q_streaming,
     )
 
