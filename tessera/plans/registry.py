@@ -39,6 +39,7 @@ def load_all() -> dict[str, Query]:
         q_features,
         q_flagship,
         q_logs,
+        q_matrix,
         q_metrics,
         q_models,
         q_pseudo,
