@@ -63,17 +63,18 @@ def apply_composed(uppers, ks, s: float) -> float:
 
 
 def replay(c, t, u, s0: float):
-    acc = np.zeros(len(c), dtype=bool)
-    cur = np.zeros(len(c))
+    c, t, u = list(map(float, c)), list(map(float, t)), list(map(float, u))
+    acc, cur = [False] * len(c), [0.0] * len(c)
     s = s0
+    exp = math.exp
     for i in range(len(c)):
         d = c[i] - s
-        ok = (d > 0) or (d == 0) or (u[i] < math.exp(d / t[i]) if math.isfinite(d) else True)
+        ok = d >= 0 or d != d or u[i] < exp(d / t[i])
         if ok:
             s = c[i]
         acc[i] = ok
         cur[i] = s
-    return acc, cur
+    return np.array(acc, dtype=bool), np.array(cur)
 
 
 def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num", score: str = "stage1_val_auc",
@@ -89,7 +90,12 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
         return pd.DataFrame({"run": [pdf["run"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]],
                              "ups": [ups], "ks": [ks]})
 
-    funcs = d.groupBy("run", "chunk").applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
+    # Only chunks followed by another chunk of the same run need their composed function
+    # (the last chunk's output state is never consumed): with one chunk per run, stage 1
+    # and 2 reduce to a tiny join.
+    last = d.groupBy("run").agg(F.max("chunk").alias("_last"))
+    inner = d.join(last, "run").filter(F.col("chunk") < F.col("_last")).drop("_last")
+    funcs = inner.groupBy("run", "chunk").applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -100,7 +106,19 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
             s = apply_composed(list(ups), list(ks), s)
         return pd.DataFrame({"run": pdf["run"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "s0": inc})
 
-    starts = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
+    folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
+    # incoming state of each run's last chunk = output of the fold over the earlier chunks
+    def fold_last(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        s = NEG_INF
+        for ups, ks in zip(pdf["ups"], pdf["ks"]):
+            s = apply_composed(list(ups), list(ks), s)
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "s_last": [s]})
+
+    last_in = funcs.groupBy("run").applyInPandas(fold_last, "run long, s_last double")
+    starts = (last.join(last_in, "run", "left")
+              .select("run", F.col("_last").alias("chunk"), F.coalesce("s_last", F.lit(NEG_INF)).alias("s0"))
+              .unionByName(folded))
 
     def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")

@@ -213,6 +213,14 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(pos, a).otherwise(b)
 
 
+def yeo_johnson_col(x: Column, lam: Column) -> Column:
+    """Yeo-Johnson with lambda as a column (grid evaluation)."""
+    a = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + F.lit(1.0), lam) - F.lit(1.0)) / lam)
+    b = F.when(F.abs(lam - F.lit(2.0)) < 1e-12, -F.log1p(-x)).otherwise(
+        -(F.pow(F.lit(1.0) - x, F.lit(2.0) - lam) - F.lit(1.0)) / (F.lit(2.0) - lam))
+    return F.when(x >= 0, a).otherwise(b)
+
+
 def yj_grid(start: float, stop: float, step: float) -> list[float]:
     n = int(round((stop - start) / step))
     return [round(start + i * step, 10) for i in range(n + 1)]
@@ -228,16 +236,25 @@ class PowerTransformer:
         self.inputs, self.standardize, self.coarse, self.fine_step, self.state = list(inputs), standardize, coarse, fine_step, {}
 
     def _best(self, df, grids: dict):
+        """Profile likelihood for every (column, lambda) in ONE aggregation: the grid index
+        is exploded per row inside the scan stage (no shuffle of the amplified rows), each
+        column reads its own lambda from a literal array, and the group-by on the grid
+        index is partially aggregated (G rows per task leave the map side)."""
+        size = len(next(iter(grids.values())))
+        d = df.select(*[F.col(c) for c in self.inputs]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(self.inputs):
+            lam = F.element_at(F.array(*[F.lit(float(v)) for v in grids[c]]), F.col("_g") + 1)
+            aggs.append(F.var_pop(yeo_johnson_col(F.col(c), lam)).alias(f"v{i}"))
             aggs.append(F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"j{i}"))
-            for g, lam in enumerate(grids[c]):
-                aggs.append(F.var_pop(yeo_johnson(F.col(c), lam)).alias(f"v{i}_{g}"))
-        r = df.agg(*aggs).first()
+        rows = {r["_g"]: r for r in d.groupBy("_g").agg(*aggs).collect()}  # G rows
         best = {}
         for i, c in enumerate(self.inputs):
-            lls = [(-r["n"] / 2.0 * math.log(r[f"v{i}_{g}"]) + (lam - 1) * r[f"j{i}"], -g, lam)
-                   for g, lam in enumerate(grids[c]) if r[f"v{i}_{g}"] and r[f"v{i}_{g}"] > 0]
+            lls = []
+            for g, lam in enumerate(grids[c]):
+                r = rows[g]
+                if r[f"v{i}"] and r[f"v{i}"] > 0:
+                    lls.append((-r["n"] / 2.0 * math.log(r[f"v{i}"]) + (lam - 1) * r[f"j{i}"], -g, lam))
             best[c] = max(lls)[2]
         return best
 
