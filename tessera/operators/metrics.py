@@ -4,33 +4,38 @@ MT1 is the exact, tie-corrected ROC-AUC for many models in one pass:
   1. aggregate the long table (group, model, score, label) to distinct scores with
      positive / negative counts (map-side partial aggregation, volume = distinct scores);
   2. running count of negatives below each score per (group, model), computed with the
-     chunked ``prefix_sums`` (buckets of the score range), never one task per model;
+     chunked ``prefix_sums`` over quantile-balanced score buckets, never one task per model;
   3. AUC = sum(pos * (neg_below + 0.5 * neg_equal)) / (P * N).
 One class only -> null (the reference raises).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import checked_broadcast, prefix_sums
+from .scan import checked_broadcast, prefix_sums, searchsorted
 
-AUC_BUCKETS = 1 << 16
+AUC_BUCKETS = 1024
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None,
         out: str = "auc") -> DataFrame:
     by = list(by or [])
+    # The distinct-score table feeds three consumers (range, chunk totals, local window):
+    # persist it so the input is scanned and shuffled once.
     g = (df.groupBy(*by, score)
          .agg(F.sum(F.col(label).cast("bigint")).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
-         .withColumn("_neg", F.col("_cnt") - F.col("_pos")))
-    # Range buckets of the score per group: bounded rows per window task.
-    rng = g.groupBy(*by).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx")) if by else \
-        g.agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
-    gg = g.join(checked_broadcast(rng), on=by, how="inner") if by else g.crossJoin(F.broadcast(rng))
-    width = F.when(F.col("_mx") > F.col("_mn"), F.col("_mx") - F.col("_mn")).otherwise(F.lit(1.0))
-    chunk = F.least(F.floor((F.col(score) - F.col("_mn")) / width * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1)).cast("bigint")
+         .withColumn("_neg", F.col("_cnt") - F.col("_pos"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    # Quantile-balanced buckets of the distinct scores per group (approximate edges are
+    # enough: they only bound the rows of one window task; the result stays exact).
+    probs = F.array(*[F.lit(i / AUC_BUCKETS) for i in range(1, AUC_BUCKETS)])
+    edges = (g.groupBy(*by) if by else g.groupBy()).agg(F.percentile_approx(score, probs, 10 * AUC_BUCKETS).alias("_edges"))
+    gg = g.join(checked_broadcast(edges, 100_000), on=by, how="inner") if by else g.crossJoin(F.broadcast(edges))
+    gg = searchsorted(gg, "_edges", score, AUC_BUCKETS - 1, "_bucket").drop("_edges")
+    chunk = F.col("_bucket").cast("bigint")
     part = by if by else []
     if not part:
         gg = gg.withColumn("_all", F.lit(0))

@@ -56,7 +56,9 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums
         d = d.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
     for name in maxes:
         d = d.withColumn(f"_l_{name}", F.max(f"_v_{name}").over(w_local))
-    # Chunk totals from the already-partitioned frame: no extra shuffle of the big side.
+    # Chunk totals: a map-side partially aggregated group-by over the input (only one row
+    # per (group, chunk) and task is shuffled); the full-size shuffle happens once, for
+    # the local window.
     aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums] + [F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxes]
     tot = d.groupBy(*part, "_chunk").agg(*aggs)
     w_chunks = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,3 +131,18 @@ def rolling_rows(df: DataFrame, part: list[str], order: str, k: int, aggs: dict[
     for name, fn in aggs.items():
         both = both.withColumn(name, fn(w))
     return both.filter(~F.col("_borrowed")).drop("_c", "_borrowed")
+
+
+def searchsorted(df: DataFrame, edges: str, x: str, n: int, out: str) -> DataFrame:
+    """Number of entries <= x in the ascending array column ``edges`` of length n: binary
+    lifting over ceil(log2(n+1)) steps inside ONE ``aggregate`` expression (a chain of
+    self-referencing columns would be inlined into an exponential expression tree)."""
+    bits = max(n, 1).bit_length()
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    e, v = F.col(edges), F.col(x)
+
+    def lift(acc, s):
+        cand = acc + s
+        return F.when(cand <= F.lit(n), F.when(F.element_at(e, cand) <= v, cand).otherwise(acc)).otherwise(acc)
+
+    return df.withColumn(out, F.aggregate(steps, F.lit(0), lift))

@@ -60,3 +60,18 @@ def test_rolling_rows_across_chunks(spark):
     assert j.count() == df.count()
     assert j.filter(F.abs(F.col("m") - F.col("m2")) > 1e-9).count() == 0
     assert j.filter(~(F.col("s").isNull() & F.col("s2").isNull()) & (F.abs(F.col("s") - F.col("s2")) > 1e-9)).count() == 0
+
+
+def test_searchsorted_matches_numpy(spark):
+    import numpy as np
+
+    from tessera.operators.scan import searchsorted
+
+    rnd = np.random.default_rng(0)
+    edges = sorted(rnd.integers(0, 50, 37).astype(float).tolist())  # with duplicates
+    xs = [float(v) for v in rnd.integers(-5, 60, 200)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn(
+        "e", F.array(*[F.lit(v) for v in edges]))
+    got = [r["c"] for r in searchsorted(df, "e", "x", len(edges), "c").collect()]
+    want = [int(np.searchsorted(edges, x, side="right")) for x in xs]
+    assert got == want
