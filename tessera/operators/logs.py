@@ -62,7 +62,8 @@ def run_summary(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = list(by or ["run_id"])
     acc = F.col("accepted") == 1
     it = F.col("iteration_num")
-    hours = (F.unix_micros(F.max("timestamp").cast("timestamp")) - F.unix_micros(F.min("timestamp").cast("timestamp"))) / F.lit(3.6e9)
+    # timestampdiff on the stored wall-clock values: independent of the session time zone
+    hours = F.expr("timestampdiff(MICROSECOND, min(timestamp), max(timestamp))") / F.lit(3.6e9)
     size = F.coalesce(F.max_by(F.col("num_models"), F.when(acc, it)), F.lit(0))
     out = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),

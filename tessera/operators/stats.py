@@ -49,27 +49,44 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: b
 
 
 def _order_stats(df: DataFrame, v, n: int, ranks: list[int]) -> dict:
-    """Exact 0-based order statistics by bracket refinement."""
+    """Exact 0-based order statistics by bracket refinement.
+
+    The bracket [lo, hi] always contains the k-th value and ``below`` counts the rows under
+    it. Each round asks ``percentile_approx`` (over the bracket's rows only) for values
+    just below and above the target's relative rank, then counts rows below / inside the
+    new bracket in one aggregation; an approximate miss widens the probe. A bracket whose
+    rows fit under ``BRACKET_ROWS`` is collected sorted; a zero-width bracket (ties) is the
+    answer itself."""
+    x = df.select(v.alias("x")).filter(F.col("x").isNotNull())
     res = {}
-    lo_v, hi_v = None, None
-    acc = 10_000
     for k in ranks:
-        p = k / max(n - 1, 1)
-        lo_v, hi_v = None, None
-        width = 2.0 / acc
-        for _ in range(6):
-            ps = [max(0.0, p - width), min(1.0, p + width)]
-            b = df.agg(F.percentile_approx(v, F.array(*[F.lit(x) for x in ps]), acc).alias("b")).first()["b"]
-            lo_v, hi_v = b[0], b[1]
-            st = df.agg(F.count_if(v < F.lit(lo_v)).alias("below"),
-                        F.count_if((v >= F.lit(lo_v)) & (v <= F.lit(hi_v))).alias("inside")).first()
-            if st["below"] <= k < st["below"] + st["inside"] and st["inside"] <= BRACKET_ROWS:
-                vals = (df.select(v.alias("x")).filter((F.col("x") >= lo_v) & (F.col("x") <= hi_v))
-                        .agg(F.sort_array(F.collect_list("x")).alias("xs")).first()["xs"])
-                res[k] = vals[k - st["below"]]
+        lo, hi, below, inside = None, None, 0, n
+        acc, width = 10_000, 4.0 / 10_000
+        for _ in range(40):
+            if lo is not None and lo == hi:
+                res[k] = lo
                 break
-            width *= 4
-            acc = min(acc * 4, 1_000_000)
+            if inside <= BRACKET_ROWS:
+                sub = x
+                if lo is not None:
+                    sub = sub.filter((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
+                vals = sub.agg(F.sort_array(F.collect_list("x")).alias("xs")).first()["xs"]
+                res[k] = vals[k - below]
+                break
+            sub = x if lo is None else x.filter((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
+            rel = (k - below + 0.5) / inside
+            ps = [max(0.0, rel - width), min(1.0, rel + width)]
+            b = sub.agg(F.percentile_approx("x", F.array(*[F.lit(q) for q in ps]), acc).alias("b")).first()["b"]
+            a_lo, a_hi = b[0], b[1]
+            st = sub.agg(F.count_if(F.col("x") < F.lit(a_lo)).alias("below"),
+                         F.count_if((F.col("x") >= F.lit(a_lo)) & (F.col("x") <= F.lit(a_hi))).alias("inside")).first()
+            nb, ni = below + st["below"], st["inside"]
+            if nb <= k < nb + ni:
+                lo, hi, below, inside = a_lo, a_hi, nb, ni
+                width = max(width / 4, 1.0 / acc)
+            else:
+                width *= 4
+                acc = min(acc * 4, 1_000_000)
         else:
             raise RuntimeError("quantile bracket did not converge")
     return res

@@ -547,12 +547,11 @@ FROM runlog GROUP BY run_id""")
 def w3_first_last(spark, d):
     """first/last by order without a window (min_by / max_by aggregates)."""
     r = V.runlog(spark, d, with_num_models=False)
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
     return r.groupBy("run_id").agg(
         ts_str_col(F.min("timestamp")).alias("first_time"), ts_str_col(F.max("timestamp")).alias("last_time"),
         r6(F.min_by("stage1_val_auc", "iteration_num")).alias("first_auc"),
         r6(F.max_by("stage1_val_auc", "iteration_num")).alias("last_auc"),
-        r6((us(F.max("timestamp")) - us(F.min("timestamp"))) / 6e7).alias("span_min"))
+        r6(F.expr("timestampdiff(MICROSECOND, min(timestamp), max(timestamp))") / 6e7).alias("span_min"))
 
 
 def ts_str_col(c):
