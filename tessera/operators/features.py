@@ -56,7 +56,7 @@ class CleanNumeric(Op):
 
     def fit(self, df):
         if self.strategy == "median":
-            q = exact_quantiles(df, self.inputs, [0.5])
+            q = exact_quantiles(df, self.inputs, [0.5], clean=True)
             fill = {c: q[c][0] for c in self.inputs}
         elif self.strategy == "mean":
             m = moments(df, self.inputs, clean=True)
@@ -291,13 +291,13 @@ class RandomPairs(Op):
         self.state = {"pairs": draw_pairs(len(self.inputs), n_features, seed, kind)}
 
     def outputs(self):
-        return [f"{PAIR_NAME[self.kind]}_{i}_{j}" for i, j in self.state["pairs"]]
+        return list(dict.fromkeys(f"{PAIR_NAME[self.kind]}_{i}_{j}" for i, j in self.state["pairs"]))
 
     def transform(self, df):
         f = PAIR_EXPR[self.kind]
         exprs = {}
-        for (i, j), name in zip(self.state["pairs"], self.outputs()):
-            exprs[name] = f(F.col(self.inputs[i]), F.col(self.inputs[j]))
+        for i, j in self.state["pairs"]:
+            exprs[f"{PAIR_NAME[self.kind]}_{i}_{j}"] = f(F.col(self.inputs[i]), F.col(self.inputs[j]))
         return df.withColumns(exprs).drop(*[c for c in self.inputs if c not in exprs])
 
 

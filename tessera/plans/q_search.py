@@ -110,3 +110,50 @@ def s11_epoch_json_lines(spark, d):
     back = spark.read.schema("ensemble_id BIGINT, epoch BIGINT, train_loss DOUBLE, val_loss DOUBLE, train_auc DOUBLE, "
                              "val_auc DOUBLE").json(path)
     return back.select("ensemble_id", "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))
+
+
+@register("fe38_random_pipelines", ids=("FE38", "P9", "FE7", "FE1", "FE30", "X1", "X2"))
+def fe38_random_pipelines(spark, d):
+    """FE38: four hash-drawn pipelines in the reference's stage order, fitted on the
+    planted train split, scored on validation; one row per pipeline (chain, hash, AUC)."""
+    from ..operators.metrics import auc
+    from ..operators.pipeline import apply_pipeline, draw_spec, fit_pipeline
+
+    z = planted_frame(spark, d)
+    b = V.base(spark, d).select("row_id", "days", "month")
+    z = z.join(b, "row_id")
+    feats = X + ["days", "month"]
+    train = z.filter(F.col("split") == "train")
+    rows = None
+    for it in range(1, 5):
+        spec = draw_spec(feats, 42, it)
+        ops, cols, model = fit_pipeline(spec, train)
+        scored = apply_pipeline(ops, model, z.filter(F.col("split") != "train"))
+        a = auc(scored, "p", "label").select(
+            F.lit(it).alias("iteration"), F.lit(spec.describe()).alias("chain"), F.lit(spec.hash()).alias("pipeline_hash"),
+            F.lit(len(cols)).alias("n_features"), r6("auc").alias("auc"))
+        rows = a if rows is None else rows.unionByName(a)
+    return rows
+
+
+@register("x5_training_history", ids=("X5", "MT13"))
+def x5_training_history(spark, d):
+    """The per-iteration objective of a pyspark.ml fit as a table (the callback surface),
+    plus the streaming progress of a replayed log recorded by a StreamingQueryListener."""
+    from ..streaming.log_stream import ProgressRecorder
+
+    z = planted_frame(spark, d)
+    train = z.filter(F.col("split") == "train")
+    model = M.ml_estimator("logistic", {"C": 1.0}, n_rows=train.count()).setMaxIter(15).fit(M.assemble(train, X))
+    hist = model.summary.objectiveHistory
+    obj = spark.createDataFrame([("objective", i, float(v)) for i, v in enumerate(hist)], "source string, step int, value double")
+    rec = ProgressRecorder.attach(spark)
+    try:
+        from .q_streaming import _replay_runlog
+        from ..streaming.log_stream import run_available_now, dedup_stream
+
+        run_available_now(spark, dedup_stream(_replay_runlog(spark, d)), "x5")
+    finally:
+        rec.detach(spark)
+    prog = spark.createDataFrame([("stream_rows", int(b), float(n)) for b, n in rec.rows], "source string, step int, value double")
+    return obj.unionByName(prog)

@@ -170,3 +170,37 @@ def anneal_stream(s: DataFrame, seed: int = 42) -> DataFrame:
     return src.groupBy("run_id").applyInPandasWithState(
         upd, "run_id long, iteration_num long, accepted boolean, current_score double", "cur double", "append",
         GroupStateTimeout.NoTimeout)
+
+
+# ---------------------------------------------------------------- X5 progress callback
+from pyspark.sql.streaming import StreamingQueryListener  # noqa: E402
+
+
+class ProgressRecorder(StreamingQueryListener):
+    """Epoch/batch callback surface (X5): records (batch id, input rows) of every
+    micro-batch of every query on the session."""
+
+    def __init__(self):
+        self.rows = []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows.append((p.batchId, p.numInputRows))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    @classmethod
+    def attach(cls, spark):
+        rec = cls()
+        spark.streams.addListener(rec)
+        return rec
+
+    def detach(self, spark):
+        spark.streams.removeListener(self)
