@@ -535,3 +535,17 @@ def apply_chain(ops: list[Op], df: DataFrame) -> DataFrame:
     for op in ops:
         df = op.transform(df)
     return df
+
+
+# ---------------------------------------------------------------- P1 / P3 role projection
+def project_roles(df: DataFrame, roles: dict, id_column: str | None = "id", keep: list[str] | None = None) -> DataFrame:
+    """Route columns by role, unlisted columns dropped, output order numeric, ordinal,
+    nominal (``keep`` columns such as the row key and label stay in front). P3: an ``id``
+    column is dropped when present (no-op otherwise)."""
+    if id_column and id_column in df.columns:
+        df = df.drop(id_column)
+    cols = list(roles.get("numeric", [])) + list(roles.get("ordinal", {})) + list(roles.get("nominal", []))
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"role columns not in frame: {missing}")
+    return df.select(*(keep or []), *cols)

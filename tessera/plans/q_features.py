@@ -328,3 +328,20 @@ def fe29_polynomial(spark, d):
     c = inter.transform(b).select("row_id", *[F.col(x).alias("i_" + x) for x in inter.outputs()])
     j = a.join(c, "row_id")
     return j.select("row_id", *[r6(x).alias(x) for x in j.columns if x != "row_id"])
+
+
+_ROLES = {"numeric": ["o_totalprice", "c_acctbal", "days", "month", "sum_l_quantity", "max_l_discount"],
+          "ordinal": {"o_orderpriority": _PRIO}, "nominal": ["c_mktsegment", "c_nationkey"]}
+
+
+@register("p1_p3_role_projection", ids=("P1", "P3", "J1", "B2"), sql=lambda: with_views("base_agg") + """
+SELECT row_id, label, round(o_totalprice, 6) AS o_totalprice, round(c_acctbal, 6) AS c_acctbal, days, month,
+  round(sum_l_quantity, 6) AS sum_l_quantity, round(max_l_discount, 6) AS max_l_discount, o_orderpriority, c_mktsegment, c_nationkey
+FROM base_agg""")
+def p1_p3_role_projection(spark, d):
+    """P1/P3 on the wide base_agg view (orders + customer + per-order lineitem aggregates,
+    blocks aligned by key, J1): role routing with an 'id' column dropped if present."""
+    b = V.base_agg(spark, d).withColumn("id", F.col("row_id"))
+    p = FE.project_roles(b, _ROLES, "id", keep=["row_id", "label"])
+    return p.select(*[r6(c).alias(c) if c in ("o_totalprice", "c_acctbal", "sum_l_quantity", "max_l_discount") else F.col(c)
+                      for c in p.columns])
