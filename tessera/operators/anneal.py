@@ -8,7 +8,7 @@ Each step is the map f_i(s) = c_i if s < thr_i else s, with thr_i = c_i - T_i ln
 (>= c_i). A composition of such maps is a step function: constant pieces below an
 ascending list of bounds, identity above the last. That gives an exact three-stage plan:
 
-  1. every (run, chunk) of at most ``chunk`` steps builds its composed step function
+  1. every (run, chunk) of at most ``chunk`` (2^20) steps builds its composed step function
      (``applyInPandas``, backward composition with a monotone stack: O(chunk));
   2. per run, the chunk functions are folded in chunk order to get each chunk's incoming
      state (one small row per chunk, not per step);
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 
-CHUNK = 1 << 16
+CHUNK = 1 << 20
 NEG_INF = float("-inf")
 
 
@@ -91,34 +91,35 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
                              "ups": [ups], "ks": [ks]})
 
     # Only chunks followed by another chunk of the same run need their composed function
-    # (the last chunk's output state is never consumed): with one chunk per run, stage 1
-    # and 2 reduce to a tiny join.
-    last = d.groupBy("run").agg(F.max("chunk").alias("_last"))
-    inner = d.join(last, "run").filter(F.col("chunk") < F.col("_last")).drop("_last")
-    funcs = inner.groupBy("run", "chunk").applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
+    # (the last chunk's output state is never consumed); with one chunk per run stage 1
+    # and 2 see no rows.
+    last = d.groupBy("run").agg(F.max("chunk").alias("_last"), F.min("chunk").alias("_first"))
+    multi = last.filter(F.col("_first") < F.col("_last")).count()  # tiny: one row per run
+    last = last.drop("_first")
+    inner = d.join(last, "run").filter(F.col("chunk") < F.col("_last"))
+    funcs = (inner.groupBy("run", "chunk")
+             .applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
+             .join(last, "run"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         s = NEG_INF
-        inc = []
-        for ups, ks in zip(pdf["ups"], pdf["ks"]):
+        chunks, inc = [], []
+        for ch, ups, ks in zip(pdf["chunk"], pdf["ups"], pdf["ks"]):
+            chunks.append(int(ch))
             inc.append(s)
             s = apply_composed(list(ups), list(ks), s)
-        return pd.DataFrame({"run": pdf["run"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "s0": inc})
-
-    folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
-    # incoming state of each run's last chunk = output of the fold over the earlier chunks
-    def fold_last(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s = NEG_INF
-        for ups, ks in zip(pdf["ups"], pdf["ks"]):
-            s = apply_composed(list(ups), list(ks), s)
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "s_last": [s]})
-
-    last_in = funcs.groupBy("run").applyInPandas(fold_last, "run long, s_last double")
-    starts = (last.join(last_in, "run", "left")
-              .select("run", F.col("_last").alias("chunk"), F.coalesce("s_last", F.lit(NEG_INF)).alias("s0"))
-              .unionByName(folded))
+        chunks.append(int(pdf["_last"].iloc[0]))  # the run's last chunk starts from the fold of all others
+        inc.append(s)
+        return pd.DataFrame({"run": pdf["run"].iloc[0], "chunk": chunks, "s0": inc})
+
+    single = last.select("run", F.col("_last").alias("chunk"), F.lit(NEG_INF).alias("s0"))
+    if multi == 0:  # every run fits in one chunk: all runs start from -inf
+        starts = single
+    else:
+        folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
+        # runs with a single chunk have no function rows: they start from -inf
+        starts = single.join(folded.select("run").distinct(), "run", "left_anti").unionByName(folded)
 
     def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")
@@ -126,6 +127,9 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
         return pd.DataFrame({"run": pdf["run"].to_numpy(), "step": pdf["step"].to_numpy(), "accepted": acc,
                              "current_score": cur})
 
-    j = d.join(starts, ["run", "chunk"])
+    # Python replay is CPU-bound: pin the number of partitions so runtime coalescing by
+    # bytes does not squeeze it into a few tasks; groupBy reuses this partitioning.
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = d.join(starts, ["run", "chunk"]).repartition(n_parts, "run", "chunk")
     out = j.groupBy("run", "chunk").applyInPandas(run_chunk, "run long, step long, accepted boolean, current_score double")
     return out.withColumnRenamed("run", run).withColumnRenamed("step", step)

@@ -345,3 +345,22 @@ def p1_p3_role_projection(spark, d):
     p = FE.project_roles(b, _ROLES, "id", keep=["row_id", "label"])
     return p.select(*[r6(c).alias(c) if c in ("o_totalprice", "c_acctbal", "sum_l_quantity", "max_l_discount") else F.col(c)
                       for c in p.columns])
+
+
+@register("p2_fe39_shared_column_branches", ids=("P2", "FE39", "FE18", "FE15"), sql=lambda: with_views("base") + """
+, e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS q FROM base)
+SELECT row_id, c_acctbal AS pass_c_acctbal,
+  CAST(len(list_filter(q[2:len(q) - 1], lambda x: x <= c_acctbal)) AS DOUBLE) AS bin_c_acctbal,
+  round(c_acctbal * c_acctbal, 6) AS sq_c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS seg_building
+FROM base, e""")
+def p2_fe39_shared_column_branches(spark, d):
+    """P2/FE39: one column feeds several branches (passthrough, quantile bins, square) that
+    are unioned side by side in ONE projection, next to a one-hot block."""
+    b = V.base(spark, d).select("row_id", "c_acctbal", "c_mktsegment")
+    b = b.withColumns({"pass_c_acctbal": F.col("c_acctbal"), "bin_src": F.col("c_acctbal"), "sq_src": F.col("c_acctbal")})
+    binning = FE.Binning(["bin_src"], 4, "quantile").fit(b)
+    sq = FE.Unary(["sq_src"], "square")
+    out = sq.transform(binning.transform(b))
+    return out.select("row_id", "pass_c_acctbal", F.col("binned_bin_src").alias("bin_c_acctbal"),
+                      r6("sq_src_sq").alias("sq_c_acctbal"),
+                      F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.0).alias("seg_building"))
