@@ -351,7 +351,7 @@ def p1_p3_role_projection(spark, d):
 , e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS q FROM base)
 SELECT row_id, c_acctbal AS pass_c_acctbal,
   CAST(len(list_filter(q[2:len(q) - 1], lambda x: x <= c_acctbal)) AS DOUBLE) AS bin_c_acctbal,
-  round(c_acctbal * c_acctbal, 6) AS sq_c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS seg_building
+  round(c_acctbal * c_acctbal, 6) AS sq_c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS seg_building
 FROM base, e""")
 def p2_fe39_shared_column_branches(spark, d):
     """P2/FE39: one column feeds several branches (passthrough, quantile bins, square) that
