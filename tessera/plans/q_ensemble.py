@@ -36,8 +36,8 @@ _EN3 = list(range(10))
 @register("en3_en18_ensemble_auc_cm", ids=("EN3", "EN18", "MT1", "MT3"), sql=lambda: with_views(
     "preds", extra=f"""e AS (SELECT row_id, max(label) AS label, avg(p) AS s FROM preds WHERE model_id < {len(_EN3)} GROUP BY row_id), """
     + auc_sql("e", "s", "1")) + """
-SELECT round(coalesce((SELECT auc FROM a), 0.0), 6) AS auc, count_if(s < 0.5 AND label = 0) AS tn, count_if(s >= 0.5 AND label = 0) AS fp,
-  count_if(s < 0.5 AND label = 1) AS fn, count_if(s >= 0.5 AND label = 1) AS tp FROM e""")
+SELECT round(coalesce((SELECT auc FROM a), 0.0), 6) AS auc, CAST(count_if(s < 0.5 AND label = 0) AS BIGINT) AS tn, CAST(count_if(s >= 0.5 AND label = 0) AS BIGINT) AS fp,
+  CAST(count_if(s < 0.5 AND label = 1) AS BIGINT) AS fn, CAST(count_if(s >= 0.5 AND label = 1) AS BIGINT) AS tp FROM e""")
 def en3_en18_ensemble_auc_cm(spark, d):
     """EN3 mean-aggregated ensemble AUC (empty -> 0) and EN18 confusion counts."""
     p = V.preds(spark, d).filter(F.col("model_id").isin(_EN3))

@@ -80,7 +80,7 @@ g AS (SELECT split, p, sum(label) AS pos, count(*) - sum(label) AS neg FROM sc G
 c AS (SELECT *, sum(neg) OVER (PARTITION BY split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below FROM g),
 a AS (SELECT split, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY split),
 cm AS (SELECT split, count(*) AS n_rows, round(avg(label), 6) AS pos_rate,
-              count_if(p >= 0.5 AND label = 1) AS tp, count_if(p >= 0.5 AND label = 0) AS fp,
-              count_if(p < 0.5 AND label = 0) AS tn, count_if(p < 0.5 AND label = 1) AS fn FROM sc GROUP BY split)
+              CAST(count_if(p >= 0.5 AND label = 1) AS BIGINT) AS tp, CAST(count_if(p >= 0.5 AND label = 0) AS BIGINT) AS fp,
+              CAST(count_if(p < 0.5 AND label = 0) AS BIGINT) AS tn, CAST(count_if(p < 0.5 AND label = 1) AS BIGINT) AS fn FROM sc GROUP BY split)
 SELECT cm.split, cm.n_rows, cm.pos_rate, round(a.auc, 6) AS auc, cm.tp, cm.fp, cm.tn, cm.fn
 FROM cm JOIN a USING (split)"""

@@ -281,7 +281,7 @@ def u3_unlabelled_keys(spark, d):
 
 
 @register("u2_drop_duplicate_texts", ids=("U2",), sql="""
-SELECT md5(text) AS text_md5, lang, length(text) AS n_chars FROM (SELECT DISTINCT text, lang FROM documents) q""")
+SELECT md5(text) AS text_md5, lang, CAST(length(text) AS INTEGER) AS n_chars FROM (SELECT DISTINCT text, lang FROM documents) q""")
 def u2_drop_duplicate_texts(spark, d):
     """Exact duplicate rows removed over the whole text (output keyed by its digest)."""
     u = V.dups(spark, d).dropDuplicates()
@@ -290,8 +290,8 @@ def u2_drop_duplicate_texts(spark, d):
 
 # ================================================================ A: aggregations
 @register("a1_worker_summary", ids=("A1",), sql=lambda: with_views("wstate") + """
-SELECT count(*) AS total, count_if(status = 'running') AS running, count_if(status = 'completed') AS completed,
-  count_if(status = 'timeout') AS timeouts, count_if(status = 'error') AS errors,
+SELECT count(*) AS total, CAST(count_if(status = 'running') AS BIGINT) AS running, CAST(count_if(status = 'completed') AS BIGINT) AS completed,
+  CAST(count_if(status = 'timeout') AS BIGINT) AS timeouts, CAST(count_if(status = 'error') AS BIGINT) AS errors,
   round(coalesce(avg(CASE WHEN status = 'completed' THEN runtime_sec END), 0.0), 6) AS avg_runtime,
   round(coalesce(max(CASE WHEN status = 'completed' THEN runtime_sec END), 0.0), 6) AS max_runtime,
   coalesce(max(batch_num), 0) AS max_batch FROM wstate""")
@@ -301,11 +301,11 @@ def a1_worker_summary(spark, d):
 
 
 @register("a2_run_summary", ids=("A2", "W3", "F4", "A12"), sql=lambda: with_views("runlog") + """
-, g AS (SELECT run_id, count(*) AS total, count_if(accepted = 1) AS accepted, count_if(accepted <> 1) AS rejected,
+, g AS (SELECT run_id, count(*) AS total, CAST(count_if(accepted = 1) AS BIGINT) AS accepted, CAST(count_if(accepted <> 1) AS BIGINT) AS rejected,
   coalesce(arg_max(num_models, CASE WHEN accepted = 1 THEN iteration_num END), 0) AS ensemble_size,
   max(CASE WHEN accepted = 1 THEN stage1_val_auc END) AS best_auc,
   arg_max(temperature, iteration_num) AS last_temperature, max(timestamp) AS last_time,
-  count_if(timeout = 0) AS nt, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 3.6e9 AS hours
+  CAST(count_if(timeout = 0) AS BIGINT) AS nt, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 3.6e9 AS hours
   FROM runlog GROUP BY run_id)
 SELECT run_id, total, accepted, rejected, ensemble_size, round(best_auc, 6) AS best_auc,
   round(last_temperature, 6) AS last_temperature, strftime(last_time, '%Y-%m-%d %H:%M:%S.%f') AS last_time,
@@ -322,9 +322,9 @@ def a2_run_summary(spark, d):
 
 
 @register("a3_global_summary", ids=("A3", "A12"), sql=lambda: with_views("runlog") + """
-SELECT count(*) AS total_iterations, count_if(accepted = 1) AS accepted,
+SELECT count(*) AS total_iterations, CAST(count_if(accepted = 1) AS BIGINT) AS accepted,
   round(max(stage1_val_auc), 6) AS best_stage1, round(arg_max(temperature, iteration_num), 6) AS latest_temperature,
-  round(count_if(accepted = 1) / count(*), 6) AS acceptance_rate, round(count_if(timeout = 1) / count(*), 6) AS timeout_rate
+  round(CAST(count_if(accepted = 1) AS BIGINT) / count(*), 6) AS acceptance_rate, round(CAST(count_if(timeout = 1) AS BIGINT) / count(*), 6) AS timeout_rate
 FROM runlog""")
 def a3_global_summary(spark, d):
     r = V.runlog(spark, d, with_num_models=False)
@@ -491,8 +491,8 @@ def _clf_sql(seed=42):
 @register("a19_batch_summary", ids=("A19", "SM12", "F9"), sql=lambda: with_views("runlog") + f"""
 , c AS (SELECT batch_num, {_clf_sql()} AS clf FROM runlog),
 k AS (SELECT batch_num, clf, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT batch_num, sum(n) AS jobs,
-  sum(n * CASE WHEN clf IN ('random_forest', 'extra_trees', 'knn') THEN 2 ELSE 1 END) AS cores_total,
+SELECT batch_num, CAST(sum(n) AS BIGINT) AS jobs,
+  CAST(sum(n * CASE WHEN clf IN ('random_forest', 'extra_trees', 'knn') THEN 2 ELSE 1 END) AS BIGINT) AS cores_total,
   round(sum(n * CASE WHEN clf IN ('random_forest', 'extra_trees', 'knn') THEN 2 ELSE 1 END) / sum(n), 6) AS cores_avg,
   string_agg(clf || ':' || n, ',' ORDER BY clf) AS per_class
 FROM k GROUP BY batch_num""")

@@ -29,8 +29,8 @@ def mt1_auc_per_model(spark, d):
 
 
 @register("mt2_mt3_confusion", ids=("MT2", "MT3"), sql=lambda: with_views("preds") + """
-SELECT model_id, count_if(p < 0.5 AND label = 0) AS tn, count_if(p >= 0.5 AND label = 0) AS fp,
-  count_if(p < 0.5 AND label = 1) AS fn, count_if(p >= 0.5 AND label = 1) AS tp,
+SELECT model_id, CAST(count_if(p < 0.5 AND label = 0) AS BIGINT) AS tn, CAST(count_if(p >= 0.5 AND label = 0) AS BIGINT) AS fp,
+  CAST(count_if(p < 0.5 AND label = 1) AS BIGINT) AS fn, CAST(count_if(p >= 0.5 AND label = 1) AS BIGINT) AS tp,
   round(avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM preds GROUP BY model_id""")
 def mt2_mt3_confusion(spark, d):

@@ -16,7 +16,7 @@ RATIO = 0.3
 
 _CONF = f"""c AS (SELECT row_id, p, CAST(p >= 0.5 AS INTEGER) AS pseudo_label FROM semiview
   WHERE label IS NULL AND (p >= {T} OR p <= 1.0 - {T})),
-k AS (SELECT count_if(pseudo_label = 1) AS npos, count_if(pseudo_label = 0) AS nneg FROM c)"""
+k AS (SELECT CAST(count_if(pseudo_label = 1) AS BIGINT) AS npos, CAST(count_if(pseudo_label = 0) AS BIGINT) AS nneg FROM c)"""
 
 
 def _ranked(salt):
