@@ -35,11 +35,13 @@ class GaussianNB:
         self.features, self.label, self.vs, self.state = list(features), label, var_smoothing, {}
 
     def fit(self, df: DataFrame) -> "GaussianNB":
-        aggs = [F.count(F.lit(1)).alias("n")]
+        aggs = [F.count(F.lit(1)).alias("n"), F.grouping(self.label).alias("_all")]
         for i, c in enumerate(self.features):
             aggs += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
-        rows = {r[self.label]: r for r in df.groupBy(self.label).agg(*aggs).collect()}
-        allv = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(self.features)]).first()
+        # per-class and overall moments in ONE aggregation (rollup adds the total row)
+        got = df.rollup(self.label).agg(*aggs).collect()
+        rows = {r[self.label]: r for r in got if r["_all"] == 0}
+        allv = [r for r in got if r["_all"] == 1][0]
         eps = self.vs * max(allv[f"v{i}"] or 0.0 for i in range(len(self.features)))
         n = sum(r["n"] for r in rows.values())
         self.state = {

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bits, hash_uniform, py_uniform
-from .scan import checked_broadcast, exact_rank
+from .scan import exact_rank
 
 PPM = 1_000_000
 
@@ -25,16 +25,10 @@ def _ppm(f: float) -> int:
 
 
 def ranked_strata(df: DataFrame, key: str, strata: list[str], seed: int, salt: str) -> DataFrame:
-    """Adds ``_h`` (52-bit hash), ``_rank`` (1-based inside stratum) and ``_n`` (stratum size)."""
+    """Adds ``_h`` (52-bit hash), ``_rank`` (1-based inside stratum) and ``_n`` (stratum
+    size) in one ranking pass (no separate counting job)."""
     d = df.withColumn("_h", hash_bits(seed, salt, key))
-    if strata:
-        counts = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-        small = counts.collect()  # one row per stratum (classes): tiny by construction
-        maxn = max((r["_n"] for r in small), default=0)
-        ranked = exact_rank(d, strata, "_h", key, maxn)
-        return ranked.join(checked_broadcast(counts, 100_000), on=strata, how="inner")
-    n = d.count()
-    return exact_rank(d, [], "_h", key, n).withColumn("_n", F.lit(n).cast("bigint"))
+    return exact_rank(d, strata, "_h", key).withColumnRenamed("_rank_total", "_n")
 
 
 def quota_expr(frac_ppm_cum: int) -> str:
@@ -126,11 +120,12 @@ def candidate_presample(df: DataFrame, key: str, candidates: list[tuple[int, flo
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """FE41: balanced weight n / (n_classes * n_class), via a class-count table (tiny)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    rows = counts.collect()
+    rows = counts.collect()  # one row per class
     n = sum(r["_nc"] for r in rows)
     k = len(rows)
     w = counts.select(label, (F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    return df.join(checked_broadcast(w, 100_000), on=label, how="left")
+    # size proven by the collect above: k rows
+    return df.join(F.broadcast(w) if k <= 100_000 else w, on=label, how="left")
 
 
 # ---------------------------------------------------------------- SM11/SM12 hyper-parameter draws

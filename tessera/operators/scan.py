@@ -34,12 +34,14 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums: dict[str, Column],
-                maxes: dict[str, Column] | None = None, exclusive: bool = False) -> DataFrame:
+                maxes: dict[str, Column] | None = None, exclusive: bool = False,
+                group_totals: bool = False) -> DataFrame:
     """Add inclusive running sums (``sums``: out name -> value column) and running maxima
     (``maxes``) per ``part`` ordered by ``order``.
 
     With ``exclusive=True`` the current row is left out (running values of the rows
-    strictly before; sums start at 0, maxima at null).
+    strictly before; sums start at 0, maxima at null). ``group_totals=True`` also adds
+    ``<name>_total`` (the whole group's sum) from the chunk-total table: no extra pass.
 
     ``chunk`` must be monotone in ``order`` within a group (e.g. ``floor(id / 2^20)``);
     each (group, chunk) is one bounded window partition and the chunk offsets come from a
@@ -67,7 +69,13 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums
         offs = offs.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(w_chunks), F.lit(0)))
     for n in maxes:
         offs = offs.withColumn(f"_o_{n}", F.max(f"_t_{n}").over(w_chunks))
-    offs = offs.select(*part, "_chunk", *[f"_o_{n}" for n in list(sums) + list(maxes)])
+    totals = []
+    if group_totals:
+        w_all = Window.partitionBy(*part)
+        for n in sums:
+            offs = offs.withColumn(f"{n}_total", F.sum(f"_t_{n}").over(w_all))
+            totals.append(f"{n}_total")
+    offs = offs.select(*part, "_chunk", *[f"_o_{n}" for n in list(sums) + list(maxes)], *totals)
     out = d.join(offs, on=[*part, "_chunk"], how="inner")
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_o_{n}"))
@@ -89,25 +97,27 @@ def choose_bits(max_group_rows: int, target: int = 1 << 16) -> int:
     return min(40, int(math.ceil(math.log2(max_group_rows / target))))
 
 
+RANK_BITS = 20
+
+
 def exact_rank(df: DataFrame, strata: list[str], hbits: str, key: str, max_group_rows: int | None = None,
-               out: str = "_rank") -> DataFrame:
-    """1-based rank of each row inside its stratum ordered by (52-bit hash, key).
+               out: str = "_rank", bits: int | None = None) -> DataFrame:
+    """1-based rank of each row inside its stratum ordered by (52-bit hash, key), plus the
+    stratum size ``<out>_total``.
 
     Equals ``row_number() OVER (PARTITION BY strata ORDER BY hbits, key)`` without ever
-    sorting a whole stratum in one task: rows are bucketed by the leading hash bits, ranked
-    inside (stratum, bucket), and shifted by the counts of the lower buckets.
+    sorting a whole stratum in one task: rows are bucketed by the leading ``bits`` hash bits
+    (default 20: about 10^6 buckets, so a window task holds n / 10^6 rows of a stratum),
+    ranked inside (stratum, bucket), and shifted by the counts of the lower buckets. The
+    stratum sizes come from the same bucket-count table, so there is no counting pass.
     """
-    if max_group_rows is None:
-        grp = df.groupBy(*strata).count() if strata else df.select(F.count(F.lit(1)).alias("count"))
-        max_group_rows = int(grp.agg(F.max("count")).first()[0] or 0)
-    bits = choose_bits(max_group_rows)
+    if bits is None:
+        bits = RANK_BITS if max_group_rows is None else max(choose_bits(max_group_rows), 0)
     chunk = F.shiftright(F.col(hbits), 52 - bits) if bits > 0 else F.lit(0)
-    part = strata if strata else []
-    if not part:
+    if not strata:
         d = df.withColumn("_all", F.lit(0))
-        res = prefix_sums(d, ["_all"], [hbits, key], chunk, {out: F.lit(1)})
-        return res.drop("_all")
-    return prefix_sums(df, part, [hbits, key], chunk, {out: F.lit(1)})
+        return prefix_sums(d, ["_all"], [hbits, key], chunk, {out: F.lit(1)}, group_totals=True).drop("_all")
+    return prefix_sums(df, strata, [hbits, key], chunk, {out: F.lit(1)}, group_totals=True)
 
 
 def rolling_rows(df: DataFrame, part: list[str], order: str, k: int, aggs: dict[str, callable],
