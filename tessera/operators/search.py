@@ -22,6 +22,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +146,9 @@ def run_search(spark: SparkSession, pool: DataFrame, features: list[str], cfg: S
         # SM5: one pass assigns pool rows to every candidate of the batch
         member = candidate_presample(train.select("row_id"), "row_id",
                                      [(c["iteration"], c["params"]["row_fraction"], cfg.seed + c["iteration"]) for c in cands])
+        # one pass over the pool for the whole batch; the (candidate, row) table is reused
+        # by every candidate's fit instead of re-expanding the pool per candidate
+        member = member.persist(StorageLevel.MEMORY_AND_DISK)
 
         def job(c):
             t_start = time.time()
@@ -206,6 +210,7 @@ def run_search(spark: SparkSession, pool: DataFrame, features: list[str], cfg: S
         st["history"] = (st["history"] + [round(st["current_score"], 6)])[-50:]
         ens.write.mode("overwrite").parquet(f"{state_path}/ens/{st['iteration']}")
         sinks.save_state(spark, state_path, st)
+        member.unpersist()
     return {"log": log_path, "preds": pred_path, "state": state_path, "final": st}
 
 
