@@ -41,7 +41,7 @@ def main():
     import pandas as pd
 
     V.base(spark, sf_dir).groupBy("label").count().collect()
-    spark.range(1000).groupBy((F.col("id") % 4).alias("k")).applyInPandas(
+    spark.range(1000).withColumn("k", F.col("id") % 4).groupBy("k").applyInPandas(
         lambda p: pd.DataFrame({"k": [int(p["k"].iloc[0])]}), "k long").collect()
     headline = ["flagship_nb_split_auc", "sm1_stratified_split", "mt1_auc_per_model", "en1_en2_row_aggregates",
                 "en5_en7_diversity", "a2_run_summary", "w1_w2_rolling_auc", "w4_plateau_counter", "w6_anneal_fold",

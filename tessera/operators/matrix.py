@@ -283,13 +283,44 @@ class PowerTransformer:
 
 
 # ---------------------------------------------------------------- FE37 quantile transform
+def norm_ppf(p: Column) -> Column:
+    """Inverse standard-normal CDF as a rational-approximation expression (relative error
+    about 1e-9), for the 'normal' output of the quantile transform."""
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
+         -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
+         -1.328068155288572e01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00,
+         4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+
+    def poly(coef, x):
+        e = F.lit(coef[0])
+        for k in coef[1:]:
+            e = e * x + F.lit(k)
+        return e
+
+    lo = 0.02425
+    q_tail = F.sqrt(F.lit(-2.0) * F.log(p))
+    q_up = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
+    q = p - F.lit(0.5)
+    r = q * q
+    central = poly(a, r) * q / (poly(b, r) * r + F.lit(1.0))
+    lower = poly(c, q_tail) / (poly(d, q_tail) * q_tail + F.lit(1.0))
+    upper = -poly(c, q_up) / (poly(d, q_up) * q_up + F.lit(1.0))
+    return F.when(p < lo, lower).when(p > 1 - lo, upper).otherwise(central)
+
+
 class QuantileTransformer:
     """FE37: knots = exact linear percentiles at n_quantiles evenly spaced levels; output =
     average of forward and backward piecewise-linear interpolation (ties map to the middle
-    of their reference range), clamped to [0, 1] outside the knots."""
+    of their reference range), clamped to [0, 1] outside the knots; ``output='normal'``
+    maps the clipped uniform value through the inverse normal CDF."""
+
+    CLIP = 1e-7
 
-    def __init__(self, inputs, n_quantiles=100):
-        self.inputs, self.nq, self.state = list(inputs), n_quantiles, {}
+    def __init__(self, inputs, n_quantiles=100, output="uniform"):
+        self.inputs, self.nq, self.output, self.state = list(inputs), n_quantiles, output, {}
 
     def fit(self, df):
         probs = [i / (self.nq - 1) for i in range(self.nq)]
@@ -313,6 +344,9 @@ class QuantileTransformer:
                 .otherwise(F.lit(0.5) * (fwd + bwd)))
 
     def transform(self, df):
+        if self.output == "normal":
+            clip = lambda e: F.least(F.greatest(e, F.lit(self.CLIP)), F.lit(1 - self.CLIP))
+            return df.withColumns({c: norm_ppf(clip(self._interp(c))) for c in self.inputs})
         return df.withColumns({c: self._interp(c) for c in self.inputs})
 
 
@@ -368,17 +402,29 @@ class KMeansFeatures:
     """FE20/FE21: pyspark.ml KMeans (k-means|| init) fitted on the inputs; cluster label and
     distance to every centre as expressions on the literal centres."""
 
-    def __init__(self, inputs, k=4, seed=315, max_iter=100, add_distances=True, prefix="km"):
+    def __init__(self, inputs, k=4, seed=315, max_iter=100, add_distances=True, prefix="km", n_init=1):
         self.inputs, self.k, self.seed, self.max_iter, self.add_distances, self.prefix = list(inputs), k, seed, max_iter, add_distances, prefix
+        self.n_init = n_init
         self.state = {}
 
     def fit(self, df):
+        """``n_init`` restarts with different seeds (each a distributed k-means|| fit on the
+        cached assembled input); the lowest within-cluster cost wins."""
+        from pyspark import StorageLevel
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
         v = VectorAssembler(inputCols=self.inputs, outputCol="_f").transform(df.select(*self.inputs).na.drop())
-        model = KMeans(k=self.k, seed=self.seed, maxIter=self.max_iter, featuresCol="_f").fit(v)
-        self.state = {"centers": [list(map(float, c)) for c in model.clusterCenters()]}
+        v = v.persist(StorageLevel.MEMORY_AND_DISK) if self.n_init > 1 else v
+        best = None
+        for r in range(self.n_init):
+            model = KMeans(k=self.k, seed=self.seed + r, maxIter=self.max_iter, featuresCol="_f").fit(v)
+            cost = model.summary.trainingCost
+            if best is None or cost < best[0]:
+                best = (cost, model)
+        if self.n_init > 1:
+            v.unpersist()
+        self.state = {"centers": [list(map(float, c)) for c in best[1].clusterCenters()], "cost": float(best[0])}
         return self
 
     def transform(self, df):

@@ -167,7 +167,7 @@ def fe20_fe21_kmeans(spark, d):
     """FE20 k-means label + distances on (x, y); FE21 one k-means per feature group.
     Rows-only: cluster sizes and mean distance to the own centre per group."""
     df = _xy(spark, d)
-    a = MX.KMeansFeatures(XY, k=4, prefix="g1").fit(df)
+    a = MX.KMeansFeatures(XY, k=4, prefix="g1", n_init=3).fit(df)
     b = MX.KMeansFeatures(["month"], k=3, prefix="g2").fit(df)
     out = b.transform(a.transform(df))
     own1 = F.element_at(F.array(*[F.col(f"g1_d{j}") for j in range(4)]), F.col("g1_label") + 1)

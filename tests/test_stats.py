@@ -19,3 +19,18 @@ def test_bracketed_quantiles_equal_direct(spark, monkeypatch):
     want = np.quantile(vals, probs)
     assert np.allclose(direct, want, rtol=0, atol=1e-12)
     assert np.allclose(brack, want, rtol=0, atol=1e-12)
+
+
+def test_norm_ppf_and_quantile_normal_output(spark):
+    from statistics import NormalDist
+
+    from tessera.operators.matrix import QuantileTransformer, norm_ppf
+
+    ps = [1e-6, 0.01, 0.02425, 0.1, 0.3, 0.5, 0.77, 0.975, 0.99, 0.999999]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    got = [r[0] for r in df.select(norm_ppf(F.col("p"))).collect()]
+    assert max(abs(g - NormalDist().inv_cdf(p)) for g, p in zip(got, ps)) < 1e-8
+    x = spark.createDataFrame([(float(i),) for i in range(1000)], "x double")
+    qt = QuantileTransformer(["x"], 50, output="normal").fit(x)
+    out = qt.transform(x).agg(F.avg("x").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    assert abs(out["m"]) < 1e-6 and out["lo"] < -5 and out["hi"] > 5
