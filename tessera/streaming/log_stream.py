@@ -50,15 +50,28 @@ def close_replay(df: DataFrame, ts: str, path: str, key: str, sentinel=-1) -> No
 
 
 def run_available_now(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                      max_files: int | None = None) -> DataFrame:
+                      state_partitions: int | None = None) -> DataFrame:
+    """Run ``stream`` over everything available and return its sink as a batch frame.
+
+    ``state_partitions`` fixes the number of shuffle / state-store partitions of a stateful
+    query; it is recorded in the checkpoint at the first start and cannot change later, so
+    it is chosen deliberately (default: the cluster's default parallelism) instead of
+    inheriting whatever ``spark.sql.shuffle.partitions`` the session has."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
+    n_state = state_partitions or spark.sparkContext.defaultParallelism
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(n_state))  # captured by the query at start
+    try:
+        q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, prev)
     q.awaitTermination()
     try:
         return spark.read.parquet(out)
