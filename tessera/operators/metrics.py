@@ -11,7 +11,8 @@ One class only -> null (the reference raises).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from ..session import track
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
     # persist it so the input is scanned and shuffled once.
     g = (df.groupBy(*by, score)
          .agg(F.sum(F.col(label).cast("bigint")).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
-         .withColumn("_neg", F.col("_cnt") - F.col("_pos"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .withColumn("_neg", F.col("_cnt") - F.col("_pos")))
+    g = track(g)
     # Quantile-balanced buckets of the distinct scores per group (approximate edges are
     # enough: they only bound the rows of one window task; the result stays exact).
     probs = F.array(*[F.lit(i / AUC_BUCKETS) for i in range(1, AUC_BUCKETS)])

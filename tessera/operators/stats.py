@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null
 
-DIRECT_LIMIT = 5_000_000
+DIRECT_LIMIT = 1_000_000
 BRACKET_ROWS = 1_000_000
 
 

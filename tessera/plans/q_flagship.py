@@ -4,7 +4,8 @@ confusion counts (MT3) per split."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from ..session import track
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_bits
@@ -23,7 +24,7 @@ NOMINAL = ["c_mktsegment"]
 
 def score_pipeline(spark, d, seed=42):
     b = base(spark, d).select("row_id", *NUMERIC, *ORDINAL, *NOMINAL, "label")
-    s = stratified_split(b, "row_id", "label", seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    s = track(stratified_split(b, "row_id", "label", seed=seed))
     train = s.filter(F.col("split") == "train")
     onehot = OneHot(NOMINAL)
     ops = fit_chain([StandardScale(NUMERIC), OrdinalEncode(ORDINAL), onehot], train)

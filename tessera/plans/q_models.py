@@ -4,7 +4,8 @@ for the pyspark.ml families, CV and random search (M1-M15, MT5-MT7)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from ..session import track
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import py_uniform, sql_bits
@@ -24,7 +25,7 @@ def planted_frame(spark, d):
     """Planted view split 60/35/5 by its label y, features standardised on train."""
     pl = V.planted(spark, d).select("row_id", F.col("o_totalprice").alias("x1"), F.col("c_acctbal").alias("x2"),
                                     F.col("y").alias("label"))
-    s = stratified_split(pl, "row_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    s = track(stratified_split(pl, "row_id", "label"))
     sc = StandardScale(X).fit(s.filter(F.col("split") == "train"))
     return sc.transform(s)
 
@@ -222,7 +223,7 @@ def mt7_random_search_cv(spark, d, n_draws: int = 4):
     """MT7: hash-drawn QDA regularisation values, 3-fold CV mean AUC each, best by mean
     AUC (ties by draw id)."""
     z = kfold(planted_frame(spark, d).filter(F.col("split") == "train"), "row_id", "label", k=3)
-    z = z.persist(StorageLevel.MEMORY_AND_DISK)
+    z = track(z)
     rows = []
     for i in range(n_draws):
         reg = round(10 ** (-4 + 4 * py_uniform(42, "qda_reg", i)), 6)

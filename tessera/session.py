@@ -98,3 +98,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# ---------------------------------------------------------------- cache lifetime
+_TRACKED: list = []
+
+
+def track(df):
+    """Persist ``df`` (memory, spilling to disk) and remember it so ``release_tracked`` can
+    drop it once the result that needed it has been consumed."""
+    from pyspark import StorageLevel
+
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _TRACKED.append(out)
+    return out
+
+
+def release_tracked() -> int:
+    n = 0
+    while _TRACKED:
+        try:
+            _TRACKED.pop().unpersist()
+            n += 1
+        except Exception:  # noqa: BLE001 - session already stopped
+            pass
+    return n
