@@ -16,9 +16,10 @@ from ..session import track
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import checked_broadcast, prefix_sums, searchsorted
+from .scan import prefix_sums, searchsorted
 
-AUC_BUCKETS = 1024
+AUC_MAX_BUCKETS = 1 << 16
+AUC_ROWS_PER_BUCKET = 1 << 16
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None,
@@ -31,11 +32,20 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
          .withColumn("_neg", F.col("_cnt") - F.col("_pos")))
     g = track(g)
     # Quantile-balanced buckets of the distinct scores per group (approximate edges are
-    # enough: they only bound the rows of one window task; the result stays exact).
-    probs = F.array(*[F.lit(i / AUC_BUCKETS) for i in range(1, AUC_BUCKETS)])
-    edges = (g.groupBy(*by) if by else g.groupBy()).agg(F.percentile_approx(score, probs, 10 * AUC_BUCKETS).alias("_edges"))
-    gg = g.join(checked_broadcast(edges, 100_000), on=by, how="inner") if by else g.crossJoin(F.broadcast(edges))
-    gg = searchsorted(gg, "_edges", score, AUC_BUCKETS - 1, "_bucket").drop("_edges")
+    # enough: they only bound the rows of one window task; the result stays exact). The
+    # bucket count follows the largest group (about 2^16 distinct scores per bucket, 64 to
+    # 65536 buckets); the same small job bounds the number of groups for the broadcast.
+    sizes = (g.groupBy(*by).count() if by else g.groupBy().count()).agg(
+        F.max("count").alias("mx"), F.count(F.lit(1)).alias("ng")).first()
+    biggest, n_groups = int(sizes["mx"] or 0), int(sizes["ng"] or 0)
+    nb = 64
+    while nb < AUC_MAX_BUCKETS and biggest / nb > AUC_ROWS_PER_BUCKET:
+        nb *= 2
+    probs = F.array(*[F.lit(i / nb) for i in range(1, nb)])
+    edges = (g.groupBy(*by) if by else g.groupBy()).agg(F.percentile_approx(score, probs, 10 * nb).alias("_edges"))
+    gg = (g.join(F.broadcast(edges) if n_groups <= 100_000 else edges, on=by, how="inner") if by
+          else g.crossJoin(F.broadcast(edges)))
+    gg = searchsorted(gg, "_edges", score, nb - 1, "_bucket").drop("_edges")
     chunk = F.col("_bucket").cast("bigint")
     part = by if by else []
     if not part:
