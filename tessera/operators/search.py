@@ -172,9 +172,11 @@ def run_search(spark: SparkSession, pool: DataFrame, features: list[str], cfg: S
             long = long.checkpoint()
             long.write.mode("append").partitionBy("cand").parquet(pred_path)
             j = long.join(ens, "row_id").withColumn("ens_p", (F.col("sum_p") + F.col("p")) / (F.col("n") + 1))
-            a_ens = {r["cand"]: r["auc"] for r in auc(j, "ens_p", "label", by=["cand"]).collect()}
-            a_own = {r["cand"]: r["auc"] for r in auc(j, "p", "label", by=["cand"]).collect()}
-            scores = {k: (a_ens.get(k) or 0.0, a_own.get(k) or 0.0) for k in a_ens}
+            # ensemble-with-candidate and candidate-alone AUCs of the whole batch in ONE pass
+            both = (j.select("cand", "label", F.col("ens_p").alias("s"), F.lit("ens").alias("kind"))
+                    .unionByName(j.select("cand", "label", F.col("p").alias("s"), F.lit("own").alias("kind"))))
+            got = {(r["cand"], r["kind"]): r["auc"] for r in auc(both, "s", "label", by=["cand", "kind"]).collect()}
+            scores = {k: (got.get((k, "ens")) or 0.0, got.get((k, "own")) or 0.0) for k, kind in got if kind == "ens"}
         log_rows, accepted_ids = [], []
         for c, f, err, secs in results:
             it = c["iteration"]
