@@ -24,7 +24,7 @@ def _replay_runlog(spark, d, extra_dups=False, late=False):
     S.write_replay(src, "timestamp", path, n_files=4)
     if late:  # rows far older than the watermark, delivered last: must be dropped
         old = (r.filter(F.col("iteration_num") < 5).withColumn("iteration_num", -F.col("iteration_num") - 1)
-               .withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+               .withColumn("timestamp", S.as_instant(r, "timestamp")))
         old.coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     return S.read_log_stream(spark, path, schema)
@@ -45,7 +45,7 @@ FROM runlog GROUP BY 1, 2""")
 def st2_windowed_rates(spark, d):
     s = _replay_runlog(spark, d)
     out = S.run_available_now(spark, S.windowed_rates(s), "st2", mode="update")
-    out = out.withColumn("window_start", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
+    out = out.withColumn("window_start", S.utc_text("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
     last = S.latest(out, ["window_start", "classifier_type"])
     return last.select("window_start", "classifier_type", "n", F.col("accepted").cast("bigint").alias("accepted"),
                        F.col("timeouts").cast("bigint").alias("timeouts"))
@@ -57,14 +57,14 @@ FROM runlog WHERE timeout = 0 GROUP BY 1""")
 def st3_models_per_hour(spark, d):
     s = _replay_runlog(spark, d)
     out = S.run_available_now(spark, S.models_per_hour(s), "st3", mode="update")
-    out = out.withColumn("hour", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
+    out = out.withColumn("hour", S.utc_text("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
     return S.latest(out, ["hour"]).select("hour", "models")
 
 
 def _replay_workers(spark, d, close=False):
     w = V.workers(spark, d)
     path = scratch_path(spark, "workers-replay")
-    w2 = w.withColumn("start_time", F.col("start_time").cast("timestamp")).withColumn("end_time", F.col("end_time").cast("timestamp"))
+    w2 = w.withColumn("start_time", S.as_instant(w, "start_time")).withColumn("end_time", S.as_instant(w, "end_time"))
     S.write_replay(w2, "ts", path, n_files=4)
     if close:
         S.close_replay(w2, "ts", path, "worker_id")
@@ -110,8 +110,8 @@ def st6_inactivity_sessions(spark, d):
     s = _replay_workers(spark, d, close=True)
     out = S.run_available_now(spark, S.sessions(s, "worker_id"), "st6", mode="append")
     out = (out.filter(F.col("worker_id") >= 0)
-           .withColumn("session_start", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-           .withColumn("session_end", F.date_format("w.end", "yyyy-MM-dd HH:mm:ss.SSSSSS")).drop("w"))
+           .withColumn("session_start", S.utc_text("w.start"))
+           .withColumn("session_end", S.utc_text("w.end")).drop("w"))
     return out.select("worker_id", "session_start", "session_end", "n_events")
 
 
@@ -130,10 +130,10 @@ def st7_stream_scoring(spark, d):
     nb = GaussianNB(NUMERIC + list(ORDINAL) + onehot.outputs()).fit(apply_chain(ops, b))
     path = scratch_path(spark, "orders-replay")
     o = read_table(spark, d, "orders")
-    S.write_replay(o.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), "o_orderdate", path, n_files=3)
+    S.write_replay(o, "o_orderdate", path, n_files=3)
     so = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     c = read_table(spark, d, "customer")
-    j = so.join(c, so.o_custkey == c.c_custkey)  # stream-static join
+    j = so.join(c, so.o_custkey == c.c_custkey).withColumn("o_orderdate", S.utc_wallclock("o_orderdate"))  # stream-static join
     feats = j.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
                      F.col("c_acctbal").cast("double").alias("c_acctbal"),
                      F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double").alias("days"),

@@ -21,12 +21,33 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..session import scratch_path
 
 
+EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def as_instant(df: DataFrame, c: str):
+    """Event time as a TIMESTAMP instant (watermarks need one) that reads the stored
+    wall-clock value as UTC, independent of the session time zone."""
+    if df.schema[c].dataType.simpleString() == "timestamp_ntz":
+        return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, `{c}`)"))
+    return F.col(c)
+
+
+def utc_wallclock(c: str):
+    """An instant back to its UTC wall clock as TIMESTAMP_NTZ (session-zone independent)."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {EPOCH_NTZ})")
+
+
+def utc_text(c: str, fmt: str = "yyyy-MM-dd HH:mm:ss.SSSSSS"):
+    """Format an instant as its UTC wall clock, independent of the session time zone."""
+    return F.date_format(utc_wallclock(c), fmt)
+
+
 def write_replay(df: DataFrame, ts: str, path: str, n_files: int = 4) -> None:
     """Append a log frame to ``path`` in event-time order as ``n_files`` successive writes
     (the file source reads files in modification-time order, so each write is one later
     micro-batch). ``ts`` becomes a TIMESTAMP (watermarks need it). Range bounds come from
     approximate quantiles of the event time: no global sort."""
-    d = df.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_us", F.unix_micros(F.col(ts)))
+    d = df.withColumn(ts, as_instant(df, ts)).withColumn("_us", F.unix_micros(F.col(ts)))
     cuts = d.approxQuantile("_us", [i / n_files for i in range(1, n_files)], 0.001) if n_files > 1 else []
     bounds = [None] + sorted(set(cuts)) + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -42,10 +63,10 @@ def close_replay(df: DataFrame, ts: str, path: str, key: str, sentinel=-1) -> No
     """End-of-replay marker for append-mode windowed/session aggregations: two heartbeat
     files (key = ``sentinel``) one and two days after the last event advance the watermark
     past every open window so the final windows are emitted; callers drop the sentinel."""
-    last = df.agg(F.max(F.col(ts).cast("timestamp")).alias("_m")).first()["_m"]
+    last_us = df.agg(F.max(F.unix_micros(as_instant(df, ts))).alias("_m")).first()["_m"]
     base = df.limit(1).withColumn(key, F.lit(sentinel).cast(df.schema[key].dataType))
     for days in (1, 2):
-        hb = base.withColumn(ts, F.lit(last).cast("timestamp") + F.expr(f"INTERVAL {days} DAYS"))
+        hb = base.withColumn(ts, F.timestamp_micros(F.lit(last_us + days * 86_400_000_000)))
         hb.coalesce(1).write.mode("append").parquet(path)
 
 
@@ -147,8 +168,8 @@ def worker_state_stream(s: DataFrame) -> DataFrame:
         yield pd.DataFrame([{"worker_id": key[0], **cur}])
 
     src = s.select("worker_id", "status", "classifier_type",
-                   F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_time"),
-                   F.date_format("end_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("end_time"),
+                   utc_text("start_time").alias("start_time"),
+                   utc_text("end_time").alias("end_time"),
                    "runtime_sec", "pipeline_hash", F.col("event_id").alias("seq"))
     return src.groupBy("worker_id").applyInPandasWithState(upd, schema_out, state_schema, "update",
                                                            GroupStateTimeout.NoTimeout)

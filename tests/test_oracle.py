@@ -46,3 +46,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 3 and set(df.columns) >= {"split", "auc"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", ["st6_inactivity_sessions", "a2_run_summary"])
+def test_results_independent_of_session_time_zone(spark, duck, name):
+    """Event times are stored wall clocks: results must not move with the session zone."""
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = REG[name].fn(spark, SF001)
+        rows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    res = duck.execute(REG[name].oracle())
+    ocols = [d[0] for d in res.description]
+    assert digest(df.columns, rows)[0] == digest(ocols, res.fetchall())[0]
