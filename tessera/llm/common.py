@@ -25,6 +25,13 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written under the checkpoint folder and is no longer read."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -54,6 +61,8 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) == 0:
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     kind = np.int64 if large else np.int32
@@ -132,7 +141,7 @@ def shingle_hashes(word: np.ndarray, row: np.ndarray, n_rows: int, width: int) -
     for j in range(width):
         use = np.minimum(np.arange(total) + j, total - 1)
         inside = at + j < left
-        step = mix64(value ^ (word[use] + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        step = mix64(value ^ (word[use] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
         value = np.where(inside, step, value)
     keep = (at + width <= left) | (at == 0)
     value, owner = value[keep], row[keep]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, md5_key, n_words, unit, written
 
 #: Rows that a chunk of a source's key space holds on average.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 2_000
 
 
 def source_targets(sized: DataFrame, weights: tuple = (5, 2, 1), most_epochs: int = 3) -> DataFrame:
@@ -78,9 +78,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = (5, 2, 1), most_e
                 .withColumn("chunk", F.floor(unit(F.col("key")) * chunks)))
 
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (chunked(light).groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
+    offsets = written(spark, (chunked(light).groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
                .select(F.col("source").alias("o_source"), F.col("chunk").alias("o_chunk"),
-                       F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("offset")))
+                       F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("offset"))), "mix-offsets")
     within = (Window.partitionBy("source", "chunk").orderBy("key", "id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     budget = F.floor("target")
