@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import string_buffers
+from .common import bound_batches, give_back, span_hash, string_buffers, tidy
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def squeeze(data: bytes) -> bytes:
@@ -91,6 +91,13 @@ def text_runs(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Ite
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def positions(buckets: np.ndarray) -> dict[int, np.ndarray]:
+    """Bucket -> places of its terms in the block's list, ascending."""
+    order = np.argsort(buckets, kind="stable")
+    own, first = np.unique(buckets[order], return_index=True)
+    return dict(zip(own.tolist(), np.split(order, first[1:]), strict=True)) if len(order) else {}
+
+
 def _number(made: int) -> int:
     return (TaskContext.get().partitionId() << 24) + made
 
@@ -106,7 +113,7 @@ def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callabl
     def requests(batches):
         for made, run in enumerate(text_runs(batches)):
             b = blocks(run)
-            rows = [(x, b.terms(np.flatnonzero(b.buckets == x))) for x in np.unique(b.buckets)]
+            rows = [(x, b.terms(at)) for x, at in positions(b.buckets).items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in rows], pa.int32()), pa.array([_number(made)] * len(rows), pa.int64()),
                  pa.array([b.check] * len(rows), pa.int64()), pa.array([t for _, t in rows], pa.binary())],
@@ -150,40 +157,64 @@ def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callabl
             raise RuntimeError("a block's terms differ between the branches: docs must be a scan with row-wise steps")
         with pa.ipc.open_stream(stretch(r["ids"], r["ids_size"])) as s:
             ids = s.read_all().column(0).combine_chunks()
-        return finish(ids, unpack(r["lengths"]), unpack(r["codes"]), which, {k: x["data"] for k, x in got.items()}, r["extra"])
-
-    asked = docs.mapInArrow(requests, "bucket int, block long, mark long, data binary")
-    replies = asked.repartition(buckets, "bucket").mapInArrow(answered, "bucket int, block long, mark long, data binary")
-    rows = docs.mapInArrow(kept, "block long, mark long, ids binary, ids_size long, lengths binary, codes binary, "
+        out = finish(ids, unpack(r["lengths"]), unpack(r["codes"]), which, {k: x["data"] for k, x in got.items()}, r["extra"])
+        give_back()
+        return out
+
+    docs = bound_batches(docs)
+    asked = docs.mapInArrow(tidy(requests), "bucket int, block long, mark long, data binary")
+    replies = asked.repartition(buckets, "bucket").mapInArrow(tidy(answered), "bucket int, block long, mark long, data binary")
+    rows = docs.mapInArrow(tidy(kept), "block long, mark long, ids binary, ids_size long, lengths binary, codes binary, "
                                  "buckets binary, extra binary")
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(joined, out)
 
 
 # ------------------------------------------------------------------ blocks of words
-def word_block(split: Callable[[str], list[str]], buckets: int, spread: Callable[[str], str] = lambda w: w
+#: A slice of rows as spans of bytes: (bytes, row, first byte, byte after the last), in order.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def word_block(spans: Callable[[pa.Array], Iterator[tuple[int, int, Spans]]], buckets: int, spread: int | None = None
                ) -> Callable[[pa.Table], Block]:
-    """Blocks whose terms are strings without line feeds; ``spread`` is the part of a term
-    that its bucket depends on."""
+    """Blocks whose terms are strings without line feeds. ``spans`` cuts a column of texts in
+    slices (first row, row after the last, spans). Equal spans are found by two independent
+    64-bit hashes. A term's bucket depends on its first ``spread`` bytes, or on all."""
 
     def make(run: pa.Table) -> Block:
-        number: dict[str, int] = {}
-        lengths, codes = [], []
-        for text in run.column(1):
-            words = split(text.as_py() or "")
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            lengths.append(len(words))
-            codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        words = list(number)
-        which = np.fromiter((zlib.crc32(spread(w).encode()) % buckets for w in words), np.int32, len(words))
+        column = flat(run.column(1))
+        lengths = np.zeros(len(column), np.int64)
+        codes, keys, checks, words = [], [], [], []
+        known = 0
+        for row, to, (raw, owner, a, b) in spans(column):
+            lengths[row:to] = np.bincount(owner, minlength=to - row)
+            own, first, code = np.unique(span_hash(raw, a, b), return_index=True, return_inverse=True)
+            second = span_hash(raw, a, b, 1)
+            if not np.array_equal(second, second[first][code]):
+                raise RuntimeError("two terms have the same hash")
+            data = raw.tobytes()
+            words += [data[x:y] for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True)]
+            codes.append(code + known)
+            keys.append(own)
+            checks.append(second[first])
+            known += len(own)
+        if not words:
+            return Block(flat(run.column(0)), lengths, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, lambda at: b"")
+        key, check = np.concatenate(keys), np.concatenate(checks)
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        if not np.array_equal(check, check[first][same]):
+            raise RuntimeError("two terms have the same hash")
+        code = same[np.concatenate(codes)]
+        order = np.argsort(-np.bincount(code, minlength=len(first)), kind="stable")  # frequent terms get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        terms_ = [words[i] for i in first[order].tolist()]
+        which = np.fromiter((zlib.crc32(w[:spread]) % buckets for w in terms_), np.int64, len(terms_))
 
         def terms(at: np.ndarray) -> bytes:
-            data = "\n".join([words[i] for i in at]).encode()
+            data = b"\n".join([terms_[i] for i in at])
             return len(data).to_bytes(8, "little") + squeeze(data)
 
-        check = zlib.crc32("\n".join(words).encode())
-        return Block(flat(run.column(0)), np.array(lengths, np.int64), np.concatenate(codes) if codes else np.zeros(0, np.int32), which, check, terms)
+        return Block(flat(run.column(0)), lengths, rank[code], which, zlib.crc32(b"\n".join(terms_)), terms)
 
     return make
 
@@ -209,15 +240,6 @@ def word_table(encode: Callable[[list[str]], list]) -> Callable[[list[str]], lis
     return get
 
 
-def by_term(buckets: np.ndarray, answers: dict[int, list]) -> list:
-    """Answers in the order of the block's list of terms."""
-    out = [None] * len(buckets)
-    for b, values in answers.items():
-        for i, v in zip(np.flatnonzero(buckets == b).tolist(), values, strict=True):
-            out[i] = v
-    return out
-
-
 def bucket_count(docs: DataFrame) -> int:
     """Buckets of terms: as many as the session's shuffles have partitions."""
     return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,19 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of text that a Python task takes at a time.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making the session hand texts to Python in batches of at most BATCH_ROWS rows:
+    the default of 10,000 rows of some kilobytes would take a worker's memory many times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that was written under the checkpoint folder and is no longer read."""
     jvm = spark.sparkContext._jvm
@@ -48,6 +63,29 @@ def unit(hex32: Column) -> Column:
 
 
 # ------------------------------------------------------------------ numpy, inside tasks
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and what a
+    worker's allocators hold back counts against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's generator of batches that gives memory back when it is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an uint64 array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,7 +109,7 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return ends, raw
 
 
-def text_slices(column, limit: int = 1 << 21):
+def text_slices(column, limit: int = 1 << 18):
     """Cut an Arrow string column in runs of rows of about ``limit`` bytes (one row at the
     least): yields (first row, row after the last, start of each row and end of the last,
     bytes), the starts counted from the run's first byte."""
@@ -85,29 +123,40 @@ def text_slices(column, limit: int = 1 << 21):
 
 
 _POWERS: dict[int, np.ndarray] = {}
-_BASE, _BASE_INV = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+#: Odd multipliers of two independent polynomial hashes modulo 2**64, with their inverses.
+_BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        full = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+        full = np.full(1 << max(16, (n - 1).bit_length()), base, dtype=np.uint64)
         full[0] = 1
         got = _POWERS[base] = np.multiply.accumulate(full)
     return got[:n]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of every word in concatenated texts, A-Z lower-cased. A text's end
-    ends a word. Returns (hash, row, first byte, byte after the last) of each word.
+def span_hash(raw: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes [a, b) for each span: a polynomial over the bytes, taken as a
+    difference of one running sum, with the length, then mixed; equal spans have equal hashes."""
+    base, inverse = _BASES[which]
+    n = len(raw)
+    if len(a) == 0:
+        return np.zeros(0, np.uint64)
+    run = np.empty(n + 1, np.uint64)
+    run[0] = 0
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=run[1:])
+    value = (run[b] - run[a]) * _powers(inverse, n)[a]
+    return mix64(value + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
 
-    The hash is a polynomial over the word's bytes modulo 2**64 with its length, taken as a
-    difference of one running sum, then mixed; equal words have equal hashes."""
+def word_spans(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, byte after the last) of every word in concatenated texts, in order. A
+    text's end ends a word."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+        return none, none, none
     solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -119,12 +168,14 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     before = cut[cut > 0] - 1
     last[before] = solid[before]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=run[1:])
-    value = (run[b] - run[a]) * _powers(_BASE_INV, n)[a]
-    row = np.searchsorted(starts, a, side="right") - 1
-    return mix64(value + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row, a, b
+    return np.searchsorted(starts, a, side="right") - 1, a, b
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, byte after the last) of every word, A-Z lower-cased."""
+    row, a, b = word_spans(raw, starts)
+    low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    return span_hash(low, a, b), row, a, b
 
 
 def shingle_hashes(word: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:

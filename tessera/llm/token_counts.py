@@ -9,6 +9,7 @@ best segmentation. Documents add up the counts of their pre-tokens by position.
 The best segmentation has the largest sum of piece scores; of equal ones that with fewer
 tokens. A character that no piece covers costs one token for each of its UTF-8 bytes.
 
+Pre-tokens are runs without ASCII white space, each with the vocabulary's word mark before it.
 Defined results: a null or blank text has no pre-tokens and no tokens; repeated rows each get
 their row; a null id is kept; an empty table gives an empty table.
 """
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
+from .common import text_slices, word_spans
 
 #: The mark that begins every pre-token in the vocabulary.
 MARK = "▁"
-#: Letters of a pre-token that its bucket depends on.
+#: Bytes of a pre-token that its bucket depends on.
 SPREAD = 4
 
 
@@ -50,8 +52,9 @@ def read_pieces(model: bytes) -> list[str]:
     return [m.id_to_piece(i) for i in sorted(ids, key=lambda i: (-m.get_score(i), i))]
 
 
-def split(text: str) -> list[str]:
-    return [MARK + w for w in text.split()]
+def spans(column: pa.Array):
+    for row, to, starts, raw in text_slices(column):
+        yield row, to, (raw, *word_spans(raw, starts))
 
 
 class PrefixTrie:
@@ -116,7 +119,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
         scores = _scores(model)
 
         def give(requests: list[bytes]) -> list[bytes]:
-            asked = [B.asked_words(r) for r in requests]
+            asked = [[MARK + w for w in B.asked_words(r)] for r in requests]
             distinct = list({w for words in asked for w in words})
             table = dict(zip(distinct, count_words(distinct, scores), strict=True))
             return [B.pack(np.array([table[w] for w in words], np.int64)) for words in asked]
@@ -125,11 +128,11 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
     def finish(ids, lengths, codes, which, answers, extra):
         counts = np.zeros(len(which), np.int64)
-        for b, a in answers.items():
-            counts[which == b] = B.unpack(a)
+        for b, at in B.positions(which).items():
+            counts[at] = B.unpack(answers[b])
         run = np.concatenate([[0], np.cumsum(counts[codes])])
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return pa.table({id_col: ids, "n_words": pa.array(lengths), "n_tokens": pa.array(run[ends[1:]] - run[ends[:-1]])})
 
-    return B.lookup(rows, B.word_block(split, buckets, lambda w: w[:SPREAD + 1]), answer, finish, id_type.simpleString(), out,
+    return B.lookup(rows, B.word_block(spans, buckets, SPREAD), answer, finish, id_type.simpleString(), out,
                     buckets, hold=True)
