@@ -69,7 +69,8 @@ def components(spark: SparkSession, links: DataFrame, most_rounds: int = 100) ->
     """(node, component) of every node with a link to another one; component is the smallest
     node reachable. ``links`` has two long columns; loops and repeated links do no harm."""
     links = links.toDF("src", "dst").where("src <> dst")
-    links = links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    # written before the Python step: the links may come from one, and a task with two holds two workers
+    links = written(spark, links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), "links")
     links = written(spark, links.mapInArrow(_local_stars, LINKS), "links")
     seen = None
     for _ in range(most_rounds):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bound_batches, text_slices, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -198,7 +198,7 @@ def classify(net: ByteConvNet, column, plan=None) -> tuple[list[str], np.ndarray
     if not net.languages or n == 0:
         return names, scores
     plan = plan or net.compiled()
-    for row, to, starts, raw in text_slices(column, 1 << 18):
+    for row, to, starts, raw in text_slices(column):
         length = np.diff(starts)
         n_windows = -(-length // WINDOW)
         first = np.concatenate([[0], np.cumsum(n_windows)])
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, net: ByteConvNet, text_col: str = "text", lang_name
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: Column) -> Column:
@@ -244,7 +244,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, net: ByteConvNet, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteConvNet, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that have a language: a text that is null, has no letter or whose
     best language scores under ``least_score`` is rejected."""
     lang, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "lang_score")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_hashes, text_slices, word_hashes, written
+from .common import bound_batches, mix64, shingle_hashes, text_slices, tidy, word_hashes, written
 from .components import components
 
 MISS = 1e-5
@@ -95,7 +95,7 @@ def band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sets(column, width: int):
     """Runs of rows with their shingle sets: (first row, row after the last, owner, hash)."""
-    for row, to, starts, raw in text_slices(column, 1 << 20):
+    for row, to, starts, raw in text_slices(column):
         word, owner, _, _ = word_hashes(raw, starts)
         yield row, to, *shingle_hashes(word, owner, to - row, width)
 
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))],
                     names=["id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -137,7 +137,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array(count.astype(np.int64)), data],
                                                  names=["id", "n", "shingles"])
 
-    return docs.mapInArrow(run, "id long, n long, shingles binary")
+    return docs.mapInArrow(tidy(run), "id long, n long, shingles binary")
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "src long, dst long")
+    return pairs.mapInArrow(tidy(run), "src long, dst long")
 
 
 def tile_links(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -197,7 +197,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     """id, n_shingles, component_id, kept: documents are linked if their sets' Jaccard
     similarity is at least ``percent`` / 100."""
     bands, rows = banding(percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bound_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     signed = written(spark, signatures(texts, width, bands, rows), "minhash-signatures")
     classes = written(spark, signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(
         F.min("id").alias("rep"), F.first("bands").alias("bands")), "minhash-classes")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, written
+from .common import bound_batches, text_slices, tidy, written
 from .language_id import fresh_name
 
 #: Bound of the labelled sample that the logistic model is fitted on.
@@ -126,7 +126,7 @@ def with_features(docs: DataFrame, text_col: str, name: str) -> DataFrame:
                                            pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -197,7 +197,7 @@ def score(spark: SparkSession, docs: DataFrame, evidence: Evidence, host, path,
             got = evidence.log_factor(features(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got)], names=schema.names)
 
-    rows = docs.mapInArrow(run, schema)
+    rows = bound_batches(docs).mapInArrow(tidy(run), schema)
     base = float(np.log(evidence.rate / (1 - evidence.rate)))
     rows = rows.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"),
                        F.col(name).alias("log_factor"), (1 / (1 + F.exp(-(F.col(name) + base)))).alias("p"),
