@@ -48,11 +48,11 @@ def pair_codes(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np
 
 
 def _grams(codes, lengths, word):
-    """Hashes and block counts of the distinct words, then of the distinct pairs."""
+    """Hashes and block counts of the distinct words, then of the distinct pairs in order."""
     pairs, begins = pair_codes(codes, lengths, len(word))
     distinct, counts = np.unique(pairs[begins], return_counts=True)
     hashes = np.concatenate([word, pair_hash(word[distinct // max(len(word), 1)], word[distinct % max(len(word), 1)])])
-    return hashes, np.concatenate([np.bincount(codes, minlength=len(word)), counts]), distinct
+    return hashes, np.concatenate([np.bincount(codes, minlength=len(word)), counts])
 
 
 def _block(buckets: int):
@@ -69,7 +69,7 @@ def _block(buckets: int):
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         word, codes = word[order], rank[codes]
-        grams, gram_counts, _ = _grams(codes, lengths, word)
+        grams, gram_counts = _grams(codes, lengths, word)
         which = (grams >> np.uint64(33)).astype(np.int64) % buckets
 
         def terms(at: np.ndarray) -> bytes:
@@ -107,10 +107,9 @@ def micro_log(x: np.ndarray) -> np.ndarray:
 def scores(lengths: np.ndarray, codes: np.ndarray, word: np.ndarray, totals: np.ndarray, n_corpus: int, backoff: float) -> np.ndarray:
     """Micro-logs summed per document of a block; ``totals`` as in ``_grams``' order."""
     n_words = len(word)
-    _, _, distinct = _grams(codes, lengths, word)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     pairs, begins = pair_codes(codes, lengths, n_words)
-    pair_at = np.searchsorted(distinct, pairs[begins])
+    _, pair_at = np.unique(pairs[begins], return_inverse=True)
 
     def others(owner, gram, total):
         """Counts without the owner's own, per occurrence."""
@@ -146,8 +145,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     def finish(ids, lengths, codes, which, answers, extra):
         totals = np.zeros(len(which), np.int64)
-        for b, a in answers.items():
-            totals[which == b] = B.unpack(a)
+        for b, at in B.positions(which).items():
+            totals[at] = B.unpack(answers[b])
         micro = scores(lengths, codes, np.frombuffer(extra, np.uint64), totals, n_corpus, backoff)
         return pa.table({"id": ids, "n_words": pa.array(lengths), "micro": pa.array(micro)})
 
