@@ -71,7 +71,7 @@ def main():
     times["scoring_pipeline"] = round(score_sec, 3)
 
     pool = planted_frame(spark, sf_dir)
-    run("search_one_batch", lambda: (run_search(spark, pool, X, SearchConfig(n_batches=1, batch_size=4),
+    run("search_one_batch", lambda: (run_search(spark, pool, X, SearchConfig(n_batches=1, batch_size=4, models=["naive_bayes", "lda", "qda", "ridge", "logistic"]),
                                                 scratch_path(spark, "bench-search")) and None))
 
     total = round(sum(times.values()), 3)

@@ -55,8 +55,8 @@ def sql_uniform(seed, salt, *key_sql: str) -> str:
 
 
 def config_hash(config: dict) -> str:
-    """First 16 hex chars of SHA-256 over the key-sorted JSON of a config; floats that
-    represent fractions are rounded to 4 places first (F6)."""
+    """First 16 hex chars of SHA-256 over the key-sorted JSON of a config (``json.dumps``'s
+    default separators); floats are rounded to 4 places first (F6)."""
 
     def norm(v):
         if isinstance(v, float):
@@ -67,12 +67,28 @@ def config_hash(config: dict) -> str:
             return [norm(x) for x in v]
         return v
 
-    text = json.dumps(norm(config), sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps(norm(config), sort_keys=True).encode()).hexdigest()[:16]
 
 
-def config_hash_col(*cols: str) -> Column:
-    """Column twin of ``config_hash`` over named columns: sha256 of the JSON of a struct
-    whose fields are in sorted name order."""
-    ordered = sorted(cols)
-    return F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in ordered])), 256), 1, 16)
+#: The steps of every candidate pipeline.
+PIPELINE_STEPS = ["preprocessor", "feature_engineering", "classifier"]
+
+
+def pipeline_hash(classifier: str, transformers: list[str], dim_reduction: str | None, row_sample_pct: float,
+                  col_sample_pct: float, steps: list[str] | None = None) -> str:
+    """F6 over the six keys that identify a candidate."""
+    return config_hash({"classifier": classifier, "col_sample_pct": col_sample_pct, "dim_reduction": dim_reduction,
+                        "pipeline_steps": PIPELINE_STEPS if steps is None else steps, "row_sample_pct": row_sample_pct,
+                        "transformers": list(transformers)})
+
+
+def pipeline_hash_col(classifier: Column, transformers: Column, dim_reduction: Column, row_sample_pct: Column,
+                      col_sample_pct: Column) -> Column:
+    """Column twin of ``pipeline_hash``: the same JSON text, put together by key."""
+    names = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("]"))
+    text = F.concat(
+        F.lit('{"classifier": "'), classifier, F.lit('", "col_sample_pct": '), F.round(col_sample_pct, 4).cast("string"),
+        F.lit(', "dim_reduction": '), F.coalesce(F.concat(F.lit('"'), dim_reduction, F.lit('"')), F.lit("null")),
+        F.lit(', "pipeline_steps": ' + json.dumps(PIPELINE_STEPS) + ', "row_sample_pct": '),
+        F.round(row_sample_pct, 4).cast("string"), F.lit(', "transformers": '), names(transformers), F.lit("}"))
+    return F.substring(F.sha2(text, 256), 1, 16)

@@ -12,6 +12,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def double_array(values) -> Column:
+    """A constant array of doubles that the optimizer folds to ONE literal (an expression per
+    element would make plans of thousands of nodes). Python's and Java's texts of a double agree."""
+    names = {float("inf"): "Infinity", float("-inf"): "-Infinity"}
+    text = ",".join("NaN" if v != v else names.get(v) or repr(v) for v in map(float, values))
+    return F.split(F.lit(text), ",").cast("array<double>")
+
+
 def sigmoid(x) -> Column:
     """1/(1+exp(-x)) (F2)."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x)))
@@ -38,32 +46,31 @@ def finite_or_null(x) -> Column:
     return F.when(F.isnan(c) | (c == F.lit(float("inf"))) | (c == F.lit(float("-inf"))), F.lit(None)).otherwise(c)
 
 
-def safe_div(a, b) -> Column:
-    return F.try_divide(col(a), col(b))
-
-
 def r6(x) -> Column:
     """Output rounding used by every registered query (float sums differ in the last bits
     across partitionings; 6 places keep results comparable)."""
     return F.round(col(x).cast("double"), 6)
 
 
-def runtime_text(runtime_sec, status=None, start=None, now=None) -> Column:
-    """'12s' below a minute, whole minutes '3m' otherwise, 'N/A' when missing.
-    Running rows use now - start when ``status``/``start``/``now`` are given."""
+def runtime_text(runtime_sec, status=None, start=None, end=None, now=None) -> Column:
+    """'12s' below a minute, whole minutes '3m' otherwise, 'N/A' when missing (F5). With the
+    other columns given: end - start for a row that has both, now - start for a running one,
+    the stored runtime or 0 for any other started row, 'N/A' without a start."""
     rt = col(runtime_sec)
-    if status is not None and start is not None and now is not None:
-        live = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(col(start).cast("timestamp"))
-        rt = F.when(col(status) == F.lit("running"), live.cast("double")).otherwise(rt)
+    if status is not None and start is not None and end is not None and now is not None:
+        span = lambda a, b: F.expr(f"timestampdiff(MICROSECOND, {a}, {b})") / F.lit(1e6)
+        rt = F.when(col(start).isNotNull(),
+                    F.when(col(end).isNotNull(), span(start, end))
+                    .when(col(status) == F.lit("running"), span(start, f"TIMESTAMP_NTZ'{now}'"))
+                    .otherwise(F.coalesce(rt, F.lit(0.0))))
     return (F.when(rt.isNull(), F.lit("N/A"))
             .when(rt < 60, F.concat(F.floor(rt).cast("string"), F.lit("s")))
             .otherwise(F.concat(F.floor(rt / 60).cast("string"), F.lit("m"))))
 
 
-def last_token_int(x, sep: str = "_") -> Column:
+def last_token_int(x: str, sep: str = "_") -> Column:
     """Last token after ``sep`` as int; failures become null."""
-    return F.element_at(F.split(col(x), sep), -1).try_cast("int") if hasattr(Column, "try_cast") else \
-        F.expr(f"try_cast(element_at(split({x}, '{sep}'), -1) AS INT)")
+    return F.element_at(F.split(F.col(x), sep), -1).try_cast("int")
 
 
 def clock_text(ts) -> Column:

@@ -42,6 +42,8 @@ def _thresholds(c, t, u):
 def compose_chunk(c: np.ndarray, t: np.ndarray, u: np.ndarray):
     """Backward composition. Returns (uppers ascending, constants): s < uppers[0] -> k[0],
     uppers[j-1] <= s < uppers[j] -> k[j], s >= uppers[-1] -> s."""
+    real = ~(np.isnan(c) | np.isnan(t))  # the other steps leave the state as it is
+    c, t, u = c[real], t[real], u[real]
     thr = _thresholds(c, t, u)
     ups: list[float] = []  # descending: the top of the stack is the smallest bound
     ks: list[float] = []
@@ -69,7 +71,7 @@ def replay(c, t, u, s0: float):
     exp = math.exp
     for i in range(len(c)):
         d = c[i] - s
-        ok = d >= 0 or d != d or u[i] < exp(d / t[i])
+        ok = d >= 0 or (d == d and t[i] == t[i] and u[i] < exp(d / t[i]))  # not-a-number is rejected
         if ok:
             s = c[i]
         acc[i] = ok
@@ -78,8 +80,9 @@ def replay(c, t, u, s0: float):
 
 
 def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num", score: str = "stage1_val_auc",
-                temperature: str = "temperature", seed: int = 42, chunk: int = CHUNK) -> DataFrame:
-    """(run, step, accepted, current_score) for every step; see module doc."""
+                temperature: str = "temperature", seed: int = 42, chunk: int = CHUNK, start: DataFrame | None = None) -> DataFrame:
+    """(run, step, accepted, current_score) for every step; see module doc. ``start`` (run, s0)
+    gives runs the score that they go on from; a run without one starts from -inf."""
     d = df.select(F.col(run).alias("run"), F.col(step).alias("step"), F.col(score).cast("double").alias("c"),
                   F.col(temperature).cast("double").alias("t"), hash_uniform(seed, "anneal", step).alias("u"))
     d = d.withColumn("chunk", F.floor(F.col("step") / F.lit(chunk)).cast("bigint"))
@@ -93,17 +96,20 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
     # Only chunks followed by another chunk of the same run need their composed function
     # (the last chunk's output state is never consumed); with one chunk per run stage 1
     # and 2 see no rows.
-    last = d.groupBy("run").agg(F.max("chunk").alias("_last"), F.min("chunk").alias("_first"))
-    multi = last.filter(F.col("_first") < F.col("_last")).count()  # tiny: one row per run
-    last = last.drop("_first")
-    inner = d.join(last, "run").filter(F.col("chunk") < F.col("_last"))
+    last = d.groupBy("run").agg(F.max("chunk").alias("_last"))
+    if start is None:
+        last = last.withColumn("_s0", F.lit(NEG_INF))
+    else:
+        known = start.select(F.col(run).alias("run"), F.col("s0").alias("_s0"))
+        last = last.join(known, "run", "left").withColumn("_s0", F.coalesce("_s0", F.lit(NEG_INF)))
+    inner = d.join(last.select("run", "_last"), "run").filter(F.col("chunk") < F.col("_last"))
     funcs = (inner.groupBy("run", "chunk")
              .applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
              .join(last, "run"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        s = NEG_INF
+        s = float(pdf["_s0"].iloc[0])
         chunks, inc = [], []
         for ch, ups, ks in zip(pdf["chunk"], pdf["ups"], pdf["ks"]):
             chunks.append(int(ch))
@@ -113,13 +119,10 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
         inc.append(s)
         return pd.DataFrame({"run": pdf["run"].iloc[0], "chunk": chunks, "s0": inc})
 
-    single = last.select("run", F.col("_last").alias("chunk"), F.lit(NEG_INF).alias("s0"))
-    if multi == 0:  # every run fits in one chunk: all runs start from -inf
-        starts = single
-    else:
-        folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
-        # runs with a single chunk have no function rows: they start from -inf
-        starts = single.join(folded.select("run").distinct(), "run", "left_anti").unionByName(folded)
+    single = last.select("run", F.col("_last").alias("chunk"), F.col("_s0").alias("s0"))
+    folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
+    # runs with a single chunk have no function rows
+    starts = single.join(folded.select("run").distinct(), "run", "left_anti").unionByName(folded)
 
     def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")

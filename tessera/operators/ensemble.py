@@ -1,10 +1,8 @@
 """Ensemble algebra on the long prediction table (row_id, model_id, p[, score], label).
 
-EN1/EN2 aggregate per row; EN5-EN9 reduce a model x model Pearson matrix computed from a
-distributed Gram aggregation (``pyspark.ml.stat.Correlation`` over the assembled
-per-row vector): every row contributes its outer product inside the aggregation buffer,
-so no (row, model_a, model_b) pairs are ever emitted. Only the p x p matrix (p = number
-of models) reaches the driver.
+EN1/EN2 aggregate per row; EN5-EN9 reduce a model x model Pearson matrix of pairwise sums
+that each task adds up for its rows, so no (row, model_a, model_b) pairs are ever emitted.
+Only the p x p matrix (p = number of models) reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,21 +10,35 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
-from ..functions.scalar import sigmoid
 
 
-def aggregate_rows(preds: DataFrame, how: str = "mean", p: str = "p") -> DataFrame:
-    """EN1: per-row mean or median of model probabilities, clipped to [0, 1]; null
-    (failed) predictions are skipped; a row with none left gets null."""
-    agg = F.avg(p) if how == "mean" else F.median(p)
-    return preds.groupBy("row_id").agg(F.least(F.greatest(agg, F.lit(0.0)), F.lit(1.0)).alias("p_ens"),
-                                       F.count(p).alias("n_models"))
+def aggregate_rows(preds: DataFrame, how: str | list[str] = "mean", p: str = "p", strict: bool = False) -> DataFrame:
+    """EN1: per-row mean and / or median of model probabilities, clipped to [0, 1], in one
+    aggregation (columns ``p_<how>``, or ``p_ens`` for a single one); null (failed) predictions
+    are skipped. A row with none left gets null, or with ``strict`` fails the job."""
+    kinds = [how] if isinstance(how, str) else list(how)
+    fn = {"mean": F.avg, "median": F.median}
+    cut = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    names = ["p_ens"] if isinstance(how, str) else [f"p_{h}" for h in kinds]
+    out = preds.groupBy("row_id").agg(*[cut(fn[h](p)).alias(c) for h, c in zip(kinds, names)], F.count(p).alias("n_models"))
+    if strict:
+        ok = F.assert_true(F.col("n_models") > 0, F.lit("no model predicted a row"))
+        out = out.withColumn("n_models", F.coalesce(ok.cast("long"), F.col("n_models")))
+    return out
+
+
+def with_failed_as_zeros(preds: DataFrame, models: list[int], p: str = "p") -> DataFrame:
+    """EN18: a row of zeros for every (row, model) without a prediction, so a failed model
+    counts as zeros; one aggregation per row and one explode over the model list."""
+    got = F.map_from_entries(F.collect_list(F.struct("model_id", F.coalesce(F.col(p), F.lit(0.0)).alias("p"))))
+    per_row = preds.filter(F.col("model_id").isin(*models)).groupBy("row_id").agg(got.alias("m"), F.max("label").alias("label"))
+    ids = F.array(*[F.lit(m) for m in models])
+    return (per_row.select("row_id", "label", "m", F.explode(ids).alias("model_id"))
+            .select("row_id", "model_id", F.coalesce(F.element_at("m", F.col("model_id")), F.lit(0.0)).alias("p"), "label"))
 
 
 def hard_label(col: str = "p_ens", threshold: float = 0.5):
@@ -34,26 +46,25 @@ def hard_label(col: str = "p_ens", threshold: float = 0.5):
     return (F.col(col) >= F.lit(threshold)).cast("int")
 
 
-def hybrid_score(preds: DataFrame, ensemble: list[int], meta_models: list[int], p: str = "p",
-                 score: str = "score") -> DataFrame:
+def hybrid_score(preds: DataFrame, ensemble: list[int], meta_models: list[int], meta: DataFrame | None = None,
+                 p: str = "p", carry: list[str] | None = None) -> DataFrame:
     """EN4: no meta-model -> mean of all members; every member in the meta-model -> meta
-    prediction; otherwise (meta * n_old + mean(new) * n_new) / n. The meta prediction here
-    is a logit-average stacker over the meta members (sigmoid of 8 x mean raw score)."""
-    ens = preds.filter(F.col("model_id").isin(ensemble))
-    old = F.col("model_id").isin(meta_models) if meta_models else F.lit(False)
-    g = ens.groupBy("row_id").agg(
-        F.avg(F.when(old, F.col(score))).alias("_ms"), F.avg(F.when(~old, F.col(p))).alias("_mn"),
-        F.avg(p).alias("_mall"))
-    n_old = len([m for m in ensemble if m in set(meta_models)])
-    n_new = len(ensemble) - n_old
-    meta = sigmoid(F.lit(8.0) * F.col("_ms"))
+    prediction; otherwise (meta * n_old + mean(new) * n_new) / n. ``meta`` holds the
+    meta-model's probability of each row (row_id, p_meta), trained on ``meta_models``;
+    ``carry`` names row-level columns of ``preds`` to keep."""
+    inside = set(meta_models) & set(ensemble)
+    n_old, n_new = len(inside), len(set(ensemble) - inside)
+    old = F.col("model_id").isin(*inside) if inside else F.lit(False)
+    g = preds.filter(F.col("model_id").isin(*ensemble)).groupBy("row_id").agg(
+        F.avg(F.when(~old, F.col(p))).alias("_new"), *[F.max(c).alias(c) for c in carry or []])
     if n_old == 0:
-        out = F.col("_mall")
-    elif n_new == 0:
-        out = meta
-    else:
-        out = (meta * F.lit(float(n_old)) + F.col("_mn") * F.lit(float(n_new))) / F.lit(float(n_old + n_new))
-    return g.select("row_id", out.alias("p_ens"))
+        return g.select("row_id", *(carry or []), F.col("_new").alias("p_ens"))
+    if meta is None:
+        raise ValueError("members of a meta-model need its predictions")
+    g = g.join(meta.select("row_id", "p_meta"), "row_id")
+    share = F.col("p_meta") if n_new == 0 else \
+        (F.col("p_meta") * F.lit(float(n_old)) + F.col("_new") * F.lit(float(n_new))) / F.lit(float(n_old + n_new))
+    return g.select("row_id", *(carry or []), share.alias("p_ens"))
 
 
 def wide_matrix(preds: DataFrame, models: list[int], p: str = "p") -> DataFrame:
@@ -61,12 +72,40 @@ def wide_matrix(preds: DataFrame, models: list[int], p: str = "p") -> DataFrame:
     return preds.groupBy("row_id").pivot("model_id", models).agg(F.first(p))
 
 
-def correlation_matrix(preds: DataFrame, models: list[int], p: str = "p") -> np.ndarray:
-    """Pearson matrix of the models' predictions over common rows (distributed Gram)."""
-    wide = wide_matrix(preds, models, p).na.drop()
-    cols = [str(m) for m in models]
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(wide).select("_v")
-    return Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+def correlation_matrix(preds: DataFrame, models: list[int], p: str = "p", center: float = 0.5) -> np.ndarray:
+    """Pearson matrix of the models' predictions, each pair over the rows that both models
+    predicted; NaN where a pair has no common rows or no variance (a failed model spoils its
+    own pairs only). Rows become vectors, each task adds up its block's pairwise sums around
+    ``center`` in one matrix product, and the sums per pair are aggregated: p x p numbers per
+    batch, never (row, model, model) pairs."""
+    k = len(models)
+    at = F.array(*[F.max(F.when(F.col("model_id") == m, F.col(p).cast("double"))) for m in models])
+    wide = preds.filter(F.col("model_id").isin(*models)).groupBy("row_id").agg(at.alias("v")).select("v")
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total = np.zeros((4, k, k))
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+            there = np.isfinite(flat)
+            x, w = np.where(there, flat - center, 0.0), there.astype(float)
+            total += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]],
+                                         names=["i", "j", "n", "x", "xx", "xy"])
+
+    parts = wide.mapInArrow(sums, "i long, j long, n double, x double, xx double, xy double")
+    got = np.zeros((4, k, k))
+    for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]).collect():  # k * k rows
+        got[:, r["i"], r["j"]] = r["n"], r["x"], r["xx"], r["xy"]
+    n, x, xx, xy = got
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = xx - x * x / n
+        out = (xy - x * x.T / n) / np.sqrt(var * var.T)
+        tiny = (var <= 1e-15 * np.maximum(xx, 1e-300)) | (var.T <= 1e-15 * np.maximum(xx.T, 1e-300))
+    out[(n < 2) | tiny | ~np.isfinite(out)] = np.nan
+    return np.clip(out, -1.0, 1.0)
 
 
 def pair_values(mat: np.ndarray) -> list[float]:
@@ -103,15 +142,45 @@ def matrix_frame(spark: SparkSession, mat: np.ndarray, models: list[int]) -> Dat
 
 
 def acceptance(delta, temperature, u):
-    """EN10 row-wise: accept on delta > 0 or delta == 0, else with probability exp(delta/T);
-    returns (accepted, probability, reason) columns."""
-    prob = F.when(delta >= 0, F.lit(1.0)).otherwise(F.exp(delta / temperature))
-    acc = (delta > 0) | (delta == 0) | (u < prob)
-    reason = (F.when(delta > 0, "improvement").when(delta == 0, "equal score")
+    """EN10 row-wise: accept on delta > 0 or delta == 0, else with probability exp(delta/T); a
+    delta that is null or not a number is rejected (Spark orders NaN above all numbers, so it
+    is tested first). Returns (accepted, probability, reason) columns."""
+    bad = delta.isNull() | F.isnan(delta) | temperature.isNull() | F.isnan(temperature)
+    prob = F.when(bad, F.lit(0.0)).when(delta >= 0, F.lit(1.0)).otherwise(F.exp(delta / temperature))
+    acc = F.when(bad, F.lit(False)).otherwise((delta >= 0) | (u < prob))
+    reason = (F.when(bad, "rejected: no score").when(delta > 0, "improvement").when(delta == 0, "equal score")
               .when(u < prob, "annealing accept").otherwise("rejected: worse score"))
     return acc, prob, reason
 
 
+class Temperature:
+    """EN10 controls: a temperature in (0, 1) with multiplicative decay (factor in (0, 1]) and
+    increase (factor >= 1, held at 0.999)."""
+
+    MOST = 0.999
+
+    def __init__(self, value: float):
+        self.set(value)
+
+    def set(self, value: float) -> None:
+        if not 0 < value < 1:
+            raise ValueError(f"temperature must be in (0, 1), got {value}")
+        self.value = float(value)
+
+    def decay(self, factor: float) -> float:
+        if not 0 < factor <= 1:
+            raise ValueError(f"decay factor must be in (0, 1], got {factor}")
+        self.value *= factor
+        return self.value
+
+    def increase(self, factor: float) -> float:
+        if factor < 1:
+            raise ValueError(f"increase factor must be >= 1, got {factor}")
+        raised = self.value * factor
+        self.value = self.MOST if raised >= 1 else raised
+        return self.value
+
+
 def acceptance_columns(df: DataFrame, score: str, current: str, temperature: str, key: str, seed: int = 42) -> DataFrame:
     if df.schema[temperature].dataType.simpleString() not in ("double", "float"):
         raise ValueError("temperature must be numeric")

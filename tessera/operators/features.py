@@ -133,7 +133,8 @@ class OrdinalEncode(Op):
     """Code = position in the given level order (0-based); unknown or null -> -1 (FE4).
     Without an order the sorted distinct values are used."""
 
-    def __init__(self, levels: dict | list):
+    def __init__(self, levels: dict | list, max_levels: int | None = None):
+        self.max_levels = max_levels
         if isinstance(levels, dict):
             self.inputs, self.state = list(levels), {c: list(v) if v else None for c, v in levels.items()}
         else:
@@ -142,7 +143,7 @@ class OrdinalEncode(Op):
     def fit(self, df):
         missing = [c for c, v in self.state.items() if v is None]
         if missing:
-            self.state.update(distinct_levels(df, missing))
+            self.state.update(distinct_levels(df, missing, self.max_levels))
         return self
 
     def transform(self, df):
@@ -156,11 +157,11 @@ class OrdinalEncode(Op):
 class OneHot(Op):
     """0/1 column per sorted level, FIRST level dropped; unknown -> all zeros (FE5)."""
 
-    def __init__(self, inputs, drop_first=True):
-        self.inputs, self.drop_first, self.state = list(inputs), drop_first, {}
+    def __init__(self, inputs, drop_first=True, max_levels: int | None = None):
+        self.inputs, self.drop_first, self.max_levels, self.state = list(inputs), drop_first, max_levels, {}
 
     def fit(self, df):
-        self.state = distinct_levels(df, self.inputs)
+        self.state = distinct_levels(df, self.inputs, self.max_levels)
         return self
 
     def _names(self):
@@ -291,13 +292,21 @@ class RandomPairs(Op):
         self.state = {"pairs": draw_pairs(len(self.inputs), n_features, seed, kind)}
 
     def outputs(self):
-        return list(dict.fromkeys(f"{PAIR_NAME[self.kind]}_{i}_{j}" for i, j in self.state["pairs"]))
+        """One name per pair; a pair that is drawn again gets a running suffix."""
+        seen: dict = {}
+        names = []
+        for pair in self.state["pairs"]:
+            seen[pair] = seen.get(pair, 0) + 1
+            names.append(f"{PAIR_NAME[self.kind]}_{pair[0]}_{pair[1]}" + (f"_{seen[pair]}" if seen[pair] > 1 else ""))
+        return names
+
+    def expressions(self) -> dict[str, Column]:
+        f = PAIR_EXPR[self.kind]
+        return {name: f(F.col(self.inputs[i]), F.col(self.inputs[j]))
+                for name, (i, j) in zip(self.outputs(), self.state["pairs"])}
 
     def transform(self, df):
-        f = PAIR_EXPR[self.kind]
-        exprs = {}
-        for i, j in self.state["pairs"]:
-            exprs[f"{PAIR_NAME[self.kind]}_{i}_{j}"] = f(F.col(self.inputs[i]), F.col(self.inputs[j]))
+        exprs = self.expressions()
         return df.withColumns(exprs).drop(*[c for c in self.inputs if c not in exprs])
 
 
@@ -318,9 +327,12 @@ class Unary(Op):
     def outputs(self):
         return [UNARY[self.kind][1].format(c) for c in self.inputs]
 
-    def transform(self, df):
+    def expressions(self) -> dict[str, Column]:
         fn = UNARY[self.kind][0]
-        exprs = {n: fn(F.col(c)) for c, n in zip(self.inputs, self.outputs())}
+        return {n: fn(F.col(c)) for c, n in zip(self.inputs, self.outputs())}
+
+    def transform(self, df):
+        exprs = self.expressions()
         return df.withColumns(exprs).drop(*[c for c in self.inputs if c not in exprs])
 
 
@@ -372,43 +384,50 @@ class Binning(Op):
 
 # ---------------------------------------------------------------- FE22 noise
 class NoiseInjector(Op):
-    """Adds centred noise to a hash-chosen fraction of columns; sd = scale x column sd (bad
-    or zero sd -> 1). Noise is the inverse CDF of a hash-uniform of (seed, column, row key):
+    """Adds centred noise to the hash-chosen int(n * fraction) columns (none for fraction 0; a
+    ``fraction`` of None is drawn in [0, 1]). Distribution and scale are drawn per column from
+    ``dists`` and ``scale_range``; sd = scale x column sd over finite values (bad or zero
+    sd -> 1). Noise is the inverse CDF of a hash-uniform of (seed, column, row key):
     deterministic and partition-independent. Not applied at inference (``training=False``)."""
 
     DISTS = ("normal", "uniform", "laplace", "exponential")
 
-    def __init__(self, inputs, key, fraction=0.5, dist="uniform", scale=0.05, seed=42):
-        self.inputs, self.key, self.frac, self.dist, self.scale, self.seed = list(inputs), key, fraction, dist, scale, seed
-        self.state = {}
+    def __init__(self, inputs, key, fraction=0.5, dists=DISTS, scale_range=(0.01, 0.2), seed=42):
+        self.inputs, self.key, self.seed = list(inputs), key, seed
+        self.frac = py_uniform(seed, "noisefrac") if fraction is None else fraction
+        self.dists, self.scale_range, self.state = tuple(dists), scale_range, {}
+        if set(self.dists) - set(self.DISTS):
+            raise ValueError(f"unknown distributions in {self.dists}")
 
     def fit(self, df):
-        k = max(1, int(len(self.inputs) * self.frac))
-        cols = sorted(self.inputs, key=lambda c: (py_uniform(self.seed, "noisecol", c), c))[:k]
-        m = moments(df, cols)
-        self.state = {"cols": [c for c in self.inputs if c in cols],
-                      "sd": {c: (m[c]["std"] if m[c]["std"] and math.isfinite(m[c]["std"]) else 1.0) for c in cols}}
+        k = int(len(self.inputs) * self.frac)
+        chosen = sorted(self.inputs, key=lambda c: (py_uniform(self.seed, "noisecol", c), c))[:k]
+        m = moments(df, chosen, clean=True) if chosen else {}
+        lo, hi = self.scale_range
+        self.state = {c: {"dist": self.dists[int(py_uniform(self.seed, "noisedist", c) * len(self.dists))],
+                          "scale": lo + (hi - lo) * py_uniform(self.seed, "noisescale", c),
+                          "sd": m[c]["std"] if m[c]["std"] and math.isfinite(m[c]["std"]) else 1.0}
+                      for c in self.inputs if c in chosen}
         return self
 
     def noise(self, c):
+        own = self.state[c]
         u = hash_uniform(self.seed, f"noise|{c}", self.key)
-        s = F.lit(self.scale * self.state["sd"][c])
-        if self.dist == "uniform":  # centred uniform with the given sd
+        s = F.lit(own["scale"] * own["sd"])
+        if own["dist"] == "uniform":  # centred uniform with the given sd
             return (u - F.lit(0.5)) * F.lit(math.sqrt(12.0)) * s
-        if self.dist == "laplace":  # sd = sqrt(2) b
+        if own["dist"] == "laplace":  # sd = sqrt(2) b
             b = s / F.lit(math.sqrt(2.0))
             return -b * F.signum(u - F.lit(0.5)) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u - F.lit(0.5)))
-        if self.dist == "exponential":  # mean removed
+        if own["dist"] == "exponential":  # mean removed
             return s * (-F.log(F.lit(1.0) - u) - F.lit(1.0))
-        if self.dist == "normal":  # Box-Muller on two independent uniforms
-            u2 = hash_uniform(self.seed, f"noise2|{c}", self.key)
-            return s * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * u2)
-        raise ValueError(self.dist)
+        u2 = hash_uniform(self.seed, f"noise2|{c}", self.key)  # normal: Box-Muller on two uniforms
+        return s * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(2 * math.pi) * u2)
 
     def transform(self, df, training=True):
-        if not training:
+        if not training or not self.state:
             return df
-        return df.withColumns({c: F.col(c) + self.noise(c) for c in self.state["cols"]})
+        return df.withColumns({c: F.col(c) + self.noise(c) for c in self.state})
 
 
 # ---------------------------------------------------------------- FE23-FE28
@@ -495,29 +514,18 @@ class Polynomial(Op):
     def outputs(self):
         return ["poly_1" if not t else "poly_" + "_".join(self.inputs[i] for i in t) for t in self.state["terms"]]
 
-    def transform(self, df):
+    def expressions(self) -> dict[str, Column]:
         exprs = {}
         for t, name in zip(self.state["terms"], self.outputs()):
             e = F.lit(1.0)
             for i in t:
                 e = e * F.col(self.inputs[i])
             exprs[name] = e
-        return df.withColumns(exprs).drop(*[c for c in self.inputs if c not in exprs])
-
-
-# ---------------------------------------------------------------- X1 registry
-REGISTRY = {
-    "clean": CleanNumeric, "standard": StandardScale, "minmax": MinMaxScale, "robust": RobustScale,
-    "ordinal": OrdinalEncode, "onehot": OneHot, "iqr_clip": IQRClip, "variance": VarianceFilter,
-    "select_f": SelectPercentileF, "pairs": RandomPairs, "unary": Unary, "binning": Binning,
-    "noise": NoiseInjector, "all_pairs": AllPairs, "offset": OffsetUnary, "polynomial": Polynomial,
-}
+        return exprs
 
-
-def make(name: str, *args, **kw) -> Op:
-    if name not in REGISTRY:
-        raise KeyError(f"unknown transformer {name!r}; known: {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[name](*args, **kw)
+    def transform(self, df):
+        exprs = self.expressions()
+        return df.withColumns(exprs).drop(*[c for c in self.inputs if c not in exprs])
 
 
 def fit_chain(ops: list[Op], train: DataFrame) -> list[Op]:

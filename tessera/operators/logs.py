@@ -113,15 +113,24 @@ def plateau(log: DataFrame, value: str = "stage1_val_auc", limit: int = 20) -> D
 
 
 def temperature_path(log: DataFrame, base: float = 0.01, decay: float = 0.995, k: int = 20,
-                     low_rate: float = 0.1, boost: float = 1.2) -> DataFrame:
-    """Closed-form temperature base * decay^i (i = 0-based row index in the run) and the
-    last-k acceptance rate; rows where the rate is below ``low_rate`` get the x1.2 boost."""
+                     low_rate: float = 0.1, boost: float = 1.2, batch: str | None = None,
+                     batch_decay: float = 0.998) -> DataFrame:
+    """W5, three rules. Closed form: base * decay^i (i = 0-based row index in the run). Adaptive:
+    once a run has ``k`` decisions, a row whose last-k acceptance rate is below ``low_rate``
+    multiplies the CURRENT temperature by ``boost``, so consecutive low rows compound; any
+    other row returns to the closed form. In closed form again: the value at the latest row that
+    wasn't low, times boost^(rows since). Per batch (with ``batch``): base * batch_decay^batch."""
     r = rolling_rows(log, ["run_id"], "iteration_num", k, {
         "accept_rate": lambda w: F.avg(F.col("accepted").cast("double")).over(w)})
-    t = F.lit(base) * F.pow(F.lit(decay), (F.col("_idx") - 1).cast("double"))
-    return (r.withColumn("temperature_closed", t)
-            .withColumn("boosted", F.when(F.col("accept_rate") < low_rate, t * F.lit(boost)).otherwise(t))
-            .withColumnRenamed("_idx", "step"))
+    low = (F.col("_idx") >= F.lit(k)) & (F.col("accept_rate") < F.lit(low_rate))
+    r = prefix_sums(r, ["run_id"], ["iteration_num"], id_chunk("iteration_num"), {},
+                    maxes={"_calm": F.when(~low, F.col("_idx"))})
+    closed = lambda i: F.lit(base) * F.pow(F.lit(decay), (i - 1).cast("double"))
+    out = (r.withColumn("temperature_closed", closed(F.col("_idx")))
+           .withColumn("adaptive", closed(F.col("_calm")) * F.pow(F.lit(boost), (F.col("_idx") - F.col("_calm")).cast("double"))))
+    if batch:
+        out = out.withColumn("temperature_batch", F.lit(base) * F.pow(F.lit(batch_decay), F.col(batch).cast("double")))
+    return out.drop("_calm").withColumnRenamed("_idx", "step")
 
 
 def epochs(log: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bits, py_uniform
+from ..functions.scalar import double_array
 from .stats import exact_quantiles
 
 
@@ -109,6 +110,9 @@ class TruncatedSVD:
                       "vecs": _sign_fix(vecs[:, order]).tolist()}
         return self
 
+    def outputs(self):
+        return [f"svd{k}" for k in range(len(self.state["singular"]))]
+
     def transform(self, df):
         return df.withColumns(_project(self.inputs, np.zeros(len(self.inputs)), np.array(self.state["vecs"]), prefix="svd"))
 
@@ -130,6 +134,12 @@ class RBFSampler:
         self.state = {"w": [[sd * _normal(seed, "rbf_w", k, j) for j in range(len(self.inputs))] for k in range(self.m)],
                       "b": [2 * math.pi * py_uniform(seed, "rbf_b", k) for k in range(self.m)]}
 
+    def fit(self, df):
+        return self
+
+    def outputs(self):
+        return [f"rff{k}" for k in range(self.m)]
+
     def transform(self, df):
         exprs = {}
         for k in range(self.m):
@@ -173,30 +183,34 @@ class Nystroem:
     """FE34: m landmarks = the rows with the smallest hash (exact, partition-independent);
     features = K(x, landmarks) @ K_mm^(-1/2) (pseudo-inverse square root)."""
 
-    def __init__(self, inputs, key, n_components=5, kernel="rbf", gamma=0.5, seed=42):
+    def __init__(self, inputs, key, n_components=5, kernel="rbf", gamma=0.5, seed=42, degree=3):
         self.inputs, self.key, self.m, self.kernel, self.gamma, self.seed = list(inputs), key, n_components, kernel, gamma, seed
+        self.degree = degree
         self.state = {}
 
     def fit(self, df):
         lm = (df.select(self.key, *self.inputs).withColumn("_h", hash_bits(self.seed, "landmark", self.key))
               .orderBy("_h", self.key).limit(self.m).collect())  # m rows (top-k, not a global sort)
         L = np.array([[r[c] for c in self.inputs] for r in lm], dtype=float)
-        K = _kernel_np(self.kernel, L, L, self.gamma)
+        K = _kernel_np(self.kernel, L, L, self.gamma, self.degree)
         vals, vecs = np.linalg.eigh(K)
         inv_sqrt = vecs @ np.diag([1 / math.sqrt(v) if v > 1e-12 else 0.0 for v in vals]) @ vecs.T
         self.state = {"landmarks": L.tolist(), "keys": [r[self.key] for r in lm], "norm": inv_sqrt.tolist()}
         return self
 
     def kernel_columns(self, df):
-        return df.withColumns({f"k{j}": kernel_expr(self.kernel, self.inputs, lm, self.gamma)
+        return df.withColumns({f"k{j}": kernel_expr(self.kernel, self.inputs, lm, self.gamma, self.degree)
                                for j, lm in enumerate(self.state["landmarks"])})
 
+    def outputs(self):
+        return [f"ny{i}" for i in range(len(self.state["landmarks"]))]
+
     def transform(self, df):
         d = self.kernel_columns(df)
         norm = np.array(self.state["norm"])
-        exprs = {f"ny{i}": sum((F.col(f"k{j}") * F.lit(float(norm[j, i])) for j in range(self.m)), F.lit(0.0))
-                 for i in range(self.m)}
-        return d.withColumns(exprs).drop(*[f"k{j}" for j in range(self.m)])
+        m = len(self.state["landmarks"])
+        exprs = {f"ny{i}": sum((F.col(f"k{j}") * F.lit(float(norm[j, i])) for j in range(m)), F.lit(0.0)) for i in range(m)}
+        return d.withColumns(exprs).drop(*[f"k{j}" for j in range(m)])
 
 
 # ---------------------------------------------------------------- FE36 Yeo-Johnson
@@ -213,64 +227,69 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(pos, a).otherwise(b)
 
 
-def yeo_johnson_col(x: Column, lam: Column) -> Column:
-    """Yeo-Johnson with lambda as a column (grid evaluation)."""
-    a = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + F.lit(1.0), lam) - F.lit(1.0)) / lam)
-    b = F.when(F.abs(lam - F.lit(2.0)) < 1e-12, -F.log1p(-x)).otherwise(
-        -(F.pow(F.lit(1.0) - x, F.lit(2.0) - lam) - F.lit(1.0)) / (F.lit(2.0) - lam))
-    return F.when(x >= 0, a).otherwise(b)
-
-
 def yj_grid(start: float, stop: float, step: float) -> list[float]:
     n = int(round((stop - start) / step))
     return [round(start + i * step, 10) for i in range(n + 1)]
 
 
 class PowerTransformer:
-    """FE36: per column, the Yeo-Johnson lambda maximising the profile log-likelihood
-    -n/2 ln(var_pop(y)) + (lambda-1) sum(sign(x) ln(|x|+1)) over a coarse grid in ONE
-    aggregation for all columns and lambdas, then a fine grid around the best; optional
-    standardisation of the output."""
-
-    def __init__(self, inputs, standardize=True, coarse=(-2.0, 2.0, 0.1), fine_step=0.01):
-        self.inputs, self.standardize, self.coarse, self.fine_step, self.state = list(inputs), standardize, coarse, fine_step, {}
-
-    def _best(self, df, grids: dict):
-        """Profile likelihood for every (column, lambda) in ONE aggregation: the grid index
-        is exploded per row inside the scan stage (no shuffle of the amplified rows), each
-        column reads its own lambda from a literal array, and the group-by on the grid
-        index is partially aggregated (G rows per task leave the map side)."""
-        size = len(next(iter(grids.values())))
-        d = df.select(*[F.col(c) for c in self.inputs]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        aggs = [F.count(F.lit(1)).alias("n")]
+    """FE36: per column, the Yeo-Johnson lambda on the 0.01 grid that maximises the profile
+    log-likelihood -n/2 ln(var_pop(y)) + (lambda-1) sum(sign(x) ln(|x|+1)); optional
+    standardisation of the output. The likelihood is unimodal in lambda: a bracket of a few
+    lambdas per column and pass (plain aggregates over the rows, nothing exploded) widens while
+    its best lies on an edge, then narrows from step to step."""
+
+    STEPS = (1.0, 0.2, 0.05, 0.01)
+
+    def __init__(self, inputs, standardize=True, start=(-2.0, 2.0), most_widenings=12):
+        self.inputs, self.standardize, self.start, self.most_widenings, self.state = list(inputs), standardize, start, most_widenings, {}
+
+    def _likelihoods(self, df, grids: dict) -> dict:
+        """{column: {lambda: log-likelihood}} of new lambdas in one aggregation."""
+        aggs = []
         for i, c in enumerate(self.inputs):
-            lam = F.element_at(F.array(*[F.lit(float(v)) for v in grids[c]]), F.col("_g") + 1)
-            aggs.append(F.var_pop(yeo_johnson_col(F.col(c), lam)).alias(f"v{i}"))
-            aggs.append(F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"j{i}"))
-        rows = {r["_g"]: r for r in d.groupBy("_g").agg(*aggs).collect()}  # G rows
-        best = {}
+            aggs += [F.count(c).alias(f"n{i}"), F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"j{i}")]
+            aggs += [F.var_pop(yeo_johnson(F.col(c), lam)).alias(f"v{i}_{g}") for g, lam in enumerate(grids[c])]
+        r = df.agg(*aggs).first()
+        out = {}
         for i, c in enumerate(self.inputs):
-            lls = []
-            for g, lam in enumerate(grids[c]):
-                r = rows[g]
-                if r[f"v{i}"] and r[f"v{i}"] > 0:
-                    lls.append((-r["n"] / 2.0 * math.log(r[f"v{i}"]) + (lam - 1) * r[f"j{i}"], -g, lam))
-            best[c] = max(lls)[2]
-        return best
+            out[c] = {lam: -r[f"n{i}"] / 2.0 * math.log(v) + (lam - 1) * r[f"j{i}"]
+                      for g, lam in enumerate(grids[c]) if (v := r[f"v{i}_{g}"]) and 0 < v < float("inf")}
+        return out
 
     def fit(self, df):
-        lo, hi, st = self.coarse
-        b1 = self._best(df, {c: yj_grid(lo, hi, st) for c in self.inputs})
-        b2 = self._best(df, {c: yj_grid(b1[c] - st, b1[c] + st, self.fine_step) for c in self.inputs})
-        lam = {c: b2[c] for c in self.inputs}
+        known: dict = {c: {} for c in self.inputs}
+        tried: dict = {c: set() for c in self.inputs}
+
+        def look(grids):
+            new = {c: [x for x in dict.fromkeys(round(v, 10) for v in grids[c]) if x not in tried[c]] for c in self.inputs}
+            if any(new.values()):
+                for c, got in self._likelihoods(df, new).items():
+                    known[c].update(got)
+                    tried[c].update(new[c])
+
+        best = lambda c: max(known[c], key=lambda x: (known[c][x], -x)) if known[c] else 1.0
+        lo, hi = self.start
+        look({c: yj_grid(lo, hi, self.STEPS[0]) for c in self.inputs})
+        for _ in range(self.most_widenings):
+            edge = [c for c in self.inputs if best(c) in (min(tried[c]), max(tried[c]))]
+            if not edge:
+                break
+            look({c: ([best(c) + s * k for k in (1, 2, 4) for s in (-1, 1)] if c in edge else []) for c in self.inputs})
+        for wide, step in zip(self.STEPS, self.STEPS[1:]):
+            look({c: yj_grid(best(c) - wide, best(c) + wide, step) for c in self.inputs})
+        lam = {c: best(c) for c in self.inputs}
         stats = {}
         if self.standardize:
             r = df.agg(*[F.avg(yeo_johnson(F.col(c), lam[c])).alias(f"m{i}") for i, c in enumerate(self.inputs)],
                        *[F.stddev_pop(yeo_johnson(F.col(c), lam[c])).alias(f"s{i}") for i, c in enumerate(self.inputs)]).first()
-            stats = {c: (r[f"m{i}"], r[f"s{i}"] or 1.0) for i, c in enumerate(self.inputs)}
+            stats = {c: (r[f"m{i}"] or 0.0, r[f"s{i}"] or 1.0) for i, c in enumerate(self.inputs)}
         self.state = {"lambda": lam, "stats": stats}
         return self
 
+    def outputs(self):
+        return list(self.inputs)
+
     def transform(self, df):
         exprs = {}
         for c in self.inputs:
@@ -328,79 +347,118 @@ class QuantileTransformer:
         self.state = {"knots": {c: q[c] for c in self.inputs}, "refs": probs}
         return self
 
+    def outputs(self):
+        return list(self.inputs)
+
     def _interp(self, c: str) -> Column:
-        q = F.array(*[F.lit(float(v)) for v in self.state["knots"][c]])
-        r = F.array(*[F.lit(float(v)) for v in self.state["refs"]])
+        knots, r = double_array(self.state["knots"][c]), double_array(self.state["refs"])
         x = F.col(c)
-        n = self.nq
-        j = F.size(F.filter(q, lambda k: k <= x))  # knots <= x (1-based index of the last one)
-        i = F.size(F.filter(q, lambda k: k < x)) + 1  # 1-based index of the first knot >= x
-        qj, qj1, rj, rj1 = F.element_at(q, j), F.element_at(q, j + 1), F.element_at(r, j), F.element_at(r, j + 1)
-        fwd = F.when(qj1 > qj, rj + (x - qj) * (rj1 - rj) / (qj1 - qj)).otherwise(rj)
-        qi, qi0, ri, ri0 = F.element_at(q, i), F.element_at(q, i - 1), F.element_at(r, i), F.element_at(r, i - 1)
-        bwd = F.when(qi > qi0, ri - (qi - x) * (ri - ri0) / (qi - qi0)).otherwise(ri)
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(self.nq.bit_length()))])
+
+        def count(holds):  # binary lifting: how many leading knots satisfy ``holds``
+            def lift(acc, s):
+                cand = acc + s
+                return F.when(cand <= F.lit(self.nq), F.when(holds(F.element_at(knots, cand)), cand).otherwise(acc)).otherwise(acc)
+            return F.aggregate(steps, F.lit(0), lift)
+
+        j = count(lambda k: k <= x)  # 1-based index of the last knot <= x
+        i = count(lambda k: k < x) + 1  # 1-based index of the first knot >= x
+        pairs = F.arrays_zip(knots.alias("q"), r.alias("r"))
+
+        def around(s):  # the four knots about a value, looked up once
+            return F.struct(*[F.get(pairs, e).alias(n) for n, e in (("a", s["j"] - 1), ("b", s["j"]), ("c", s["i"] - 2), ("d", s["i"] - 1))])
+
+        def value(s):
+            a, b, c, d = s["a"], s["b"], s["c"], s["d"]
+            fwd = F.when(b["q"] > a["q"], a["r"] + (x - a["q"]) * (b["r"] - a["r"]) / (b["q"] - a["q"])).otherwise(a["r"])
+            bwd = F.when(d["q"] > c["q"], d["r"] - (d["q"] - x) * (d["r"] - c["r"]) / (d["q"] - c["q"])).otherwise(d["r"])
+            return F.lit(0.5) * (fwd + bwd)
+
         lo, hi = self.state["knots"][c][0], self.state["knots"][c][-1]
-        return (F.when(x <= F.lit(lo), F.lit(0.0)).when(x >= F.lit(hi), F.lit(1.0))
-                .otherwise(F.lit(0.5) * (fwd + bwd)))
+        inside = F.transform(F.transform(F.array(F.struct(j.alias("j"), i.alias("i"))), around), value)[0]
+        return F.when(x <= F.lit(lo), F.lit(0.0)).when(x >= F.lit(hi), F.lit(1.0)).otherwise(inside)
 
     def transform(self, df):
         if self.output == "normal":
             clip = lambda e: F.least(F.greatest(e, F.lit(self.CLIP)), F.lit(1 - self.CLIP))
-            return df.withColumns({c: norm_ppf(clip(self._interp(c))) for c in self.inputs})
+            # the level is computed once per row, the approximation reads it many times
+            return df.withColumns({c: F.transform(F.array(clip(self._interp(c))), norm_ppf)[0] for c in self.inputs})
         return df.withColumns({c: self._interp(c) for c in self.inputs})
 
 
 # ---------------------------------------------------------------- FE19 KDE density
 class KDEDensity:
     """FE19: Gaussian KDE density of each value (not a smoothed x). Bandwidth factor scott
-    n^(-1/5) or silverman (3n/4)^(-1/5); kernel variance = sample variance x factor^2.
-    Fit: value -> count table of the column (exact support) when it has at most
-    ``max_support`` distinct values, else a ``max_support``-point binned support
-    (counts at bin centres; error bounded by half a bin width). Transform: the density of
-    every DISTINCT value is one array aggregate over the broadcast support, joined back."""
+    n^(-1/5) or silverman (3n/4)^(-1/5); kernel variance = sample variance x factor^2. A column
+    without variance keeps its values.
+
+    One algorithm at every size: values are gathered in bins of ``resolution`` bandwidths, each
+    with its count and mean, so a bin with one distinct value is exact and the relative error of
+    any other is below resolution^2 / 2. Bins stand in cells of ``REACH`` bandwidths; a value
+    meets the bins of its own and the two neighbouring cells by a join on the cell, as kernels
+    beyond are below exp(-REACH^2 / 2). No support comes to the driver."""
 
-    def __init__(self, column, bandwidth="scott", max_support=4096):
-        self.column, self.bw, self.max_support, self.state = column, bandwidth, max_support, {}
+    REACH = 8.0
+
+    def __init__(self, column, bandwidth="scott", resolution=1.0 / 64):
+        self.column, self.bw, self.resolution, self.state = column, bandwidth, resolution, {}
 
     def fit(self, df):
         c = self.column
-        st = df.agg(F.count(c).alias("n"), F.var_samp(c).alias("v"), F.approx_count_distinct(c).alias("k"),
-                    F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        n = st["n"]
+        st = df.agg(F.count(c).alias("n"), F.var_samp(c).alias("v"), F.min(c).alias("lo")).first()
+        n = st["n"] or 1
         factor = n ** (-0.2) if self.bw == "scott" else (n * 3.0 / 4.0) ** (-0.2)
-        var = (st["v"] or 0.0) * factor * factor
-        if st["k"] <= self.max_support:
-            sup = df.groupBy(c).agg(F.count(F.lit(1)).alias("w")).collect()
-            support = [(float(r[c]), int(r["w"])) for r in sup if r[c] is not None]
-            exact = len(support) <= self.max_support
-        else:
-            exact = False
-        if not exact:
-            width = (st["hi"] - st["lo"]) / self.max_support or 1.0
-            b = F.least(F.floor((F.col(c) - F.lit(st["lo"])) / F.lit(width)), F.lit(self.max_support - 1))
-            sup = df.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("w")).collect()
-            support = [(st["lo"] + (r["_b"] + 0.5) * width, int(r["w"])) for r in sup]
-        self.state = {"n": n, "var": var, "support": support, "exact": exact}
+        self.state = {"n": n, "var": (st["v"] or 0.0) * factor * factor, "lo": st["lo"]}
+        self._support = None
+        if self.state["var"] > 0:
+            width = math.sqrt(self.state["var"])
+            bins = df.where(F.col(c).isNotNull()).groupBy(F.floor((F.col(c) - F.lit(self.state["lo"])) / F.lit(width * self.resolution)).alias("_b")) \
+                .agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg(c).alias("v"))
+            cell = F.floor((F.col("v") - F.lit(self.state["lo"])) / F.lit(width * self.REACH))
+            # at most REACH / resolution bins in a cell
+            self._support = bins.groupBy(cell.alias("_cell")).agg(F.collect_list(F.struct("v", "w")).alias("_bins"))
         return self
 
     def density_table(self, df) -> DataFrame:
         c = self.column
         var, n = self.state["var"], self.state["n"]
+        values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias(c)).distinct()
         if var <= 0:
-            return df.select(c).distinct().withColumn("density", F.col(c) * F.lit(0.0) + F.lit(float("nan")))
-        arr = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(float(w)).alias("w")) for v, w in self.state["support"]])
+            return values.withColumn("density", F.col(c))
+        own = F.floor((F.col(c) - F.lit(self.state["lo"])) / F.lit(math.sqrt(var) * self.REACH))
+        near = values.withColumn("_cell", F.explode(F.array(own - 1, own, own + 1))).join(self._support, "_cell")
         x = F.col(c)
-        tot = F.aggregate(arr, F.lit(0.0), lambda acc, s: acc + s["w"] * F.exp(F.lit(-0.5 / var) * (x - s["v"]) * (x - s["v"])))
-        return df.select(c).distinct().withColumn("density", tot / F.lit(n * math.sqrt(2 * math.pi * var)))
+        part = F.aggregate("_bins", F.lit(0.0), lambda acc, s: acc + s["w"] * F.exp(F.lit(-0.5 / var) * (x - s["v"]) * (x - s["v"])))
+        return near.groupBy(c).agg((F.sum(part) / F.lit(n * math.sqrt(2 * math.pi * var))).alias("density"))
 
     def transform(self, df):
         return df.join(self.density_table(df).withColumnRenamed("density", f"kde_{self.column}"), self.column, "left")
 
 
+class KDEColumns:
+    """FE19 over several columns as one chain step: each becomes its density."""
+
+    def __init__(self, inputs, bandwidth="scott"):
+        self.inputs, self.parts = list(inputs), [KDEDensity(c, bandwidth) for c in inputs]
+
+    def fit(self, df):
+        for part in self.parts:
+            part.fit(df)
+        return self
+
+    def outputs(self):
+        return [f"kde_{c}" for c in self.inputs]
+
+    def transform(self, df):
+        for part in self.parts:
+            df = part.transform(df)
+        return df.drop(*self.inputs)
+
+
 # ---------------------------------------------------------------- FE20/FE21 k-means
 class KMeansFeatures:
-    """FE20/FE21: pyspark.ml KMeans (k-means|| init) fitted on the inputs; cluster label and
-    distance to every centre as expressions on the literal centres."""
+    """FE20/FE21: pyspark.ml KMeans (k-means|| init) fitted on the inputs, which must be clean;
+    cluster label and distance to every centre as expressions on the literal centres."""
 
     def __init__(self, inputs, k=4, seed=315, max_iter=100, add_distances=True, prefix="km", n_init=1):
         self.inputs, self.k, self.seed, self.max_iter, self.add_distances, self.prefix = list(inputs), k, seed, max_iter, add_distances, prefix
@@ -414,7 +472,8 @@ class KMeansFeatures:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
-        v = VectorAssembler(inputCols=self.inputs, outputCol="_f").transform(df.select(*self.inputs).na.drop())
+        # a null or NaN fails the fit: cleaning is a step before this one
+        v = VectorAssembler(inputCols=self.inputs, outputCol="_f", handleInvalid="error").transform(df.select(*self.inputs))
         v = v.persist(StorageLevel.MEMORY_AND_DISK) if self.n_init > 1 else v
         best = None
         for r in range(self.n_init):
@@ -427,6 +486,9 @@ class KMeansFeatures:
         self.state = {"centers": [list(map(float, c)) for c in best[1].clusterCenters()], "cost": float(best[0])}
         return self
 
+    def outputs(self):
+        return [f"{self.prefix}_label"] + ([f"{self.prefix}_d{j}" for j in range(len(self.state["centers"]))] if self.add_distances else [])
+
     def transform(self, df):
         ds = [F.sqrt(sum(((F.col(c) - F.lit(v)) ** 2 for c, v in zip(self.inputs, cen)), F.lit(0.0)))
               for cen in self.state["centers"]]
@@ -444,13 +506,14 @@ class FastICA:
     iterations; each iteration is ONE aggregation of E[z g(Wz)] and E[g'(Wz)] for all
     components (g = tanh, 'logcosh'), followed by symmetric decorrelation on the driver."""
 
-    def __init__(self, inputs, n_components=2, max_iter=20, tol=1e-4, seed=42):
+    def __init__(self, inputs, n_components=2, max_iter=200, tol=1e-4, seed=42):
         self.inputs, self.k, self.max_iter, self.tol, self.seed, self.state = list(inputs), n_components, max_iter, tol, seed, {}
 
     def fit(self, df):
         m, c, _ = covariance(df, self.inputs)
         vals, vecs = np.linalg.eigh(c)
-        order = np.argsort(vals)[::-1][: self.k]
+        order = [i for i in np.argsort(vals)[::-1][: self.k] if vals[i] > 1e-12 * max(vals.max(), 1e-300)]
+        self.k = len(order)
         K = (vecs[:, order] / np.sqrt(vals[order])).T  # k x p whitening
         z_exprs = [sum((F.lit(float(K[a, j])) * (F.col(cn) - F.lit(float(m[j]))) for j, cn in enumerate(self.inputs)),
                        F.lit(0.0)) for a in range(self.k)]
@@ -475,6 +538,9 @@ class FastICA:
         self.state = {"unmixing": (W @ K).tolist(), "mean": m.tolist()}
         return self
 
+    def outputs(self):
+        return [f"ic{k}" for k in range(len(self.state["unmixing"]))]
+
     def transform(self, df):
         U = np.array(self.state["unmixing"])
         return df.withColumns(_project(self.inputs, np.array(self.state["mean"]), U.T, prefix="ic"))
@@ -490,7 +556,7 @@ class FactorAnalysis:
     sufficient statistic; no data passes after the one aggregation); transform = posterior
     mean of the factors as projection expressions."""
 
-    def __init__(self, inputs, n_components=2, tol=1e-2, max_iter=200):
+    def __init__(self, inputs, n_components=2, tol=1e-2, max_iter=1000):
         self.inputs, self.k, self.tol, self.max_iter, self.state = list(inputs), n_components, tol, max_iter, {}
 
     def fit(self, df):
@@ -517,6 +583,9 @@ class FactorAnalysis:
                       "loglik": float(old)}
         return self
 
+    def outputs(self):
+        return [f"fa{k}" for k in range(len(self.state["proj"]))]
+
     def transform(self, df):
         P = np.array(self.state["proj"])
         return df.withColumns(_project(self.inputs, np.array(self.state["mean"]), P.T, prefix="fa"))

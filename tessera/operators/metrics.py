@@ -3,8 +3,9 @@
 MT1 is the exact, tie-corrected ROC-AUC for many models in one pass:
   1. aggregate the long table (group, model, score, label) to distinct scores with
      positive / negative counts (map-side partial aggregation, volume = distinct scores);
-  2. running count of negatives below each score per (group, model), computed with the
-     chunked ``prefix_sums`` over quantile-balanced score buckets, never one task per model;
+  2. running count of negatives below each score per (group, model): the distinct scores are
+     range-partitioned, summed within each range and shifted by the totals of the lower
+     ranges (``prefix_sums``), never one task per model;
   3. AUC = sum(pos * (neg_below + 0.5 * neg_equal)) / (P * N).
 One class only -> null (the reference raises).
 """
@@ -13,53 +14,33 @@ from __future__ import annotations
 
 from ..session import track
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import prefix_sums, searchsorted
-
-AUC_MAX_BUCKETS = 1 << 16
-AUC_ROWS_PER_BUCKET = 1 << 16
-
+from .scan import prefix_sums
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None,
         out: str = "auc") -> DataFrame:
     by = list(by or [])
-    # The distinct-score table feeds three consumers (range, chunk totals, local window):
-    # persist it so the input is scanned and shuffled once.
+    part = by or ["_all"]
     g = (df.groupBy(*by, score)
          .agg(F.sum(F.col(label).cast("bigint")).alias("_pos"), F.count(F.lit(1)).alias("_cnt"))
          .withColumn("_neg", F.col("_cnt") - F.col("_pos")))
-    g = track(g)
-    # Quantile-balanced buckets of the distinct scores per group (approximate edges are
-    # enough: they only bound the rows of one window task; the result stays exact). The
-    # bucket count follows the largest group (about 2^16 distinct scores per bucket, 64 to
-    # 65536 buckets); the same small job bounds the number of groups for the broadcast.
-    sizes = (g.groupBy(*by).count() if by else g.groupBy().count()).agg(
-        F.max("count").alias("mx"), F.count(F.lit(1)).alias("ng")).first()
-    biggest, n_groups = int(sizes["mx"] or 0), int(sizes["ng"] or 0)
-    nb = 64
-    while nb < AUC_MAX_BUCKETS and biggest / nb > AUC_ROWS_PER_BUCKET:
-        nb *= 2
-    probs = F.array(*[F.lit(i / nb) for i in range(1, nb)])
-    edges = (g.groupBy(*by) if by else g.groupBy()).agg(F.percentile_approx(score, probs, 10 * nb).alias("_edges"))
-    gg = (g.join(F.broadcast(edges) if n_groups <= 100_000 else edges, on=by, how="inner") if by
-          else g.crossJoin(F.broadcast(edges)))
-    gg = searchsorted(gg, "_edges", score, nb - 1, "_bucket").drop("_edges")
-    chunk = F.col("_bucket").cast("bigint")
-    part = by if by else []
-    if not part:
-        gg = gg.withColumn("_all", F.lit(0))
-        part = ["_all"]
-    c = prefix_sums(gg, part, [score], chunk, {"_neg_le": F.col("_neg")})
+    if not by:
+        g = g.withColumn("_all", F.lit(0))
+    # Distinct scores dealt by range: the partition number is a chunk id that is monotone in the
+    # score within a group. Kept, as chunk totals and local sums both read it (and a partition
+    # number must not be derived twice).
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = track(g.repartitionByRange(n, *part, score).withColumn("_range", F.spark_partition_id().cast("bigint")))
+    c = prefix_sums(ranged, part, [score], F.col("_range"), {"_neg_le": F.col("_neg")})
     c = c.withColumn("_below", F.col("_neg_le") - F.col("_neg"))
     res = c.groupBy(*part).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.lit(0.5) * F.col("_neg"))).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     res = res.withColumn(out, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                      F.col("_num") / (F.col("_P").cast("double") * F.col("_N"))))
-    keep = by + [out, F.col("_P").alias("n_pos"), F.col("_N").alias("n_neg")]
-    return res.select(*keep)
+    return res.select(*by, out, F.col("_P").alias("n_pos"), F.col("_N").alias("n_neg"))
 
 
 def confusion(df: DataFrame, p: str = "p", label: str = "label", threshold: float = 0.5,
@@ -74,37 +55,33 @@ def confusion(df: DataFrame, p: str = "p", label: str = "label", threshold: floa
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def normalized_confusion(df: DataFrame, pred: str, label: str) -> DataFrame:
-    """MT4: row-normalised confusion matrix (label, pred, count, rate)."""
-    cnt = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("count"))
-    tot = cnt.groupBy(label).agg(F.sum("count").alias("_tot"))
-    return cnt.join(tot, label).withColumn("rate", F.col("count") / F.col("_tot")).drop("_tot")
+def normalized_confusion(df: DataFrame, pred: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """MT4: row-normalised confusion matrix (by, label, pred, count, rate)."""
+    keys = [*(by or []), label]
+    cnt = df.groupBy(*keys, pred).agg(F.count(F.lit(1)).alias("count"))
+    tot = cnt.groupBy(*keys).agg(F.sum("count").alias("_tot"))
+    return cnt.join(tot, keys).withColumn("rate", F.col("count") / F.col("_tot")).drop("_tot")
 
 
 def scaling_model(df: DataFrame, x_size: str, x_iter: str, y: str, by_memory: bool = False) -> DataFrame:
-    """MT9: runtime = a + c * (S/1000)^2 * N (memory: a + c * (S/1000)^2) by least squares,
-    with R^2 and RMSE in the same aggregation (``regr_*`` built-ins)."""
-    z = (F.col(x_size) / 1000.0) ** 2
+    """MT9: runtime = a + c * (S/1000)^2 * N (memory: a + c * (S/1000)^2) by least squares: one
+    row with slope, intercept, r2, n and rmse, all from one aggregation (``regr_*``)."""
+    z = (F.col(x_size) / 1000.0) * (F.col(x_size) / 1000.0)
     if not by_memory:
         z = z * F.col(x_iter)
-    d = df.withColumn("_z", z)
-    fit = d.agg(F.regr_slope(y, "_z").alias("slope"), F.regr_intercept(y, "_z").alias("intercept"),
-                F.regr_r2(y, "_z").alias("r2"), F.count(F.lit(1)).alias("n"))
-    res = d.crossJoin(F.broadcast(fit)).withColumn("resid", F.col(y) - (F.col("intercept") + F.col("slope") * F.col("_z")))
-    rmse = res.agg(F.sqrt(F.avg(F.col("resid") ** 2)).alias("rmse"))
-    return fit.crossJoin(rmse)
+    return df.withColumn("_z", z).agg(
+        F.regr_slope(y, "_z").alias("slope"), F.regr_intercept(y, "_z").alias("intercept"), F.regr_r2(y, "_z").alias("r2"),
+        F.count(F.lit(1)).alias("n"),
+        F.sqrt((F.regr_syy(y, "_z") - F.regr_sxy(y, "_z") * F.regr_sxy(y, "_z") / F.regr_sxx(y, "_z")) / F.regr_count(y, "_z")).alias("rmse"))
 
 
-def invert_runtime(slope: float, intercept: float, budget_sec: float, size: float) -> int:
+def invert_runtime(slope: Column, intercept: Column, budget_sec: float, size: float) -> Column:
     """MT10: iterations affordable within a time budget: max(1, floor((t-b)/m/(S/1000)^2))."""
-    import math
+    per = F.lit((size / 1000.0) * (size / 1000.0))
+    return F.greatest(F.lit(1), F.floor((F.lit(budget_sec) - intercept) / slope / per)).cast("bigint")
 
-    return max(1, int(math.floor((budget_sec - intercept) / slope / (size / 1000.0) ** 2)))
 
-
-def invert_memory(slope: float, intercept: float, budget_mb: float) -> int:
+def invert_memory(slope: Column, intercept: Column, budget_mb: float) -> Column:
     """MT10: largest sample within a memory budget: max(1, floor(1000*sqrt((M-b)/c)))."""
-    import math
-
-    v = (budget_mb - intercept) / slope
-    return max(1, int(math.floor(1000.0 * math.sqrt(v)))) if v > 0 else 1
+    v = (F.lit(budget_mb) - intercept) / slope
+    return F.when(v > 0, F.greatest(F.lit(1), F.floor(F.lit(1000.0) * F.sqrt(v)))).otherwise(F.lit(1)).cast("bigint")

@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_bits
 from ..functions.scalar import sigmoid
 
 
@@ -35,15 +36,17 @@ class GaussianNB:
         self.features, self.label, self.vs, self.state = list(features), label, var_smoothing, {}
 
     def fit(self, df: DataFrame) -> "GaussianNB":
-        aggs = [F.count(F.lit(1)).alias("n"), F.grouping(self.label).alias("_all")]
+        aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(self.features):
             aggs += [F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
-        # per-class and overall moments in ONE aggregation (rollup adds the total row)
-        got = df.rollup(self.label).agg(*aggs).collect()
-        rows = {r[self.label]: r for r in got if r["_all"] == 0}
-        allv = [r for r in got if r["_all"] == 1][0]
-        eps = self.vs * max(allv[f"v{i}"] or 0.0 for i in range(len(self.features)))
+        rows = {r[self.label]: r for r in df.groupBy(self.label).agg(*aggs).collect()}  # one row per class
         n = sum(r["n"] for r in rows.values())
+        overall = []  # variance of all rows from the classes' moments
+        for i in range(len(self.features)):
+            use = [r for r in rows.values() if r[f"m{i}"] is not None]
+            mean = sum(r["n"] * r[f"m{i}"] for r in use) / n if use else 0.0
+            overall.append(sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mean) ** 2) for r in use) / n if use else 0.0)
+        eps = self.vs * max(overall, default=0.0)
         self.state = {
             int(k): {"prior": r["n"] / n, "mean": [r[f"m{i}"] for i in range(len(self.features))],
                      "var": [r[f"v{i}"] + eps for i in range(len(self.features))]}
@@ -68,20 +71,19 @@ class GaussianNB:
 
 
 # ---------------------------------------------------------------- M9/M10/M11 (normal equations)
-def class_moments(df: DataFrame, features: list[str], label: str, weight: str | None = None) -> dict:
-    """Per class: n, sum vector and cross-product matrix in one grouped aggregation."""
+def class_moments(df: DataFrame, features: list[str], label: str) -> dict:
+    """Per class: n, means and population covariance matrix in one grouped aggregation of
+    (co)variance aggregates, whose merges stay stable where raw sums of products cancel."""
     p = len(features)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(features)]
-    aggs += [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"x{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(features)]
+    aggs += [F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
     out = {}
     for r in df.groupBy(label).agg(*aggs).collect():
-        s = np.array([r[f"s{i}"] for i in range(p)], dtype=float)
-        xx = np.zeros((p, p))
+        cov = np.zeros((p, p))
         for i in range(p):
             for j in range(i, p):
-                xx[i, j] = xx[j, i] = r[f"x{i}_{j}"]
-        out[int(r[label])] = (r["n"], s, xx)
+                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+        out[int(r[label])] = (r["n"], np.array([r[f"m{i}"] for i in range(p)], dtype=float), cov)
     return out
 
 
@@ -94,8 +96,8 @@ class LDA:
     def fit(self, df):
         mom = class_moments(df, self.features, self.label)
         n = sum(v[0] for v in mom.values())
-        mu = {k: s / c for k, (c, s, _) in mom.items()}
-        pooled = sum(xx - c * np.outer(mu[k], mu[k]) for k, (c, _, xx) in mom.items()) / (n - len(mom))
+        mu = {k: m for k, (_, m, _) in mom.items()}
+        pooled = sum(c * cov for c, _, cov in mom.values()) / (n - len(mom))
         inv = np.linalg.pinv(pooled)
         w = inv @ (mu[1] - mu[0])
         pri = {k: c / n for k, (c, _, _) in mom.items()}
@@ -123,9 +125,8 @@ class QDA:
         mom = class_moments(df, self.features, self.label)
         n = sum(v[0] for v in mom.values())
         st = {}
-        for k, (c, s, xx) in mom.items():
-            mu = s / c
-            cov = (xx - c * np.outer(mu, mu)) / max(c - 1, 1)
+        for k, (c, mu, cov) in mom.items():
+            cov = cov * c / max(c - 1, 1)
             cov = (1 - self.reg) * cov + self.reg * np.eye(len(mu))
             sign, logdet = np.linalg.slogdet(cov)
             st[k] = {"mu": mu.tolist(), "inv": np.linalg.inv(cov).tolist(), "c": math.log(c / n) - 0.5 * logdet}
@@ -156,20 +157,16 @@ class Ridge:
         self.features, self.label, self.alpha, self.state = list(features), label, alpha, {}
 
     def fit(self, df):
-        cols = ["_one"] + self.features
-        mom = class_moments(df.withColumn("_one", F.lit(1.0)), cols, self.label)
-        n = sum(v[0] for v in mom.values())
-        p = len(cols)
-        a = np.zeros((p, p))
-        rhs = np.zeros(p)
-        for k, (c, s, xx) in mom.items():
-            w = n / (len(mom) * c)
-            a += w * xx
-            rhs += w * (1.0 if k == 1 else -1.0) * s
-        reg = self.alpha * np.eye(p)
-        reg[0, 0] = 0.0
-        beta = np.linalg.solve(a + reg, rhs)
-        self.state = {"beta": beta.tolist()}
+        mom = class_moments(df, self.features, self.label)
+        n, k = sum(c for c, _, _ in mom.values()), len(mom)
+        share = n / k  # a class's balanced weight times its rows
+        target = {y: 1.0 if y == 1 else -1.0 for y in mom}
+        mean = sum(m for _, m, _ in mom.values()) / k
+        middle = sum(target.values()) / k
+        a = share * sum(cov + np.outer(m - mean, m - mean) for _, m, cov in mom.values())
+        rhs = share * sum((target[y] - middle) * (m - mean) for y, (_, m, _) in mom.items())
+        beta = np.linalg.solve(a + self.alpha * np.eye(len(self.features)), rhs)
+        self.state = {"beta": [float(middle - mean @ beta), *beta.tolist()]}
         return self
 
     def decision(self):
@@ -188,33 +185,142 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
+MOST_TREE_DEPTH = 30  # Spark's trees can't be deeper
+
+
+def _depth(params: dict, default: int) -> int:
+    depth = params.get("max_depth", default)
+    if depth > MOST_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth} is above {MOST_TREE_DEPTH}")
+    return depth
+
+
+def _subset(params: dict) -> str:
+    return {"sqrt": "sqrt", "log2": "log2", "all": "all", None: "auto"}[params.get("max_features")]
+
+
 def ml_estimator(kind: str, params: dict, label: str = "label", weight: str | None = None, n_rows: int | None = None):
-    """M1-M3, M4, M12, M13 as pyspark.ml estimators from a drawn parameter dict."""
+    """M1-M4, M12, M13 as pyspark.ml estimators from a drawn parameter dict; every parameter that
+    Spark has is passed through. M12 stops early where ``validation`` names an indicator column.
+    (Spark's boosting has no leaf regularisation, its perceptron logistic units and no L2.)"""
     common = dict(featuresCol="features", labelCol=label)
-    if kind in ("logistic", "logistic_l1", "sgd"):
-        c = params.get("C", 1.0)
-        reg = 1.0 / (c * max(n_rows or 1, 1))
-        en = 1.0 if kind == "logistic_l1" else (0.5 if kind == "sgd" else 0.0)
-        est = LogisticRegression(regParam=reg, elasticNetParam=en, tol=1e-3, maxIter=100, **common)
+    if kind in ("logistic", "lasso"):
+        reg = 1.0 / (params.get("C", 1.0) * max(n_rows or 1, 1))
+        est = LogisticRegression(regParam=reg, elasticNetParam=1.0 if kind == "lasso" else 0.0, tol=params.get("tol", 1e-3),
+                                 maxIter=params.get("max_iter", 1000), **common)
     elif kind == "random_forest":
-        est = RandomForestClassifier(numTrees=params.get("n_estimators", 20), maxDepth=min(params.get("max_depth", 5), 30),
-                                     seed=params.get("seed", 42), **common)
+        est = RandomForestClassifier(numTrees=params.get("n_estimators", 20), maxDepth=_depth(params, 5),
+                                     minInstancesPerNode=max(1, params.get("min_samples_leaf", 1)),
+                                     featureSubsetStrategy=_subset(params), seed=params.get("seed", 42), **common)
     elif kind == "linear_svc":
-        est = LinearSVC(regParam=params.get("reg", 0.01), maxIter=50, **common)
-    elif kind == "hist_gbt":
-        est = GBTClassifier(maxIter=params.get("n_estimators", 10) % 10 + 2, maxDepth=params.get("max_depth", 3),
-                            stepSize=params.get("learning_rate", 0.1), seed=params.get("seed", 42), **common)
+        est = LinearSVC(regParam=1.0 / (params.get("C", 1.0) * max(n_rows or 1, 1)), tol=params.get("tol", 1e-3),
+                        maxIter=params.get("max_iter", 50000), **common)
+    elif kind == "gradient_boosting":
+        extra = {"validationIndicatorCol": params["validation"]} if params.get("validation") else {}
+        est = GBTClassifier(maxIter=params.get("max_iter", 10), maxDepth=_depth(params, 3), stepSize=params.get("learning_rate", 0.1),
+                            minInstancesPerNode=max(1, params.get("min_samples_leaf", 1)), maxBins=params.get("max_bins", 32),
+                            seed=params.get("seed", 42), **extra, **common)
     elif kind == "mlp":
-        n_in = params["n_in"]
-        est = MultilayerPerceptronClassifier(layers=[n_in, params.get("hidden", 32), 2], maxIter=100,
-                                             seed=params.get("seed", 42), **common)
+        sizes = [params.get(f"size_{i + 1}", 32) for i in range(params.get("n_layers", 1))]
+        est = MultilayerPerceptronClassifier(layers=[params["n_in"], *sizes, 2], maxIter=params.get("max_iter", 100),
+                                             stepSize=params.get("learning_rate_init", 0.03), seed=params.get("seed", 42), **common)
     else:
         raise ValueError(f"no pyspark.ml form for {kind}")
-    if weight and hasattr(est, "setWeightCol") and kind not in ("mlp",):
+    if weight and kind != "mlp":
         est.setWeightCol(weight)
     return est
 
 
+class ProximalLinear:
+    """M5: linear model by proximal Newton steps on the log or the modified Huber loss with an L2,
+    L1 or elastic-net penalty ``alpha`` (on the mean loss). Each step is one aggregation of the
+    gradient and Hessian sums; the penalised quadratic model is solved by coordinate descent on
+    the driver (p x p numbers). Class weights are balanced."""
+
+    def __init__(self, features, label="label", loss="log_loss", penalty="l2", alpha=1e-4, l1_ratio=0.15, max_iter=300,
+                 tol=1e-5):
+        if loss not in ("log_loss", "modified_huber") or penalty not in ("l2", "l1", "elasticnet"):
+            raise ValueError(f"unknown loss {loss} or penalty {penalty}")
+        self.features, self.label, self.loss, self.max_iter, self.tol = list(features), label, loss, max_iter, tol
+        mix = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio}[penalty]
+        self.l1, self.l2, self.state = alpha * mix, alpha * (1 - mix), {}
+
+    def _sums(self, df, beta, weights):
+        cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in self.features]
+        y = F.when(F.col(self.label) == 1, 1.0).otherwise(-1.0)
+        w = F.when(F.col(self.label) == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
+        z = y * sum((F.lit(float(b)) * c for b, c in zip(beta, cols)), F.lit(0.0))
+        if self.loss == "log_loss":
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(z))
+            loss, g, h = F.when(z > 0, F.log1p(F.exp(-z))).otherwise(-z + F.log1p(F.exp(z))), -y * p, p * (F.lit(1.0) - p)
+        else:
+            gap = F.greatest(F.lit(0.0), F.lit(1.0) - z)
+            loss = F.when(z >= -1, gap * gap).otherwise(F.lit(-4.0) * z)
+            g = y * F.when(z >= -1, F.lit(-2.0) * gap).otherwise(F.lit(-4.0))
+            h = F.when((z >= -1) & (z < 1), F.lit(2.0)).otherwise(F.lit(0.0))
+        d = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)], (w * loss).alias("l"), (w * g).alias("g"), (w * h).alias("h"), w.alias("w"))
+        p = len(cols)
+        aggs = [F.sum("w").alias("w"), F.sum("l").alias("l")] + [F.sum(F.col("g") * F.col(f"x{i}")).alias(f"g{i}") for i in range(p)]
+        aggs += [F.sum(F.col("h") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(p) for j in range(i, p)]
+        r = d.agg(*aggs).first()
+        grad = np.array([r[f"g{i}"] for i in range(p)]) / r["w"]
+        hess = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                hess[i, j] = hess[j, i] = r[f"h{i}_{j}"] / r["w"]
+        return r["l"] / r["w"], grad, hess
+
+    def _penalty(self, beta):
+        return self.l1 * np.abs(beta[1:]).sum() + 0.5 * self.l2 * (beta[1:] ** 2).sum()
+
+    def fit(self, df):
+        counts = {int(r[self.label]): r["count"] for r in df.groupBy(self.label).count().collect()}
+        n = sum(counts.values())
+        weights = {k: n / (len(counts) * c) for k, c in counts.items()}
+        beta = np.zeros(len(self.features) + 1)
+        loss, grad, hess = self._sums(df, beta, weights)
+        for _ in range(self.max_iter):
+            total = loss + self._penalty(beta)
+            goal = self._solve(beta, grad, hess + 1e-8 * np.eye(len(beta)))
+            step, size = goal - beta, 1.0
+            while True:  # a Newton step may overshoot: halve it until the objective falls
+                after = self._sums(df, beta + size * step, weights)
+                if after[0] + self._penalty(beta + size * step) <= total + 1e-12 or size < 1e-4:
+                    break
+                size /= 2
+            beta, (loss, grad, hess) = beta + size * step, after
+            if total - (loss + self._penalty(beta)) < self.tol * max(1.0, abs(total)):
+                break
+        self.state = {"beta": beta.tolist(), "objective": float(loss + self._penalty(beta)), "loss": self.loss}
+        return self
+
+    def _solve(self, beta, grad, hess):
+        """Minimiser of the quadratic model around ``beta`` with the penalty."""
+        x = beta.copy()
+        for _ in range(500):
+            moved = 0.0
+            for i in range(len(x)):
+                g = grad[i] + hess[i] @ (x - beta)
+                a = hess[i, i] + (self.l2 if i else 0.0)
+                raw = x[i] * hess[i, i] - g
+                new = np.sign(raw) * max(abs(raw) - (self.l1 if i else 0.0), 0.0) / a
+                moved = max(moved, abs(new - x[i]))
+                x[i] = new
+            if moved < 1e-10:
+                break
+        return x
+
+    def decision(self):
+        b = self.state["beta"]
+        return sum((F.lit(w) * F.col(c) for c, w in zip(self.features, b[1:])), F.lit(b[0]))
+
+    def transform(self, df, out="p"):
+        z = self.decision()
+        if self.state["loss"] == "modified_huber":
+            return df.withColumn(out, (F.least(F.lit(1.0), F.greatest(F.lit(-1.0), z)) + F.lit(1.0)) / F.lit(2.0))
+        return df.withColumn(out, sigmoid(z))
+
+
 def ml_probability(df: DataFrame, out: str = "p") -> DataFrame:
     """P(class 1) from the ML ``probability`` vector (or a sigmoid of the raw margin)."""
     if "probability" in df.columns:
@@ -223,74 +329,72 @@ def ml_probability(df: DataFrame, out: str = "p") -> DataFrame:
 
 
 # ---------------------------------------------------------------- M14 exact kNN
+#: Cells of the distance matrix that a task holds at a time (8 MB of doubles).
+TILE_CELLS = 1 << 20
+
+
+def knn_top(q: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int, p_norm: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, train rows) of the k nearest of each query, ties to the smaller key, computed
+    in tiles of at most TILE_CELLS cells."""
+    k = min(k, len(x))
+    dist, near = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
+    rows = max(1, TILE_CELLS // max(len(x), 1))
+    for at in range(0, len(q), rows):
+        part = q[at:at + rows]
+        d = np.zeros((len(part), len(x)))
+        for f in range(x.shape[1]):
+            gap = part[:, f, None] - x[None, :, f]
+            d += np.abs(gap) if p_norm == 1 else gap * gap
+        if p_norm != 1:
+            np.sqrt(d, out=d)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for i in range(len(part)):
+            close = np.flatnonzero(d[i] <= kth[i])
+            best = close[np.lexsort((keys[close], d[i, close]))[:k]]
+            dist[at + i], near[at + i] = d[i, best], best
+    return dist, near
+
+
 def knn_predict(spark, train: DataFrame, query: DataFrame, features: list[str], key: str = "row_id",
                 label: str = "label", k: int = 5, p_norm: int = 2, weights: str = "uniform",
-                block_rows: int = 200_000) -> DataFrame:
-    """Exact k-nearest-neighbour probability for every query row.
-
-    The (sampled) train side is cut into blocks of at most ``block_rows`` rows (each block's
-    size is counted before it is broadcast). For every block one ``mapInPandas`` pass over
-    the query partitions computes distances in numpy and keeps only the k best (distance,
-    train key) per query row; the per-block candidates are unioned and reduced to the
-    global top k per query with a grouped window. Nothing beyond k candidates per
-    (query, block) is ever emitted, and the result equals brute force (ties broken by
-    train key).
-    """
-    import pandas as pd
-
-    n_train = train.count()
-    n_blocks = max(1, -(-n_train // block_rows))
-    tb = train.select(key, label, *features).withColumn(
-        "_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)))
-    outs = []
-    for b in range(n_blocks):
-        blk = tb.filter(F.col("_blk") == b).drop("_blk").toPandas()  # <= block_rows rows by construction
-        bc = spark.sparkContext.broadcast((blk[features].to_numpy(dtype=float), blk[key].to_numpy(),
-                                           blk[label].to_numpy(dtype=float)))
-
-        def topk(it, bc=bc):
-            xs, keys, ys = bc.value
-            for pdf in it:
-                if len(pdf) == 0 or len(xs) == 0:
-                    continue
-                q = pdf[features].to_numpy(dtype=float)
-                if p_norm == 1:
-                    dist = np.abs(q[:, None, :] - xs[None, :, :]).sum(axis=2)
-                else:
-                    dist = np.sqrt(((q[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2))
-                kk = min(k, xs.shape[0])
-                order = np.lexsort((np.broadcast_to(keys, dist.shape), dist), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(len(pdf)), kk)
-                cols = order.ravel()
-                yield pd.DataFrame({key: pdf[key].to_numpy()[rows], "_d": dist[rows, cols],
-                                    "_tk": keys[cols], "_y": ys[cols]})
-
-        outs.append(query.select(key, *features).mapInPandas(
-            topk, f"{key} long, _d double, _tk long, _y double"))
-    cand = outs[0]
-    for o in outs[1:]:
-        cand = cand.unionByName(o)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("_d", "_tk")
-    best = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    if weights == "distance":
-        wt = F.lit(1.0) / F.greatest(F.col("_d"), F.lit(1e-12))
-        return best.groupBy(key).agg((F.sum(wt * F.col("_y")) / F.sum(wt)).alias("p"))
-    return best.groupBy(key).agg(F.avg("_y").alias("p"))
+                max_train_rows: int = 20_000, seed: int = 42) -> DataFrame:
+    """Exact k-nearest-neighbour probability for every query row against the train rows, or
+    against the ``max_train_rows`` of them with the smallest hash: that documented bound of the
+    fitted sample is the bound of what is broadcast. One pass over the queries; every task works
+    in tiles of fixed size, and the result equals brute force (ties to the smaller train key)."""
+    rows = train.select(key, label, *features).withColumn("_h", hash_bits(seed, "knn", key)).orderBy("_h", key).limit(max_train_rows)
+    fitted = rows.toPandas()
+    model = spark.sparkContext.broadcast((fitted[features].to_numpy(dtype=float), fitted[key].to_numpy(),
+                                          fitted[label].to_numpy(dtype=float)))
+
+    def run(batches):
+        import pandas as pd
+
+        x, keys, y = model.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(x) == 0:
+                continue
+            dist, near = knn_top(pdf[features].to_numpy(dtype=float), x, keys, k, p_norm)
+            w = 1.0 / np.maximum(dist, 1e-12) if weights == "distance" else np.ones_like(dist)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "p": (w * y[near]).sum(1) / w.sum(1)})
+
+    return query.select(key, *features).mapInPandas(run, f"{key} long, p double")
 
 
 # ---------------------------------------------------------------- M7 AdaBoost (SAMME, stumps)
-def adaboost(train: DataFrame, features: list[str], label: str = "label", rounds: int = 5,
+def adaboost(train: DataFrame, features: list[str], label: str = "label", rounds: int = 5, learning_rate: float = 1.0,
              checkpoint_every: int = 10):
-    """SAMME on depth-1 trees: each round fits a weighted stump (pyspark.ml), computes the
-    weighted error in one aggregation and updates the weight column; lineage is cut with
-    ``checkpoint()`` every ``checkpoint_every`` rounds. Returns [(alpha, stump_model)]."""
+    """SAMME on depth-1 trees: each round fits a weighted stump (pyspark.ml), takes its weighted
+    error in one aggregation and updates the weight column, which is kept while the next round
+    reads it; the sum of weights follows from the error. Lineage is cut with ``checkpoint()``
+    every ``checkpoint_every`` rounds. Stops at a perfect or useless stump, as SAMME does.
+    Returns [(alpha, stump_model)]."""
+    from pyspark import StorageLevel
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    d = assemble(train, features).withColumn("_w", F.lit(1.0))
+    d = assemble(train, features)
     n = d.count()
-    d = d.withColumn("_w", F.lit(1.0 / n))
+    d = d.withColumn("_w", F.lit(1.0 / n)).persist(StorageLevel.MEMORY_AND_DISK)
     models = []
     for r in range(rounds):
         stump = DecisionTreeClassifier(maxDepth=1, labelCol=label, featuresCol="features", weightCol="_w",
@@ -298,14 +402,20 @@ def adaboost(train: DataFrame, features: list[str], label: str = "label", rounds
         scored = stump.transform(d)
         miss = (F.col("_pred") != F.col(label).cast("double")).cast("double")
         err = scored.agg((F.sum(F.col("_w") * miss) / F.sum("_w")).alias("e")).first()["e"]
-        err = min(max(err, 1e-10), 1 - 1e-10)
-        alpha = math.log((1 - err) / err)  # SAMME with 2 classes
+        if err >= 0.5 and models:
+            break
+        held = min(max(err, 1e-10), 1 - 1e-10)
+        alpha = learning_rate * math.log((1 - held) / held)  # SAMME with 2 classes
         models.append((alpha, stump))
-        d = scored.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss)).drop("_pred", "_prob", "_raw")
-        tot = d.agg(F.sum("_w")).first()[0]
-        d = d.withColumn("_w", F.col("_w") / F.lit(tot))
-        if (r + 1) % checkpoint_every == 0:
-            d = d.checkpoint()
+        if err <= 0 or err >= 0.5 or r == rounds - 1:
+            break
+        total = (1 - err) + err * math.exp(alpha)
+        after = (scored.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * miss) / F.lit(total)).drop("_pred", "_prob", "_raw"))
+        after = after.checkpoint() if (r + 1) % checkpoint_every == 0 else after.persist(StorageLevel.MEMORY_AND_DISK)
+        after.count()
+        d.unpersist()
+        d = after
+    d.unpersist()
     return models
 
 
@@ -343,7 +453,7 @@ def platt_calibrated(train: DataFrame, score_fn, fold_col: str = "fold", label:
 
 # ---------------------------------------------------------------- M6 extra trees
 def extra_trees(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 5, max_depth: int = 5,
-                seed: int = 42):
+                seed: int = 42, min_leaf: int = 1):
     """Randomised trees: per tree, every feature is cut at hash-drawn random thresholds
     between its min and max (``Bucketizer`` bins), then a weighted decision tree is grown
     on the binned features over all rows. Returns a function df -> df with column ``p``."""
@@ -364,7 +474,7 @@ def extra_trees(train: DataFrame, features: list[str], label: str = "label", n_t
                         outputCols=[f"_b{t}_{c}" for c in features], handleInvalid="keep")
         binned = bk.transform(train)
         cols = [f"_b{t}_{c}" for c in features]
-        dt = DecisionTreeClassifier(maxDepth=max_depth, labelCol=label, featuresCol="features", seed=seed + t,
+        dt = DecisionTreeClassifier(maxDepth=_depth({"max_depth": max_depth}, 5), minInstancesPerNode=max(1, min_leaf), labelCol=label, featuresCol="features", seed=seed + t,
                                     predictionCol=f"_pr{t}", probabilityCol=f"_pp{t}", rawPredictionCol=f"_rr{t}")
         trees.append((bk, cols, dt.fit(assemble(binned, cols))))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bits, hash_uniform, py_uniform
 from .scan import exact_rank
+from .spaces import CLASSIFIER_SPACES, draw_rows
 
 PPM = 1_000_000
 
@@ -102,56 +103,80 @@ def kfold(df: DataFrame, key: str, label: str, k: int = 3, seed: int = 42) -> Da
     return d.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_n")
 
 
-def candidate_presample(df: DataFrame, key: str, candidates: list[tuple[int, float, int]]) -> DataFrame:
-    """SM5: one pass over the pool for a whole batch of candidates.
+def stratum_quotas(counts: dict, size: int) -> dict:
+    """Rows per stratum of a proportional sample of ``size`` rows: whole parts first, the rest
+    by largest remainder, ties by stratum."""
+    n = sum(counts.values())
+    exact = {k: divmod(c * size, n) for k, c in counts.items()} if n else {}
+    out = {k: q for k, (q, _) in exact.items()}
+    for k in sorted(exact, key=lambda k: (-exact[k][1], k))[:size - sum(out.values())]:
+        out[k] += 1
+    return out
 
-    ``candidates`` = [(candidate_id, fraction, seed)]; a row belongs to a candidate's sample
-    when u(seed, row) < fraction. The batch is a literal array expanded per row (bounded
-    by the batch size), and only surviving (candidate_id, row_id) pairs are emitted.
-    """
-    arr = F.array(*[F.struct(F.lit(c).alias("cid"), F.lit(float(f)).alias("f"), F.lit(str(s)).alias("s"))
-                    for c, f, s in candidates])
-    d = df.select(key, F.explode(arr).alias("_c"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_c.s"), F.lit("pre"), F.col(key).cast("string"))), 1, 13),
-               16, 10).cast("bigint") / F.lit(float(1 << 52))
-    return d.filter(u < F.col("_c.f")).select(F.col("_c.cid").alias("candidate_id"), key)
+
+def presample_sizes(n: int, candidates: list[tuple[int, float, int]], least: int = 100) -> dict[int, int]:
+    return {cid: min(n, max(least, int(n * f))) for cid, f, _ in candidates}
+
+
+def candidate_presample(df: DataFrame, key: str, label: str, candidates: list[tuple[int, float, int]],
+                        least: int = 100) -> DataFrame:
+    """SM5: stratified samples of exactly max(``least``, int(n * fraction)) rows for every
+    candidate of a batch, [(candidate_id, fraction, seed)], in one pass over the pool; returns
+    (candidate_id, key).
+
+    A stratum's sample is its rows with the smallest hashes. Rows are first cut at a hash level
+    that keeps a few more than the quota (missing it has a probability below 1e-14), so only the
+    rows near a sample are expanded per candidate; the exact rank among them is the exact rank
+    among all."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per class
+    n = sum(counts.values())
+    sizes = presample_sizes(n, candidates, least)
+    quotas = {cid: stratum_quotas(counts, sizes[cid]) for cid, _, _ in candidates}
+    level = lambda q, c: min(1.0, (q + 8 * math.sqrt(q) + 64) / c)
+    arr = F.array(*[F.struct(F.lit(cid).alias("cid"), F.lit(str(s)).alias("s"), F.lit(k).alias("k"), F.lit(quotas[cid][k]).alias("q"),
+                             F.lit(level(quotas[cid][k], counts[k])).alias("t"))
+                    for cid, _, s in candidates for k in counts if quotas[cid].get(k)])
+    own = F.concat(F.lit("|pre|"), F.col(key).cast("string"))
+
+    def bits(c):
+        return F.conv(F.substring(F.md5(F.concat(c["s"], own)), 1, 13), 16, 10).cast("bigint")
+
+    near = F.filter(arr, lambda c: (c["k"] == F.col(label)) & (bits(c) / F.lit(float(1 << 52)) < c["t"]))
+    d = df.select(F.col(key), F.explode(near).alias("_c"))
+    d = d.select(F.col("_c.cid").alias("candidate_id"), F.col("_c.k").alias("_k"), F.col("_c.q").alias("_q"), key, bits(F.col("_c")).alias("_h"))
+    ranked = exact_rank(d, ["candidate_id", "_k"], "_h", key)
+    return ranked.filter(F.col("_rank") <= F.col("_q")).select("candidate_id", key)
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """FE41: balanced weight n / (n_classes * n_class), via a class-count table (tiny)."""
+    """FE41: balanced weight n / (n_classes * n_class), joined from the class-count table."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    rows = counts.collect()  # one row per class
-    n = sum(r["_nc"] for r in rows)
-    k = len(rows)
-    w = counts.select(label, (F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    # size proven by the collect above: k rows
-    return df.join(F.broadcast(w) if k <= 100_000 else w, on=label, how="left")
+    total = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))  # one row
+    w = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    return df.join(w, on=label, how="left")
 
 
 # ---------------------------------------------------------------- SM11/SM12 hyper-parameter draws
-CLASSIFIERS = ["logistic", "logistic_l1", "random_forest", "linear_svc", "sgd", "extra_trees", "adaboost",
-               "naive_bayes", "lda", "qda", "ridge", "hist_gbt", "mlp", "knn"]
-
+CLASSIFIERS = list(CLASSIFIER_SPACES)
 
-def draw_params(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """SM12 + SM11: classifier type and hyper-parameters per row of a candidate table.
 
-    Uniform, log-uniform, integer and choice draws are expressions of hash-uniforms;
-    a parameter may depend on an earlier one (here the tree depth range depends on the
-    drawn model family)."""
+def draw_params(df: DataFrame, key: str, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+    """SM12: classifier type, row and column fraction per row of a candidate table."""
     u = lambda salt: hash_uniform(seed, salt, key)
     k = len(CLASSIFIERS)
     cls = F.element_at(F.array(*[F.lit(c) for c in CLASSIFIERS]), (F.floor(u("clf") * k) + 1).cast("int"))
-    log_c = math.log(0.1) + (math.log(10.0) - math.log(0.1)) * u("C")
-    return df.select(
-        key,
-        cls.alias("classifier_type"),
-        F.exp(log_c).alias("C"),
-        (F.lit(10) + F.floor(u("trees") * 90)).cast("int").alias("n_estimators"),
-        F.when(cls.isin("random_forest", "extra_trees"), F.lit(2) + F.floor(u("depth") * 18))
-        .otherwise(F.lit(1) + F.floor(u("depth") * 5)).cast("int").alias("max_depth"),
-        F.exp(F.lit(math.log(1e-3)) + F.lit(math.log(1.0) - math.log(1e-3)) * u("lr")).alias("learning_rate"),
-        F.element_at(F.array(F.lit("l1"), F.lit("l2"), F.lit("elasticnet")),
-                     (F.floor(u("pen") * 3) + 1).cast("int")).alias("penalty"),
-        (F.lit(0.1) + F.lit(0.8) * u("rowfrac")).alias("row_fraction"),
-    )
+    return df.select(key, *(carry or []), cls.alias("classifier_type"), (F.lit(0.1) + F.lit(0.8) * u("rowfrac")).alias("row_fraction"),
+                     (F.lit(0.5) + F.lit(0.5) * u("colfrac")).alias("column_fraction"))
+
+
+def draw_hyperparameters(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """SM11: the drawn parameters of each candidate's classifier, a row each: (key,
+    classifier_type, param, number, text). A parameter may depend on one drawn before it."""
+    cand = draw_params(df, key, seed)
+    cells = []
+    for name, space in CLASSIFIER_SPACES.items():
+        for param, holds, number, text in draw_rows(space, seed, name, key):
+            ok = (F.col("classifier_type") == name) & holds
+            cells.append(F.when(ok, F.struct(F.lit(param).alias("param"), number.alias("number"), text.alias("text"))))
+    drawn = F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    return cand.select(key, "classifier_type", drawn.alias("c")).select(key, "classifier_type", "c.*")

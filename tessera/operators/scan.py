@@ -9,7 +9,6 @@ totals. Results are exact and independent of partitioning.
   prefix_sums      inclusive running sums per group (W2, W4-helpers, A-running counts)
   exact_rank       1-based rank by (hash, key) inside a stratum (D3 exact quotas)
   rolling_rows     aggregates over the last k rows per group (W1, W5 last-20 rate)
-  checked_broadcast  broadcast a side only after counting it under a limit
 """
 
 from __future__ import annotations
@@ -21,16 +20,6 @@ from pyspark.sql import functions as F
 
 # Rows per chunk of a unique ordering key: bounds the size of one window task.
 DEFAULT_CHUNK = 1 << 20
-# Max rows to broadcast after an explicit count.
-BROADCAST_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is at most ``limit`` rows; otherwise
-    return it unchanged so the planner picks a shuffle join (AQE may still convert it at
-    runtime from measured sizes)."""
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
 
 
 def prefix_sums(df: DataFrame, part: list[str], order: list, chunk: Column, sums: dict[str, Column],
@@ -97,9 +86,6 @@ def choose_bits(max_group_rows: int, target: int = 1 << 16) -> int:
     return min(40, int(math.ceil(math.log2(max_group_rows / target))))
 
 
-RANK_BITS = 20
-
-
 def exact_rank(df: DataFrame, strata: list[str], hbits: str, key: str, max_group_rows: int | None = None,
                out: str = "_rank", bits: int | None = None) -> DataFrame:
     """1-based rank of each row inside its stratum ordered by (52-bit hash, key), plus the
@@ -107,12 +93,15 @@ def exact_rank(df: DataFrame, strata: list[str], hbits: str, key: str, max_group
 
     Equals ``row_number() OVER (PARTITION BY strata ORDER BY hbits, key)`` without ever
     sorting a whole stratum in one task: rows are bucketed by the leading ``bits`` hash bits
-    (default 20: about 10^6 buckets, so a window task holds n / 10^6 rows of a stratum),
-    ranked inside (stratum, bucket), and shifted by the counts of the lower buckets. The
-    stratum sizes come from the same bucket-count table, so there is no counting pass.
+    (by default from the largest stratum's size, which one narrow count gives, so that a bucket
+    holds about 2^16 rows), ranked inside (stratum, bucket), and shifted by the counts of the
+    lower buckets.
     """
     if bits is None:
-        bits = RANK_BITS if max_group_rows is None else max(choose_bits(max_group_rows), 0)
+        if max_group_rows is None:
+            sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")) if strata else df.agg(F.count(F.lit(1)).alias("n"))
+            max_group_rows = sizes.agg(F.max("n")).first()[0] or 0
+        bits = choose_bits(max_group_rows)
     chunk = F.shiftright(F.col(hbits), 52 - bits) if bits > 0 else F.lit(0)
     if not strata:
         d = df.withColumn("_all", F.lit(0))

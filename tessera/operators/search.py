@@ -1,39 +1,43 @@
 """Ensemble search loop (EN11, EN12, EN14, EN16, EN19, S12, S13).
 
-The driver loop holds only tiny state (current score, temperature, plateau counter,
-accepted ids). Data stays in Spark:
-
-  * the greedy ensemble state is one row per validation row: (row_id, label, sum_p, n);
-    a candidate's ensemble prediction is (sum_p + p_c) / (n + 1), so a whole batch is
-    scored with ONE join and ONE multi-candidate AUC pass (D9);
-  * candidate samples for a whole batch come from one pass over the pool (SM5);
-  * candidate fits are Spark aggregations / ``pyspark.ml`` jobs submitted from a driver
-    thread pool; each runs in its own job group and is cancelled on timeout (EN19);
-  * the ensemble state is ``checkpoint()``-ed every batch into the shared checkpoint
-    folder (lineage cut, survives executor loss), the candidate predictions and the log
-    are appended to tables, and a state row is saved so a restarted driver resumes (S13).
+The driver loop holds only tiny state (current score, temperature, plateau counter, accepted
+ids). Data stays in Spark:
+
+  * a candidate is a random pipeline over the whole model pool (FE38), fitted on its own exact
+    stratified pre-sample of the pool (SM5, one pass for the batch), in a driver thread pool;
+    each runs in its own job group. A timer sets the candidate's event and cancels the group,
+    and the deadline is checked again before every stage of a fit (EN19);
+  * the batch's validation predictions are written once and read back as one array per row, next
+    to the ensemble's sums;
+  * candidates are decided in order, each against the ensemble with the accepted ones before it:
+    one pass scores all, and only an acceptance scores the rest again. The current score is
+    always the AUC of the saved ensemble. The search starts from an empty ensemble with score 0;
+    the founder (EN12) is scored as a baseline and not added;
+  * every batch writes its predictions, log, ensemble sums and at last its state under folders of
+    its own number with overwrite: the state row commits the batch, and a batch that was cut off
+    is written again, so a restarted driver resumes exactly once (S13).
 """
 
 from __future__ import annotations
 
-import math
+import json
 import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import config_hash, py_uniform
+from ..functions.hashing import hash_uniform, py_uniform
 from ..sources import sinks
-from . import models as M
+from . import ensemble as E
 from .metrics import auc
+from .models import ml_probability
+from .pipeline import apply_pipeline, draw_spec, fit_pipeline
 from .sampling import candidate_presample, stratified_sample
 
-FAMILIES = ["naive_bayes", "lda", "qda", "ridge", "logistic"]
-
 
 @dataclass
 class SearchConfig:
@@ -43,66 +47,53 @@ class SearchConfig:
     batch_size: int = 4
     t0: float = 0.01
     decay: float = 0.9
-    plateau_limit: int = 5
+    plateau_limit: int = 100
     row_fraction: tuple = (0.2, 0.6)
-    families: list = field(default_factory=lambda: list(FAMILIES))
+    column_fraction: tuple = (0.5, 1.0)
+    models: list | None = None  # None: every enabled model of the pool
     timeout_sec: float = 900.0
     parallelism: int = 2
 
 
-class _Fitted:
-    def __init__(self, kind, model, features):
-        self.kind, self.model, self.features = kind, model, features
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        if self.kind == "logistic":
-            return M.ml_probability(self.model.transform(M.assemble(df, self.features))).drop("features")
-        return self.model.transform(df)
-
-
-def draw_candidate(cfg: SearchConfig, it: int) -> dict:
-    u = lambda salt: py_uniform(cfg.seed, salt, it)
-    kind = cfg.families[int(u("family") * len(cfg.families))]
-    lo, hi = cfg.row_fraction
-    params = {"row_fraction": round(lo + (hi - lo) * u("rows"), 4)}
-    if kind == "qda":
-        params["reg"] = round(10 ** (-4 + 4 * u("reg")), 6)
-    elif kind == "ridge":
-        params["alpha"] = round(10 ** (-2 + 4 * u("alpha")), 6)
-    elif kind == "logistic":
-        params["C"] = round(10 ** (-1 + 2 * u("C")), 6)
-    return {"iteration": it, "kind": kind, "params": params, "hash": config_hash({"kind": kind, **params})}
-
-
-def fit_candidate(kind: str, params: dict, train: DataFrame, features: list[str]) -> _Fitted:
-    if kind == "naive_bayes":
-        return _Fitted(kind, M.GaussianNB(features).fit(train), features)
-    if kind == "lda":
-        return _Fitted(kind, M.LDA(features).fit(train), features)
-    if kind == "qda":
-        return _Fitted(kind, M.QDA(features, reg=params["reg"]).fit(train), features)
-    if kind == "ridge":
-        return _Fitted(kind, M.Ridge(features, alpha=params["alpha"]).fit(train), features)
-    if kind == "logistic":
-        n = train.count()
-        est = M.ml_estimator("logistic", {"C": params["C"]}, label="label", n_rows=n)
-        return _Fitted(kind, est.fit(M.assemble(train, features)), features)
-    raise ValueError(kind)
-
-
-def _with_timeout(spark: SparkSession, group: str, seconds: float, fn):
-    sc = spark.sparkContext
-    sc.setJobGroup(group, f"candidate {group}", interruptOnCancel=True)
-    timer = threading.Timer(seconds, sc.cancelJobGroup, [group])
-    timer.start()
-    try:
-        return fn()
-    finally:
-        timer.cancel()
-        sc.setLocalProperty("spark.jobGroup.id", None)
+class CandidateTimeout(Exception):
+    pass
+
+
+class Deadline:
+    """A candidate's time limit: an event that a timer sets, while it cancels the job group."""
+
+    def __init__(self, spark: SparkSession, group: str, seconds: float):
+        self.sc, self.group, self.seconds, self.passed = spark.sparkContext, group, seconds, threading.Event()
+
+    def _end(self):
+        self.passed.set()
+        self.sc.cancelJobGroup(self.group)
+
+    def check(self):
+        if self.passed.is_set():
+            raise CandidateTimeout(f"{self.group} passed {self.seconds} s")
+
+    def run(self, fn):
+        self.sc.setJobGroup(self.group, f"candidate {self.group}", interruptOnCancel=True)
+        timer = threading.Timer(self.seconds, self._end)
+        timer.start()
+        try:
+            out = fn()
+            self.check()
+            return out
+        except Exception:
+            self.check()  # a cancelled job fails with an error of its own
+            raise
+        finally:
+            timer.cancel()
+            self.sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def accept(delta: float, temperature: float, u: float) -> tuple[bool, str]:
+    import math
+
+    if delta != delta:
+        return False, "rejected: no score"
     if delta > 0:
         return True, "improvement"
     if delta == 0:
@@ -112,139 +103,201 @@ def accept(delta: float, temperature: float, u: float) -> tuple[bool, str]:
     return False, "rejected: worse score"
 
 
+def score_candidates(sums: DataFrame, n_models: int, width: int, added: list[int], candidates: list[int]) -> dict[int, float | None]:
+    """AUC of the ensemble (``n_models`` summed in sum_p, plus the batch's ``added`` positions) with
+    each of ``candidates`` on top: one pass. ``sums`` has label, sum_p and the array p."""
+    base = F.col("sum_p") + sum((F.col("p")[i] for i in added), F.lit(0.0))
+    n = n_models + len(added) + 1
+    rows = sums.select("label", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), ((base + F.col("p")[i]) / F.lit(float(n))).alias("s"))
+                                                    for i in candidates])).alias("x")).select("label", "x.*")
+    return {r["c"]: r["auc"] for r in auc(rows, "s", "label", by=["c"]).collect()}
+
+
 def run_search(spark: SparkSession, pool: DataFrame, features: list[str], cfg: SearchConfig, base_path: str) -> dict:
-    """Run (or resume) a search; returns paths of the log, predictions and state tables."""
-    log_path, pred_path, state_path = f"{base_path}/log", f"{base_path}/preds", f"{base_path}/state"
-    train = pool.filter(F.col("split") == "train").select("row_id", "label", *features)
-    val = pool.filter(F.col("split") == "val1").select("row_id", "label", *features).checkpoint()
+    """Run (or resume) a search; returns the paths of the log, predictions and state tables."""
+    paths = {k: f"{base_path}/{k}" for k in ("log", "preds", "ensemble", "state")}
+    train = pool.filter(F.col("split") == "train").select("row_id", "label", *features).persist(StorageLevel.MEMORY_AND_DISK)
+    val = pool.filter(F.col("split") == "val1").select("row_id", "label", *features).persist(StorageLevel.MEMORY_AND_DISK)
+    temperature = E.Temperature(cfg.t0)
 
-    st = sinks.load_state(spark, state_path, cfg.run_id)
+    st = sinks.load_state(spark, paths["state"], cfg.run_id)
     if st is None:
-        # EN12 founder: one random pipeline on 10 % of the pool, scored, not added.
-        founder_kind = cfg.families[int(py_uniform(cfg.seed, "founder", 0) * len(cfg.families))]
-        fsample = stratified_sample(train, "row_id", "label", 0.1, seed=cfg.seed, salt="founder")
-        founder = fit_candidate(founder_kind, draw_candidate(cfg, 0)["params"] | {"reg": 1e-3, "alpha": 1.0, "C": 1.0},
-                                fsample, features)
-        fa = auc(founder.predict(val), "p", "label").first()["auc"] or 0.0
-        sinks.append_log(sinks.to_log_schema(spark.createDataFrame(
-            [(0, cfg.run_id, float(fa), False, "founder baseline", founder_kind, cfg.t0)],
-            "iteration_num long, ensemble_id string, stage1_val_auc double, accepted boolean, rejection_reason string, "
-            "classifier_type string, temperature double").withColumn("run_id", F.lit(0).cast("bigint"))
-            .withColumn("timestamp", F.current_timestamp())), log_path)
-        st = {"run_id": cfg.run_id, "iteration": 0, "temperature": cfg.t0, "current_score": float(fa),
-              "best_score": float(fa), "plateau": 0, "n_models": 0, "history": []}
-        ens = val.select("row_id", "label", F.lit(0.0).alias("sum_p"), F.lit(0).cast("bigint").alias("n"))
-    else:
-        ens = spark.read.parquet(f"{state_path}/ens/{st['iteration']}")
-    ens = ens.checkpoint()
-
-    start_batch = st["iteration"] // cfg.batch_size
-    for b in range(start_batch, cfg.n_batches):
+        # EN12 founder: one random pipeline on 10 % of the pool, scored, not added; it is batch 0.
+        spec = draw_spec(features, cfg.seed, 0, cfg.models, cfg.row_fraction, cfg.column_fraction)
+        sample = stratified_sample(train, "row_id", "label", 0.1, seed=cfg.seed, salt="founder")
+        ops, _, model = fit_pipeline(spec, sample)
+        score = auc(apply_pipeline(ops, model, val).select("p", "label"), "p", "label").first()["auc"] or 0.0
+        _write_log(spark, paths["log"], cfg, 0, [{"iteration_num": 0, "stage1_val_auc": float(score), "rejection_reason": "founder baseline",
+                                                  "temperature": cfg.t0, **_described(spec)}])
+        val.select("row_id", "label", F.lit(0.0).alias("sum_p")).write.mode("overwrite").parquet(f"{paths['ensemble']}/batch=0")
+        st = {"run_id": cfg.run_id, "batch": 0, "temperature": cfg.t0, "current_score": 0.0, "best_score": 0.0, "plateau": 0, "accepted": []}
+        sinks.save_state(spark, paths["state"], st)
+    temperature.set(st["temperature"])
+
+    for b in range(st["batch"] + 1, cfg.n_batches + 1):
         if st["plateau"] >= cfg.plateau_limit:
             break
-        cands = [draw_candidate(cfg, b * cfg.batch_size + i + 1) for i in range(cfg.batch_size)]
-        # SM5: one pass assigns pool rows to every candidate of the batch
-        member = candidate_presample(train.select("row_id"), "row_id",
-                                     [(c["iteration"], c["params"]["row_fraction"], cfg.seed + c["iteration"]) for c in cands])
-        # one pass over the pool for the whole batch; the (candidate, row) table is reused
-        # by every candidate's fit instead of re-expanding the pool per candidate
+        its = [(b - 1) * cfg.batch_size + i + 1 for i in range(cfg.batch_size)]
+        specs = [draw_spec(features, cfg.seed, it, cfg.models, cfg.row_fraction, cfg.column_fraction) for it in its]
+        member = candidate_presample(train, "row_id", "label", [(s.iteration, s.row_fraction, cfg.seed + s.iteration) for s in specs])
         member = member.persist(StorageLevel.MEMORY_AND_DISK)
+        results = _fit_batch(spark, cfg, specs, train, member)
+        st = _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature)
+        member.unpersist()
+    train.unpersist()
+    val.unpersist()
+    return {**paths, "final": st, "run_id": cfg.run_id}
+
+
+def _described(spec) -> dict:
+    return {"classifier_type": spec.model, "transformers_used": [n for n, _ in spec.feature_ops],
+            "use_pca": spec.reduction is not None, "dim_reduction": spec.reduction[0] if spec.reduction else None,
+            "pca_components": float(spec.reduction[1]["n_components"]) if spec.reduction else None, "pipeline_hash": spec.hash()}
+
+
+def _fit_batch(spark, cfg, specs, train, member) -> list[tuple]:
+    """(fitted or None, reason, seconds, timed out) of each candidate, in order."""
 
-        def job(c):
-            t_start = time.time()
-            try:
-                sample = train.join(member.filter(F.col("candidate_id") == c["iteration"]).select("row_id"), "row_id", "left_semi")
-                fitted = _with_timeout(spark, f"{cfg.run_id}-{c['iteration']}", cfg.timeout_sec,
-                                       lambda: fit_candidate(c["kind"], c["params"], sample, features))
-                return c, fitted, None, time.time() - t_start
-            except Exception as e:  # noqa: BLE001 - EN19: a failed candidate becomes a rejected row
-                return c, None, f"error: {type(e).__name__}", time.time() - t_start
-
-        with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
-            results = list(ex.map(job, cands))
-        ok = [(c, f) for c, f, err, _ in results if f is not None]
+    def job(spec):
+        began = time.time()
+        deadline = Deadline(spark, f"{cfg.run_id}-{spec.iteration}", cfg.timeout_sec)
+        try:
+            sample = train.join(member.filter(F.col("candidate_id") == spec.iteration).select("row_id"), "row_id", "left_semi")
+            return deadline.run(lambda: fit_pipeline(spec, sample, check=deadline.check)), "", time.time() - began, False
+        except CandidateTimeout:
+            return None, "timeout", time.time() - began, True
+        except Exception as e:  # noqa: BLE001 - EN19: a failed candidate becomes a rejected row
+            return None, f"error: {type(e).__name__}", time.time() - began, False
+
+    with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
+        return list(ex.map(job, specs))
+
+
+def _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature) -> dict:
+    fitted = [i for i, (f, _, _, _) in enumerate(results) if f is not None]
+    own, log, accepted = f"{paths['preds']}/batch={b}", [], []
+    sums = spark.read.parquet(f"{paths['ensemble']}/batch={st['batch']}")
+    if fitted:
         long = None
-        for c, f in ok:
-            p = f.predict(val).select("row_id", F.lit(c["iteration"]).cast("bigint").alias("cand"), "p")
+        for i in fitted:
+            ops, _, model = results[i][0]
+            p = apply_pipeline(ops, model, val).select("row_id", F.lit(specs[i].iteration).alias("model_id"), F.col("p").cast("double").alias("p"))
             long = p if long is None else long.unionByName(p)
-        scores = {}
-        if long is not None:
-            long = long.checkpoint()
-            long.write.mode("append").partitionBy("cand").parquet(pred_path)
-            j = long.join(ens, "row_id").withColumn("ens_p", (F.col("sum_p") + F.col("p")) / (F.col("n") + 1))
-            # ensemble-with-candidate and candidate-alone AUCs of the whole batch in ONE pass
-            both = (j.select("cand", "label", F.col("ens_p").alias("s"), F.lit("ens").alias("kind"))
-                    .unionByName(j.select("cand", "label", F.col("p").alias("s"), F.lit("own").alias("kind"))))
-            got = {(r["cand"], r["kind"]): r["auc"] for r in auc(both, "s", "label", by=["cand", "kind"]).collect()}
-            scores = {k: (got.get((k, "ens")) or 0.0, got.get((k, "own")) or 0.0) for k, kind in got if kind == "ens"}
-        log_rows, accepted_ids = [], []
-        for c, f, err, secs in results:
-            it = c["iteration"]
-            if err is not None or it not in scores:
-                log_rows.append((it, 0.0, 0.0, False, err or "no score", c["kind"], st["temperature"], c["hash"], secs,
-                                 err is not None and "Cancel" in err, st["n_models"]))
-                continue
-            ens_auc, own = scores[it]
-            ok_, reason = accept(ens_auc - st["current_score"], st["temperature"], py_uniform(cfg.seed, "accept", it))
-            if ok_:
-                st["current_score"] = ens_auc
-                st["n_models"] += 1
-                accepted_ids.append(it)
-            log_rows.append((it, float(ens_auc), float(own), ok_, "" if ok_ else reason, c["kind"], st["temperature"],
-                             c["hash"], secs, False, st["n_models"]))
-        improved = st["current_score"] > st["best_score"]
-        st["best_score"] = max(st["best_score"], st["current_score"])
-        st["plateau"] = 0 if improved else st["plateau"] + 1
-        if accepted_ids:
-            add = (long.filter(F.col("cand").isin(accepted_ids)).groupBy("row_id")
-                   .agg(F.sum("p").alias("_sp"), F.count(F.lit(1)).alias("_n")))
-            ens = (ens.join(add, "row_id", "left")
-                   .select("row_id", "label", (F.col("sum_p") + F.coalesce("_sp", F.lit(0.0))).alias("sum_p"),
-                           (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))).checkpoint()
-        schema = ("iteration_num long, stage1_val_auc double, single_auc double, accepted boolean, rejection_reason string, "
-                  "classifier_type string, temperature double, pipeline_hash string, training_time_sec double, "
-                  "timeout boolean, num_models long")
-        logdf = (spark.createDataFrame(log_rows, schema).withColumn("ensemble_id", F.lit(cfg.run_id))
-                 .withColumn("run_id", F.lit(0).cast("bigint")).withColumn("timestamp", F.current_timestamp()))
-        sinks.append_log(sinks.to_log_schema(logdf), log_path)
-        st["iteration"] = (b + 1) * cfg.batch_size
-        st["temperature"] = st["temperature"] * cfg.decay
-        st["history"] = (st["history"] + [round(st["current_score"], 6)])[-50:]
-        ens.write.mode("overwrite").parquet(f"{state_path}/ens/{st['iteration']}")
-        sinks.save_state(spark, state_path, st)
-        member.unpersist()
-    return {"log": log_path, "preds": pred_path, "state": state_path, "final": st}
-
-
-def meta_learner(spark: SparkSession, pool: DataFrame, paths: dict, seed: int = 42) -> dict:
-    """EN13/EN14/EN16: stack the accepted candidates' validation predictions (pivot),
-    tune a logistic meta-learner with ``TrainValidationSplit`` on the meta-train part
-    (val1 rows with u < 0.9) and score the held-out 10 % (never the training rows)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
-    from ..functions.hashing import hash_uniform
-
-    log = sinks.read_log(spark, paths["log"]).filter(F.col("accepted") & (F.col("iteration_num") > 0))
-    acc = sorted(r["iteration_num"] for r in log.select("iteration_num").collect())
-    if not acc:
-        return {"n_models": 0, "meta_auc": None, "mean_auc": None, "best_reg": None}
-    preds = spark.read.parquet(paths["preds"]).filter(F.col("cand").isin(acc))
-    wide = preds.groupBy("row_id").pivot("cand", acc).agg(F.first("p"))
-    cols = [str(a) for a in acc]
-    lab = pool.filter(F.col("split") == "val1").select("row_id", "label")
-    d = (wide.join(lab, "row_id").withColumn("part", F.when(hash_uniform(seed, "meta", "row_id") < 0.9, "train")
-                                                  .otherwise("holdout")))
-    d = VectorAssembler(inputCols=cols, outputCol="features").transform(d).withColumn("label", F.col("label").cast("double"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8, seed=seed, parallelism=2)
-    model = tvs.fit(d.filter(F.col("part") == "train"))
-    hold = M.ml_probability(model.transform(d.filter(F.col("part") == "holdout")))
-    meta_auc = auc(hold, "p", "label").first()["auc"]
-    mean_auc = auc(hold.withColumn("m", sum(F.col(c) for c in cols) / len(cols)), "m", "label").first()["auc"]
-    best = model.bestModel.getOrDefault("regParam")
-    return {"n_models": len(acc), "meta_auc": meta_auc, "mean_auc": mean_auc, "best_reg": float(best)}
+        long.write.mode("overwrite").parquet(own)
+        preds = spark.read.schema("row_id bigint, model_id int, p double").parquet(own)
+        cell = lambda i: F.max(F.when(F.col("model_id") == specs[i].iteration, F.col("p")))
+        sums = sums.join(preds.groupBy("row_id").agg(F.array(*[cell(i) for i in fitted]).alias("p")), "row_id").persist(StorageLevel.MEMORY_AND_DISK)
+        earlier = _accepted_predictions(spark, paths, st["accepted"])
+        models = [it for _, it in st["accepted"]] + [specs[i].iteration for i in fitted]
+        mat = E.correlation_matrix(preds if earlier is None else earlier.unionByName(preds), models)
+        place = {it: k for k, it in enumerate(models)}
+        alone = {r["model_id"]: r["auc"] for r in auc(preds.join(val.select("row_id", "label"), "row_id"), "p", "label", by=["model_id"]).collect()}
+        scores = score_candidates(sums, len(st["accepted"]), len(fitted), [], list(range(len(fitted))))
+    score, best, plateau, taken = st["current_score"], st["best_score"], st["plateau"], list(st["accepted"])
+    for i, (spec, (f, reason, seconds, late)) in enumerate(zip(specs, results, strict=True)):
+        row = {"iteration_num": spec.iteration, "temperature": temperature.value, "training_time_sec": seconds, "timeout": late, **_described(spec)}
+        k = fitted.index(i) if f is not None else None
+        got = scores.get(k) if k is not None else None
+        if got is None:
+            plateau += 1
+            log.append({**row, "stage1_val_auc": 0.0, "accepted": False, "rejection_reason": reason or "no score", "num_models": len(taken)})
+            continue
+        ok, why = accept(got - score, temperature.value, py_uniform(cfg.seed, "accept", spec.iteration))
+        members = [place[it] for _, it in taken] + [place[spec.iteration]]
+        log.append({**row, "stage1_val_auc": float(got), "single_auc": alone.get(spec.iteration), "accepted": ok, "rejection_reason": "" if ok else why,
+                    "diversity_score": E.diversity_abs(mat[members][:, members]), "num_models": len(taken) + ok})
+        if ok:
+            score = float(got)
+            taken.append((b, spec.iteration))
+            accepted.append(k)
+            rest = [j for j in range(k + 1, len(fitted))]
+            if rest:  # the others now stand against a larger ensemble
+                scores.update(score_candidates(sums, len(st["accepted"]), len(fitted), accepted, rest))
+        if ok and score > best:
+            best, plateau = score, 0
+        else:
+            plateau += 1
+    _write_log(spark, paths["log"], cfg, b, log)
+    added = sum((F.col("p")[k] for k in accepted), F.lit(0.0)) if accepted else F.lit(0.0)
+    sums.select("row_id", "label", (F.col("sum_p") + added).alias("sum_p")).write.mode("overwrite").parquet(f"{paths['ensemble']}/batch={b}")
+    if fitted:
+        sums.unpersist()
+    temperature.decay(cfg.decay)
+    st = {"run_id": cfg.run_id, "batch": b, "temperature": temperature.value, "current_score": score, "best_score": best, "plateau": plateau,
+          "accepted": taken}
+    sinks.save_state(spark, paths["state"], st)  # commits the batch
+    return st
+
+
+def _accepted_predictions(spark, paths, accepted: list) -> DataFrame | None:
+    if not accepted:
+        return None
+    folders = sorted({f"{paths['preds']}/batch={b}" for b, _ in accepted})
+    return (spark.read.schema("row_id bigint, model_id int, p double").parquet(*folders)
+            .filter(F.col("model_id").isin(*[it for _, it in accepted])))
+
+
+def _write_log(spark, path: str, cfg, b: int, rows: list[dict]) -> None:
+    schema = ("iteration_num long, stage1_val_auc double, single_auc double, accepted boolean, rejection_reason string, diversity_score double, "
+              "classifier_type string, transformers_used array<string>, use_pca boolean, dim_reduction string, pca_components double, "
+              "temperature double, pipeline_hash string, training_time_sec double, timeout boolean, num_models long")
+    names = [f.strip().split(" ")[0] for f in schema.split(", ")]
+    df = spark.createDataFrame([tuple({"accepted": False, "timeout": False, "num_models": 0, **r}.get(n) for n in names) for r in rows], schema)
+    df = df.withColumn("ensemble_id", F.concat(F.lit("ensemble_"), F.col("iteration_num"))).withColumn("timestamp", F.current_timestamp())
+    out = sinks.to_log_schema(df).drop("run_id")
+    out.write.mode("overwrite").parquet(f"{path}/run_id={cfg.run_id}/batch={b}")
+
+
+def ensemble_probability(spark: SparkSession, res: dict) -> DataFrame:
+    """(row_id, label, p) of the saved ensemble on the validation rows: the mean of the accepted."""
+    st = res["final"]
+    n = max(1, len(st["accepted"]))
+    sums = spark.read.parquet(f"{res['ensemble']}/batch={st['batch']}")
+    return sums.select("row_id", "label", (F.col("sum_p") / F.lit(float(n))).alias("p"))
+
+
+# ---------------------------------------------------------------- EN14 / EN16 meta-learner
+def meta_frame(probabilities: DataFrame, models: list[int], seed: int = 42) -> DataFrame:
+    """EN13 rows: every val1 row and the 90 % of val2 below the hash level train the
+    meta-learner, the rest of val2 is held out. ``probabilities`` is (row_id, split, label,
+    model_id, p); the stacked row has the array ``v`` in the order of ``models``."""
+    at = F.array(*[F.coalesce(F.max(F.when(F.col("model_id") == m, F.col("p"))), F.lit(0.0)) for m in models])
+    part = F.when((F.col("split") == "val1") | (hash_uniform(seed, "meta", "row_id") < 0.9), "meta_train").otherwise("meta_holdout")
+    return (probabilities.filter(F.col("model_id").isin(*models)).groupBy("row_id", "split", "label").agg(at.alias("v"))
+            .withColumn("part", part))
+
+
+def meta_learner(frame: DataFrame, n_models: int, form: str = "logistic", n_draws: int = 4, seed: int = 42) -> dict:
+    """EN14: a meta-learner of the stacked probabilities, ``logistic`` or ``mlp``; EN16: its
+    hyper-parameters are drawn ``n_draws`` times and chosen by the AUC on a hash-held fifth of
+    the meta-train rows; the result is scored on the held-out rows only."""
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    d = frame.withColumn("features", array_to_vector("v")).withColumn("label", F.col("label").cast("double"))
+    d = d.withColumn("fold", F.when(hash_uniform(seed, "metafold", "row_id") < 0.2, "tune").otherwise("fit")).persist(StorageLevel.MEMORY_AND_DISK)
+    train, hold = d.filter(F.col("part") == "meta_train"), d.filter(F.col("part") == "meta_holdout")
+
+    def estimator(i):
+        u = lambda salt: py_uniform(seed, f"meta|{salt}", i)
+        if form == "logistic":
+            params = {"regParam": 10 ** (-4 + 3 * u("reg")), "elasticNetParam": u("mix")}
+            return params, LogisticRegression(**params, maxIter=200)
+        params = {"hidden": 4 + int(u("hidden") * 13), "stepSize": 10 ** (-2 + u("step"))}
+        return params, MultilayerPerceptronClassifier(layers=[n_models, params["hidden"], 2], stepSize=params["stepSize"], maxIter=100, seed=seed)
+
+    scored = lambda m, part: ml_probability(m.transform(part)).select("p", "label")
+    trials = []
+    for i in range(n_draws):
+        params, est = estimator(i)
+        model = est.fit(train.filter(F.col("fold") == "fit"))
+        trials.append((auc(scored(model, train.filter(F.col("fold") == "tune")), "p", "label").first()["auc"] or 0.0, -i, params, est))
+    best = max(trials, key=lambda t: t[:2])
+    model = best[3].fit(train)
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.lit(float(n_models))
+    out = {"n_models": n_models, "form": form, "params": json.dumps(best[2], sort_keys=True), "tune_auc": float(best[0]),
+           "meta_auc": auc(scored(model, hold), "p", "label").first()["auc"],
+           "mean_auc": auc(hold.withColumn("m", mean), "m", "label").first()["auc"],
+           "n_train": train.count(), "n_holdout": hold.count(), "model": model}
+    d.unpersist()
+    return out

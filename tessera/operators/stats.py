@@ -1,23 +1,27 @@
 """Column statistics in one pass (D5, D6): every fit collects O(columns) numbers.
 
-``exact_quantiles`` returns linear-interpolated quantiles equal to numpy's default /
-DuckDB ``quantile_cont``. Small inputs use Spark's exact ``percentile``; above
-``DIRECT_LIMIT`` non-null rows it brackets each target rank with ``percentile_approx``,
-counts the rows below the bracket and reads the exact order statistics from the rows
-inside it, so no value->count map of a huge column is ever built in one task.
+``exact_quantiles`` returns linear-interpolated quantiles equal to numpy's default / DuckDB
+``quantile_cont`` by one plan at every size, for all columns and ranks together:
+
+1. counts and ``EDGES`` approximate quantiles of every column, one aggregation;
+2. exact counts, minima and maxima of the buckets between these edges, one aggregation. A value
+   that is an edge has a bucket of its own, so a value that fills many rows needs no sorting;
+3. ranks within the buckets that hold a wanted rank and more than one value: a bucket is one
+   bounded window partition, and only the rows at wanted ranks come back.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import finite_or_null
+from ..functions.scalar import double_array, finite_or_null
 
-DIRECT_LIMIT = 1_000_000
-BRACKET_ROWS = 1_000_000
+#: Approximate quantiles that cut a column in buckets, and their accuracy.
+EDGES, ACCURACY = 256, 10_000
 
 
 def _targets(n: int, p: float):
@@ -26,76 +30,67 @@ def _targets(n: int, p: float):
     return lo, min(lo + 1, n - 1), h - lo
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: bool = True) -> dict:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: bool = True, n_edges: int = EDGES) -> dict:
     """{col: [q(p) for p in probs]} with None for columns without finite values."""
     if not cols:
         return {}
     val = (lambda c: finite_or_null(c)) if clean else (lambda c: F.col(c).cast("double"))
-    counts = df.agg(*[F.count(val(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    ns = [counts[f"n{i}"] for i in range(len(cols))]
-    out: dict = {}
-    direct = [c for c, n in zip(cols, ns) if 0 < n <= DIRECT_LIMIT]
-    if direct:
-        arr = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(*[F.percentile(val(c), arr).alias(f"q{i}") for i, c in enumerate(direct)]).first()
-        for i, c in enumerate(direct):
-            out[c] = list(row[f"q{i}"])
-    for c, n in zip(cols, ns):
-        if n == 0:
-            out[c] = [None] * len(probs)
-        elif n > DIRECT_LIMIT:
-            out[c] = [_bracketed(df, val(c), n, p) for p in probs]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), val(c).alias("x")) for i, c in enumerate(cols)]))
+    x = df.select(cells.alias("s")).select("s.*").where("x is not null")
+    levels = double_array([i / n_edges for i in range(n_edges + 1)])
+    first = {r["c"]: r for r in x.groupBy("c").agg(  # one row per column
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.percentile_approx("x", levels, ACCURACY))).alias("edges")).collect()}
+    counts = [first[i]["n"] if i in first else 0 for i in range(len(cols))]
+    spans: dict[int, list] = {i: [] for i in range(len(cols))}
+    values: dict[tuple[int, int], float] = {}
+    wanted: dict[tuple[int, int], list] = {}
+    if first:
+        spark = df.sparkSession
+        edges = spark.createDataFrame([(c, r["edges"]) for c, r in first.items()], "c int, edges array<double>")
+        x = x.join(F.broadcast(edges), "c").withColumn("b", _bucket(n_edges + 1)).drop("edges")  # a row per column
+        for r in x.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            spans[r["c"]].append((r["b"], r["n"], r["lo"], r["hi"]))  # at most 2 * EDGES + 1 buckets a column
+    for i, n in enumerate(counts):
+        below, buckets, starts = 0, sorted(spans[i]), []
+        for _, size, _, _ in buckets:
+            starts.append(below)
+            below += size
+        for k in sorted({k for p in probs for k in _targets(n, p)[:2]}) if n else []:
+            at = bisect.bisect_right(starts, k) - 1
+            b, size, lo, hi = buckets[at]
+            if lo == hi or k == starts[at]:
+                values[i, k] = lo
+            elif k == starts[at] + size - 1:
+                values[i, k] = hi
+            else:
+                wanted.setdefault((i, b), []).append((k - starts[at] + 1, k))
+    if wanted:
+        table = spark.createDataFrame([(i, b, [r for r, _ in ks]) for (i, b), ks in wanted.items()], "c int, b int, ranks array<bigint>")
+        near = x.join(F.broadcast(table), ["c", "b"])  # at most two rows per column and probability
+        rank = F.row_number().over(Window.partitionBy("c", "b").orderBy("x"))
+        back = {key: dict(ks) for key, ks in wanted.items()}
+        for r in near.withColumn("r", rank).where(F.array_contains("ranks", F.col("r").cast("bigint"))).select("c", "b", "r", "x").collect():
+            values[r["c"], back[r["c"], r["b"]][r["r"]]] = r["x"]
+    out = {}
+    for i, c in enumerate(cols):
+        n = counts[i]
+        ends = [_targets(n, p) for p in probs] if n else []
+        out[c] = [values[i, lo] + (values[i, hi] - values[i, lo]) * f for lo, hi, f in ends] if n else [None] * len(probs)
     return out
 
 
-def _order_stats(df: DataFrame, v, n: int, ranks: list[int]) -> dict:
-    """Exact 0-based order statistics by bracket refinement.
-
-    The bracket [lo, hi] always contains the k-th value and ``below`` counts the rows under
-    it. Each round asks ``percentile_approx`` (over the bracket's rows only) for values
-    just below and above the target's relative rank, then counts rows below / inside the
-    new bracket in one aggregation; an approximate miss widens the probe. A bracket whose
-    rows fit under ``BRACKET_ROWS`` is collected sorted; a zero-width bracket (ties) is the
-    answer itself."""
-    x = df.select(v.alias("x")).filter(F.col("x").isNotNull())
-    res = {}
-    for k in ranks:
-        lo, hi, below, inside = None, None, 0, n
-        acc, width = 10_000, 4.0 / 10_000
-        for _ in range(40):
-            if lo is not None and lo == hi:
-                res[k] = lo
-                break
-            if inside <= BRACKET_ROWS:
-                sub = x
-                if lo is not None:
-                    sub = sub.filter((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-                vals = sub.agg(F.sort_array(F.collect_list("x")).alias("xs")).first()["xs"]
-                res[k] = vals[k - below]
-                break
-            sub = x if lo is None else x.filter((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-            rel = (k - below + 0.5) / inside
-            ps = [max(0.0, rel - width), min(1.0, rel + width)]
-            b = sub.agg(F.percentile_approx("x", F.array(*[F.lit(q) for q in ps]), acc).alias("b")).first()["b"]
-            a_lo, a_hi = b[0], b[1]
-            st = sub.agg(F.count_if(F.col("x") < F.lit(a_lo)).alias("below"),
-                         F.count_if((F.col("x") >= F.lit(a_lo)) & (F.col("x") <= F.lit(a_hi))).alias("inside")).first()
-            nb, ni = below + st["below"], st["inside"]
-            if nb <= k < nb + ni:
-                lo, hi, below, inside = a_lo, a_hi, nb, ni
-                width = max(width / 4, 1.0 / acc)
-            else:
-                width *= 4
-                acc = min(acc * 4, 1_000_000)
-        else:
-            raise RuntimeError("quantile bracket did not converge")
-    return res
+def _bucket(most_edges: int) -> Column:
+    """2 * (edges below x) for a value between edges, one more for an edge: binary lifting over
+    the sorted column ``edges`` in one expression."""
+    n, e, x = F.size("edges"), F.col("edges"), F.col("x")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most_edges.bit_length()))])
 
+    def lift(acc, s):
+        cand = acc + s
+        return F.when(cand <= n, F.when(F.get(e, cand - 1) < x, cand).otherwise(acc)).otherwise(acc)
 
-def _bracketed(df: DataFrame, v, n: int, p: float) -> float:
-    lo, hi, frac = _targets(n, p)
-    st = _order_stats(df, v, n, sorted({lo, hi}))
-    return st[lo] + (st[hi] - st[lo]) * frac
+    below = F.aggregate(steps, F.lit(0), lift)
+    return F.lit(2) * below + F.when(F.get(e, below) == x, 1).otherwise(0)
 
 
 def moments(df: DataFrame, cols: list[str], clean: bool = False) -> dict:
@@ -112,14 +107,15 @@ def moments(df: DataFrame, cols: list[str], clean: bool = False) -> dict:
                     min=r[f"lo{i}"], max=r[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
-def distinct_levels(df: DataFrame, cols: list[str], limit: int = 10_000) -> dict:
-    """Sorted distinct non-null values per categorical column; fails above ``limit`` levels
-    (a categorical with unbounded levels is not one-hot material)."""
+def distinct_levels(df: DataFrame, cols: list[str], limit: int | None = None) -> dict:
+    """Sorted distinct non-null values per categorical column. The levels become columns or
+    codes, so they come to the driver; a caller that can't trust its columns passes ``limit``,
+    and a column with more levels fails (counted exactly)."""
     out = {}
     for c in cols:
-        n = df.agg(F.approx_count_distinct(c).alias("k")).first()["k"]
-        if n > 2 * limit:
-            raise ValueError(f"column {c} has about {n} levels, above {limit}")
-        vals = df.select(c).filter(F.col(c).isNotNull()).distinct().collect()
-        out[c] = sorted(r[0] for r in vals)
+        vals = df.select(c).filter(F.col(c).isNotNull()).distinct()
+        rows = vals.collect() if limit is None else vals.limit(limit + 1).collect()
+        if limit is not None and len(rows) > limit:
+            raise ValueError(f"column {c} has more than {limit} levels")
+        out[c] = sorted(r[0] for r in rows)
     return out

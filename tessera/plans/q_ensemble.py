@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_bits, sql_uniform
-from ..functions.scalar import r6
+from ..functions.scalar import r6, sigmoid
 from ..operators import ensemble as E
 from ..operators.metrics import auc, confusion
 from ..operators.sampling import stratified_split
@@ -22,45 +22,45 @@ ALL = list(range(V.N_MODELS))
 SELECT row_id, round(least(greatest(avg(p), 0.0), 1.0), 6) AS p_mean, round(least(greatest(median(p), 0.0), 1.0), 6) AS p_median,
   CAST(least(greatest(avg(p), 0.0), 1.0) >= 0.5 AS INTEGER) AS label_mean, count(p) AS n_models FROM preds GROUP BY row_id""")
 def en1_en2_row_aggregates(spark, d):
-    p = V.preds(spark, d)
-    m = E.aggregate_rows(p, "mean")
-    md = E.aggregate_rows(p, "median").select("row_id", F.col("p_ens").alias("p_median"))
-    j = m.join(md, "row_id")
-    return j.select("row_id", r6("p_ens").alias("p_mean"), r6("p_median").alias("p_median"),
-                    E.hard_label("p_ens").alias("label_mean"), "n_models")
+    j = E.aggregate_rows(V.preds(spark, d), ["mean", "median"])
+    return j.select("row_id", r6("p_mean").alias("p_mean"), r6("p_median").alias("p_median"),
+                    E.hard_label("p_mean").alias("label_mean"), "n_models")
 
 
-_EN3 = list(range(10))
+FAILED = 63  # EN18: this model counts as failed
 
 
 @register("en3_en18_ensemble_auc_cm", ids=("EN3", "EN18", "MT1", "MT3"), sql=lambda: with_views(
-    "preds", extra=f"""e AS (SELECT row_id, max(label) AS label, avg(p) AS s FROM preds WHERE model_id < {len(_EN3)} GROUP BY row_id), """
+    "preds", extra=f"""e AS (SELECT row_id, max(label) AS label, avg(CASE WHEN model_id = {FAILED} THEN 0.0 ELSE p END) AS s FROM preds GROUP BY row_id), """
     + auc_sql("e", "s", "1")) + """
 SELECT round(coalesce((SELECT auc FROM a), 0.0), 6) AS auc, CAST(count_if(s < 0.5 AND label = 0) AS BIGINT) AS tn, CAST(count_if(s >= 0.5 AND label = 0) AS BIGINT) AS fp,
   CAST(count_if(s < 0.5 AND label = 1) AS BIGINT) AS fn, CAST(count_if(s >= 0.5 AND label = 1) AS BIGINT) AS tp FROM e""")
 def en3_en18_ensemble_auc_cm(spark, d):
-    """EN3 mean-aggregated ensemble AUC (empty -> 0) and EN18 confusion counts."""
-    p = V.preds(spark, d).filter(F.col("model_id").isin(_EN3))
+    """EN3 mean-aggregated ensemble AUC (empty -> 0) and EN18 confusion counts over all models,
+    the failed one as a column of zeros."""
+    p = E.with_failed_as_zeros(V.preds(spark, d).filter(F.col("model_id") != FAILED), ALL)
     e = p.groupBy("row_id").agg(F.max("label").alias("label"), F.avg("p").alias("s"))
     a = auc(e, "s", "label").select(F.coalesce("auc", F.lit(0.0)).alias("auc"))
     c = confusion(e, "s", "label", 0.5).drop("accuracy")
     return a.crossJoin(c).select(r6("auc").alias("auc"), "tn", "fp", "fn", "tp")
 
 
-_ENS, _META = list(range(20)), list(range(12))
+_META = list(range(40))
 
 
 @register("en4_hybrid_score", ids=("EN4",), sql=lambda: with_views("preds") + f"""
 , g AS (SELECT row_id, max(label) AS label,
-  avg(CASE WHEN model_id < 12 THEN score END) AS ms, avg(CASE WHEN model_id >= 12 THEN p END) AS mn
-  FROM preds WHERE model_id < 20 GROUP BY row_id)
-SELECT row_id, label, round(((1.0 / (1.0 + exp(-8.0 * ms))) * 12 + mn * 8) / 20, 6) AS p_hybrid FROM g""")
+  avg(CASE WHEN model_id < 40 THEN score END) AS ms, avg(CASE WHEN model_id >= 40 THEN p END) AS mn
+  FROM preds GROUP BY row_id)
+SELECT row_id, label, round(((1.0 / (1.0 + exp(-8.0 * ms))) * 40 + mn * 24) / 64, 6) AS p_hybrid FROM g""")
 def en4_hybrid_score(spark, d):
-    """EN4: (meta * n_old + mean(new) * n_new) / n with 12 meta members of 20."""
+    """EN4: (meta * n_old + mean(new) * n_new) / n with 40 meta members of 64. The meta-model
+    here is a fixed stacker of the members' raw scores (sigmoid of 8 x their mean)."""
     p = V.preds(spark, d)
-    h = E.hybrid_score(p, _ENS, _META)
-    lab = p.filter(F.col("model_id") == 0).select("row_id", "label")
-    return h.join(lab, "row_id").select("row_id", "label", r6("p_ens").alias("p_hybrid"))
+    meta = p.filter(F.col("model_id").isin(*_META)).groupBy("row_id").agg(
+        sigmoid(F.lit(8.0) * F.avg("score")).alias("p_meta"))
+    h = E.hybrid_score(p, ALL, _META, meta, carry=["label"])
+    return h.select("row_id", "label", r6("p_ens").alias("p_hybrid"))
 
 
 def _corr_pairs_sql(lo, hi):
@@ -84,15 +84,14 @@ def en5_en7_diversity(spark, d):
                                         "std_corr double, n_pairs long, n_models int, is_diverse boolean")
 
 
-@register("en8_correlation_matrix", ids=("EN8",), sql=lambda: with_views("preds", extra=_corr_pairs_sql(0, 15)) + """
+@register("en8_correlation_matrix", ids=("EN8",), sql=lambda: with_views("preds", extra=_corr_pairs_sql(0, 63)) + """
 SELECT model_a, model_b, round(r, 6) AS r FROM pr
 UNION ALL SELECT model_b, model_a, round(r, 6) FROM pr
-UNION ALL SELECT DISTINCT model_id, model_id, 1.0::DOUBLE FROM preds WHERE model_id <= 15""")
+UNION ALL SELECT DISTINCT model_id, model_id, 1.0::DOUBLE FROM preds""")
 def en8_correlation_matrix(spark, d):
     """EN8: full matrix in long form (diagonal 1)."""
-    models = list(range(16))
-    mat = E.correlation_matrix(V.preds(spark, d), models)
-    f = E.matrix_frame(spark, mat, models)
+    mat = E.correlation_matrix(V.preds(spark, d), ALL)
+    f = E.matrix_frame(spark, mat, ALL)
     return f.select("model_a", "model_b", r6("r").alias("r"))
 
 
@@ -105,8 +104,8 @@ SELECT round((SELECT div FROM s WHERE ens = 'A'), 6) AS div_a, round((SELECT div
   round((SELECT div FROM s WHERE ens = 'B') - (SELECT div FROM s WHERE ens = 'A'), 6) AS delta""")
 def en9_compare_ensembles(spark, d):
     p = V.preds(spark, d)
-    a = E.diversity(E.correlation_matrix(p, list(range(32))))
-    b = E.diversity(E.correlation_matrix(p, list(range(32, 64))))
+    mat = E.correlation_matrix(p, ALL)
+    a, b = E.diversity(mat[:32, :32]), E.diversity(mat[32:, 32:])
     return spark.createDataFrame([(round(a, 6), round(b, 6), round(b - a, 6))], "div_a double, div_b double, delta double")
 
 
@@ -130,7 +129,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_bits(42, 'sp
 s AS (SELECT row_id, CASE WHEN rk <= (n * 600000) // 1000000 THEN 'train' WHEN rk <= (n * 950000) // 1000000 THEN 'val1' ELSE 'val2' END AS split FROM r),
 m AS (SELECT s.row_id, s.split, {sql_uniform(42, 'meta', 's.row_id')} AS u FROM s WHERE split <> 'train')
 SELECT p.row_id, CASE WHEN m.split = 'val1' OR m.u < 0.9 THEN 'meta_train' ELSE 'meta_holdout' END AS part,
-  {', '.join(f'round(max(CASE WHEN p.model_id = {i} THEN p.p END), 6) AS m{i}' for i in range(8))}
+  {', '.join(f'round(max(CASE WHEN p.model_id = {i} THEN p.p END), 6) AS m{i}' for i in ALL)}
 FROM preds p JOIN m USING (row_id) GROUP BY p.row_id, part""")
 def en13_meta_training_set(spark, d):
     """EN13: stacked model probabilities on val1 + 90 % of val2 (meta_train); the other
@@ -142,8 +141,8 @@ def en13_meta_training_set(spark, d):
 
     s = s.withColumn("part", F.when((F.col("split") == "val1") | (hash_uniform(42, "meta", "row_id") < 0.9), "meta_train")
                      .otherwise("meta_holdout")).select("row_id", "part")
-    wide = E.wide_matrix(p, list(range(8)))
-    return wide.join(s, "row_id").select("row_id", "part", *[r6(str(i)).alias(f"m{i}") for i in range(8)])
+    wide = E.wide_matrix(p, ALL)
+    return wide.join(s, "row_id").select("row_id", "part", *[r6(str(i)).alias(f"m{i}") for i in ALL])
 
 
 @register("en17_retrain_schedule", ids=("EN17",), sql=lambda: with_views("runlog") + """

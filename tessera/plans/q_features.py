@@ -7,6 +7,8 @@ oracle SQL derives the same state itself instead of hard-coding it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_uniform
@@ -179,19 +181,15 @@ _TAG = {"ratio": "ratio", "product": "product", "difference": "diff", "sum": "su
 , cols AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(NUM))}) t(idx, name)),
 l AS (SELECT u.row_id, cols.idx, u.value FROM ({_unpivot_sql('base', NUM)}) u JOIN cols USING (name))
 """ + " UNION ALL ".join(
-    f"SELECT DISTINCT a.row_id, '{_TAG[k]}_' || p.i || '_' || p.j AS feature, round({_PAIR_OPS[k]}, 6) AS value "
-    f"FROM p_{k} p JOIN l a ON a.idx = p.i JOIN l b ON b.idx = p.j AND b.row_id = a.row_id" for k in _PAIR_OPS))
+    f"SELECT a.row_id, '{_TAG[k]}_' || p.i || '_' || p.j || CASE WHEN p.k > 1 THEN '_' || p.k ELSE '' END AS feature, round({_PAIR_OPS[k]}, 6) AS value "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY t) AS k FROM p_{k}) p JOIN l a ON a.idx = p.i JOIN l b ON b.idx = p.j AND b.row_id = a.row_id" for k in _PAIR_OPS))
 def fe10_fe13_random_pairs(spark, d):
-    """FE10-FE13: five hash-drawn pairs per kind (ratio, product, difference, sum)."""
+    """FE10-FE13: five hash-drawn pairs per kind (ratio, product, difference, sum), one scan; a
+    pair that is drawn again is a feature of its own."""
     b = V.base(spark, d).select("row_id", *NUM)
-    parts = []
-    for kind in _PAIR_OPS:
-        op = FE.RandomPairs(NUM, kind, 5, seed=42)
-        parts.append(long_form(op.transform(b), "row_id", list(dict.fromkeys(op.outputs()))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ops = [FE.RandomPairs(NUM, kind, 5, seed=42) for kind in _PAIR_OPS]
+    exprs = {n: e for op in ops for n, e in op.expressions().items()}
+    return long_form(b.select("row_id", *[e.alias(n) for n, e in exprs.items()]), "row_id", list(exprs))
 
 
 @register("fe14_fe17_unary", ids=("FE14", "FE15", "FE16", "FE17", "F1"), sql=lambda: with_views("base") + f"""
@@ -201,14 +199,8 @@ SELECT row_id, {', '.join(
     for c in ['c_acctbal', 'days'])} FROM base""")
 def fe14_fe17_unary(spark, d):
     b = V.base(spark, d).select("row_id", "c_acctbal", "days")
-    outs = []
-    for kind in ("reciprocal", "square", "sqrt", "log"):
-        op = FE.Unary(["c_acctbal", "days"], kind)
-        outs.append(op.transform(b).select("row_id", *op.outputs()))
-    r = outs[0]
-    for o in outs[1:]:
-        r = r.join(o, "row_id")
-    return r.select("row_id", *[r6(c).alias(c) for c in r.columns if c != "row_id"])
+    exprs = {n: e for kind in FE.UNARY for n, e in FE.Unary(["c_acctbal", "days"], kind).expressions().items()}
+    return b.select("row_id", *[r6(e).alias(n) for n, e in exprs.items()])
 
 
 # ================================================================ FE18 binning
@@ -231,36 +223,31 @@ def fe18_binning(spark, d):
 
 
 # ================================================================ FE22 noise
-def _noise_sql(c, dist, seed=42, scale=0.05):
-    u = sql_uniform(seed, f"noise|{c}", "row_id")
-    s = f"({scale} * sd_{c})"
-    if dist == "uniform":
-        return f"({u} - 0.5) * sqrt(12.0) * {s}"
-    if dist == "laplace":
-        return f"-({s} / sqrt(2.0)) * sign({u} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5))"
-    return f"{s} * (-ln(1.0 - {u}) - 1.0)"
+def _noise_sql(c, seed=42, lo=0.01, hi=0.2):
+    """Noise of a column with its drawn distribution and scale."""
+    u, u2 = sql_uniform(seed, f"noise|{c}", "row_id"), sql_uniform(seed, f"noise2|{c}", "row_id")
+    pick = sql_uniform(seed, "noisedist", f"'{c}'")
+    s = f"(({lo} + ({hi} - {lo}) * {sql_uniform(seed, 'noisescale', repr(c))}) * sd_{c})"
+    return f"""CASE CAST(floor({pick} * 4) AS INTEGER)
+  WHEN 0 THEN {s} * sqrt(-2.0 * ln(1.0 - {u})) * cos({2 * math.pi!r} * {u2})
+  WHEN 1 THEN ({u} - 0.5) * sqrt(12.0) * {s}
+  WHEN 2 THEN -({s} / sqrt(2.0)) * sign({u} - 0.5) * ln(1.0 - 2.0 * abs({u} - 0.5))
+  ELSE {s} * (-ln(1.0 - {u}) - 1.0) END"""
 
 
 @register("fe22_noise_injection", ids=("FE22",), sql=lambda: with_views("base") + f"""
 , s AS (SELECT {', '.join(f'coalesce(nullif(stddev_pop({c}), 0), 1.0) AS sd_{c}' for c in NUM)} FROM base),
 pick AS (SELECT name FROM (VALUES {', '.join(f"('{c}')" for c in NUM)}) t(name)
-  ORDER BY {sql_uniform(42, 'noisecol', 'name')}, name LIMIT 2)
+  ORDER BY {sql_uniform(42, 'noisecol', 'name')}, name LIMIT {int(len(NUM) * 0.8)})
 """ + " UNION ALL ".join(
-    f"SELECT row_id, '{dist}' AS dist, '{c}' AS feature, round(CASE WHEN '{c}' IN (SELECT name FROM pick) "
-    f"THEN {c} + {_noise_sql(c, dist)} ELSE {c} END, 6) AS value FROM base, s"
-    for dist in ("uniform", "laplace", "exponential") for c in NUM))
+    f"SELECT row_id, '{c}' AS feature, round(CASE WHEN '{c}' IN (SELECT name FROM pick) "
+    f"THEN {c} + {_noise_sql(c)} ELSE {c} END, 6) AS value FROM base, s" for c in NUM))
 def fe22_noise_injection(spark, d):
-    """FE22: centred noise on a hash-chosen half of the columns (uniform, laplace,
-    exponential), sd = 0.05 x column sd; deterministic per (seed, column, row)."""
+    """FE22: centred noise on the hash-chosen 80 % of the columns, distribution and scale drawn
+    per column; deterministic per (seed, column, row)."""
     b = V.base(spark, d).select("row_id", *NUM)
-    parts = []
-    for dist in ("uniform", "laplace", "exponential"):
-        op = FE.NoiseInjector(NUM, "row_id", fraction=0.5, dist=dist, scale=0.05, seed=42).fit(b)
-        parts.append(long_form(op.transform(b), "row_id", NUM).withColumn("dist", F.lit(dist)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    op = FE.NoiseInjector(NUM, "row_id", fraction=0.8, seed=42).fit(b)
+    return long_form(op.transform(b), "row_id", NUM)
 
 
 # ================================================================ FE23-FE28
@@ -324,10 +311,8 @@ def fe29_polynomial(spark, d):
     b = V.base(spark, d).select("row_id", *_PL)
     full = FE.Polynomial(_PL, 2, False, True)
     inter = FE.Polynomial(_PL, 2, True, False)
-    a = full.transform(b).select("row_id", *[F.col(c).alias("f_" + c) for c in full.outputs()])
-    c = inter.transform(b).select("row_id", *[F.col(x).alias("i_" + x) for x in inter.outputs()])
-    j = a.join(c, "row_id")
-    return j.select("row_id", *[r6(x).alias(x) for x in j.columns if x != "row_id"])
+    both = {"f_" + n: e for n, e in full.expressions().items()} | {"i_" + n: e for n, e in inter.expressions().items()}
+    return b.select("row_id", *[r6(e).alias(n) for n, e in both.items()])
 
 
 _ROLES = {"numeric": ["o_totalprice", "c_acctbal", "days", "month", "sum_l_quantity", "max_l_discount"],

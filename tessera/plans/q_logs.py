@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import config_hash_col, sql_bits, sql_uniform
-from ..functions.scalar import clock_text, r6, runtime_text
+from ..functions.hashing import PIPELINE_STEPS, pipeline_hash_col, sql_bits, sql_uniform
+from ..functions.scalar import clock_text, last_token_int, r6, runtime_text
 from ..operators import logs as L
 from ..operators.metrics import auc
 from ..operators.sampling import CLASSIFIERS, draw_params, kfold, sample_columns, simple_sample, stratified_split
@@ -156,7 +156,7 @@ def p9_random_column_subset(spark, d):
 
 
 @register("p11_nonconstant_columns", ids=("P11",), sql=lambda: with_views("dirty") + """
-SELECT * FROM (
+SELECT column_name FROM (
   SELECT 'o_totalprice' AS column_name, count(DISTINCT o_totalprice) AS n_distinct FROM dirty UNION ALL
   SELECT 'c_acctbal', count(DISTINCT c_acctbal) FROM dirty UNION ALL
   SELECT 'days', count(DISTINCT days) FROM dirty UNION ALL
@@ -164,12 +164,11 @@ SELECT * FROM (
   SELECT 'const_col', count(DISTINCT const_col) FROM dirty UNION ALL
   SELECT 'null_col', count(DISTINCT null_col) FROM dirty) q WHERE n_distinct > 1""")
 def p11_nonconstant_columns(spark, d):
-    """Columns with more than one distinct value (fitted with one aggregation)."""
+    """Columns with more than one distinct value: minimum below maximum, one aggregation."""
     df = V.dirty(spark, d)
     cols = V.DIRTY_NUMERIC
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols])
-    st = row.unpivot([], cols, "column_name", "n_distinct")
-    return st.filter(F.col("n_distinct") > 1)
+    row = df.agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(c) for c in cols])
+    return row.unpivot([], cols, "column_name", "varies").filter("varies").select("column_name")
 
 
 _P12_SQL = """CASE WHEN dim_reduction IS NULL OR use_pca = 0 THEN 'None'
@@ -197,21 +196,20 @@ def p12_reduction_label(spark, d):
 
 
 # Status -> display symbol.
-STATUS_SYMBOL = {"running": "[run]", "completed": "[ok]", "timeout": "[time]", "error": "[err]"}
+STATUS_SYMBOL = {"running": "\U0001f504", "completed": "\u2705", "timeout": "\u23f1\ufe0f", "error": "\u274c"}
 
 
-@register("p13_p14_status_report", ids=("P13", "P14", "F4", "F5"), sql=lambda: with_views("wstate") + """
+@register("p13_p14_status_report", ids=("P13", "P14", "F4", "F5"), sql=lambda: with_views("wstate") + f"""
 SELECT worker_id AS "Worker", status AS "Status",
-  CASE status WHEN 'running' THEN '[run]' WHEN 'completed' THEN '[ok]' WHEN 'timeout' THEN '[time]' WHEN 'error' THEN '[err]' END AS "Symbol",
+  CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_SYMBOL.items())} END AS "Symbol",
   coalesce(classifier_type, '-') AS "Classifier",
-  CASE WHEN status = 'running' THEN CASE WHEN epoch(TIMESTAMP '2024-01-31 00:00:00' - start_time) < 60
-         THEN CAST(floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - start_time)) AS BIGINT) || 's'
-         ELSE CAST(floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - start_time) / 60) AS BIGINT) || 'm' END
-       WHEN runtime_sec IS NULL THEN 'N/A'
-       WHEN runtime_sec < 60 THEN CAST(floor(runtime_sec) AS BIGINT) || 's'
-       ELSE CAST(floor(runtime_sec / 60) AS BIGINT) || 'm' END AS "Runtime",
+  CASE WHEN rt IS NULL THEN 'N/A' WHEN rt < 60 THEN CAST(floor(rt) AS BIGINT) || 's'
+       ELSE CAST(floor(rt / 60) AS BIGINT) || 'm' END AS "Runtime",
   strftime(last_update, '%I:%M:%S %p') AS "Updated"
-FROM wstate""")
+FROM (SELECT *, CASE WHEN start_time IS NULL THEN NULL
+  WHEN end_time IS NOT NULL THEN (epoch_us(end_time) - epoch_us(start_time)) / 1e6
+  WHEN status = 'running' THEN (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(start_time)) / 1e6
+  ELSE coalesce(runtime_sec, 0.0) END AS rt FROM wstate) q""")
 def p13_p14_status_report(spark, d):
     """P13 status map, P14 select+rename, F5 runtime text ('now' is a parameter), F4 clock."""
     s = L.worker_state(V.workers(spark, d))
@@ -219,7 +217,7 @@ def p13_p14_status_report(spark, d):
     return s.select(F.col("worker_id").alias("Worker"), F.col("status").alias("Status"),
                     m[F.col("status")].alias("Symbol"),
                     F.coalesce("classifier_type", F.lit("-")).alias("Classifier"),
-                    runtime_text("runtime_sec", "status", "start_time", "2024-01-31 00:00:00").alias("Runtime"),
+                    runtime_text("runtime_sec", "status", "start_time", "end_time", "2024-01-31 00:00:00").alias("Runtime"),
                     clock_text("last_update").alias("Updated"))
 
 
@@ -269,8 +267,7 @@ def j6_j8_labelled_documents(spark, d):
     """J6 semi join by key list, J8 label lookup (inner equi-join)."""
     docs = read_table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     lab = read_table(spark, d, "labels")
-    semi = docs.join(lab.select("doc_id"), "doc_id", "left_semi")
-    return semi.join(lab, "doc_id", "inner")
+    return docs.join(lab, "doc_id", "inner")  # the label lookup keeps the keys of the list, as the semi join does
 
 
 @register("u3_unlabelled_keys", ids=("U3",), sql="SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels")
@@ -431,12 +428,16 @@ _PROFILE = [("row_id", "bigint"), ("o_totalprice", "double"), ("c_acctbal", "dou
     f"SELECT '{c}' AS column_name, '{t}' AS dtype, count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct FROM base"
     for c, t in _PROFILE))
 def a14_column_profile(spark, d):
-    """Dtype, non-null count and exact distinct count per column, one aggregation."""
+    """Dtype, non-null count and exact distinct count per column: cells grouped by (column,
+    value) with partial aggregation, then counted per column."""
     b = V.base(spark, d)
     types = dict(b.dtypes)
-    row = b.agg(*[F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"), F.count(c).alias("non_null"),
-                           F.count_distinct(c).alias("n_distinct")).alias(f"s{i}") for i, (c, _) in enumerate(_PROFILE)])
-    return row.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(_PROFILE))])).alias("s")).select("s.*")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, (c, _) in enumerate(_PROFILE)]))
+    values = b.select(cells.alias("s")).groupBy("s.i", "s.v").agg(F.count("s.v").alias("n"))
+    name = F.element_at(F.array(*[F.lit(c) for c, _ in _PROFILE]), F.col("i") + 1)
+    kind = F.element_at(F.array(*[F.lit(types[c]) for c, _ in _PROFILE]), F.col("i") + 1)
+    return values.groupBy("i").agg(F.sum("n").alias("non_null"), F.count("v").alias("n_distinct")).select(
+        name.alias("column_name"), kind.alias("dtype"), "non_null", "n_distinct")
 
 
 @register("a15_class_distribution", ids=("A15", "S3"), sql=lambda: with_views("base") + """
@@ -499,7 +500,7 @@ FROM k GROUP BY batch_num""")
 def a19_batch_summary(spark, d):
     """Per batch: jobs, cores (2 for tree/kNN models, else 1), average, count per class."""
     r = V.runlog(spark, d, with_num_models=False).select("iteration_num", "batch_num")
-    c = draw_params(r, "iteration_num").join(r, "iteration_num").select("batch_num", F.col("classifier_type").alias("clf"))
+    c = draw_params(r, "iteration_num", carry=["batch_num"]).select("batch_num", F.col("classifier_type").alias("clf"))
     k = c.groupBy("batch_num", "clf").agg(F.count(F.lit(1)).alias("n"))
     cores = F.when(F.col("clf").isin("random_forest", "extra_trees", "knn"), 2).otherwise(1)
     g = k.groupBy("batch_num").agg(
@@ -512,15 +513,15 @@ def a19_batch_summary(spark, d):
 
 @register("a20_overall_mean_line", ids=("A20",), sql=lambda: with_views("runlog") + """
 SELECT iteration_num, round(training_time_sec, 6) AS training_time_sec,
-  round(avg(training_time_sec) OVER (PARTITION BY run_id), 6) AS run_mean,
-  round(sum(training_time_sec) OVER (PARTITION BY run_id) / 60.0, 6) AS run_total_min FROM runlog""")
+  round(avg(training_time_sec) OVER (PARTITION BY run_id), 9) AS run_mean,
+  round(sum(training_time_sec) OVER (PARTITION BY run_id) / 60.0, 9) AS run_total_min FROM runlog""")
 def a20_overall_mean_line(spark, d):
     """Each row with its run's mean and total minutes (per-run aggregate joined back;
     the aggregate is partial-combined so hot runs are cheap)."""
     r = V.runlog(spark, d, with_num_models=False)
     g = r.groupBy("run_id").agg(F.avg("training_time_sec").alias("_m"), F.sum("training_time_sec").alias("_s"))
     return r.join(g, "run_id").select("iteration_num", r6("training_time_sec").alias("training_time_sec"),
-                                      r6("_m").alias("run_mean"), r6(F.col("_s") / 60.0).alias("run_total_min"))
+                                      F.round("_m", 9).alias("run_mean"), F.round(F.col("_s") / 60.0, 9).alias("run_total_min"))
 
 
 # ================================================================ W: ordered logic
@@ -530,12 +531,13 @@ w AS (SELECT run_id, iteration_num, row_number() OVER (PARTITION BY run_id ORDER
   avg(stage1_val_auc) OVER (PARTITION BY run_id ORDER BY iteration_num ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m,
   stddev_samp(stage1_val_auc) OVER (PARTITION BY run_id ORDER BY iteration_num ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s
   FROM a)
-SELECT run_id, iteration_num, ensemble_size, round(m, 6) AS roll_mean, round(s, 6) AS roll_std,
-  round(m - s, 6) AS band_lo, round(m + s, 6) AS band_hi FROM w""")
+SELECT run_id, iteration_num, ensemble_size, round(m, 9) AS roll_mean, round(s, 9) AS roll_std,
+  round(m - s, 9) AS band_lo, round(m + s, 9) AS band_hi FROM w""")
 def w1_w2_rolling_auc(spark, d):
     r = L.rolling_auc(V.runlog(spark, d, with_num_models=False), k=10)
-    return r.select("run_id", "iteration_num", "ensemble_size", r6("roll_mean").alias("roll_mean"),
-                    r6("roll_std").alias("roll_std"), r6("band_lo").alias("band_lo"), r6("band_hi").alias("band_hi"))
+    # nine places: means of a few 5-decimal values sit on rounding ties at six
+    return r.select("run_id", "iteration_num", "ensemble_size",
+                    *[F.round(c, 9).alias(c) for c in ("roll_mean", "roll_std", "band_lo", "band_hi")])
 
 
 @register("w3_first_last", ids=("W3",), sql=lambda: with_views("runlog") + """
@@ -574,16 +576,18 @@ def w4_plateau_counter(spark, d):
 
 
 @register("w5_temperature_path", ids=("W5",), sql=lambda: with_views("runlog") + """
-, a AS (SELECT run_id, iteration_num, row_number() OVER (PARTITION BY run_id ORDER BY iteration_num) AS step,
+, a AS (SELECT run_id, iteration_num, batch_num, row_number() OVER (PARTITION BY run_id ORDER BY iteration_num) AS step,
   avg(CAST(accepted AS DOUBLE)) OVER (PARTITION BY run_id ORDER BY iteration_num ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rate
-  FROM runlog)
-SELECT run_id, iteration_num, step, round(rate, 6) AS accept_rate,
-  round(0.01 * pow(0.995, step - 1), 9) AS temperature_closed,
-  round(CASE WHEN rate < 0.1 THEN 1.2 ELSE 1.0 END * 0.01 * pow(0.995, step - 1), 9) AS boosted FROM a""")
+  FROM runlog),
+b AS (SELECT *, max(CASE WHEN step < 20 OR rate >= 0.1 THEN step END) OVER (PARTITION BY run_id ORDER BY iteration_num
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS calm FROM a)
+SELECT run_id, iteration_num, step, round(rate, 6) AS accept_rate, round(0.01 * pow(0.995, step - 1), 9) AS temperature_closed,
+  round(0.01 * pow(0.995, calm - 1) * pow(1.2, step - calm), 9) AS adaptive,
+  round(0.01 * pow(0.998, batch_num), 9) AS temperature_batch FROM b""")
 def w5_temperature_path(spark, d):
-    t = L.temperature_path(V.runlog(spark, d, with_num_models=False))
+    t = L.temperature_path(V.runlog(spark, d, with_num_models=False), batch="batch_num")
     return t.select("run_id", "iteration_num", "step", r6("accept_rate").alias("accept_rate"),
-                    F.round("temperature_closed", 9).alias("temperature_closed"), F.round("boosted", 9).alias("boosted"))
+                    *[F.round(c, 9).alias(c) for c in ("temperature_closed", "adaptive", "temperature_batch")])
 
 
 # ================================================================ O: sort / top-k
@@ -622,22 +626,30 @@ def f3_string_tokens(spark, d):
     """split + trim + join; last token to int with failures -> null."""
     p = read_table(spark, d, "part")
     return p.select("p_partkey", F.array_join(F.transform(F.split("p_name", " "), F.trim), ",").alias("joined"),
-                    F.element_at(F.split("p_brand", "#"), -1).try_cast("int").alias("brand_no"),
-                    F.element_at(F.split("p_type", "#"), -1).try_cast("int").alias("bad_no"))
+                    last_token_int("p_brand", "#").alias("brand_no"), last_token_int("p_type", "#").alias("bad_no"))
+
+
+def _draw_sql(salt):
+    return sql_uniform(42, salt, "iteration_num")
 
 
 @register("f6_config_hash", ids=("F6", "SM11"), sql=lambda: with_views("runlog") + f"""
-, c AS (SELECT iteration_num, {_clf_sql()} AS classifier_type,
-  10 + CAST(floor(({sql_bits(42, 'trees', 'iteration_num')} / 4503599627370496.0::DOUBLE) * 90) AS INTEGER) AS n_estimators
-  FROM runlog)
-SELECT iteration_num, classifier_type, n_estimators,
-  substr(sha256(json_object('classifier_type', classifier_type, 'n_estimators', n_estimators)::VARCHAR), 1, 16) AS pipeline_hash
+, c AS (SELECT iteration_num, {_clf_sql()} AS classifier_type, round(0.1 + 0.8 * {_draw_sql('rowfrac')}, 4) AS row_sample_pct,
+  round(0.5 + 0.5 * {_draw_sql('colfrac')}, 4) AS col_sample_pct FROM runlog)
+SELECT iteration_num, classifier_type, row_sample_pct, col_sample_pct,
+  substr(sha256('{{"classifier": "' || classifier_type || '", "col_sample_pct": ' || col_sample_pct::VARCHAR
+    || ', "dim_reduction": null, "pipeline_steps": ["{'", "'.join(PIPELINE_STEPS)}"], "row_sample_pct": '
+    || row_sample_pct::VARCHAR || ', "transformers": []}}'), 1, 16) AS pipeline_hash
 FROM c""")
 def f6_config_hash(spark, d):
-    """first 16 hex of SHA-256 of the key-sorted JSON of a candidate's config."""
+    """first 16 hex of SHA-256 of the key-sorted JSON of a candidate's six identifying keys."""
     r = V.runlog(spark, d, with_num_models=False).select("iteration_num")
-    p = draw_params(r, "iteration_num").select("iteration_num", "classifier_type", "n_estimators")
-    return p.withColumn("pipeline_hash", config_hash_col("classifier_type", "n_estimators"))
+    p = draw_params(r, "iteration_num").select(
+        "iteration_num", "classifier_type", F.round("row_fraction", 4).alias("row_sample_pct"),
+        F.round("column_fraction", 4).alias("col_sample_pct"))
+    none = F.array().cast("array<string>")
+    return p.withColumn("pipeline_hash", pipeline_hash_col(
+        F.col("classifier_type"), none, F.lit(None).cast("string"), F.col("row_sample_pct"), F.col("col_sample_pct")))
 
 
 @register("f7_json_props", ids=("F7",), sql="""

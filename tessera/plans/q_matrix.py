@@ -38,10 +38,10 @@ def fe30_pca(spark, d):
     return spark.createDataFrame(rows, "component int, explained_variance double, ratio double")
 
 
-@register("fe30_pca_projection", ids=("FE30", "FE39"))
+@register("fe30_pca_projection", ids=("FE30", "FE39"), sql="SELECT true AS reaches_share, true AS fewest, true AS variances_are_eigenvalues, true AS uncorrelated")
 def fe30_pca_projection(spark, d):
-    """FE30 invariants on the projected data: PC variances equal the eigenvalues and PCs
-    are uncorrelated (rows-only: one row of checks)."""
+    """FE30 on the projected data: the fewest components that reach 95 % of the variance, their
+    variances equal the eigenvalues, and they are uncorrelated."""
     df = _xy(spark, d)
     p = MX.PCA(XY + ["month"], 0.95).fit(df)
     out = p.transform(df)
@@ -49,9 +49,10 @@ def fe30_pca_projection(spark, d):
     aggs = [F.var_samp(f"pc{i}").alias(f"v{i}") for i in range(k)]
     aggs += [F.covar_samp(f"pc{i}", f"pc{j}").alias(f"c{i}{j}") for i in range(k) for j in range(i + 1, k)]
     r = out.agg(*aggs).first()
-    var_err = max(abs(r[f"v{i}"] - p.state["var"][i]) for i in range(k))
-    cov_max = max([abs(r[f"c{i}{j}"]) for i in range(k) for j in range(i + 1, k)] or [0.0])
-    return spark.createDataFrame([(k, float(var_err), float(cov_max))], "n_components int, var_err double, max_abs_cov double")
+    ratio = p.state["ratio"]
+    row = (sum(ratio) >= 0.95 - 1e-9, sum(ratio[:-1]) < 0.95, max(abs(r[f"v{i}"] - p.state["var"][i]) for i in range(k)) < 1e-6,
+           max([abs(r[f"c{i}{j}"]) for i in range(k) for j in range(i + 1, k)] or [0.0]) < 1e-6)
+    return spark.createDataFrame([row], "reaches_share boolean, fewest boolean, variances_are_eigenvalues boolean, uncorrelated boolean")
 
 
 @register("fe31_truncated_svd", ids=("FE31",), sql=lambda: _xy_views("""c AS (SELECT sum(x * x) AS a, sum(y * y) AS b, sum(x * y) AS h FROM xy),
@@ -115,8 +116,8 @@ SELECT t_x.row_id, round((t_x.t - s_x.m) / s_x.s, 6) AS x, round((t_y.t - s_y.m)
   (SELECT lam FROM b2_x) AS lambda_x, (SELECT lam FROM b2_y) AS lambda_y
 FROM t_x JOIN t_y USING (row_id), s_x, s_y""")
 def fe36_yeo_johnson(spark, d):
-    """FE36: max-likelihood lambda on a 0.1 grid then a 0.01 grid (one aggregation each,
-    all columns and lambdas together); standardised output."""
+    """FE36: max-likelihood lambda on the 0.01 grid by a bracket search (all columns together, one
+    aggregation a pass); standardised output."""
     df = _xy(spark, d)
     pt = MX.PowerTransformer(XY).fit(df)
     out = pt.transform(df)
@@ -156,33 +157,64 @@ dv AS (SELECT DISTINCT month FROM base)
 SELECT dv.month, round(ln(sum(sup.w * exp(-0.5 / s.v * (dv.month - sup.sv) * (dv.month - sup.sv))) / (s.n * sqrt(2 * pi() * s.v))), 6) AS log_density
 FROM dv, sup, s GROUP BY dv.month, s.n, s.v""")
 def fe19_kde_density(spark, d):
-    """FE19: Gaussian KDE density (Scott bandwidth) of every distinct value, exact support."""
+    """FE19: Gaussian KDE density (Scott bandwidth) of every distinct value."""
     df = V.base(spark, d).select("month")
     kde = MX.KDEDensity("month", "scott").fit(df)
     return kde.density_table(df).select("month", r6(F.log("density")).alias("log_density"))
 
 
-@register("fe20_fe21_kmeans", ids=("FE20", "FE21", "J7"))
+@register("fe20_fe21_kmeans", ids=("FE20", "FE21", "J7"), sql=lambda: with_views("base") + """
+SELECT g.grp, g.k, (SELECT count(*) FROM base) AS n_rows, true AS label_is_nearest, true AS centres_are_means
+FROM (VALUES ('x_y', 4), ('month', 3)) g(grp, k)""")
 def fe20_fe21_kmeans(spark, d):
-    """FE20 k-means label + distances on (x, y); FE21 one k-means per feature group.
-    Rows-only: cluster sizes and mean distance to the own centre per group."""
+    """FE20 k-means label + distances on (x, y); FE21 one k-means per feature group. Checks per
+    group: every label is the nearest centre, and centres are the means of their rows."""
     df = _xy(spark, d)
-    a = MX.KMeansFeatures(XY, k=4, prefix="g1", n_init=3).fit(df)
-    b = MX.KMeansFeatures(["month"], k=3, prefix="g2").fit(df)
-    out = b.transform(a.transform(df))
-    own1 = F.element_at(F.array(*[F.col(f"g1_d{j}") for j in range(4)]), F.col("g1_label") + 1)
-    return (out.groupBy("g1_label", "g2_label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(own1)).alias("mean_dist")))
-
-
-@register("fe32_fe33_ica_factor", ids=("FE32", "FE33"))
+    rows = []
+    for name, cols, k, prefix, starts in (("x_y", XY, 4, "g1", 3), ("month", ["month"], 3, "g2", 1)):
+        km = MX.KMeansFeatures(cols, k=k, prefix=prefix, n_init=starts).fit(df)
+        out = km.transform(df)
+        dist = F.array(*[F.col(f"{prefix}_d{j}") for j in range(k)])
+        off = F.count_if(F.get(dist, F.col(f"{prefix}_label")) > F.array_min(dist))
+        got = out.groupBy(f"{prefix}_label").agg(F.count(F.lit(1)).alias("n"), off.alias("off"), *[F.avg(c).alias(c) for c in cols]).collect()  # k rows
+        means = all(abs(r[c] - km.state["centers"][r[f"{prefix}_label"]][i]) < 0.02 * (1 + abs(r[c])) for r in got for i, c in enumerate(cols))
+        rows.append((name, k, sum(r["n"] for r in got), all(r["off"] == 0 for r in got), means))
+    return spark.createDataFrame(rows, "grp string, k int, n_rows long, label_is_nearest boolean, centres_are_means boolean")
+
+
+@register("fe32_fe33_ica_factor", ids=("FE32", "FE33"), sql="""
+SELECT true AS unit_variance, true AS uncorrelated, true AS covariance_kept, true AS factor_varies""")
 def fe32_fe33_ica_factor(spark, d):
-    """FE32 FastICA (independent components have unit variance, zero correlation) and FE33
-    factor analysis (EM on the covariance); rows-only invariant row."""
+    """FE32 FastICA: components of unit variance without correlation. FE33 factor analysis: loadings
+    and noise give back the diagonal of the covariance, and the factor varies."""
     df = _xy(spark, d)
+    cols = XY + ["month"]
     ica = MX.FastICA(XY, 2).fit(df)
-    fa = MX.FactorAnalysis(XY + ["month"], 1).fit(df)
+    fa = MX.FactorAnalysis(cols, 1).fit(df)
     out = fa.transform(ica.transform(df))
-    r = out.agg(F.var_pop("ic0").alias("v0"), F.var_pop("ic1").alias("v1"), F.corr("ic0", "ic1").alias("c"),
-                F.stddev_pop("fa0").alias("sfa")).first()
-    return spark.createDataFrame([(float(r["v0"]), float(r["v1"]), float(r["c"]), float(r["sfa"]), fa.state["loglik"])],
-                                 "ic0_var double, ic1_var double, ic_corr double, fa0_sd double, fa_loglik double")
+    r = out.agg(F.var_samp("ic0").alias("v0"), F.var_samp("ic1").alias("v1"), F.corr("ic0", "ic1").alias("c"), F.stddev_pop("fa0").alias("s"),
+                *[F.var_pop(c).alias(c) for c in cols]).first()
+    own = [sum(v * v for v in fa.state["loadings"][i]) + fa.state["psi"][i] for i in range(len(cols))]
+    row = (abs(r["v0"] - 1) < 1e-6 and abs(r["v1"] - 1) < 1e-6, abs(r["c"]) < 1e-6,
+           all(abs(o - r[c]) < 0.02 * r[c] for o, c in zip(own, cols)), r["s"] > 0)
+    return spark.createDataFrame([row], "unit_variance boolean, uncorrelated boolean, covariance_kept boolean, factor_varies boolean")
+
+
+@register("fe37_quantile_thousand", ids=("FE37",), sql=lambda: _xy_views(_qt_sql("x", 1000)) + f"""
+SELECT xy.row_id, {_qt_expr('x', 1000)} FROM xy, q_x""")
+def fe37_quantile_thousand(spark, d):
+    """FE37 with the reference's 1,000 knots."""
+    df = _xy(spark, d)
+    return MX.QuantileTransformer(["x"], 1000).fit(df).transform(df).select("row_id", r6("x").alias("x"))
+
+
+@register("fe37_quantile_normal", ids=("FE37",), sql=lambda: _xy_views() + "SELECT count(*) AS n, true AS centred, true AS unit_scale, true AS keeps_order FROM xy")
+def fe37_quantile_normal(spark, d):
+    """FE37 with normal output: mean 0 and standard deviation 1 nearly, and the order of the values kept."""
+    df = _xy(spark, d)
+    out = MX.QuantileTransformer(["x"], 100, output="normal").fit(df).transform(df.withColumn("raw", F.col("x")))
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    w = out.groupBy("x").agg(F.max("raw").alias("hi"), F.min("raw").alias("lo"))
+    rising = w.agg(F.corr("x", "lo").alias("c"), F.max_by("hi", "x").alias("top"), F.max("hi").alias("most")).first()
+    return spark.createDataFrame([(r["n"], abs(r["m"]) < 0.05, abs(r["s"] - 1) < 0.15, rising["c"] > 0.9 and rising["top"] == rising["most"])],
+                                 "n long, centred boolean, unit_scale boolean, keeps_order boolean")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
-from ..operators.metrics import auc, confusion, normalized_confusion
+from ..operators.metrics import auc, confusion, invert_memory, invert_runtime, normalized_confusion, scaling_model
 from ..sources import views as V
 from .registry import register
 from .sqlv import with_views
@@ -39,15 +39,12 @@ def mt2_mt3_confusion(spark, d):
 
 
 @register("mt4_normalized_confusion", ids=("MT4",), sql=lambda: with_views("preds") + """
-, x AS (SELECT model_id, label, CAST(p >= 0.5 AS INTEGER) AS pred FROM preds WHERE model_id < 8),
+, x AS (SELECT model_id, label, CAST(p >= 0.5 AS INTEGER) AS pred FROM preds),
 c AS (SELECT model_id, label, pred, count(*) AS count FROM x GROUP BY 1, 2, 3)
 SELECT model_id, label, pred, count, round(count / sum(count) OVER (PARTITION BY model_id, label), 6) AS rate FROM c""")
 def mt4_normalized_confusion(spark, d):
-    p = V.preds(spark, d).filter(F.col("model_id") < 8).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
-    cnt = p.groupBy("model_id", "label", "pred").agg(F.count(F.lit(1)).alias("count"))
-    tot = cnt.groupBy("model_id", "label").agg(F.sum("count").alias("_t"))
-    return cnt.join(tot, ["model_id", "label"]).select("model_id", "label", "pred", "count",
-                                                       r6(F.col("count") / F.col("_t")).alias("rate"))
+    p = V.preds(spark, d).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    return normalized_confusion(p, "pred", "label", by=["model_id"]).withColumn("rate", r6("rate"))
 
 
 @register("mt8_auc_on_hard_labels", ids=("MT8",), sql=lambda: with_views(
@@ -72,22 +69,13 @@ SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6)
   CASE WHEN (2048.0 - m_intercept) / m_slope > 0 THEN greatest(1, CAST(floor(1000.0 * sqrt((2048.0 - m_intercept) / m_slope)) AS BIGINT)) ELSE 1 END AS size_for_2gb
 FROM f, e""")
 def mt9_mt10_scaling_model(spark, d):
-    """MT9 runtime/memory scaling regressions (regr_* built-ins, residual RMSE) and MT10
-    inversions as expressions over the fitted row (no driver round trip)."""
+    """MT9 runtime/memory scaling regressions with residual RMSE and MT10 inversions, as
+    expressions over the fitted one-row frames (no driver round trip)."""
     s = V.sizes(spark, d)
-    zr = (F.col("sample_size") / 1000.0) * (F.col("sample_size") / 1000.0) * F.col("n_iter")
-    zm = (F.col("sample_size") / 1000.0) * (F.col("sample_size") / 1000.0)
-    z = s.withColumn("zr", zr).withColumn("zm", zm)
-    f = z.agg(F.regr_slope("runtime_seconds", "zr").alias("slope"), F.regr_intercept("runtime_seconds", "zr").alias("intercept"),
-              F.regr_r2("runtime_seconds", "zr").alias("r2"), F.regr_slope("peak_memory_mb", "zm").alias("m_slope"),
-              F.regr_intercept("peak_memory_mb", "zm").alias("m_intercept"), F.regr_r2("peak_memory_mb", "zm").alias("m_r2"))
-    res = z.crossJoin(F.broadcast(f))  # one-row side
-    e = res.agg(F.sqrt(F.avg((F.col("runtime_seconds") - (F.col("intercept") + F.col("slope") * F.col("zr"))) ** 2)).alias("rmse"))
-    out = f.crossJoin(e)
-    return out.select(
-        r6("slope").alias("slope"), r6("intercept").alias("intercept"), r6("r2").alias("r2"), r6("rmse").alias("rmse"),
-        r6("m_slope").alias("m_slope"), r6("m_intercept").alias("m_intercept"), r6("m_r2").alias("m_r2"),
-        F.greatest(F.lit(1), F.floor((F.lit(3600.0) - F.col("intercept")) / F.col("slope") / F.lit(25.0))).cast("bigint").alias("n_iter_for_hour"),
-        F.when((F.lit(2048.0) - F.col("m_intercept")) / F.col("m_slope") > 0,
-               F.greatest(F.lit(1), F.floor(F.lit(1000.0) * F.sqrt((F.lit(2048.0) - F.col("m_intercept")) / F.col("m_slope")))))
-        .otherwise(F.lit(1)).cast("bigint").alias("size_for_2gb"))
+    f = scaling_model(s, "sample_size", "n_iter", "runtime_seconds")
+    m = scaling_model(s, "sample_size", "n_iter", "peak_memory_mb", by_memory=True)
+    m = m.select(*[F.col(c).alias(f"m_{c}") for c in ("slope", "intercept", "r2")])
+    out = f.crossJoin(F.broadcast(m))  # one row each
+    return out.select(*[r6(c).alias(c) for c in ("slope", "intercept", "r2", "rmse", "m_slope", "m_intercept", "m_r2")],
+                      invert_runtime(F.col("slope"), F.col("intercept"), 3600.0, 5000.0).alias("n_iter_for_hour"),
+                      invert_memory(F.col("m_slope"), F.col("m_intercept"), 2048.0).alias("size_for_2gb"))

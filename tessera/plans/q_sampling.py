@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_bits, sql_uniform
 from ..functions.scalar import r6
 from ..operators import sampling as S
+from ..operators.spaces import CLASSIFIER_SPACES, draw_rows_sql
 from ..sources import views as V
 from .registry import register
 from .sqlv import with_views
@@ -74,13 +75,19 @@ _CANDS = [(i, S.drawn_fraction(0.05, 0.3, seed=100 + i, salt="cand"), 100 + i) f
 
 
 @register("sm5_candidate_presample", ids=("SM5",), sql=lambda: with_views("base") + """
-, c AS (SELECT * FROM (VALUES """ + ", ".join(f"({c}, {f}, '{s}')" for c, f, s in _CANDS) + """) t(cid, f, s))
-SELECT c.cid AS candidate_id, b.row_id FROM base b, c
-WHERE CAST(('0x' || substr(md5(concat_ws('|', c.s, 'pre', CAST(b.row_id AS VARCHAR))), 1, 13)) AS BIGINT)
-      / 4503599627370496.0::DOUBLE < c.f""")
+, c AS (SELECT * FROM (VALUES """ + ", ".join(f"({c}, {f}, '{s}')" for c, f, s in _CANDS) + """) t(cid, f, s)),
+k AS (SELECT label, count(*) AS nk, sum(count(*)) OVER () AS n FROM base GROUP BY label),
+z AS (SELECT cid, s, label, nk, n, least(n, greatest(100, CAST(floor(n * f) AS BIGINT))) AS size FROM c, k),
+w AS (SELECT *, CAST((nk * size) // n AS BIGINT) AS whole, CAST((nk * size) % n AS BIGINT) AS rem FROM z),
+q AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY cid ORDER BY rem DESC, label)
+        <= size - sum(whole) OVER (PARTITION BY cid) THEN 1 ELSE 0 END AS quota FROM w),
+r AS (SELECT q.cid, b.row_id, q.quota, row_number() OVER (PARTITION BY q.cid, b.label ORDER BY
+        CAST(('0x' || substr(md5(q.s || '|pre|' || CAST(b.row_id AS VARCHAR)), 1, 13)) AS BIGINT), b.row_id) AS rk
+      FROM base b JOIN q ON b.label = q.label)
+SELECT cid AS candidate_id, row_id FROM r WHERE rk <= quota""")
 def sm5_candidate_presample(spark, d):
-    """SM5: one pass assigns rows to every candidate of a batch (seed = base + iteration)."""
-    return S.candidate_presample(V.base(spark, d).select("row_id"), "row_id", _CANDS)
+    """SM5: exact stratified samples of a whole batch in one pass (seed = base + iteration)."""
+    return S.candidate_presample(V.base(spark, d).select("row_id", "label"), "row_id", "label", _CANDS)
 
 
 @register("sm6_sm7_two_disjoint_samples", ids=("SM6", "SM7", "J3"), sql=lambda: with_views("base") + f"""
@@ -122,24 +129,23 @@ def _u(salt):
     return sql_uniform(42, salt, "iteration_num")
 
 
-@register("sm11_sm12_param_draws", ids=("SM11", "SM12", "X3"), sql=lambda: with_views("runlog") + f"""
-, c AS (SELECT iteration_num, list_extract([{', '.join(f"'{c}'" for c in S.CLASSIFIERS)}],
-  CAST(floor({_u('clf')} * {len(S.CLASSIFIERS)}) AS INTEGER) + 1) AS classifier_type,
-  exp({math.log(0.1)} + ({math.log(10.0)} - {math.log(0.1)}) * {_u('C')}) AS c_val,
-  CAST(10 + floor({_u('trees')} * 90) AS INTEGER) AS n_estimators, {_u('depth')} AS ud,
-  exp({math.log(1e-3)} + ({math.log(1.0)} - {math.log(1e-3)}) * {_u('lr')}) AS learning_rate,
-  list_extract(['l1', 'l2', 'elasticnet'], CAST(floor({_u('pen')} * 3) AS INTEGER) + 1) AS penalty,
-  0.1 + 0.8 * {_u('rowfrac')} AS row_fraction FROM runlog)
-SELECT iteration_num, classifier_type, round(c_val, 6) AS C, n_estimators,
-  CAST(CASE WHEN classifier_type IN ('random_forest', 'extra_trees') THEN 2 + floor(ud * 18) ELSE 1 + floor(ud * 5) END AS INTEGER) AS max_depth,
-  round(learning_rate, 6) AS learning_rate, penalty, round(row_fraction, 6) AS row_fraction FROM c""")
+def _draws_sql():
+    parts = [f"SELECT iteration_num, classifier_type, '{param}' AS param, round({number}, 6) AS number, {text} AS text "
+             f"FROM c WHERE classifier_type = '{name}' AND {holds}"
+             for name, space in CLASSIFIER_SPACES.items()
+             for param, holds, number, text in draw_rows_sql(space, 42, name, "iteration_num")]
+    return f"""c AS (SELECT iteration_num, list_extract([{', '.join(f"'{c}'" for c in S.CLASSIFIERS)}],
+  CAST(floor({_u('clf')} * {len(S.CLASSIFIERS)}) AS INTEGER) + 1) AS classifier_type FROM runlog)
+""" + " UNION ALL ".join(parts)
+
+
+@register("sm11_sm12_param_draws", ids=("SM11", "SM12", "X3"), sql=lambda: with_views("runlog") + ", " + _draws_sql())
 def sm11_sm12_param_draws(spark, d):
-    """SM11/SM12: one candidate per logged iteration; type and dependent parameters drawn
-    from hash-uniforms."""
+    """SM11/SM12: one candidate per logged iteration; its type and every parameter of that
+    type's own space, a row each."""
     r = V.runlog(spark, d, with_num_models=False).select("iteration_num")
-    p = S.draw_params(r, "iteration_num")
-    return p.select("iteration_num", "classifier_type", r6("C").alias("C"), "n_estimators", "max_depth",
-                    r6("learning_rate").alias("learning_rate"), "penalty", r6("row_fraction").alias("row_fraction"))
+    p = S.draw_hyperparameters(r, "iteration_num")
+    return p.select("iteration_num", "classifier_type", "param", r6("number").alias("number"), "text")
 
 
 @register("fe41_balanced_weights", ids=("FE41",), sql=lambda: with_views("base") + """

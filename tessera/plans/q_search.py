@@ -5,63 +5,119 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import py_uniform, sql_uniform
 from ..functions.scalar import r6
 from ..operators import models as M
-from ..operators.search import SearchConfig, meta_learner, run_search
+from ..operators.ensemble import aggregate_rows
+from ..operators.metrics import auc
+from ..operators.pipeline import NEEDS_CLEAN, apply_pipeline, draw_spec, fit_pipeline
+from ..operators.pool import fit_classifier
+from ..operators.search import SearchConfig, accept, ensemble_probability, meta_frame, meta_learner, run_search
 from ..session import scratch_path
 from ..sources import sinks
 from ..sources import views as V
 from ..sources.tables import read_csv
-from .q_models import X, planted_frame
+from .q_models import ABOVE, X, XW, _z_sql, planted_frame, wide_frame
 from .registry import register
 from .sqlv import with_views
 
 
-def _log_view(spark, path):
-    return (sinks.read_log(spark, path)
-            .select("iteration_num", "classifier_type", r6("stage1_val_auc").alias("stage1_val_auc"), "accepted",
-                    "rejection_reason", "num_models", "pipeline_hash"))
-
-
-@register("en11_search_loop", ids=("EN11", "EN12", "EN19", "SM5", "SM11", "SM12", "EN10", "W4", "S4"))
+_CFG = dict(n_batches=2, batch_size=3, models=["naive_bayes", "lda", "qda", "sgd_classifier", "ridge", "logistic"])
+_SPECS = [draw_spec(XW, 42, it, _CFG["models"], SearchConfig.row_fraction, SearchConfig.column_fraction) for it in range(7)]
+
+
+def replay(spark, res: dict, pool) -> dict[int, tuple[bool, bool]]:
+    """Decisions taken again from the written predictions and log, candidate after candidate, with
+    AUCs of plain means: iteration -> (score as logged, decision as logged)."""
+    log = {r["iteration_num"]: r for r in sinks.read_log(spark, res["log"]).filter(F.col("run_id") == res["run_id"]).collect()}
+    preds = spark.read.option("recursiveFileLookup", True).schema("row_id bigint, model_id int, p double").parquet(res["preds"])
+    y = pool.filter(F.col("split") == "val1").select("row_id", "label")
+    out, inside, current = {0: (True, not log[0]["accepted"])}, [], 0.0
+    for it in sorted(i for i in log if i):
+        r = log[it]
+        mine = preds.filter(F.col("model_id").isin(*inside, it)).groupBy("row_id").agg(F.avg("p").alias("p"), F.count(F.lit(1)).alias("n"))
+        got = auc(mine.filter(F.col("n") == len(inside) + 1).join(y, "row_id"), "p", "label").first()
+        score = got["auc"] if got and got["auc"] is not None else float("nan")
+        if score != score:
+            out[it] = (r["stage1_val_auc"] == 0.0, not r["accepted"])
+            continue
+        ok, _ = accept(score - current, r["temperature"], py_uniform(42, "accept", it))
+        out[it] = (abs(score - r["stage1_val_auc"]) < 1e-9, ok == r["accepted"])
+        if r["accepted"]:
+            inside.append(it)
+            current = r["stage1_val_auc"]
+    return out
+
+
+@register("en11_search_loop", ids=("EN11", "EN12", "EN19", "SM5", "SM11", "SM12", "EN10", "FE38", "S4"), sql=lambda: "SELECT * FROM (VALUES " + ", ".join(
+    f"({s.iteration}, '{s.model}', '{s.hash()}', true, true, false)" for s in _SPECS)
+    + ") t(iteration_num, classifier_type, pipeline_hash, score_replayed, decision_replayed, timeout)")
 def en11_search_loop(spark, d):
-    """EN11: two batches of three candidates: batch pre-sample, fits in a thread pool with
-    job-group timeouts, one-pass ensemble scoring, annealing acceptance, checkpointed
-    ensemble state; returns the iteration log (founder row first)."""
-    base = scratch_path(spark, "search")
-    res = run_search(spark, planted_frame(spark, d), X, SearchConfig(n_batches=2, batch_size=3), base)
-    return _log_view(spark, res["log"])
-
-
-@register("en14_en16_meta_learner", ids=("EN14", "EN16", "EN13", "T15"))
-def en14_en16_meta_learner(spark, d):
-    """EN14/EN16: logistic meta-learner over the accepted models' stacked predictions,
-    tuned by TrainValidationSplit, scored on the 10 % held-out part only."""
-    pool = planted_frame(spark, d)
-    res = run_search(spark, pool, X, SearchConfig(n_batches=2, batch_size=3), scratch_path(spark, "search"))
-    m = meta_learner(spark, pool, res)
-    return spark.createDataFrame([(m["n_models"], m["meta_auc"], m["mean_auc"], m["best_reg"])],
-                                 "n_models int, meta_auc double, mean_auc double, best_reg double")
-
-
-@register("s13_resume_search", ids=("S13", "EN11"))
+    """EN11: two batches of three random pipelines (founder first): exact pre-samples, fits in a
+    thread pool with deadlines, sequential acceptance. The log's scores and decisions are held
+    against a replay from the written predictions."""
+    pool = wide_frame(spark, d)
+    res = run_search(spark, pool, XW, SearchConfig(**_CFG), scratch_path(spark, "search"))
+    seen = replay(spark, res, pool)
+    marks = spark.createDataFrame([(i, a, b) for i, (a, b) in seen.items()], "iteration_num long, score_replayed boolean, decision_replayed boolean")
+    log = sinks.read_log(spark, res["log"]).select(F.col("iteration_num").cast("long"), "classifier_type", "pipeline_hash", "timeout")
+    return log.join(marks, "iteration_num").select(F.col("iteration_num").cast("int"), "classifier_type", "pipeline_hash", "score_replayed",
+                                                   "decision_replayed", "timeout")
+
+
+@register("s13_resume_search", ids=("S13", "EN11"), sql="SELECT 7 AS n_logged, true AS same_log, true AS same_ensemble, true AS score_is_saved_auc, 3 AS n_states")
 def s13_resume_search(spark, d):
-    """A search stopped after one batch and restarted from its state table gives the
-    same log as an uninterrupted two-batch search (the query returns both side by side)."""
-    pool = planted_frame(spark, d)
-    a = scratch_path(spark, "search-resume")
-    run_search(spark, pool, X, SearchConfig(n_batches=1, batch_size=3), a)
-    run_search(spark, pool, X, SearchConfig(n_batches=2, batch_size=3), a)
-    b = scratch_path(spark, "search-full")
-    run_search(spark, pool, X, SearchConfig(n_batches=2, batch_size=3), b)
-    ra = _log_view(spark, f"{a}/log").select("iteration_num", F.col("stage1_val_auc").alias("resumed_auc"),
-                                             F.col("accepted").alias("resumed_accepted"))
-    rb = _log_view(spark, f"{b}/log").select("iteration_num", F.col("stage1_val_auc").alias("full_auc"),
-                                             F.col("accepted").alias("full_accepted"))
-    return ra.join(rb, "iteration_num", "full_outer")
-
-
-@register("s12_bundle_roundtrip", ids=("S12", "X1", "X2", "X4"))
+    """A search that stops after one batch, loses the start of the next (files without their
+    state row) and goes on gives the same log and ensemble as an uninterrupted one; the stored
+    score is the AUC of the stored ensemble."""
+    pool = wide_frame(spark, d)
+    a, b = scratch_path(spark, "search-resume"), scratch_path(spark, "search-full")
+    one = run_search(spark, pool, XW, SearchConfig(**{**_CFG, "n_batches": 1}), a)
+    torn = spark.read.option("recursiveFileLookup", True).schema("row_id bigint, model_id int, p double").parquet(f"{one['preds']}/batch=1")
+    torn.write.mode("overwrite").parquet(f"{one['preds']}/batch=2")  # a batch cut off before it was committed
+    one = run_search(spark, pool, XW, SearchConfig(**_CFG), a)
+    two = run_search(spark, pool, XW, SearchConfig(**_CFG), b)
+    cols = ["iteration_num", "classifier_type", "accepted", "rejection_reason", "num_models", "pipeline_hash", "timeout"]
+
+    def logged(res):
+        return sorted(tuple(r) for r in sinks.read_log(spark, res["log"]).select(*cols, F.round("stage1_val_auc", 9)).collect())
+
+    x, y = ensemble_probability(spark, one), ensemble_probability(spark, two)
+    far = x.join(y.select("row_id", F.col("p").alias("q")), "row_id").agg(F.max(F.abs(F.col("p") - F.col("q"))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    saved = auc(x, "p", "label").first()["auc"]
+    la, lb = logged(one), logged(two)
+    history = sinks.read_history(spark, one["state"], one["run_id"])
+    return spark.createDataFrame([(len(la), la == lb, far["m"] < 1e-12 and far["n"] == x.count(),
+                                   abs(saved - one["final"]["current_score"]) < 1e-9, history.count())],
+                                 "n_logged int, same_log boolean, same_ensemble boolean, score_is_saved_auc boolean, n_states int")
+
+
+_META_MODELS = ["naive_bayes", "lda", "qda", "sgd_classifier"]
+
+
+@register("en14_en16_meta_learner", ids=("EN14", "EN16", "EN13", "T15"), sql=lambda: _z_sql() + f""",
+m AS (SELECT row_id, split = 'val1' OR {sql_uniform(42, 'meta', 'row_id')} < 0.9 AS fit FROM z WHERE split <> 'train')
+SELECT f.form, {len(_META_MODELS)} AS n_models, (SELECT count(*) FROM m WHERE fit) AS n_train, (SELECT count(*) FROM m WHERE NOT fit) AS n_holdout,
+  true AS separates, true AS near_the_mean FROM (VALUES ('logistic'), ('mlp')) f(form)""")
+def en14_en16_meta_learner(spark, d):
+    """EN14/EN16: logistic and MLP meta-learners on the models' stacked probabilities (val1 and 90 %
+    of val2), hyper-parameters drawn and tuned, scored on the held-out tenth only."""
+    z = wide_frame(spark, d)
+    train, rest = z.filter(F.col("split") == "train"), z.filter(F.col("split") != "train")
+    long = None
+    for i, name in enumerate(_META_MODELS):
+        p = fit_classifier(name, {"reg_param": 0.01}, train, XW).transform(rest).select("row_id", "split", "label", F.lit(i).alias("model_id"), "p")
+        long = p if long is None else long.unionByName(p)
+    frame = meta_frame(long, list(range(len(_META_MODELS))))
+    rows = []
+    for form in ("logistic", "mlp"):
+        m = meta_learner(frame, len(_META_MODELS), form, n_draws=3)
+        rows.append((form, m["n_models"], m["n_train"], m["n_holdout"], m["meta_auc"] > ABOVE, m["meta_auc"] > m["mean_auc"] - 0.05))
+    return spark.createDataFrame(rows, "form string, n_models int, n_train long, n_holdout long, separates boolean, near_the_mean boolean")
+
+
+@register("s12_bundle_roundtrip", ids=("S12", "X2"), sql=lambda: _z_sql() + """
+SELECT count(*) AS n_rows, 0.0::DOUBLE AS max_abs_diff, 'mean' AS aggregation FROM z""")
 def s12_bundle_roundtrip(spark, d):
     """Fitted models saved as a bundle (JSON states + pyspark.ml writer), loaded back
     and re-scored: the difference to the in-memory scores must be zero."""
@@ -86,11 +142,11 @@ def s12_bundle_roundtrip(spark, d):
 
 
 @register("s1_s2_s3_prediction_files", ids=("S1", "S2", "S3"), sql=lambda: with_views("preds") + """
-SELECT row_id AS id, round(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS label FROM preds WHERE model_id = 3""")
+SELECT row_id AS id, round(avg(p), 6) AS probability, CAST(avg(p) >= 0.5 AS INTEGER) AS label FROM preds GROUP BY row_id""")
 def s1_s2_s3_prediction_files(spark, d):
-    """S2/S3 write (id, probability) and (id, label) CSV files without an index; S1 reads
-    them back with a declared schema and header."""
-    p = V.preds(spark, d).filter(F.col("model_id") == 3)
+    """S2/S3 write the ensemble mean of all models as (id, probability) and (id, label) CSV files
+    without an index; S1 reads them back with a declared schema and header."""
+    p = aggregate_rows(V.preds(spark, d), "mean").withColumnRenamed("p_ens", "p")
     pp, pl = scratch_path(spark, "pred-csv"), scratch_path(spark, "label-csv")
     sinks.write_predictions(p, pp)
     sinks.write_hard_labels(p, pl)
@@ -112,48 +168,48 @@ def s11_epoch_json_lines(spark, d):
     return back.select("ensemble_id", "epoch", r6("train_loss").alias("train_loss"), r6("val_loss").alias("val_loss"))
 
 
-@register("fe38_random_pipelines", ids=("FE38", "P9", "FE7", "FE1", "FE30", "X1", "X2"))
-def fe38_random_pipelines(spark, d):
-    """FE38: four hash-drawn pipelines in the reference's stage order, fitted on the
-    planted train split, scored on validation; one row per pipeline (chain, hash, AUC)."""
-    from ..operators.metrics import auc
-    from ..operators.pipeline import apply_pipeline, draw_spec, fit_pipeline
+_CHAINS = [draw_spec(XW, 7, it, _CFG["models"]) for it in range(1, 5)]
 
-    z = planted_frame(spark, d)
-    b = V.base(spark, d).select("row_id", "days", "month")
-    z = z.join(b, "row_id")
-    feats = X + ["days", "month"]
-    train = z.filter(F.col("split") == "train")
+
+def _chain(spec) -> str:
+    steps = [f"subset{len(spec.columns)}", "constant_remover", spec.scaler]
+    for name, _ in spec.feature_ops:
+        steps += (["clean"] if name in NEEDS_CLEAN else []) + [name]
+    return " > ".join([*steps, "nan_inf_cleaner", *([spec.reduction[0]] if spec.reduction else []), "scaler", spec.model])
+
+
+@register("fe38_random_pipelines", ids=("FE38", "P9", "FE7", "FE1", "FE30", "X1", "X2"), sql=lambda: _z_sql() + """
+SELECT t.*, (SELECT count(*) FROM z WHERE split <> 'train') AS n_scored, true AS all_probabilities FROM (VALUES """ + ", ".join(
+    f"({s.iteration}, '{_chain(s)}', '{s.hash()}')" for s in _CHAINS) + ") t(iteration, chain, pipeline_hash)")
+def fe38_random_pipelines(spark, d):
+    """FE38: four hash-drawn pipelines in the reference's stage order over the whole operator
+    registry, fitted on the train split and scored on the rest; one row per pipeline."""
+    z = wide_frame(spark, d)
+    train, rest = z.filter(F.col("split") == "train"), z.filter(F.col("split") != "train")
     rows = None
-    for it in range(1, 5):
-        spec = draw_spec(feats, 42, it)
-        ops, cols, model = fit_pipeline(spec, train)
-        scored = apply_pipeline(ops, model, z.filter(F.col("split") != "train"))
-        a = auc(scored, "p", "label").select(
-            F.lit(it).alias("iteration"), F.lit(spec.describe()).alias("chain"), F.lit(spec.hash()).alias("pipeline_hash"),
-            F.lit(len(cols)).alias("n_features"), r6("auc").alias("auc"))
+    for spec in _CHAINS:
+        ops, _, model = fit_pipeline(spec, train)
+        a = apply_pipeline(ops, model, rest).agg(F.count(F.lit(1)).alias("n_scored"), F.count_if((F.col("p") >= 0) & (F.col("p") <= 1)).alias("good"))
+        a = a.select(F.lit(spec.iteration).alias("iteration"), F.lit(spec.describe()).alias("chain"), F.lit(spec.hash()).alias("pipeline_hash"),
+                     "n_scored", (F.col("good") == F.col("n_scored")).alias("all_probabilities"))
         rows = a if rows is None else rows.unionByName(a)
     return rows
 
 
-@register("x5_training_history", ids=("X5", "MT13"))
+@register("x5_training_history", ids=("X5", "MT13"), sql=lambda: with_views("runlog") + """
+SELECT 'objective' AS source, true AS has_steps, true AS never_rises, NULL::BIGINT AS n_rows
+UNION ALL SELECT 'stream_rows', true, NULL, (SELECT count(*) FROM runlog)""")
 def x5_training_history(spark, d):
-    """The per-iteration objective of a pyspark.ml fit as a table (the callback surface),
-    plus the streaming progress of a replayed log recorded by a StreamingQueryListener."""
-    from ..streaming.log_stream import ProgressRecorder
+    """The per-iteration objective of a pyspark.ml fit, and the input rows that the
+    micro-batches of a replayed log report (read from the query's own progress)."""
+    from ..streaming.log_stream import dedup_stream, run_with_progress
+    from .q_streaming import _replay_runlog
 
     z = planted_frame(spark, d)
     train = z.filter(F.col("split") == "train")
     model = M.ml_estimator("logistic", {"C": 1.0}, n_rows=train.count()).setMaxIter(15).fit(M.assemble(train, X))
     hist = model.summary.objectiveHistory
-    obj = spark.createDataFrame([("objective", i, float(v)) for i, v in enumerate(hist)], "source string, step int, value double")
-    rec = ProgressRecorder.attach(spark)
-    try:
-        from .q_streaming import _replay_runlog
-        from ..streaming.log_stream import run_available_now, dedup_stream
-
-        run_available_now(spark, dedup_stream(_replay_runlog(spark, d)), "x5")
-    finally:
-        rec.detach(spark)
-    prog = spark.createDataFrame([("stream_rows", int(b), float(n)) for b, n in rec.rows], "source string, step int, value double")
-    return obj.unionByName(prog)
+    _, progress = run_with_progress(spark, _replay_runlog(spark, d), dedup_stream, "x5")
+    rows = [("objective", len(hist) > 1, all(b <= a + 1e-9 for a, b in zip(hist, hist[1:])), None),
+            ("stream_rows", len(progress) > 0, None, sum(n for _, n in progress))]
+    return spark.createDataFrame(rows, "source string, has_steps boolean, never_rises boolean, n_rows long")

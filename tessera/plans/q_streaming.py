@@ -1,6 +1,5 @@
-"""Streaming queries (ST1-ST7): each replays the log in event-time order into a fresh
-folder, runs the Structured Streaming operator with ``trigger(availableNow=True)`` and
-returns the sink; the oracle is the batch twin's SQL."""
+"""Streaming queries (ST1-ST7): each replays the log in slices of event time through the
+Structured Streaming operator and returns the sink; the oracle is the batch twin's SQL."""
 
 from __future__ import annotations
 
@@ -8,75 +7,85 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_uniform
 from ..functions.scalar import r6
+from ..operators.features import OneHot, OrdinalEncode, StandardScale, apply_chain, fit_chain
+from ..operators.models import GaussianNB
 from ..session import scratch_path
 from ..sources import views as V
+from ..sources.tables import read_table
 from ..streaming import log_stream as S
+from .q_flagship import NOMINAL, NUMERIC, ORDINAL
 from .registry import register
 from .sqlv import with_views
 
 
 def _replay_runlog(spark, d, extra_dups=False, late=False):
+    """The run log in slices of event time."""
     r = V.runlog(spark, d, with_num_models=False).drop("batch_num")
-    path = scratch_path(spark, "runlog-replay")
     src = r
     if extra_dups:  # at-least-once delivery: 10 % of the rows arrive twice
         src = r.unionByName(r.filter(F.col("iteration_num") % 10 == 0))
-    S.write_replay(src, "timestamp", path, n_files=4)
+    slices = S.time_slices(src, "timestamp")
     if late:  # rows far older than the watermark, delivered last: must be dropped
-        old = (r.filter(F.col("iteration_num") < 5).withColumn("iteration_num", -F.col("iteration_num") - 1)
-               .withColumn("timestamp", S.as_instant(r, "timestamp")))
-        old.coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    return S.read_log_stream(spark, path, schema)
+        slices.append(r.filter(F.col("iteration_num") < 5).withColumn("iteration_num", -F.col("iteration_num") - 1)
+                      .withColumn("timestamp", S.as_instant(r, "timestamp")))
+    return slices
 
 
 @register("st1_dedup_ingest", ids=("ST1", "S4"), sql=lambda: with_views("runlog") + """
 SELECT iteration_num, run_id, classifier_type, round(stage1_val_auc, 6) AS stage1_val_auc FROM runlog""")
 def st1_dedup_ingest(spark, d):
-    s = _replay_runlog(spark, d, extra_dups=True, late=True)
-    out = S.run_available_now(spark, S.dedup_stream(s), "st1")
+    out = S.replay(spark, _replay_runlog(spark, d, extra_dups=True, late=True), S.dedup_stream, "st1")
     return out.select("iteration_num", "run_id", "classifier_type", r6("stage1_val_auc").alias("stage1_val_auc"))
 
 
+def _rates(out):
+    out = out.withColumn("window_start", S.utc_text("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
+    last = S.latest(out, ["window_start", "classifier_type"])
+    return last.select("window_start", "classifier_type", "n", F.col("accepted").cast("bigint").alias("accepted"),
+                       F.col("timeouts").cast("bigint").alias("timeouts"))
+
+
 @register("st2_windowed_rates", ids=("ST2", "A9"), sql=lambda: with_views("runlog") + """
 SELECT strftime(time_bucket(INTERVAL '1 day', timestamp), '%Y-%m-%d %H:%M:%S') AS window_start, classifier_type,
   count(*) AS n, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(timeout) AS BIGINT) AS timeouts
 FROM runlog GROUP BY 1, 2""")
 def st2_windowed_rates(spark, d):
-    s = _replay_runlog(spark, d)
-    out = S.run_available_now(spark, S.windowed_rates(s), "st2", mode="update")
-    out = out.withColumn("window_start", S.utc_text("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
-    last = S.latest(out, ["window_start", "classifier_type"])
-    return last.select("window_start", "classifier_type", "n", F.col("accepted").cast("bigint").alias("accepted"),
-                       F.col("timeouts").cast("bigint").alias("timeouts"))
+    return _rates(S.replay(spark, _replay_runlog(spark, d), S.windowed_rates, "st2", mode="update"))
+
+
+@register("st2_sliding_rates", ids=("ST2",), sql=lambda: with_views("runlog") + """
+, w AS (SELECT *, unnest([time_bucket(INTERVAL '6 hours', timestamp) - INTERVAL 6 HOUR * i FOR i IN range(4)]) AS ws FROM runlog)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, classifier_type,
+  count(*) AS n, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(timeout) AS BIGINT) AS timeouts
+FROM w GROUP BY 1, 2""")
+def st2_sliding_rates(spark, d):
+    """ST2, sliding: windows of a day every six hours."""
+    return _rates(S.replay(spark, _replay_runlog(spark, d), lambda s: S.windowed_rates(s, slide="6 hours"), "st2-slide", mode="update"))
 
 
 @register("st3_models_per_hour", ids=("ST3",), sql=lambda: with_views("runlog") + """
 SELECT strftime(time_bucket(INTERVAL '1 hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS models
 FROM runlog WHERE timeout = 0 GROUP BY 1""")
 def st3_models_per_hour(spark, d):
-    s = _replay_runlog(spark, d)
-    out = S.run_available_now(spark, S.models_per_hour(s), "st3", mode="update")
+    out = S.replay(spark, _replay_runlog(spark, d), S.models_per_hour, "st3", mode="update")
     out = out.withColumn("hour", S.utc_text("w.start", "yyyy-MM-dd HH:mm:ss")).drop("w")
     return S.latest(out, ["hour"]).select("hour", "models")
 
 
-def _replay_workers(spark, d, close=False):
+def _worker_slices(spark, d, close=False):
     w = V.workers(spark, d)
-    path = scratch_path(spark, "workers-replay")
     w2 = w.withColumn("start_time", S.as_instant(w, "start_time")).withColumn("end_time", S.as_instant(w, "end_time"))
-    S.write_replay(w2, "ts", path, n_files=4)
-    if close:
-        S.close_replay(w2, "ts", path, "worker_id")
-    return S.read_log_stream(spark, path, spark.read.parquet(path).schema)
+    slices = S.time_slices(w2, "ts")
+    return slices + (S.heartbeats(slices[-1], "ts", "worker_id") if close else [])
 
 
 @register("st4_worker_state_stream", ids=("ST4", "S6"), sql=lambda: with_views("wstate") + """
 SELECT worker_id, status, classifier_type, strftime(start_time, '%Y-%m-%d %H:%M:%S.%f') AS start_time,
   strftime(end_time, '%Y-%m-%d %H:%M:%S.%f') AS end_time, round(runtime_sec, 6) AS runtime_sec, pipeline_hash FROM wstate""")
 def st4_worker_state_stream(spark, d):
-    s = _replay_workers(spark, d)
-    out = S.run_available_now(spark, S.worker_state_stream(s), "st4", mode="update")
+    """ST4: the slices are delivered newest first but one, so late events meet newer state."""
+    a = _worker_slices(spark, d)
+    out = S.replay(spark, [a[0], *reversed(a[1:])], S.worker_state_stream, "st4", mode="update")
     last = S.latest(out, ["worker_id"])
     return last.select("worker_id", "status", "classifier_type", "start_time", "end_time",
                        r6("runtime_sec").alias("runtime_sec"), "pipeline_hash")
@@ -94,8 +103,8 @@ f AS (SELECT run_id, k, iteration_num, true AS accepted, c AS cur FROM x WHERE k
       FROM f JOIN x ON x.run_id = f.run_id AND x.k = f.k + 1)
 SELECT run_id, iteration_num, accepted, round(cur, 6) AS current_score FROM f""")
 def st5_anneal_stream(spark, d):
-    s = _replay_runlog(spark, d)
-    out = S.run_available_now(spark, S.anneal_stream(s), "st5", mode="append")
+    sink = S.anneal_sink(scratch_path(spark, "st5-state"))
+    out = S.replay(spark, _replay_runlog(spark, d), lambda s: s, "st5", sink=sink)
     return out.select("run_id", "iteration_num", "accepted", r6("current_score").alias("current_score"))
 
 
@@ -107,36 +116,50 @@ SELECT worker_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
   strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n_events
 FROM y GROUP BY worker_id, sid""")
 def st6_inactivity_sessions(spark, d):
-    s = _replay_workers(spark, d, close=True)
-    out = S.run_available_now(spark, S.sessions(s, "worker_id"), "st6", mode="append")
+    out = S.replay(spark, _worker_slices(spark, d, close=True), lambda s: S.sessions(s, "worker_id"), "st6", mode="append")
     out = (out.filter(F.col("worker_id") >= 0)
            .withColumn("session_start", S.utc_text("w.start"))
            .withColumn("session_end", S.utc_text("w.end")).drop("w"))
     return out.select("worker_id", "session_start", "session_end", "n_events")
 
 
-@register("st7_stream_scoring", ids=("ST7",))
+def _score_sql():
+    """The flagship's features and naive Bayes without a split, over all base rows."""
+    num = "\n  UNION ALL ".join(f"SELECT row_id, label, '{c}' AS f, (s.{c} - st.m_{c}) / CASE WHEN st.s_{c} = 0 THEN 1 ELSE st.s_{c} END AS v FROM s, st"
+                               for c in NUMERIC)
+    levels = ", ".join(f"'{x}'" for v in ORDINAL.values() for x in v)
+    return f"""WITH s AS ({V.BASE_SQL}),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in NUMERIC)} FROM s),
+lv AS (SELECT DISTINCT c_mktsegment AS lvl FROM s WHERE c_mktsegment IS NOT NULL),
+lng AS ({num}
+  UNION ALL SELECT row_id, label, 'o_orderpriority', CAST(coalesce(list_position([{levels}], o_orderpriority) - 1, -1) AS DOUBLE) FROM s
+  UNION ALL SELECT row_id, label, 'seg_' || lvl, CASE WHEN c_mktsegment = lvl THEN 1.0 ELSE 0.0 END FROM s, lv WHERE lvl > (SELECT min(lvl) FROM lv)),
+cls AS (SELECT label, count(*) AS nc FROM s GROUP BY label),
+fs AS (SELECT label, f, avg(v) AS mu, var_pop(v) AS va FROM lng GROUP BY label, f),
+eps AS (SELECT 1e-9 * max(va) AS e FROM (SELECT f, var_pop(v) AS va FROM lng GROUP BY f) q),
+jl AS (SELECT l.row_id, p.label AS k, sum(-0.5 * ln(2 * pi() * (p.va + e)) - 0.5 * (l.v - p.mu) * (l.v - p.mu) / (p.va + e)) AS ll
+       FROM lng l JOIN fs p ON l.f = p.f, eps GROUP BY 1, 2),
+jp AS (SELECT j.row_id, j.k, j.ll + ln(c.nc / (SELECT sum(nc) FROM cls)) AS jll FROM jl j JOIN cls c ON j.k = c.label)
+SELECT row_id, round(1.0 / (1.0 + exp(-(max(CASE WHEN k = 1 THEN jll END) - max(CASE WHEN k = 0 THEN jll END)))), 6) AS p FROM jp GROUP BY row_id"""
+
+
+@register("st7_stream_scoring", ids=("ST7",), sql=_score_sql)
 def st7_stream_scoring(spark, d):
     """ST7: the fitted flagship pipeline (column expressions only) applied to a stream of
     orders joined with the static customer table."""
-    from ..operators.features import OneHot, OrdinalEncode, StandardScale, apply_chain, fit_chain
-    from ..operators.models import GaussianNB
-    from ..sources.tables import read_table
-    from .q_flagship import NOMINAL, NUMERIC, ORDINAL
-
     b = V.base(spark, d)
     onehot = OneHot(NOMINAL)
     ops = fit_chain([StandardScale(NUMERIC), OrdinalEncode(ORDINAL), onehot], b)
     nb = GaussianNB(NUMERIC + list(ORDINAL) + onehot.outputs()).fit(apply_chain(ops, b))
-    path = scratch_path(spark, "orders-replay")
-    o = read_table(spark, d, "orders")
-    S.write_replay(o, "o_orderdate", path, n_files=3)
-    so = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    c = read_table(spark, d, "customer")
-    j = so.join(c, so.o_custkey == c.c_custkey).withColumn("o_orderdate", S.utc_wallclock("o_orderdate"))  # stream-static join
-    feats = j.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
-                     F.col("c_acctbal").cast("double").alias("c_acctbal"),
-                     F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double").alias("days"),
-                     F.month("o_orderdate").cast("double").alias("month"), "o_orderpriority", "c_mktsegment")
-    scored = nb.transform(apply_chain(ops, feats)).select("row_id", r6("p").alias("p"))
-    return S.run_available_now(spark, scored, "st7")
+
+    def score(so):
+        c = read_table(so.sparkSession, d, "customer")
+        j = so.join(c, so.o_custkey == c.c_custkey).withColumn("o_orderdate", S.utc_wallclock("o_orderdate"))  # stream-static join
+        feats = j.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                         F.col("c_acctbal").cast("double").alias("c_acctbal"),
+                         F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double").alias("days"),
+                         F.month("o_orderdate").cast("double").alias("month"), "o_orderpriority", "c_mktsegment")
+        return nb.transform(apply_chain(ops, feats)).select("row_id", r6("p").alias("p"))
+
+    slices = S.time_slices(read_table(spark, d, "orders"), "o_orderdate", 3)
+    return S.replay(spark, slices, score, "st7").select("row_id", "p")

@@ -8,6 +8,7 @@ always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -69,8 +70,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as-is. Only when
-    it is unset (local tests) a fresh scratch folder is created.
+    On a cluster this setting must point at shared storage; without it the call fails. Only on
+    a local master (tests) a fresh scratch folder is created where it is unset.
     """
     ship_package(spark)
     sc = spark.sparkContext
@@ -79,6 +80,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir) if _conf_settable(spark) else None
     sc.setCheckpointDir(conf_dir)

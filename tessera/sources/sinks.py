@@ -10,12 +10,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the iteration log.
 LOG_SCHEMA = (
-    "timestamp TIMESTAMP, iteration_num BIGINT, run_id BIGINT, ensemble_id STRING, stage1_val_auc DOUBLE, "
+    "timestamp TIMESTAMP, iteration_num BIGINT, run_id STRING, ensemble_id STRING, stage1_val_auc DOUBLE, "
     "stage2_val_auc DOUBLE, diversity_score DOUBLE, temperature DOUBLE, accepted BOOLEAN, rejection_reason STRING, "
     "num_models BIGINT, classifier_type STRING, transformers_used ARRAY<STRING>, use_pca BOOLEAN, dim_reduction STRING, "
     "pca_components DOUBLE, pipeline_hash STRING, training_memory_mb DOUBLE, stage2_memory_mb DOUBLE, "
-    "training_time_sec DOUBLE, stage2_time_sec DOUBLE, timeout BOOLEAN, stage2_tp BIGINT, stage2_fp BIGINT, "
+    "training_time_sec DOUBLE, single_auc DOUBLE, stage2_time_sec DOUBLE, timeout BOOLEAN, stage2_tp BIGINT, stage2_fp BIGINT, "
     "stage2_tn BIGINT, stage2_fn BIGINT"
 )
 LOG_DEFAULTS = {"rejection_reason": "", "stage2_val_auc": 0.0, "num_models": 0, "timeout": False, "use_pca": False}
@@ -39,13 +40,9 @@ def to_log_schema(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def append_log(df: DataFrame, path: str, partition: str = "run_id") -> None:
-    """Append rows to a log table partitioned by run (readers prune by run)."""
-    df.write.mode("append").partitionBy(partition).parquet(path)
-
-
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log reader tolerant to added columns (``ALTER TABLE ADD COLUMN`` equivalent)."""
+    """Log reader tolerant to added columns (``ALTER TABLE ADD COLUMN`` equivalent); S4/S5: the
+    log is partitioned by run and batch, and readers prune by run."""
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
@@ -94,24 +91,34 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[list[dict], dict]:
 
 
 # ---------------------------------------------------------------- S13 search-state checkpoints
-STATE_SCHEMA = "run_id STRING, iteration BIGINT, temperature DOUBLE, current_score DOUBLE, best_score DOUBLE, plateau INT, n_models INT, history STRING"
+STATE_SCHEMA = ("run_id STRING, batch BIGINT, temperature DOUBLE, current_score DOUBLE, best_score DOUBLE, plateau INT, "
+                "accepted ARRAY<STRUCT<batch: BIGINT, iteration: BIGINT>>")
 
 
 def save_state(spark: SparkSession, path: str, state: dict) -> None:
-    """Append one state row; resume = newest row of the run."""
-    row = (state["run_id"], state["iteration"], state["temperature"], state["current_score"], state["best_score"],
-           state["plateau"], state["n_models"], json.dumps(state.get("history", [])))
-    spark.createDataFrame([row], STATE_SCHEMA).write.mode("append").parquet(path)
+    """The state row of one batch, in a folder of its own with overwrite (a batch that is
+    run again replaces its row). All batches' rows together are the search history."""
+    row = (state["run_id"], state["batch"], state["temperature"], state["current_score"], state["best_score"],
+           state["plateau"], [tuple(a) for a in state["accepted"]])
+    spark.createDataFrame([row], STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/{state['run_id']}/{state['batch']}")
 
 
-def load_state(spark: SparkSession, path: str, run_id: str) -> dict | None:
+def read_history(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """Every batch's state row of a run; None if the run has none."""
+    from pyspark.errors import AnalysisException
+
     try:
-        df = spark.read.schema(STATE_SCHEMA).parquet(path).filter(F.col("run_id") == run_id)
-    except Exception:  # noqa: BLE001 - no state yet
+        return spark.read.schema(STATE_SCHEMA).option("recursiveFileLookup", True).parquet(f"{path}/{run_id}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    r = df.agg(F.max_by(F.struct(*[F.col(c.split(" ")[0]) for c in STATE_SCHEMA.split(", ")]), "iteration").alias("s")).first()["s"]
+
+
+def load_state(spark: SparkSession, path: str, run_id: str) -> dict | None:
+    """The newest state row of a run: where a restarted search goes on."""
+    rows = read_history(spark, path, run_id)
+    r = rows.orderBy(F.desc("batch")).first() if rows is not None else None
     if r is None:
         return None
-    d = r.asDict()
-    d["history"] = json.loads(d["history"])
-    return d
+    return {**r.asDict(), "accepted": [(a["batch"], a["iteration"]) for a in r["accepted"]]}

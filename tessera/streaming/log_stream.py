@@ -6,21 +6,22 @@ The live training log is an append-only folder of Parquet files. Each operator h
 so a replayed micro-batch (after an executor or driver failure) rewrites the same folder:
 the sink is idempotent and the checkpoint makes the stream exactly-once end to end.
 
-``run_available_now`` drives a stream over everything currently in the folder
-(``trigger(availableNow=True)``) and returns the sink as a batch DataFrame; that is how
-the registered queries compare each streaming operator with its batch twin.
+``replay`` delivers a log in slices of event time: a slice is written by as many tasks as it has
+partitions, then the stream runs over everything available (``trigger(availableNow=True)``, one
+checkpoint for all slices). It returns the sink as a batch DataFrame; that is how the registered
+queries compare each streaming operator with its batch twin.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.anneal import anneal_fold
 from ..session import scratch_path
 
-
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -42,68 +43,82 @@ def utc_text(c: str, fmt: str = "yyyy-MM-dd HH:mm:ss.SSSSSS"):
     return F.date_format(utc_wallclock(c), fmt)
 
 
-def write_replay(df: DataFrame, ts: str, path: str, n_files: int = 4) -> None:
-    """Append a log frame to ``path`` in event-time order as ``n_files`` successive writes
-    (the file source reads files in modification-time order, so each write is one later
-    micro-batch). ``ts`` becomes a TIMESTAMP (watermarks need it). Range bounds come from
-    approximate quantiles of the event time: no global sort."""
-    d = df.withColumn(ts, as_instant(df, ts)).withColumn("_us", F.unix_micros(F.col(ts)))
-    cuts = d.approxQuantile("_us", [i / n_files for i in range(1, n_files)], 0.001) if n_files > 1 else []
-    bounds = [None] + sorted(set(cuts)) + [None]
+def time_slices(df: DataFrame, ts: str, n: int = 4) -> list[DataFrame]:
+    """A log frame in ``n`` slices of event time, oldest first; ``ts`` becomes a TIMESTAMP
+    (watermarks need it). Bounds come from approximate quantiles: no global sort."""
+    d = df.withColumn(ts, as_instant(df, ts))
+    us = F.unix_micros(F.col(ts))
+    cuts = d.select(us.alias("us")).approxQuantile("us", [i / n for i in range(1, n)], 0.001) if n > 1 else []
+    bounds = [None, *sorted(set(cuts)), None]
+    out = []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = d
         if lo is not None:
-            part = part.filter(F.col("_us") >= F.lit(lo))
+            part = part.filter(us >= F.lit(lo))
         if hi is not None:
-            part = part.filter(F.col("_us") < F.lit(hi))
-        part.drop("_us").coalesce(1).write.mode("append").parquet(path)
+            part = part.filter(us < F.lit(hi))
+        out.append(part)
+    return out
 
 
-def close_replay(df: DataFrame, ts: str, path: str, key: str, sentinel=-1) -> None:
-    """End-of-replay marker for append-mode windowed/session aggregations: two heartbeat
-    files (key = ``sentinel``) one and two days after the last event advance the watermark
-    past every open window so the final windows are emitted; callers drop the sentinel."""
+def heartbeats(df: DataFrame, ts: str, key: str, sentinel=-1) -> list[DataFrame]:
+    """End-of-replay markers for append-mode windowed / session aggregations: two slices of one row
+    (key = ``sentinel``) one and two days after the last event advance the watermark past every
+    open window, so the final windows are emitted; callers drop the sentinel."""
     last_us = df.agg(F.max(F.unix_micros(as_instant(df, ts))).alias("_m")).first()["_m"]
     base = df.limit(1).withColumn(key, F.lit(sentinel).cast(df.schema[key].dataType))
-    for days in (1, 2):
-        hb = base.withColumn(ts, F.timestamp_micros(F.lit(last_us + days * 86_400_000_000)))
-        hb.coalesce(1).write.mode("append").parquet(path)
+    return [base.withColumn(ts, F.timestamp_micros(F.lit(last_us + days * 86_400_000_000))) for days in (1, 2)]
+
+
+def run_with_progress(spark: SparkSession, slices: list[DataFrame], make: Callable[[DataFrame], DataFrame], name: str,
+                      mode: str = "append", state_partitions: int | None = None, sink: Callable | None = None
+                      ) -> tuple[DataFrame | None, list[tuple[int, int]]]:
+    """Deliver ``slices`` one after the other to the stream ``make(source)``; returns its sink as a
+    batch frame and (batch, input rows) of every micro-batch as the query reports them.
+
+    The stream runs in a session of its own, whose shuffle setting is the number of state-store
+    partitions: that number is recorded in the checkpoint at the first start and can't change
+    later, so it is chosen (``state_partitions``, default: the cluster's parallelism) instead of
+    being whatever the caller's session has. ``sink(batch, batch_id, out)`` replaces the writer."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    source, out, ckpt = (scratch_path(spark, f"{name}-{what}") for what in ("in", "out", "ckpt"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if sink is not None:
+            sink(batch, batch_id, out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    schema, progress = None, {}
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        schema = schema or part.schema
+        stream = make(own.readStream.schema(schema).parquet(source))
+        q = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        progress.update({p["batchId"]: p["numInputRows"] for p in q.recentProgress if p["numInputRows"]})
+    return read_sink(spark, out), sorted(progress.items())
 
 
-def run_available_now(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                      state_partitions: int | None = None) -> DataFrame:
-    """Run ``stream`` over everything available and return its sink as a batch frame.
+def replay(spark: SparkSession, slices: list[DataFrame], make: Callable[[DataFrame], DataFrame], name: str, mode: str = "append",
+           state_partitions: int | None = None, sink: Callable | None = None) -> DataFrame | None:
+    return run_with_progress(spark, slices, make, name, mode, state_partitions, sink)[0]
 
-    ``state_partitions`` fixes the number of shuffle / state-store partitions of a stateful
-    query; it is recorded in the checkpoint at the first start and cannot change later, so
-    it is chosen deliberately (default: the cluster's default parallelism) instead of
-    inheriting whatever ``spark.sql.shuffle.partitions`` the session has."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    n_state = state_partitions or spark.sparkContext.defaultParallelism
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+def read_sink(spark: SparkSession, out: str) -> DataFrame | None:
+    """The sink as a batch frame; None if no batch produced any row."""
+    from pyspark.errors import AnalysisException
 
-    key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, str(n_state))  # captured by the query at start
-    try:
-        q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, prev)
-    q.awaitTermination()
     try:
         return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced any row
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
-def read_log_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-
-
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     """Final value per key of an update-mode sink: the row of the newest batch."""
     cols = [c for c in df.columns if c not in keys + ["batch"]]
@@ -119,9 +134,10 @@ def dedup_stream(s: DataFrame, ts: str = "timestamp", key: str = "iteration_num"
 
 
 # ---------------------------------------------------------------- ST2 / ST3
-def windowed_rates(s: DataFrame, ts: str = "timestamp", width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Acceptance and timeout counts per tumbling window and class (update mode)."""
-    return (s.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), "classifier_type")
+def windowed_rates(s: DataFrame, ts: str = "timestamp", width: str = "1 day", delay: str = "1 hour",
+                   slide: str | None = None) -> DataFrame:
+    """Acceptance and timeout counts per window and class, tumbling or sliding (update mode)."""
+    return (s.withWatermark(ts, delay).groupBy(F.window(ts, width, slide).alias("w"), "classifier_type")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("accepted").alias("accepted"), F.sum("timeout").alias("timeouts")))
 
 
@@ -138,103 +154,62 @@ def sessions(s: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", de
 
 
 # ---------------------------------------------------------------- ST4 worker state
-STATE_COLS = ["status", "classifier_type", "start_time", "end_time", "runtime_sec", "pipeline_hash", "seq"]
-
-
 def worker_state_stream(s: DataFrame) -> DataFrame:
-    """Upsert semantics of the worker table as arbitrary state keyed by worker: newest
-    status; classifier, end time, runtime and hash keep the newest NON-NULL value;
-    start_time is set once."""
-    schema_out = ("worker_id long, status string, classifier_type string, start_time string, end_time string, "
-                  "runtime_sec double, pipeline_hash string, seq long")
-    state_schema = ("status string, classifier_type string, start_time string, end_time string, runtime_sec double, "
-                    "pipeline_hash string, seq long")
-
-    def upd(key, pdfs, state):
-        cur = dict(zip(STATE_COLS, state.get)) if state.exists else {c: None for c in STATE_COLS}
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        for r in rows.itertuples(index=False):
-            if cur["seq"] is not None and r.seq <= cur["seq"]:
-                continue
-            cur["status"] = r.status
-            for c in ("classifier_type", "end_time", "runtime_sec", "pipeline_hash"):
-                v = getattr(r, c)
-                if v is not None and not (isinstance(v, float) and pd.isna(v)):
-                    cur[c] = v
-            if cur["start_time"] is None:
-                cur["start_time"] = r.start_time
-            cur["seq"] = int(r.seq)
-        state.update(tuple(cur[c] for c in STATE_COLS))
-        yield pd.DataFrame([{"worker_id": key[0], **cur}])
-
-    src = s.select("worker_id", "status", "classifier_type",
-                   utc_text("start_time").alias("start_time"),
-                   utc_text("end_time").alias("end_time"),
-                   "runtime_sec", "pipeline_hash", F.col("event_id").alias("seq"))
-    return src.groupBy("worker_id").applyInPandasWithState(upd, schema_out, state_schema, "update",
-                                                           GroupStateTimeout.NoTimeout)
+    """Upsert semantics of the worker table as a streaming aggregation (update mode), each field
+    by its own sequence: newest status; newest NON-NULL classifier, end time, runtime and hash;
+    the first start_time. A late event changes exactly the fields that it is the newest for."""
+    seq = F.col("event_id")
+    newest = lambda c, v: F.max_by(v, F.when(v.isNotNull(), seq)).alias(c)
+    return s.groupBy("worker_id").agg(
+        F.max_by("status", seq).alias("status"), newest("classifier_type", F.col("classifier_type")),
+        F.min_by(utc_text("start_time"), seq).alias("start_time"), newest("end_time", utc_text("end_time")),
+        newest("runtime_sec", F.col("runtime_sec")), newest("pipeline_hash", F.col("pipeline_hash")), F.max(seq).alias("seq"))
 
 
 # ---------------------------------------------------------------- ST5 annealing state per run
-def anneal_stream(s: DataFrame, seed: int = 42) -> DataFrame:
-    """Streaming twin of W6: state per run = current score; each micro-batch replays the
-    run's new steps in order and emits one decision per step (append mode)."""
-    import math
-
-    from ..functions.hashing import hash_uniform
-
-    src = s.select("run_id", "iteration_num", F.col("stage1_val_auc").alias("c"), F.col("temperature").alias("t"),
-                   hash_uniform(seed, "anneal", "iteration_num").alias("u"))
-
-    def upd(key, pdfs, state):
-        cur = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(pdfs)).sort_values("iteration_num")
-        acc, score = [], []
-        for r in rows.itertuples(index=False):
-            d = r.c - cur
-            ok = (d > 0) or (d == 0) or (not math.isfinite(d)) or (r.u < math.exp(d / r.t))
-            if ok:
-                cur = r.c
-            acc.append(bool(ok))
-            score.append(cur)
-        state.update((cur,))
-        yield pd.DataFrame({"run_id": key[0], "iteration_num": rows["iteration_num"].to_numpy(),
-                            "accepted": acc, "current_score": score})
-
-    return src.groupBy("run_id").applyInPandasWithState(
-        upd, "run_id long, iteration_num long, accepted boolean, current_score double", "cur double", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------- X5 progress callback
-from pyspark.sql.streaming import StreamingQueryListener  # noqa: E402
-
-
-class ProgressRecorder(StreamingQueryListener):
-    """Epoch/batch callback surface (X5): records (batch id, input rows) of every
-    micro-batch of every query on the session."""
-
-    def __init__(self):
-        self.rows = []
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        p = event.progress
-        self.rows.append((p.batchId, p.numInputRows))
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        pass
-
-    @classmethod
-    def attach(cls, spark):
-        rec = cls()
-        spark.streams.addListener(rec)
-        return rec
-
-    def detach(self, spark):
-        spark.streams.removeListener(self)
+ANNEAL_STATE = ("run_id bigint, current_score double, best_score double, temperature double, plateau bigint, last_step bigint, "
+                "ignored bigint")
+
+
+def anneal_sink(state_path: str, seed: int = 42) -> Callable[[DataFrame, int, str], None]:
+    """Streaming twin of W6 for ``replay``: every micro-batch goes through the chunked fold from
+    the runs' states, so no run's steps meet in one task, and writes its decisions and the new
+    states under its own number (a batch that is run again starts from the state before it).
+
+    A run's state holds its current and best score, the temperature of its last step, the steps
+    since the best and the last step. Decisions are final, so a step that arrives after a later
+    one was decided is ignored and counted; a step without a score is rejected."""
+
+    def sink(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        before = (spark.read.schema(ANNEAL_STATE).parquet(f"{state_path}/batch={batch_id - 1}") if batch_id
+                  else spark.createDataFrame([], ANNEAL_STATE))
+        known = before.select("run_id", "last_step", "current_score")
+        joined = batch.select("run_id", "iteration_num", "stage1_val_auc", "temperature").join(known, "run_id", "left")
+        fresh = joined.filter(F.col("last_step").isNull() | (F.col("iteration_num") > F.col("last_step")))
+        late = joined.filter(F.col("iteration_num") <= F.col("last_step")).groupBy("run_id").agg(F.count(F.lit(1)).alias("_late"))
+        steps = fresh.select("run_id", "iteration_num", "stage1_val_auc", "temperature")
+        start = before.select("run_id", F.col("current_score").alias("s0"))
+        decided = anneal_fold(steps, seed=seed, start=start)
+        decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        decided = spark.read.schema(decided.schema).parquet(f"{out}/batch={batch_id}")
+        scored = decided.join(steps.select("run_id", "iteration_num", "temperature"), ["run_id", "iteration_num"])
+        own = scored.groupBy("run_id").agg(
+            F.max_by("current_score", "iteration_num").alias("_cur"), F.max_by("temperature", "iteration_num").alias("_t"),
+            F.max("iteration_num").alias("_last"), F.count(F.lit(1)).alias("_n"), F.max("current_score").alias("_best"))
+        # steps since the batch's best was first reached
+        after = (scored.join(own.select("run_id", "_best"), "run_id").groupBy("run_id").agg(
+            F.min(F.when(F.col("current_score") == F.col("_best"), F.col("iteration_num"))).alias("_at")))
+        since = scored.join(after, "run_id").groupBy("run_id").agg(F.count_if(F.col("iteration_num") > F.col("_at")).alias("_since"))
+        new = before.join(own.join(since, "run_id"), "run_id", "full_outer").join(late, "run_id", "left")
+        higher = F.col("best_score").isNull() | (F.col("_best") > F.col("best_score"))
+        new.select(
+            "run_id", F.coalesce("_cur", "current_score").alias("current_score"),
+            F.when(F.col("_n").isNull(), F.col("best_score")).otherwise(F.greatest("best_score", "_best")).alias("best_score"),
+            F.coalesce("_t", "temperature").alias("temperature"),
+            F.when(F.col("_n").isNull(), F.col("plateau")).when(higher, F.col("_since")).otherwise(F.col("plateau") + F.col("_n")).alias("plateau"),
+            F.coalesce("_last", "last_step").alias("last_step"),
+            (F.coalesce("ignored", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("bigint").alias("ignored"),
+        ).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+
+    return sink

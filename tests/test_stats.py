@@ -1,24 +1,25 @@
-"""Exact quantiles: the bracket-refinement path (used above DIRECT_LIMIT rows) equals the
-direct exact percentile."""
+"""Exact quantiles equal numpy's at any number of buckets."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import tessera.operators.stats as ST
 
 
-def test_bracketed_quantiles_equal_direct(spark, monkeypatch):
+@pytest.mark.parametrize("edges", [2, 7, 256])
+def test_quantiles_equal_numpy(spark, edges):
+    """Values between edges, values that fill whole buckets, several columns at once, bad values."""
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.exponential(size=1500)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(5)
-    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    direct = ST.exact_quantiles(df, ["x"], probs)["x"]
-    monkeypatch.setattr(ST, "DIRECT_LIMIT", 10)
-    monkeypatch.setattr(ST, "BRACKET_ROWS", 400)
-    brack = ST.exact_quantiles(df, ["x"], probs)["x"]
-    want = np.quantile(vals, probs)
-    assert np.allclose(direct, want, rtol=0, atol=1e-12)
-    assert np.allclose(brack, want, rtol=0, atol=1e-12)
+    vals = np.concatenate([rng.normal(size=3000), np.full(2500, 0.25), rng.exponential(size=1500)])
+    rows = [(float(v), float(i % 3), None, float("nan") if i % 2 else float(i)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, w double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0, *np.linspace(0, 1, 101).tolist()]
+    got = ST.exact_quantiles(df, ["x", "y", "z", "w"], probs, n_edges=edges)
+    assert np.allclose(got["x"], np.quantile(vals, probs), rtol=0, atol=1e-12)
+    assert np.allclose(got["y"], np.quantile(np.arange(len(vals)) % 3, probs), rtol=0, atol=1e-12)
+    assert got["z"] == [None] * len(probs)
+    assert np.allclose(got["w"], np.quantile(np.arange(0, len(vals), 2), probs), rtol=0, atol=1e-9)
 
 
 def test_norm_ppf_and_quantile_normal_output(spark):

@@ -27,7 +27,7 @@ def norm(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return f"{round(v, 5):.5f}"
+        return f"{round(v, 6 if abs(v) < 1e6 else 4):.6f}"  # doubles of 1e9 have no six places of their own
     if hasattr(v, "item"):
         return norm(v.item())
     if isinstance(v, bool):
@@ -49,9 +49,9 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = sys.argv[2:]
     from tessera.plans.registry import load_all
-    from tessera.session import get_session
+    from tessera.session import get_session, release_tracked
 
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
@@ -61,6 +61,7 @@ def main():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         t0 = time.time()
+        release_tracked()
         try:
             df = q.fn(spark, sf)
             cols = df.columns
@@ -86,12 +87,13 @@ def main():
         h2, l2 = digest(ocols, orows)
         ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2
         if ok:
-            print(f"ok {name}: {len(rows)} rows {ts:.1f}s")
+            print(f"ok {name}: {len(rows)} rows {ts:.1f}s", flush=True)
         else:
             bad += 1
             print(f"MISMATCH {name}: spark {len(rows)} {sorted(cols)} / duck {len(orows)} {sorted(ocols)}")
-            d1 = [x for x in l1 if x not in set(l2)][:3]
-            d2 = [x for x in l2 if x not in set(l1)][:3]
+            s1, s2 = set(l1), set(l2)
+            d1 = sorted(s1 - s2)[:3]
+            d2 = sorted(s2 - s1)[:3]
             print("   spark-only:", d1)
             print("   duck-only :", d2)
     print(f"done, {bad} bad")
