@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from tessera.llm import language_id, minhash, mixing, quality
 from tessera.llm.common import table
 from tessera.llm.queries import tokenizer_path
 from tests.conftest import SF01
@@ -82,7 +81,3 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
             assert k == 4 or out.columns == docs.columns
             docs = saved(spark, out, tmp_path / f"{name}-{k}")
         assert (docs.count() == 0) == (name == "n")
-
-
-def test_each_stage_calls_its_operator():
-    assert {language_id, quality, minhash, mixing} <= set(vars(P).values())
