@@ -15,6 +15,8 @@ an empty table; rows with a null language or id are predicted but not learned fr
 
 from __future__ import annotations
 
+import string
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,9 +33,16 @@ FILTERS = 8
 #: Bound of the labelled sample, and windows taken from each of its documents.
 DOCS_PER_LANGUAGE = 300
 WINDOWS_PER_DOC = 4
+#: Bound of the documents that the least score is set on, the share of them under it, and its
+#: distance from an even vote.
+CALIBRATION_DOCS = 1200
+LOST = 0.001
+MARGIN = 0.05
 N_CLASSES = 157
 SPACE, DIGIT, OTHER, HIGH = 26, 27, 28, 29
 UNDETERMINED = "und"
+TAGS = ["div", "td", "tr", "span", "li", "a", "p", "img", "ul", "/div", "/td", "/span", "/a", "br", "meta", "link"]
+ATTRIBUTES = ["id", "class", "href", "style", "src", "width", "rel", "name"]
 
 
 def byte_classes() -> np.ndarray:
@@ -59,12 +68,13 @@ class ByteConvNet:
     bias: np.ndarray | None = None
 
     @staticmethod
-    def fresh(languages: list[str], seed: int = 7) -> ByteConvNet:
+    def fresh(languages: list[str], seed: int = 7, noise: bool = False) -> ByteConvNet:
+        """Untrained; with ``noise`` the softmax has one more class, after the languages."""
         rng = np.random.default_rng(seed)
         filters = [rng.normal(0, 0.5 / w, (w, N_CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
-        k = len(WIDTHS) * FILTERS
-        return ByteConvNet(languages, filters, rng.normal(0, k**-0.5, (k, len(languages))).astype(np.float32),
-                           np.zeros(len(languages), np.float32))
+        k, classes = len(WIDTHS) * FILTERS, len(languages) + noise
+        return ByteConvNet(languages, filters, rng.normal(0, k**-0.5, (k, classes)).astype(np.float32),
+                           np.zeros(classes, np.float32))
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.02,
             seed: int = 11) -> ByteConvNet:
@@ -159,9 +169,11 @@ def pad_windows(texts: list[bytes]) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteConvNet:
+          docs_per_language: int = DOCS_PER_LANGUAGE, noise: bool = False) -> ByteConvNet:
     """Fit on a bounded sample of ``docs``: of each language the ``docs_per_language`` rows
-    with the smallest id hash. Callers pass the rows that may be learned from."""
+    with the smallest id hash. Callers pass the rows that may be learned from. With ``noise``
+    the network also learns windows without a language (``noise_windows``), which take
+    probability from the languages."""
     from pyspark.sql import Window
 
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit("lang"))
@@ -185,12 +197,50 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     languages = sorted(counts)
     data = [(w.encode(), languages.index(r["lang"])) for r in rows for w in dict.fromkeys(r["windows"])]
     data = sorted((w, k) for w, k in data if IS_LETTER[np.frombuffer(w[:WINDOW], np.uint8)].sum() >= 8)
-    net = ByteConvNet.fresh(languages)
+    net = ByteConvNet.fresh(languages, noise=noise)
+    if data and noise:
+        data += [(p, k) for w, k in data for p in [short_piece(w)] if p]
+        data += [(w, len(languages)) for w in noise_windows([w for w, _ in data])]
     if data:
         net.fit(pad_windows([w for w, _ in data]), np.array([k for _, k in data]))
     return net
 
 
+def short_piece(window: bytes) -> bytes:
+    """One to five words of a window, so that short texts are learned as well, some of them
+    after a number; empty without words."""
+    parts = window[:WINDOW].split()[1:-1]  # the outer ones may be cut
+    at, n = zlib.crc32(window) % max(len(parts), 1), zlib.crc32(window, 1)
+    number = b"+%d (%d) %d " % (n % 100, n % 1000, n) if parts and n % 3 == 0 else b""
+    return number + b" ".join(parts[at:at + 1 + n % 5])
+
+
+def noise_windows(windows: list[bytes], seed: int = 5) -> list[bytes]:
+    """One window without a language for each of some with one, in turn: its bytes in random
+    order, its letters replaced by random ones, codes, markup, numbers with a few lone letters."""
+    rng = np.random.default_rng(seed)
+    letters, codes = np.frombuffer(string.ascii_lowercase.encode(), np.uint8), np.frombuffer(
+        (string.ascii_uppercase + string.digits + "-_").encode(), np.uint8)
+    out = []
+    for i, w in enumerate(windows):
+        raw = np.frombuffer(w[:WINDOW], np.uint8)
+        if i % 5 == 0:
+            made = rng.permutation(raw)
+        elif i % 5 == 1:
+            made = np.where(IS_LETTER[raw], rng.choice(letters, len(raw)), raw)
+        elif i % 5 == 2:
+            made = np.where(CLASS_OF[raw] == SPACE, raw, rng.choice(codes, len(raw)))
+        elif i % 5 == 3:
+            tags = [f'<{t} {a}="{n}">' for t, a, n in zip(rng.choice(TAGS, 20), rng.choice(ATTRIBUTES, 20),
+                                                       rng.integers(0, 1000, 20), strict=True)]
+            made = np.frombuffer(" ".join(tags).encode()[:max(len(raw), 8)], np.uint8)
+        else:
+            digits = np.where(CLASS_OF[raw] == SPACE, raw, rng.integers(48, 58, len(raw)))
+            made = np.where((CLASS_OF[raw] != SPACE) & (rng.random(len(raw)) < 0.05), rng.choice(letters, len(raw)), digits)
+        out.append(made.astype(np.uint8).tobytes())
+    return out
+
+
 def classify(net: ByteConvNet, column, plan=None) -> tuple[list[str], np.ndarray]:
     """Languages and scores of an Arrow column of texts."""
     n = len(column)
@@ -207,7 +257,7 @@ def classify(net: ByteConvNet, column, plan=None) -> tuple[list[str], np.ndarray
         classes[np.arange(len(raw)) + shift] = CLASS_OF[raw]
         windows = classes.reshape(-1, WINDOW)
         letters = ((windows < 26) | (windows >= HIGH)).sum(1)
-        probs = np.empty((len(windows), len(net.languages)), np.float64)
+        probs = np.empty((len(windows), len(net.bias)), np.float64)
         for at in range(0, len(windows), 512):
             probs[at:at + 512] = net.probabilities(windows[at:at + 512], plan)
         owner = np.repeat(np.arange(to - row), n_windows)
@@ -244,7 +294,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, net: ByteConvNet, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+def least_score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text",
+                lang_col: str = "lang") -> float:
+    """The score that all but ``LOST`` of the labelled ``docs`` with the right prediction reach, over
+    about ``CALIBRATION_DOCS`` of each language by hash. Not over 0.5, as a language that is more
+    likely than all else is clear, and at least ``MARGIN`` over an even vote of the languages."""
+    floor = min(0.5, 1 / max(len(net.languages), 1) + MARGIN)
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return floor
+    span = 1 << 32
+    limits = F.create_map(*[x for k, n in counts.items()
+                            for x in (F.lit(k), F.lit(min(span, int(span * CALIBRATION_DOCS / n))))])
+    order = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("lang")), F.lit(span))
+    seen = predict(labelled.where(order < F.element_at(limits, F.col("lang"))), net)
+    found = seen.where(F.col("lang") == F.col("lang_pred")).agg(F.percentile("lang_score", F.lit(LOST))).first()[0]
+    return floor if found is None else max(floor, min(0.5, found))
+
+
+def keep_identified(docs: DataFrame, net: ByteConvNet, least_score: float, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that have a language: a text that is null, has no letter or whose
     best language scores under ``least_score`` is rejected."""
     lang, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "lang_score")

@@ -35,6 +35,28 @@ def test_language_stage_keeps_clean_documents(stages):
     assert {r["doc_id"] for r in stages[1].collect()} == letters
 
 
+def noise_texts(rng):
+    """Letters, codes, markup and numbers with lone letters, long and short."""
+    low, code = list("abcdefghijklmnopqrstuvwxyz"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-")
+    for n in (8, 40, 400):
+        yield " ".join("".join(rng.choice(low, rng.integers(3, 10))) for _ in range(n))
+        yield " ".join("".join(rng.choice(code, rng.integers(6, 12))) for _ in range(n))
+        yield " ".join(f'<{rng.choice(["div", "td", "tr"])} id="{rng.integers(1000)}">' for _ in range(n))
+        yield " ".join(f"{rng.integers(10**5)} x" for _ in range(n))
+
+
+def test_language_stage_rejects_planted_letter_noise(spark, stages, tmp_path):
+    rng = np.random.default_rng(1)
+    texts = [t for _ in range(25) for t in noise_texts(rng)]
+    planted = spark.createDataFrame([(-1 - i, t, None, "noise", len(t)) for i, t in enumerate(texts)], stages[0].schema)
+    docs = saved(spark, stages[0].unionByName(planted), tmp_path / "planted")
+    kept = {r["doc_id"] for r in P.identified(spark, docs, SF01).select("doc_id").collect()}
+    assert sum(i < 0 for i in kept) <= 0.01 * len(texts)
+    assert {i for i in kept if i >= 0} == {r["doc_id"] for r in stages[1].collect()}
+    labelled = {r["doc_id"] for r in stages[0].where("lang is not null").collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert len(labelled - kept) <= 0.002 * len(labelled)
+
+
 def test_quality_stage_drops_bad_and_keeps_good(spark, stages):
     labels = table(spark, SF01, "labels").withColumnRenamed("quality", "label")
     before = {r["doc_id"]: r["label"] for r in stages[1].join(labels, "doc_id").collect()}
