@@ -16,6 +16,7 @@ scan with row-wise steps only; write it first where it isn't.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bound_batches, give_back, span_hash, string_buffers, tidy
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of stored input for each bucket of terms.
+BUCKET_BYTES = 64 << 20
+#: Lengths in bytes of the prefixes that a term's bucket may depend on; past the last, the whole term.
+DEPTHS = (4, 8, 16, 32, 64)
 
 
 def squeeze(data: bytes) -> bytes:
@@ -106,7 +112,8 @@ def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callabl
            finish: Callable, id_type: str, out: str, buckets: int, hold: bool = False) -> DataFrame:
     """``docs`` is (id, text). ``blocks`` makes a block of a run of rows. ``answer()`` makes a
     task's function from packed requests to packed answers: called with one request at a time,
-    or with all of the task's requests where an answer needs them together (``hold``).
+    or with all of the task's requests where an answer needs them together (``hold``); answers may
+    then come one after the other.
     ``finish(ids, lengths, codes, buckets, answers, extra)`` makes the block's result, with
     ``answers`` by bucket; ``out`` is its schema."""
 
@@ -174,11 +181,43 @@ def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callabl
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def word_block(spans: Callable[[pa.Array], Iterator[tuple[int, int, Spans]]], buckets: int, spread: int | None = None
-               ) -> Callable[[pa.Table], Block]:
+def prefix_length(word: bytes, hot: set[bytes]) -> int:
+    """The first of ``DEPTHS`` at which the word's prefix isn't hot, or the word's length."""
+    for depth in DEPTHS:
+        if depth >= len(word) or word[:depth] not in hot:
+            return depth
+    return len(word)
+
+
+def hot_prefixes(docs: DataFrame, spans: Callable, buckets: int) -> set[bytes]:
+    """Prefixes of the lengths ``DEPTHS`` that hold more than about half a bucket's share of the
+    requested words, at each length. A block reports what has over a quarter of a bucket's share of
+    its own words, so a prefix with half a share in all is reported with a quarter at the least;
+    the reports and the result are bounded by the number of buckets."""
+
+    def reports(batches):
+        for run in text_runs(batches):
+            words: list[bytes] = []
+            word_block(spans, 1, words)(run)
+            found = [(None, len(words))]
+            for depth in DEPTHS:
+                counts = Counter(w[:depth] for w in words if len(w) > depth)
+                found += [(p, n) for p, n in counts.items() if n * 4 * buckets > len(words)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
+                                             names=["prefix", "n"])
+
+    seen = bound_batches(docs).mapInArrow(tidy(reports), "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    seen = seen.where(F.col("prefix").isNull() | (F.col("n") > 1)).collect()
+    total = sum(r["n"] for r in seen if r["prefix"] is None)
+    return {bytes(r["prefix"]) for r in seen if r["prefix"] is not None and r["n"] * 4 * buckets >= total}
+
+
+def word_block(spans: Callable[[pa.Array], Iterator[tuple[int, int, Spans]]], buckets: int, listed: list | None = None,
+               hot: set[bytes] | None = None) -> Callable[[pa.Table], Block]:
     """Blocks whose terms are strings without line feeds. ``spans`` cuts a column of texts in
     slices (first row, row after the last, spans). Equal spans are found by two independent
-    64-bit hashes. A term's bucket depends on its first ``spread`` bytes, or on all."""
+    64-bit hashes. A term's bucket depends on all its bytes, or with ``hot`` on its shortest prefix
+    (``DEPTHS``) that isn't in there. The block's terms are added to ``listed``."""
 
     def make(run: pa.Table) -> Block:
         column = flat(run.column(1))
@@ -208,7 +247,9 @@ def word_block(spans: Callable[[pa.Array], Iterator[tuple[int, int, Spans]]], bu
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         terms_ = [words[i] for i in first[order].tolist()]
-        which = np.fromiter((zlib.crc32(w[:spread]) % buckets for w in terms_), np.int64, len(terms_))
+        if listed is not None:
+            listed.extend(terms_)
+        which = np.fromiter((zlib.crc32(w if hot is None else w[:prefix_length(w, hot)]) % buckets for w in terms_), np.int64, len(terms_))
 
         def terms(at: np.ndarray) -> bytes:
             data = b"\n".join([terms_[i] for i in at])
@@ -241,5 +282,9 @@ def word_table(encode: Callable[[list[str]], list]) -> Callable[[list[str]], lis
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets of terms: as many as the session's shuffles have partitions."""
-    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Buckets of terms: as many as the session's shuffles have partitions, or one for every
+    ``BUCKET_BYTES`` of the scanned files if that is more."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 62:  # Spark knows no size
+        size = 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))

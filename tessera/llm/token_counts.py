@@ -1,7 +1,7 @@
 """Token counts of a unigram vocabulary by dynamic programming shared over a trie.
 
 The distinct pre-tokens of the corpus go to buckets by their first letters, so that words with
-common prefixes meet. Each bucket inserts its words in a trie by walking them in order; a
+common prefixes meet; where many begin alike, by as many more letters as even buckets need. Each bucket inserts its words in a trie by walking them in order; a
 node's forward score, the best log probability of segmenting the prefix that it stands for, is
 computed once and shared by all words below it. A terminal node stores the token count of its
 best segmentation. Documents add up the counts of their pre-tokens by position.
@@ -17,6 +17,7 @@ their row; a null id is kept; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,6 @@ from .common import text_slices, word_spans
 
 #: The mark that begins every pre-token in the vocabulary.
 MARK = "▁"
-#: Bytes of a pre-token that its bucket depends on.
-SPREAD = 4
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -95,14 +94,6 @@ class PrefixTrie:
         return tokens[-1]
 
 
-def count_words(words: list[str], scores: dict[str, float]) -> list[int]:
-    """Token counts of distinct words through one trie."""
-    trie, terminal = PrefixTrie(scores), {}
-    for w in sorted(words):
-        terminal[w] = trie.insert(w)
-    return [terminal[w] for w in words]
-
-
 @lru_cache(maxsize=2)
 def _scores(model: bytes) -> dict[str, float]:
     return zipf_scores(read_pieces(model))
@@ -118,11 +109,16 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     def answer():
         scores = _scores(model)
 
-        def give(requests: list[bytes]) -> list[bytes]:
-            asked = [[MARK + w for w in B.asked_words(r)] for r in requests]
-            distinct = list({w for words in asked for w in words})
-            table = dict(zip(distinct, count_words(distinct, scores), strict=True))
-            return [B.pack(np.array([table[w] for w in words], np.int64)) for words in asked]
+        def give(requests: list[bytes]) -> Iterator[bytes]:
+            # only the distinct words are held unpacked
+            table: dict[str, int] = {}
+            for r in requests:
+                table.update(dict.fromkeys(B.asked_words(r), 0))
+            trie = PrefixTrie(scores)
+            for w in sorted(table):
+                table[w] = trie.insert(MARK + w)
+            for r in requests:
+                yield B.pack(np.array([table[w] for w in B.asked_words(r)], np.int64))
 
         return give
 
@@ -134,5 +130,6 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return pa.table({id_col: ids, "n_words": pa.array(lengths), "n_tokens": pa.array(run[ends[1:]] - run[ends[:-1]])})
 
-    return B.lookup(rows, B.word_block(spans, buckets, SPREAD), answer, finish, id_type.simpleString(), out,
+    hot = B.hot_prefixes(rows, spans, buckets)
+    return B.lookup(rows, B.word_block(spans, buckets, hot=hot), answer, finish, id_type.simpleString(), out,
                     buckets, hold=True)

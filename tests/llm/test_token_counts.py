@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tessera.llm import token_counts as C
+from tessera.llm import blocks, token_counts as C
 from tessera.llm.common import table
 from tessera.llm.queries import op4_token_counts, tokenizer_path
 from tests.conftest import SF001
@@ -50,6 +51,30 @@ def test_shared_prefixes_are_scored_once():
     assert trie.nodes == len(prefixes)
 
 
+def test_words_of_one_prefix_share_no_bucket(spark, model, tmp_path):
+    """A third of the distinct words begin alike; the largest bucket gets near its share."""
+    rng = random.Random(2)
+    other = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(4000)]
+    urls = [f"https://www.example.com/items/{rng.randrange(10**9)}" for _ in range(2000)]
+    texts = [(i, " ".join(rng.sample(other + urls, 900))) for i in range(60)]
+    df = saved(spark, spark.createDataFrame(texts, "doc_id long, text string"), tmp_path / "h")
+    hot = blocks.hot_prefixes(df, C.spans, 16)
+    assert b"http" in hot and b"https://" in hot
+    run = df.toArrow().combine_chunks()
+    sizes = np.bincount(blocks.word_block(C.spans, 16, hot=hot)(run).buckets, minlength=16)
+    assert sizes.max() < 2 * sizes.mean()
+    scores = C.zipf_scores(C.read_pieces(model))
+    got = {r["doc_id"]: r["n_tokens"] for r in C.count_tokens(df, model).where("doc_id < 2").collect()}
+    assert got == {i: sum(viterbi(C.MARK + w, scores) for w in t.split()) for i, t in texts[:2]}
+
+
+def test_buckets_grow_with_the_input(spark, monkeypatch):
+    docs = table(spark, SF001, "documents")
+    few = blocks.bucket_count(docs)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 1000)
+    assert blocks.bucket_count(docs) > 10 * few
+
+
 def test_edges(spark, model, tmp_path):
     rows = C.count_tokens(saved(spark, edge_docs(spark), tmp_path / "e"), model).collect()
     scores = C.zipf_scores(C.read_pieces(model))
