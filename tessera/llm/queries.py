@@ -63,6 +63,11 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores_order_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with contexts of up to two words."""
+    return lm_score.score_documents(spark, table(spark, sf_dir, "documents"), order=3)
+
+
 def op9_consistent_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     out = sharding.shard(spark, table(spark, sf_dir, "documents"), 40)
@@ -84,6 +89,7 @@ QUERIES = {
     "op6_quality": (op6_quality, None),
     "op7_nearest_neighbours": (op7_nearest_neighbours, None),
     "op8_lm_scores": (op8_lm_scores, lm_score.SQL),
+    "op8_lm_scores_order_3": (op8_lm_scores_order_3, lm_score.SQL_ORDER_3),
     "op9_consistent_sharding": (op9_consistent_sharding, None),
     "op10_near_dedup": (op10_near_dedup, None),
 }
