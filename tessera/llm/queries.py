@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, language_id, lm_score, minhash, mixing, quality, sharding, token_counts
+from . import (
+    alignment,
+    ann,
+    bpe,
+    contamination,
+    embed_dedup,
+    language_id,
+    lm_score,
+    minhash,
+    mixing,
+    prefix_trie,
+    quality,
+    sharding,
+    token_counts,
+)
 from .common import table
 
 
@@ -80,6 +94,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), 3, 85)
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in runs of 10 words of a benchmark item."""
+    return contamination.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations have, with its members and what sharing it saves."""
+    return prefix_trie.shared_prefixes(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's links between the tokens of two tokenizers, with corpus-wide counts."""
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return alignment.align(spark, table(spark, sf_dir, "documents"), bpe.read_tokenizer(tokenizer_path("byte_bpe_50k.json")), model)
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_embedding_near_dedup": (op2_embedding_near_dedup, None),
@@ -92,4 +123,7 @@ QUERIES = {
     "op8_lm_scores_order_3": (op8_lm_scores_order_3, lm_score.SQL_ORDER_3),
     "op9_consistent_sharding": (op9_consistent_sharding, None),
     "op10_near_dedup": (op10_near_dedup, None),
+    "op11_benchmark_decontamination": (op11_benchmark_decontamination, contamination.SQL),
+    "op12_conversation_prefix_trie": (op12_conversation_prefix_trie, prefix_trie.SQL),
+    "op13_tokenizer_alignment": (op13_tokenizer_alignment, None),
 }
