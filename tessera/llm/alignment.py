@@ -84,11 +84,11 @@ def loaded_b(model: bytes):
 
 
 def space_before(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Places of spaces that follow a byte of their text which can't end white space."""
+    """Places of spaces, but for a text's last byte, that follow a byte of it which can't end white space."""
     at = np.flatnonzero(raw == 32)
     if len(at) == 0:
         return at
-    at = at[~np.isin(at, starts[:-1])]
+    at = at[~np.isin(at, starts[:-1]) & ~np.isin(at + 1, starts[1:])]
     last = raw[at - 1]
     odd = (last == 32) | ((last >= 9) & (last <= 13)) | ((last >= 28) & (last <= 31))
     # two and three bytes long: U+0085, U+00A0, U+1680, U+2000 to U+3000 by their last and first bytes
@@ -101,13 +101,14 @@ def chunk_spans(column: pa.Array):
     """Slices of a column of texts as spans of their chunks, without the space before each."""
     for row, to, starts, raw in text_slices(column):
         cuts = space_before(raw, starts)
-        begin = starts[:-1][starts[1:] > starts[:-1]]
-        a = np.sort(np.concatenate([begin, cuts + 1]))
-        b = np.sort(np.concatenate([starts[1:][starts[1:] > starts[:-1]], cuts]))
-        # a chunk that begins where the next text does is an empty one at the end of its text
-        owner = np.searchsorted(starts, np.minimum(a, b), side="right") - 1
-        late = a >= starts[owner + 1]
-        owner[late] = np.searchsorted(starts, a[late] - 1, side="right") - 1
+        full = np.flatnonzero(starts[1:] > starts[:-1])
+        owner = np.concatenate([full, np.searchsorted(starts, cuts, side="right") - 1])
+        a = np.concatenate([starts[full], cuts + 1])
+        order = np.lexsort((a, owner))
+        owner, a = owner[order], a[order]
+        b = starts[owner + 1]
+        inner = owner[1:] == owner[:-1]
+        b[:-1][inner] = a[1:][inner] - 1
         yield row, to, (raw, owner, a, b)
 
 

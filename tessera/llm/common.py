@@ -146,7 +146,7 @@ def span_hash(raw: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) ->
     run = np.empty(n + 1, np.uint64)
     run[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=run[1:])
-    value = (run[b] - run[a]) * _powers(inverse, n)[a]
+    value = (run[b] - run[a]) * _powers(inverse, n + 1)[a]  # an empty span may begin at the end
     return mix64(value + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

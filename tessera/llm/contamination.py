@@ -15,7 +15,7 @@ after works on posting lists:
 ``proximity_matches`` starts from the rarest word too and asks for all words of an item, in any
 order, within a stretch of words. DataFrame functions only.
 
-Test words, items and looked-up words are broadcast only if counted to be under
+Test words and items, which don't grow with the corpus, are broadcast only if counted to be under
 ``BROADCAST_ROWS``; beyond it they are joined by shuffles, for words with salted keys, as one word
 may hold a large share of all postings. Groups are a document's matches or an item's words.
 
@@ -108,7 +108,7 @@ def phrase_matches(spark: SparkSession, postings: DataFrame, words_: DataFrame,
     aligned = written(spark, firsts.join(seconds, ["row", "pos", "word"]).select("row", "item", "at").distinct(), "alignments")
     asked = (aligned.join(small(words_), "item")
              .select("row", "item", "name", "size", "at", "off", "word", (F.col("at") + F.col("off")).alias("pos")).where("pos >= 0"))
-    found = lists.join(small(asked), ["row", "pos", "word"])
+    found = lists.join(asked, ["row", "pos", "word"])  # no hint: the same plan whatever the number of matches
     place = F.row_number().over(Window.partitionBy("row", "item", "at").orderBy("off"))
     runs = (found.withColumn("run", F.col("off") - place).groupBy("row", "item", "name", "size", "at", "run")
             .agg(F.min("pos").alias("first"), F.max("pos").alias("last")))
