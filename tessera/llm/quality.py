@@ -36,8 +36,8 @@ from .language_id import fresh_name
 TRAIN_ROWS = 20_000
 FEATURES = ("log_words", "word_length", "upper", "digit", "space", "newline", "mark", "symbol", "bar", "high",
             "distinct", "again", "stop")
-#: Strength of the prior of a level with one group or no spread, and the bounds of a fitted one.
-STRENGTH, LEAST_STRENGTH, MOST_STRENGTH = 50.0, 2.0, 10_000.0
+#: Bounds of a level's fitted prior strength; without spread between groups it is the larger one.
+LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1
@@ -132,12 +132,13 @@ def with_features(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           quality_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Evidence:
     """Fit on the labelled documents with the smallest id hashes. Only features of at most
-    ``train_rows`` rows come to the driver."""
+    ``train_rows`` rows come to the driver: of rows that repeat an id the one with the least text counts."""
     order = F.xxhash64(F.col("id").cast("string"), F.lit("quality"))
     chosen = (labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull())
               .select(F.col(id_col).alias("id"), F.col(quality_col).cast("double").alias("y"))
               .withColumn("o", order).orderBy("o", "id", "y").limit(train_rows).select("id", "y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "id")
     rows = with_features(texts.select("text", "y", "id"), "text", "x").select("x", "y", "id").toArrow()
     if len(rows) == 0:
         return fit_evidence(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -150,16 +151,17 @@ def log_odds(p):
     return F.log(p / (1 - p))
 
 
-def strength(groups: DataFrame, n: str, mean: str, prior: str, fallback: float = STRENGTH) -> float:
-    """Beta strength of a level by moments: the spread of the groups' rates about their
-    priors, less what sampling alone explains, sets how far a group may move."""
-    r = groups.where(F.col(n) >= 5).agg(
-        F.count(F.lit(1)).alias("g"), F.sum(n).alias("w"),
+def strength(groups: DataFrame, n: str, mean: str, prior: str) -> float:
+    """Beta strength of a level by moments over all groups: the spread of their rates about their
+    priors, less what sampling alone explains, sets how far a group may move. A group counts by its
+    size, so sparse ones add little each and their sampling noise is taken off."""
+    r = groups.agg(
+        F.sum(n).alias("w"),
         F.sum(F.col(n) * F.pow(F.col(mean) - F.col(prior), 2)).alias("spread"),
         F.sum(F.col(prior) * (1 - F.col(prior))).alias("noise"),
         F.sum(F.col(n) * F.col(prior) * (1 - F.col(prior))).alias("scale")).first()
-    if not r["g"] or r["g"] < 2 or not r["scale"]:
-        return fallback
+    if not r["scale"]:
+        return MOST_STRENGTH
     between = (r["spread"] - r["noise"]) / r["w"]
     unit = r["scale"] / r["w"]
     if between <= unit / MOST_STRENGTH:

@@ -44,7 +44,7 @@ def test_posterior_equals_plain_shrinkage(spark, evidence):
     overall = sum(p.values()) / len(p)
 
     def fit(groups):
-        use = [(n, s / n, q) for n, s, q in groups if n >= 5]
+        use = [(n, s / n, q) for n, s, q in groups]
         w = sum(n for n, _, _ in use)
         between = (sum(n * (m - q) ** 2 for n, m, q in use) - sum(q * (1 - q) for _, _, q in use)) / w
         unit = sum(n * q * (1 - q) for n, _, q in use) / w
@@ -71,6 +71,29 @@ def test_sparse_sites_stay_near_the_prior(spark):
     assert rate["big"] < rate["tiny"] < rate["fine"] and None in rate
 
 
+def test_long_tailed_sites_set_the_strength(spark):
+    """Thousands of sites of one or two texts: where all rates are alike the prior holds, where sites
+    differ it gives way, though no site has five texts."""
+    def k(rate):
+        rows = [(f"h{i}", "x", rate(i, j)) for i in range(3_000) for j in range(1 + i % 2)]
+        scored = spark.createDataFrame(rows, "host string, path string, p double")
+        groups = scored.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("p").alias("m")).withColumn("prior", F.lit(0.5))
+        return Q.strength(groups, "n", "m", "prior")
+
+    assert k(lambda i, j: float((i * 7 + j * 5) % 11 < 5.5)) > 20
+    assert k(lambda i, j: float(i % 4 < 2)) < 3
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_fit(spark, monkeypatch):
+    docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(8, "another one"), (9, "and one more")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1)], "doc_id long, quality long")
+    seen = []
+    monkeypatch.setattr(Q, "fit_evidence", lambda x, y: seen.append(len(x)))
+    Q.train(docs, labels)
+    assert seen == [3]
+
+
 def test_edges(spark, evidence, tmp_path):
     df = saved(spark, edge_docs(spark).withColumn("row", F.lit("mine")).withColumn("host", F.lit(1)).withColumn("p", F.lit(0)),
                tmp_path / "e")
