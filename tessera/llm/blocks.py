@@ -109,25 +109,29 @@ def _number(made: int) -> int:
 
 
 def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callable[[], Callable[[list], list[bytes]]],
-           finish: Callable, id_type: str, out: str, buckets: int, hold: bool = False) -> DataFrame:
+           finish: Callable, id_type: str, out: str, buckets: int, hold: bool = False, size: int | None = None) -> DataFrame:
     """``docs`` is (id, text). ``blocks`` makes a block of a run of rows. ``answer()`` makes a
     task's function from packed requests to packed answers: called with one request at a time,
     or with all of the task's requests where an answer needs them together (``hold``); answers may
     then come one after the other.
     ``finish(ids, lengths, codes, buckets, answers, extra)`` makes the block's result, with
-    ``answers`` by bucket; ``out`` is its schema."""
+    ``answers`` by bucket; ``out`` is its schema. ``size`` is a block's bytes of text
+    (``BLOCK_BYTES`` if not given)."""
+    size = size or BLOCK_BYTES
+
 
     def requests(batches):
-        for made, run in enumerate(text_runs(batches)):
+        for made, run in enumerate(text_runs(batches, size)):
             b = blocks(run)
             rows = [(x, b.terms(at)) for x, at in positions(b.buckets).items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in rows], pa.int32()), pa.array([_number(made)] * len(rows), pa.int64()),
                  pa.array([b.check] * len(rows), pa.int64()), pa.array([t for _, t in rows], pa.binary())],
                 names=["bucket", "block", "mark", "data"])
+            give_back()
 
     def kept(batches):
-        for made, run in enumerate(text_runs(batches)):
+        for made, run in enumerate(text_runs(batches, size)):
             b = blocks(run)
             ids = pa.RecordBatch.from_arrays([b.ids], names=["id"])
             sink = pa.BufferOutputStream()
@@ -139,6 +143,7 @@ def lookup(docs: DataFrame, blocks: Callable[[pa.Table], Block], answer: Callabl
                  pa.array([squeeze(raw)]), pa.array([len(raw)], pa.int64()),
                  pa.array([pack(b.lengths)]), pa.array([pack(b.codes)]), pa.array([pack(b.buckets)]), pa.array([b.extra], pa.binary())],
                 names=["block", "mark", "ids", "ids_size", "lengths", "codes", "buckets", "extra"])
+            give_back()
 
     def answered(batches):
         give = answer()

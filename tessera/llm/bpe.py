@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from . import blocks as B
 from .common import text_slices
 
+#: Bytes of text in a block: half the words of larger ones, so two tasks of an executor stay small.
+BLOCK_BYTES = 2 << 20
 #: A word that stands for a special token begins with a space, which no other word holds.
 SPECIAL = " "
 
@@ -247,7 +249,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
                         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if with_ids:
-        out = out.add("ids", T.BinaryType())
+        out = out.add("ids", T.BinaryType()).add("decoded", T.StringType())
     vocabulary = words.pieces()
 
     def finish(ids, lengths, codes, which, answers, extra):
@@ -265,7 +267,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 parts[i], texts[i] = data[4 * start:4 * end], " ".join(pieces[start:end])
                 start = end
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        total, h1, h2, all_ids = [], [], [], []
+        total, h1, h2, all_ids, all_texts = [], [], [], [], []
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             own = codes[lo:hi]
             n = counts[own]
@@ -279,10 +281,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             h2.append(hashlib.sha256(text.encode()).hexdigest())
             if with_ids:
                 all_ids.append(data)
+                all_texts.append(text)
         columns = {id_col: ids, "n_tokens": pa.array(total, pa.int64()), "ids_sha256": pa.array(h1, pa.string()),
                    "decoded_sha256": pa.array(h2, pa.string())}
         if with_ids:
-            columns["ids"] = pa.array(all_ids, pa.binary())
+            columns |= {"ids": pa.array(all_ids, pa.binary()), "decoded": pa.array(all_texts, pa.string())}
         return pa.table(columns)
 
-    return B.lookup(rows, B.word_block(words.spans, buckets), _answers(words), finish, id_type.simpleString(), out, buckets)
+    return B.lookup(rows, B.word_block(words.spans, buckets), _answers(words), finish, id_type.simpleString(), out, buckets, size=BLOCK_BYTES)

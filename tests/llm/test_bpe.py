@@ -77,14 +77,14 @@ def test_edges(spark, tmp_path):
     assert {(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows if r["doc_id"] in (1, 2, 3)} == {(0, empty, empty)}
     for r in rows:
         assert hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] and len(r["ids"]) == 4 * r["n_tokens"]
+        assert hashlib.sha256(r["decoded"].encode()).hexdigest() == r["decoded_sha256"]
     assert bpe.encode(saved(spark, empty_docs(spark), tmp_path / "n"), bpe.read_tokenizer(PATH)).count() == 0
 
 
 def test_many_small_blocks_give_the_same(spark, monkeypatch):
     docs = table(spark, SF001, "documents")
     whole = sorted(map(tuple, bpe.encode(docs, bpe.read_tokenizer(PATH)).collect()))
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(blocks.text_runs, "__defaults__", (20_000,))
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 20_000)
     assert sorted(map(tuple, bpe.encode(docs, bpe.read_tokenizer(PATH)).collect())) == whole
 
 

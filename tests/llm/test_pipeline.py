@@ -91,8 +91,8 @@ def test_encoding_stage_equals_the_library(stages):
 
 
 def test_run_equals_the_stages(spark, stages):
-    a = sorted(map(tuple, P.run(spark, SF01).drop("ids").collect()))
-    assert a == sorted(map(tuple, stages[5].drop("ids").collect()))
+    a = sorted(map(tuple, P.run(spark, SF01).drop("ids", "decoded").collect()))
+    assert a == sorted(map(tuple, stages[5].drop("ids", "decoded").collect()))
 
 
 def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
