@@ -5,10 +5,10 @@ ids). Data stays in Spark:
 
   * a candidate is a random pipeline over the whole model pool (FE38), fitted on its own exact
     stratified pre-sample of the pool (SM5, one pass for the batch), in a driver thread pool;
-    each runs in its own job group. A timer sets the candidate's event and cancels the group,
-    and the deadline is checked again before every stage of a fit (EN19);
-  * the batch's validation predictions are written once and read back as one array per row, next
-    to the ensemble's sums;
+    each fits and writes its validation predictions in its own job group and scheduler pool. A timer
+    sets the candidate's event and cancels the group, and the deadline is checked again before every
+    stage (EN19): what fails or times out, in fitting or in scoring, is a rejected row;
+  * the batch's predictions are read back as one array per row, next to the ensemble's sums;
   * candidates are decided in order, each against the ensemble with the accepted ones before it:
     one pass scores all, and only an acceptance scores the rest again. The current score is
     always the AUC of the saved ensemble. The search starts from an empty ensemble with score 0;
@@ -75,6 +75,7 @@ class Deadline:
 
     def run(self, fn):
         self.sc.setJobGroup(self.group, f"candidate {self.group}", interruptOnCancel=True)
+        self.sc.setLocalProperty("spark.scheduler.pool", self.group)
         timer = threading.Timer(self.seconds, self._end)
         timer.start()
         try:
@@ -87,6 +88,7 @@ class Deadline:
         finally:
             timer.cancel()
             self.sc.setLocalProperty("spark.jobGroup.id", None)
+            self.sc.setLocalProperty("spark.scheduler.pool", None)
 
 
 def accept(delta: float, temperature: float, u: float) -> tuple[bool, str]:
@@ -141,7 +143,8 @@ def run_search(spark: SparkSession, pool: DataFrame, features: list[str], cfg: S
         specs = [draw_spec(features, cfg.seed, it, cfg.models, cfg.row_fraction, cfg.column_fraction) for it in its]
         member = candidate_presample(train, "row_id", "label", [(s.iteration, s.row_fraction, cfg.seed + s.iteration) for s in specs])
         member = member.persist(StorageLevel.MEMORY_AND_DISK)
-        results = _fit_batch(spark, cfg, specs, train, member)
+        sinks.remove(spark, f"{paths['preds']}/batch={b}")  # of a batch that was cut off
+        results = _fit_batch(spark, cfg, specs, train, member, val, f"{paths['preds']}/batch={b}")
         st = _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature)
         member.unpersist()
     train.unpersist()
@@ -155,36 +158,38 @@ def _described(spec) -> dict:
             "pca_components": float(spec.reduction[1]["n_components"]) if spec.reduction else None, "pipeline_hash": spec.hash()}
 
 
-def _fit_batch(spark, cfg, specs, train, member) -> list[tuple]:
-    """(fitted or None, reason, seconds, timed out) of each candidate, in order."""
+def _fit_batch(spark, cfg, specs, train, member, val, folder: str) -> list[tuple]:
+    """(done, reason, seconds, timed out) of each candidate, in order. The predictions of one that is
+    done are in a folder of its own."""
 
     def job(spec):
         began = time.time()
         deadline = Deadline(spark, f"{cfg.run_id}-{spec.iteration}", cfg.timeout_sec)
         try:
             sample = train.join(member.filter(F.col("candidate_id") == spec.iteration).select("row_id"), "row_id", "left_semi")
-            return deadline.run(lambda: fit_pipeline(spec, sample, check=deadline.check)), "", time.time() - began, False
+
+            def fit_and_score():
+                ops, _, model = fit_pipeline(spec, sample, check=deadline.check)
+                p = apply_pipeline(ops, model, val).select("row_id", F.lit(spec.iteration).alias("model_id"), F.col("p").cast("double").alias("p"))
+                p.write.mode("overwrite").parquet(f"{folder}/candidate={spec.iteration}")
+
+            deadline.run(fit_and_score)
+            return True, "", time.time() - began, False
         except CandidateTimeout:
-            return None, "timeout", time.time() - began, True
+            return False, "timeout", time.time() - began, True
         except Exception as e:  # noqa: BLE001 - EN19: a failed candidate becomes a rejected row
-            return None, f"error: {type(e).__name__}", time.time() - began, False
+            return False, f"error: {type(e).__name__}", time.time() - began, False
 
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
         return list(ex.map(job, specs))
 
 
 def _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature) -> dict:
-    fitted = [i for i, (f, _, _, _) in enumerate(results) if f is not None]
+    fitted = [i for i, (done, _, _, _) in enumerate(results) if done]
     own, log, accepted = f"{paths['preds']}/batch={b}", [], []
     sums = spark.read.parquet(f"{paths['ensemble']}/batch={st['batch']}")
     if fitted:
-        long = None
-        for i in fitted:
-            ops, _, model = results[i][0]
-            p = apply_pipeline(ops, model, val).select("row_id", F.lit(specs[i].iteration).alias("model_id"), F.col("p").cast("double").alias("p"))
-            long = p if long is None else long.unionByName(p)
-        long.write.mode("overwrite").parquet(own)
-        preds = spark.read.schema("row_id bigint, model_id int, p double").parquet(own)
+        preds = read_predictions(spark, [f"{own}/candidate={specs[i].iteration}" for i in fitted])
         cell = lambda i: F.max(F.when(F.col("model_id") == specs[i].iteration, F.col("p")))
         sums = sums.join(preds.groupBy("row_id").agg(F.array(*[cell(i) for i in fitted]).alias("p")), "row_id").persist(StorageLevel.MEMORY_AND_DISK)
         earlier = _accepted_predictions(spark, paths, st["accepted"])
@@ -194,9 +199,9 @@ def _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature) ->
         alone = {r["model_id"]: r["auc"] for r in auc(preds.join(val.select("row_id", "label"), "row_id"), "p", "label", by=["model_id"]).collect()}
         scores = score_candidates(sums, len(st["accepted"]), len(fitted), [], list(range(len(fitted))))
     score, best, plateau, taken = st["current_score"], st["best_score"], st["plateau"], list(st["accepted"])
-    for i, (spec, (f, reason, seconds, late)) in enumerate(zip(specs, results, strict=True)):
+    for i, (spec, (done, reason, seconds, late)) in enumerate(zip(specs, results, strict=True)):
         row = {"iteration_num": spec.iteration, "temperature": temperature.value, "training_time_sec": seconds, "timeout": late, **_described(spec)}
-        k = fitted.index(i) if f is not None else None
+        k = fitted.index(i) if done else None
         got = scores.get(k) if k is not None else None
         if got is None:
             plateau += 1
@@ -232,9 +237,11 @@ def _decide_batch(spark, cfg, paths, st, b, specs, results, val, temperature) ->
 def _accepted_predictions(spark, paths, accepted: list) -> DataFrame | None:
     if not accepted:
         return None
-    folders = sorted({f"{paths['preds']}/batch={b}" for b, _ in accepted})
-    return (spark.read.schema("row_id bigint, model_id int, p double").parquet(*folders)
-            .filter(F.col("model_id").isin(*[it for _, it in accepted])))
+    return read_predictions(spark, [f"{paths['preds']}/batch={b}/candidate={it}" for b, it in accepted])
+
+
+def read_predictions(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).schema("row_id bigint, model_id int, p double").parquet(*folders)
 
 
 def _write_log(spark, path: str, cfg, b: int, rows: list[dict]) -> None:

@@ -3,11 +3,14 @@
 ``exact_quantiles`` returns linear-interpolated quantiles equal to numpy's default / DuckDB
 ``quantile_cont`` by one plan at every size, for all columns and ranks together:
 
-1. counts and ``EDGES`` approximate quantiles of every column, one aggregation;
-2. exact counts, minima and maxima of the buckets between these edges, one aggregation. A value
-   that is an edge has a bucket of its own, so a value that fills many rows needs no sorting;
-3. ranks within the buckets that hold a wanted rank and more than one value: a bucket is one
-   bounded window partition, and only the rows at wanted ranks come back.
+1. approximate values at the wanted places and at the sketch's error beside them, one aggregation;
+2. exact counts, minima and maxima of the buckets between these edges, one aggregation. A value that
+   is an edge has a bucket of its own, so most wanted ranks are settled here;
+3. a bucket that still holds a wanted rank between its least and largest value gets ``EDGES`` more
+   edges from a sketch of its own, and step 2 is taken again.
+
+No rows are sorted or gathered: a task holds sketches and counts, and an open bucket shrinks by
+the number of its edges in each round.
 """
 
 from __future__ import annotations
@@ -15,13 +18,13 @@ from __future__ import annotations
 import bisect
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import double_array, finite_or_null
 
-#: Approximate quantiles that cut a column in buckets, and their accuracy.
-EDGES, ACCURACY = 256, 10_000
+#: Edges that an open bucket gets in a round, and the accuracy of the sketches.
+EDGES, ACCURACY = 64, 10_000
 
 
 def _targets(n: int, p: float):
@@ -30,59 +33,72 @@ def _targets(n: int, p: float):
     return lo, min(lo + 1, n - 1), h - lo
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: bool = True, n_edges: int = EDGES) -> dict:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: bool = True, accuracy: int = ACCURACY) -> dict:
     """{col: [q(p) for p in probs]} with None for columns without finite values."""
     if not cols:
         return {}
-    val = (lambda c: finite_or_null(c)) if clean else (lambda c: F.col(c).cast("double"))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), val(c).alias("x")) for i, c in enumerate(cols)]))
-    x = df.select(cells.alias("s")).select("s.*").where("x is not null")
-    levels = double_array([i / n_edges for i in range(n_edges + 1)])
-    first = {r["c"]: r for r in x.groupBy("c").agg(  # one row per column
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.percentile_approx("x", levels, ACCURACY))).alias("edges")).collect()}
-    counts = [first[i]["n"] if i in first else 0 for i in range(len(cols))]
-    spans: dict[int, list] = {i: [] for i in range(len(cols))}
-    values: dict[tuple[int, int], float] = {}
-    wanted: dict[tuple[int, int], list] = {}
-    if first:
-        spark = df.sparkSession
-        edges = spark.createDataFrame([(c, r["edges"]) for c, r in first.items()], "c int, edges array<double>")
-        x = x.join(F.broadcast(edges), "c").withColumn("b", _bucket(n_edges + 1)).drop("edges")  # a row per column
-        for r in x.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
-            spans[r["c"]].append((r["b"], r["n"], r["lo"], r["hi"]))  # at most 2 * EDGES + 1 buckets a column
-    for i, n in enumerate(counts):
-        below, buckets, starts = 0, sorted(spans[i]), []
-        for _, size, _, _ in buckets:
-            starts.append(below)
-            below += size
-        for k in sorted({k for p in probs for k in _targets(n, p)[:2]}) if n else []:
-            at = bisect.bisect_right(starts, k) - 1
-            b, size, lo, hi = buckets[at]
-            if lo == hi or k == starts[at]:
-                values[i, k] = lo
-            elif k == starts[at] + size - 1:
-                values[i, k] = hi
-            else:
-                wanted.setdefault((i, b), []).append((k - starts[at] + 1, k))
-    if wanted:
-        table = spark.createDataFrame([(i, b, [r for r, _ in ks]) for (i, b), ks in wanted.items()], "c int, b int, ranks array<bigint>")
-        near = x.join(F.broadcast(table), ["c", "b"])  # at most two rows per column and probability
-        rank = F.row_number().over(Window.partitionBy("c", "b").orderBy("x"))
-        back = {key: dict(ks) for key, ks in wanted.items()}
-        for r in near.withColumn("r", rank).where(F.array_contains("ranks", F.col("r").cast("bigint"))).select("c", "b", "r", "x").collect():
-            values[r["c"], back[r["c"], r["b"]][r["r"]]] = r["x"]
+    values = [finite_or_null(c) if clean else F.col(c).cast("double") for c in cols]
+    step = 1.5 / accuracy
+    near = double_array(sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-step, 0.0, step)}))
+    first = df.agg(*[F.percentile_approx(v, near, accuracy).alias(f"e{i}") for i, v in enumerate(values)]).first()
+    edges = {i: sorted(set(first[f"e{i}"])) for i in range(len(cols)) if first[f"e{i}"]}
+    counts, found = [0] * len(cols), {}
+    open_: dict[int, list[int] | None] = dict.fromkeys(edges)  # wanted ranks of the columns not settled
+    while open_:
+        cells = _cells(df, values, edges)
+        spans: dict[int, list] = {i: [] for i in open_}
+        for r in cells.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            spans[r["c"]].append((r["b"], r["n"], r["lo"], r["hi"]))  # a row for each bucket between edges
+        wide: dict[int, set] = {}
+        for i, ks in list(open_.items()):
+            buckets, starts, below = sorted(spans[i]), [], 0
+            for _, size, _, _ in buckets:
+                starts.append(below)
+                below += size
+            if ks is None:
+                counts[i], ks = below, sorted({k for p in probs for k in _targets(below, p)[:2]})
+            left = []
+            for k in ks:
+                at = bisect.bisect_right(starts, k) - 1
+                b, size, lo, hi = buckets[at]
+                if lo == hi or k == starts[at]:
+                    found[i, k] = lo
+                elif k == starts[at] + size - 1:
+                    found[i, k] = hi
+                else:
+                    left.append(k)
+                    wide.setdefault(i, set()).add(b)
+            open_[i] = left
+        open_ = {i: ks for i, ks in open_.items() if ks}
+        if open_:
+            held = F.lit(False)
+            for i, bs in wide.items():
+                held = held | ((F.col("c") == i) & F.col("b").isin(*bs))
+            levels = double_array([(j + 0.5) / EDGES for j in range(EDGES)])
+            finer = cells.where(held).groupBy("c", "b").agg(F.percentile_approx("x", levels, accuracy).alias("e"))
+            more: dict[int, set] = {}
+            for r in finer.collect():
+                more.setdefault(r["c"], set()).update(r["e"])
+            edges = {i: sorted({*edges[i], *more.get(i, ())}) for i in open_}
     out = {}
     for i, c in enumerate(cols):
         n = counts[i]
         ends = [_targets(n, p) for p in probs] if n else []
-        out[c] = [values[i, lo] + (values[i, hi] - values[i, lo]) * f for lo, hi, f in ends] if n else [None] * len(probs)
+        out[c] = [found[i, lo] + (found[i, hi] - found[i, lo]) * f for lo, hi, f in ends] if n else [None] * len(probs)
     return out
 
 
+def _cells(df: DataFrame, values: list[Column], edges: dict[int, list[float]]) -> DataFrame:
+    """(c, b, x): the values of the columns that have edges, with their buckets."""
+    cell = [F.struct(F.lit(i).alias("c"), double_array(e).alias("e"), values[i].alias("x")) for i, e in edges.items()]
+    rows = df.select(F.explode(F.array(*cell)).alias("s")).select("s.*").where("x is not null")
+    return rows.select("c", _bucket(max(len(e) for e in edges.values()) + 1).alias("b"), "x")
+
+
 def _bucket(most_edges: int) -> Column:
     """2 * (edges below x) for a value between edges, one more for an edge: binary lifting over
-    the sorted column ``edges`` in one expression."""
-    n, e, x = F.size("edges"), F.col("edges"), F.col("x")
+    the sorted column ``e`` in one expression."""
+    n, e, x = F.size("e"), F.col("e"), F.col("x")
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(most_edges.bit_length()))])
 
     def lift(acc, s):

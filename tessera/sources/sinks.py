@@ -122,3 +122,10 @@ def load_state(spark: SparkSession, path: str, run_id: str) -> dict | None:
     if r is None:
         return None
     return {**r.asDict(), "accepted": [(a["batch"], a["iteration"]) for a in r["accepted"]]}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a sink where it is there, through Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

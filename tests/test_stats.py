@@ -1,4 +1,4 @@
-"""Exact quantiles equal numpy's at any number of buckets."""
+"""Exact quantiles equal numpy's at any accuracy of the sketches."""
 
 import numpy as np
 import pytest
@@ -7,21 +7,33 @@ from pyspark.sql import functions as F
 import tessera.operators.stats as ST
 
 
-@pytest.mark.parametrize("edges", [2, 7, 256])
-def test_quantiles_equal_numpy(spark, edges):
+@pytest.mark.parametrize("edges, accuracy", [(2, 10), (64, 100), (64, 10_000)])
+def test_quantiles_equal_numpy(spark, monkeypatch, edges, accuracy):
     """Values between edges, values that fill whole buckets, several columns at once, bad values."""
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(2500, 0.25), rng.exponential(size=1500)])
     rows = [(float(v), float(i % 3), None, float("nan") if i % 2 else float(i)) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "x double, y double, z double, w double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0, *np.linspace(0, 1, 101).tolist()]
-    got = ST.exact_quantiles(df, ["x", "y", "z", "w"], probs, n_edges=edges)
+    monkeypatch.setattr(ST, "EDGES", edges)
+    got = ST.exact_quantiles(df, ["x", "y", "z", "w"], probs, accuracy=accuracy)
     assert np.allclose(got["x"], np.quantile(vals, probs), rtol=0, atol=1e-12)
     assert np.allclose(got["y"], np.quantile(np.arange(len(vals)) % 3, probs), rtol=0, atol=1e-12)
     assert got["z"] == [None] * len(probs)
     assert np.allclose(got["w"], np.quantile(np.arange(0, len(vals), 2), probs), rtol=0, atol=1e-9)
 
 
+def test_skewed_column_never_gathers_rows(spark):
+    """No plan of a quantile sorts or windows rows, and a skewed column of 200,000 rows is exact."""
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([np.exp(rng.normal(0, 6, 100_000)), np.full(60_000, 3.0), -np.exp(rng.normal(0, 3, 40_000))])
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"x": vals}))
+    probs = [0.001, 0.25, 0.5, 0.75, 0.999]
+    assert ST.exact_quantiles(df, ["x"], probs)["x"] == pytest.approx(np.quantile(vals, probs).tolist(), rel=1e-12)
+    plan = ST._cells(df, [F.col("x")], {0: [1.0, 2.0]}).groupBy("c", "b").agg(F.count(F.lit(1)))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
 def test_norm_ppf_and_quantile_normal_output(spark):
     from statistics import NormalDist
 
