@@ -46,6 +46,26 @@ def _replace(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return df.withColumns(exprs)
 
 
+# ---------------------------------------------------------------- P11
+class DropConstant(Op):
+    """Of ``inputs``, the columns with fewer than two distinct values in the fitted rows (null
+    is none) are dropped, in these rows and in any others; one aggregation of least and greatest."""
+
+    def __init__(self, inputs):
+        self.inputs, self.state = list(inputs), {}
+
+    def fit(self, df):
+        r = df.agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(f"v{i}") for i, c in enumerate(self.inputs)]).first()
+        self.state = {"dropped": [c for i, c in enumerate(self.inputs) if not r[f"v{i}"]]}
+        return self
+
+    def outputs(self):
+        return [c for c in self.inputs if c not in self.state["dropped"]]
+
+    def transform(self, df):
+        return df.drop(*self.state["dropped"])
+
+
 # ---------------------------------------------------------------- FE1 / FE1b
 class CleanNumeric(Op):
     """NaN/+inf/-inf/null -> fitted statistic (median, mean or most_frequent).

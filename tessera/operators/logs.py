@@ -58,29 +58,50 @@ def worker_summary(state: DataFrame) -> DataFrame:
 def run_summary(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A2 per run: totals, accepted, rejected, ensemble size at the last accepted row, best
     AUC, last temperature, last time, aggregation name, models per hour (non-timeout rows /
-    hours between first and last row, 0 when not positive)."""
-    by = list(by or ["run_id"])
+    hours between first and last row, 0 when not positive). ``by=[]`` sums up the whole log in one
+    row: zeros, no last time and the aggregation 'N/A' where the log is empty."""
+    by = ["run_id"] if by is None else list(by)
     acc = F.col("accepted") == 1
     it = F.col("iteration_num")
     # timestampdiff on the stored wall-clock values: independent of the session time zone
     hours = F.expr("timestampdiff(MICROSECOND, min(timestamp), max(timestamp))") / F.lit(3.6e9)
     size = F.coalesce(F.max_by(F.col("num_models"), F.when(acc, it)), F.lit(0))
+    whole = (lambda c: c) if by else (lambda c: F.coalesce(c, F.lit(0.0)))
     out = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(acc).alias("accepted"),
         F.count_if(~acc).alias("rejected"),
         size.alias("ensemble_size"),
-        F.max(F.when(acc, F.col("stage1_val_auc"))).alias("best_auc"),
-        F.max_by("temperature", it).alias("last_temperature"),
+        whole(F.max(F.when(acc, F.col("stage1_val_auc")))).alias("best_auc"),
+        whole(F.max_by("temperature", it)).alias("last_temperature"),
         F.max("timestamp").alias("last_time"),
         F.count_if(F.col("timeout") == 0).alias("_nt"),
         hours.alias("_hours"),
     )
-    return (out.withColumn("aggregation", F.when(F.col("ensemble_size") < 10, "Simple Mean").otherwise("DNN Weighted"))
+    name = F.when(F.col("total") == 0, "N/A").when(F.col("ensemble_size") < 10, "Simple Mean").otherwise("DNN Weighted")
+    return (out.withColumn("aggregation", name)
             .withColumn("models_per_hour", F.when(F.col("_hours") > 0, F.col("_nt") / F.col("_hours")).otherwise(F.lit(0.0)))
             .drop("_nt", "_hours"))
 
 
+def batch_summary(jobs: DataFrame, cores: Column, by: list[str] | None = None) -> DataFrame:
+    """Jobs, cores in total and on average, and ``class:count`` pairs by name, per ``by`` or (none
+    given) over all jobs in one row: zeros and no pairs where there are none. Jobs are counted per
+    class first, so a group is gathered as a row per class."""
+    by = list(by or [])
+    k = jobs.groupBy(*by, "classifier_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cores).alias("c"))
+    g = k.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("jobs"), F.coalesce(F.sum("c"), F.lit(0)).alias("cores_total"),
+                           F.array_sort(F.collect_list(F.struct("classifier_type", "n"))).alias("pairs"))
+    named = F.transform("pairs", lambda s: F.concat(s["classifier_type"], F.lit(":"), s["n"].cast("string")))
+    return g.select(*by, "jobs", "cores_total", F.coalesce(F.try_divide("cores_total", "jobs"), F.lit(0.0)).alias("cores_avg"),
+                    F.array_join(named, ",").alias("per_class"))
+
+
+def batch_status(events: DataFrame) -> DataFrame:
+    """The newest state of every worker, ordered by worker (a row per worker)."""
+    return worker_state(events).orderBy("worker_id")
+
+
 def rolling_auc(log: DataFrame, k: int = 10) -> DataFrame:
     """Over accepted rows per run, rolling mean and SAMPLE std of the last k rows
     (min_periods=1, std null on a first row) and the mean +/- std band; plus W2 ensemble

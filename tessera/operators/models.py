@@ -420,12 +420,15 @@ def adaboost(train: DataFrame, features: list[str], label: str = "label", rounds
 
 
 def adaboost_predict(df: DataFrame, models, features: list[str], out: str = "p") -> DataFrame:
+    """Probability of class 1: the logistic of twice the stumps' vote, weighted and divided by the
+    sum of weights (a vote between -1 and 1)."""
     d = assemble(df, features)
     score = F.lit(0.0)
     for i, (alpha, m) in enumerate(models):
         d = m.setPredictionCol(f"_p{i}").setProbabilityCol(f"_pb{i}").setRawPredictionCol(f"_r{i}").transform(d)
         score = score + F.lit(alpha) * (F.lit(2.0) * F.col(f"_p{i}") - F.lit(1.0))
-    return d.withColumn(out, sigmoid(score))
+    weights = sum(alpha for alpha, _ in models)
+    return d.withColumn(out, sigmoid(score * F.lit(2.0 / weights if weights else 0.0)))
 
 
 # ---------------------------------------------------------------- M15 Platt calibration

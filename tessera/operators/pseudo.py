@@ -58,6 +58,30 @@ def cap_by_confidence(df: DataFrame, n: int, key: str, p: str = "p") -> DataFram
     return df.orderBy(F.desc(F.abs(F.col(p) - 0.5)), key).limit(n)
 
 
+def generate(df: DataFrame, key: str, p: str = "p", threshold: float = 0.95, max_samples: int | None = None,
+             balance: bool = True, ratio: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """PL1 in one call: the confident rows; classes drawn to ``ratio`` or, without one and with
+    ``balance``, to equal counts (either only where both classes are there); then the
+    ``max_samples`` most confident. Returns the rows with ``pseudo_label`` and one row of counts:
+    n_total, n_positive, n_negative, mean_confidence (null without rows), min_confidence,
+    test_set_size, coverage in percent."""
+    picked = confident(df, threshold, p)
+    counts = class_counts(picked)
+    if len(counts) == 2 and (ratio is not None or balance):
+        quotas = quotas_balance(counts) if ratio is None else quotas_ratio(counts, ratio)
+        picked = pick_quotas(picked, key, "pseudo_label", quotas, seed)
+    if max_samples is not None:
+        picked = cap_by_confidence(picked, max_samples, key, p)
+    stats = picked.agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("pseudo_label") == 1).alias("n_positive"),
+        F.count_if(F.col("pseudo_label") == 0).alias("n_negative"),
+        F.avg(F.greatest(F.col(p), F.lit(1.0) - F.col(p))).alias("mean_confidence"), F.lit(threshold).alias("min_confidence"))
+    size = df.agg(F.count(F.lit(1)).alias("test_set_size"))
+    stats = stats.crossJoin(size)  # one row each
+    share = F.coalesce(F.try_divide(F.col("n_total") * F.lit(100.0), F.col("test_set_size")), F.lit(0.0))
+    return picked, stats.withColumn("coverage", share)
+
+
 def augment(labelled: DataFrame, pseudo: DataFrame, key: str, max_fraction: float, seed: int = 42) -> DataFrame:
     """PL5: union the pool with pseudo rows capped at int(n * f / (1 - f)) by random pick."""
     n = labelled.count()

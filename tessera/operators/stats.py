@@ -11,6 +11,11 @@
 
 No rows are sorted or gathered: a task holds sketches and counts, and an open bucket shrinks by
 the number of its edges in each round.
+
+``grouped_quantiles`` gives the same quantiles for any number of groups, which stay in Spark: the
+distinct values of each (group, column) are counted on the map side, dealt by range over (group,
+value), and running counts over these ranges find each wanted rank. A group of any size is spread
+over as many ranges as it fills.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import double_array, finite_or_null
+from ..session import stored
+from .scan import prefix_sums
 
 #: Edges that an open bucket gets in a round, and the accuracy of the sketches.
 EDGES, ACCURACY = 64, 10_000
@@ -88,6 +95,35 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], clean: b
     return out
 
 
+def grouped_quantiles(df: DataFrame, by: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+    """One row per group and column: the columns of ``by``, ``column`` (name), ``n`` (values that
+    aren't null), ``least``, ``mean``, ``greatest`` and ``q``, the linear-interpolated quantiles at
+    ``probs``. Null is a group of its own; a group without values has n = 0 and nulls; NaN is above
+    all numbers; an empty table gives no rows."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])
+    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(by)]).alias("g"), F.explode(cells).alias("c"))
+    rows = rows.select(F.struct("g", F.col("c.column").alias("column")).alias("key"), F.col("c.x").alias("x"))
+    counts = rows.groupBy("key", "x").agg(F.count("x").alias("w"))
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, as a partition number must not be derived twice
+    dealt = stored(counts.repartitionByRange(n_ranges, "key", "x").withColumn("range", F.spark_partition_id().cast("bigint")),
+                   "grouped-quantiles")
+    ranked = prefix_sums(dealt, ["key"], ["x"], F.col("range"), {"upto": F.col("w")}, group_totals=True)
+    aggs, spots = [F.max("upto_total").alias("n"), F.min("x").alias("least"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"),
+                   F.max("x").alias("greatest")], []
+    for i, p in enumerate(probs):
+        place = (F.col("upto_total") - 1) * F.lit(float(p))
+        low = F.floor(place)
+        for name, k in (("a", low), ("b", F.least(low + 1, F.col("upto_total") - 1))):
+            aggs.append(F.max(F.when((F.col("upto") - F.col("w") <= k) & (k < F.col("upto")), F.col("x"))).alias(f"{name}{i}"))
+        end = (F.col("n") - 1) * F.lit(float(p))
+        spots.append(F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}"))
+                     .otherwise(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (end - F.floor(end))))
+    out = ranked.groupBy("key").agg(*aggs)
+    return out.select(*[F.col(f"key.g.g{i}").alias(c) for i, c in enumerate(by)], F.col("key.column").alias("column"),
+                      "n", "least", "mean", "greatest", F.array(*spots).alias("q"))
+
+
 def _cells(df: DataFrame, values: list[Column], edges: dict[int, list[float]]) -> DataFrame:
     """(c, b, x): the values of the columns that have edges, with their buckets."""
     cell = [F.struct(F.lit(i).alias("c"), double_array(e).alias("e"), values[i].alias("x")) for i, e in edges.items()]

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PIPELINE_STEPS, pipeline_hash_col, sql_bits, sql_uniform
+from ..functions.hashing import PIPELINE_STEPS, hash_uniform, pipeline_hash_col, sql_bits, sql_uniform
 from ..functions.scalar import clock_text, last_token_int, r6, runtime_text
 from ..operators import logs as L
+from ..operators.features import DropConstant
 from ..operators.metrics import auc
 from ..operators.sampling import CLASSIFIERS, draw_params, kfold, sample_columns, simple_sample, stratified_split
+from ..operators.stats import grouped_quantiles
 from ..sources import views as V
 from ..sources.tables import read_table
 from .registry import register
@@ -48,6 +50,15 @@ def s6_worker_state(spark, d):
                     r6("runtime_sec").alias("runtime_sec"), "pipeline_hash", ts_str("last_update").alias("last_update"))
 
 
+@register("s9_batch_status", ids=("S9",), sql=lambda: with_views("wstate") + """
+SELECT worker_id, status, iteration_num, batch_num, round(runtime_sec, 6) AS runtime_sec
+FROM wstate ORDER BY worker_id""")
+def s9_batch_status(spark, d):
+    """The newest state of every worker in the order of workers."""
+    s = L.batch_status(V.workers(spark, d))
+    return s.select("worker_id", "status", "iteration_num", "batch_num", r6("runtime_sec").alias("runtime_sec"))
+
+
 @register("s7_newest_iterations", ids=("S7", "O1"), sql=lambda: with_views("runlog") + """
 SELECT iteration_num, run_id, classifier_type, round(stage1_val_auc, 6) AS stage1_val_auc, accepted
 FROM runlog ORDER BY iteration_num DESC LIMIT 25""")
@@ -171,6 +182,21 @@ def p11_nonconstant_columns(spark, d):
     return row.unpivot([], cols, "column_name", "varies").filter("varies").select("column_name")
 
 
+_P11_TRAIN = f"{sql_uniform(42, 'p11', 'row_id')} < 0.8"
+
+
+@register("p11_drop_constant_columns", ids=("P11",), sql=lambda: with_views("dirty") + f"""
+SELECT row_id, round(o_totalprice, 6) AS o_totalprice, round(c_acctbal, 6) AS c_acctbal, round(days, 6) AS days, round(month, 6) AS month
+FROM dirty WHERE NOT ({_P11_TRAIN})""")
+def p11_drop_constant_columns(spark, d):
+    """P11 fitted on the train rows and applied to the others, which keep the train rows' choice."""
+    df = V.dirty(spark, d).select("row_id", *V.DIRTY_NUMERIC)
+    u = hash_uniform(42, "p11", "row_id")
+    op = DropConstant(V.DIRTY_NUMERIC).fit(df.where(u < 0.8))
+    out = op.transform(df.where(u >= 0.8))
+    return out.select("row_id", *[r6(c).alias(c) for c in out.columns if c != "row_id"])
+
+
 _P12_SQL = """CASE WHEN dim_reduction IS NULL OR use_pca = 0 THEN 'None'
   WHEN dim_reduction <> 'numeric' THEN dim_reduction
   WHEN pca_components < 1 THEN 'PCA (variance)' ELSE 'PCA/Other' END"""
@@ -318,6 +344,21 @@ def a2_run_summary(spark, d):
                     r6(F.try_divide(F.col("accepted"), F.col("total"))).alias("acceptance_rate"))
 
 
+@register("a2_whole_log_summary", ids=("A2", "W3"), sql=lambda: with_views("runlog") + """
+, g AS (SELECT count(*) AS total, CAST(count_if(accepted = 1) AS BIGINT) AS accepted, CAST(count_if(accepted <> 1) AS BIGINT) AS rejected,
+  coalesce(arg_max(num_models, CASE WHEN accepted = 1 THEN iteration_num END), 0) AS ensemble_size,
+  coalesce(max(CASE WHEN accepted = 1 THEN stage1_val_auc END), 0.0) AS best_auc, coalesce(arg_max(temperature, iteration_num), 0.0) AS last_temperature,
+  CAST(count_if(timeout = 0) AS BIGINT) AS nt, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 3.6e9 AS hours FROM runlog)
+SELECT total, accepted, rejected, ensemble_size, round(best_auc, 6) AS best_auc, round(last_temperature, 6) AS last_temperature,
+  CASE WHEN total = 0 THEN 'N/A' WHEN ensemble_size < 10 THEN 'Simple Mean' ELSE 'DNN Weighted' END AS aggregation,
+  round(CASE WHEN hours > 0 THEN nt / hours ELSE 0.0 END, 6) AS models_per_hour FROM g""")
+def a2_whole_log_summary(spark, d):
+    """A2 of the whole log: one row, of zeros where the log is empty."""
+    s = L.run_summary(V.runlog(spark, d), by=[])
+    return s.select("total", "accepted", "rejected", "ensemble_size", r6("best_auc").alias("best_auc"),
+                    r6("last_temperature").alias("last_temperature"), "aggregation", r6("models_per_hour").alias("models_per_hour"))
+
+
 @register("a3_global_summary", ids=("A3", "A12"), sql=lambda: with_views("runlog") + """
 SELECT count(*) AS total_iterations, CAST(count_if(accepted = 1) AS BIGINT) AS accepted,
   round(max(stage1_val_auc), 6) AS best_stage1, round(arg_max(temperature, iteration_num), 6) AS latest_temperature,
@@ -358,18 +399,12 @@ SELECT classifier_type, round(median(training_time_sec), 6) AS median_time,
   round(avg(training_time_sec), 6) AS avg_time, round(max(training_time_sec), 6) AS max_time
 FROM runlog GROUP BY 1""")
 def a6_a7_runtime_distribution(spark, d):
-    """A6 median per group, A7 five-number summary, A10 min/avg/max. The exact grouped
-    percentile keeps a value->count map per group; its size is bounded by the distinct
-    runtimes (2-decimal values), not by the number of rows."""
-    r = V.runlog(spark, d, with_num_models=False)
-    q = F.percentile("training_time_sec", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    g = r.groupBy("classifier_type").agg(F.median("training_time_sec").alias("median_time"), q.alias("q"),
-                                          F.min("training_time_sec").alias("min_time"),
-                                          F.avg("training_time_sec").alias("avg_time"),
-                                          F.max("training_time_sec").alias("max_time"))
-    return g.select("classifier_type", r6("median_time").alias("median_time"),
-                    *[r6(F.col("q")[i]).alias(f"q{i}") for i in range(5)],
-                    r6("min_time").alias("min_time"), r6("avg_time").alias("avg_time"), r6("max_time").alias("max_time"))
+    """A6 median per group, A7 five-number summary, A10 min/avg/max: exact ranks over the distinct
+    values of each group, dealt by range."""
+    q = grouped_quantiles(V.runlog(spark, d, with_num_models=False), ["classifier_type"], ["training_time_sec"],
+                          [0.0, 0.25, 0.5, 0.75, 1.0])
+    return q.select("classifier_type", r6(F.col("q")[2]).alias("median_time"), *[r6(F.col("q")[i]).alias(f"q{i}") for i in range(5)],
+                    r6("least").alias("min_time"), r6("mean").alias("avg_time"), r6("greatest").alias("max_time"))
 
 
 @register("a8_runtime_histogram", ids=("A8",), sql=lambda: with_views("runlog") + """
@@ -489,6 +524,10 @@ def _clf_sql(seed=42):
     return f"list_extract([{arr}], CAST(floor({u} * {len(CLASSIFIERS)}) AS INTEGER) + 1)"
 
 
+def _cores():
+    return F.when(F.col("classifier_type").isin("random_forest", "extra_trees", "knn"), 2).otherwise(1)
+
+
 @register("a19_batch_summary", ids=("A19", "SM12", "F9"), sql=lambda: with_views("runlog") + f"""
 , c AS (SELECT batch_num, {_clf_sql()} AS clf FROM runlog),
 k AS (SELECT batch_num, clf, count(*) AS n FROM c GROUP BY 1, 2)
@@ -500,15 +539,21 @@ FROM k GROUP BY batch_num""")
 def a19_batch_summary(spark, d):
     """Per batch: jobs, cores (2 for tree/kNN models, else 1), average, count per class."""
     r = V.runlog(spark, d, with_num_models=False).select("iteration_num", "batch_num")
-    c = draw_params(r, "iteration_num", carry=["batch_num"]).select("batch_num", F.col("classifier_type").alias("clf"))
-    k = c.groupBy("batch_num", "clf").agg(F.count(F.lit(1)).alias("n"))
-    cores = F.when(F.col("clf").isin("random_forest", "extra_trees", "knn"), 2).otherwise(1)
-    g = k.groupBy("batch_num").agg(
-        F.sum("n").alias("jobs"), F.sum(F.col("n") * cores).alias("cores_total"),
-        F.array_sort(F.collect_list(F.struct("clf", "n"))).alias("_pairs"))
-    return g.select("batch_num", "jobs", "cores_total", r6(F.col("cores_total") / F.col("jobs")).alias("cores_avg"),
-                    F.array_join(F.transform("_pairs", lambda s: F.concat(s["clf"], F.lit(":"), s["n"].cast("string"))), ",")
-                    .alias("per_class"))
+    c = draw_params(r, "iteration_num", carry=["batch_num"])
+    g = L.batch_summary(c, _cores(), by=["batch_num"])
+    return g.select("batch_num", "jobs", "cores_total", r6("cores_avg").alias("cores_avg"), "per_class")
+
+
+@register("a19_all_batches", ids=("A19", "SM12"), sql=lambda: with_views("runlog") + f"""
+, k AS (SELECT {_clf_sql()} AS clf, count(*) AS n FROM runlog GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS jobs, CAST(sum(n * CASE WHEN clf IN ('random_forest', 'extra_trees', 'knn') THEN 2 ELSE 1 END) AS BIGINT) AS cores_total,
+  round(sum(n * CASE WHEN clf IN ('random_forest', 'extra_trees', 'knn') THEN 2 ELSE 1 END) / sum(n), 6) AS cores_avg,
+  string_agg(clf || ':' || n, ',' ORDER BY clf) AS per_class FROM k""")
+def a19_all_batches(spark, d):
+    """A19 over all jobs: one row, of zeros where there are none."""
+    c = draw_params(V.runlog(spark, d, with_num_models=False).select("iteration_num"), "iteration_num")
+    g = L.batch_summary(c, _cores())
+    return g.select("jobs", "cores_total", r6("cores_avg").alias("cores_avg"), "per_class")
 
 
 @register("a20_overall_mean_line", ids=("A20",), sql=lambda: with_views("runlog") + """

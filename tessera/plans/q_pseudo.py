@@ -23,6 +23,15 @@ def _ranked(salt):
     return f"""r AS (SELECT c.*, row_number() OVER (PARTITION BY pseudo_label ORDER BY {sql_bits(42, salt, 'row_id')}, row_id) AS rk FROM c)"""
 
 
+_QUOTAS = f"""q AS (SELECT npos, nneg, CAST(floor((npos + nneg) * {RATIO}::DOUBLE) AS BIGINT) AS want_pos FROM k),
+qq AS (SELECT CASE WHEN npos = 0 OR nneg = 0 THEN npos WHEN npos < want_pos THEN npos
+                   WHEN nneg < (npos + nneg) - want_pos THEN least(npos, CAST(floor(nneg * {RATIO}::DOUBLE / (1 - {RATIO}::DOUBLE)) AS BIGINT))
+                   ELSE want_pos END AS qpos,
+              CASE WHEN npos = 0 OR nneg = 0 THEN nneg WHEN npos < want_pos THEN least(nneg, CAST(floor(npos * (1 - {RATIO}::DOUBLE) / {RATIO}::DOUBLE) AS BIGINT))
+                   WHEN nneg < (npos + nneg) - want_pos THEN nneg ELSE (npos + nneg) - want_pos END AS qneg FROM q)"""
+_DRAWN = f"""d AS (SELECT * FROM r, qq WHERE rk <= CASE WHEN pseudo_label = 1 THEN qpos ELSE qneg END ORDER BY abs(p - 0.5) DESC, row_id LIMIT 60)"""
+
+
 @register("pl1_pseudo_labels", ids=("PL1", "P8", "C9"), sql=lambda: with_views("semiview", extra=_CONF) + """
 SELECT row_id, round(p, 6) AS p, pseudo_label FROM c""")
 def pl1_pseudo_labels(spark, d):
@@ -30,6 +39,29 @@ def pl1_pseudo_labels(spark, d):
     return PL.confident(s, T).select("row_id", r6("p").alias("p"), "pseudo_label")
 
 
+def _generate(spark, d):
+    return PL.generate(V.semi(spark, d).filter(F.col("label").isNull()), "row_id", threshold=T, max_samples=60, ratio=RATIO)
+
+
+@register("pl1_generate_rows", ids=("PL1", "PL3", "PL4"), sql=lambda: with_views("semiview", extra=_CONF + ", " + _ranked("pl")) + f"""
+, {_QUOTAS}, {_DRAWN}
+SELECT row_id, round(p, 6) AS p, pseudo_label FROM d""")
+def pl1_generate_rows(spark, d):
+    """PL1 in one call: confident rows drawn to the target ratio, then the 60 most confident."""
+    rows, _ = _generate(spark, d)
+    return rows.select("row_id", r6("p").alias("p"), "pseudo_label")
+
+
+@register("pl1_generate_counts", ids=("PL1", "PL6"), sql=lambda: with_views("semiview", extra=_CONF + ", " + _ranked("pl")) + f"""
+, {_QUOTAS}, {_DRAWN}, u AS (SELECT count(*) AS n FROM semiview WHERE label IS NULL)
+SELECT count(*) AS n_total, CAST(count_if(pseudo_label = 1) AS BIGINT) AS n_positive, CAST(count_if(pseudo_label = 0) AS BIGINT) AS n_negative,
+  round(avg(greatest(p, 1.0 - p)), 6) AS mean_confidence, {T}::DOUBLE AS min_confidence, (SELECT n FROM u) AS test_set_size,
+  round(count(*) * 100.0 / (SELECT n FROM u), 6) AS coverage FROM d""")
+def pl1_generate_counts(spark, d):
+    _, stats = _generate(spark, d)
+    return stats.withColumn("mean_confidence", r6("mean_confidence")).withColumn("coverage", r6("coverage"))
+
+
 @register("pl2_balanced_pseudo", ids=("PL2",), sql=lambda: with_views("semiview", extra=_CONF + ", " + _ranked("pl")) + """
 SELECT row_id, pseudo_label FROM r, k WHERE npos > 0 AND nneg > 0 AND rk <= least(npos, nneg)
 UNION ALL SELECT row_id, pseudo_label FROM r, k WHERE NOT (npos > 0 AND nneg > 0)""")
@@ -41,12 +73,7 @@ def pl2_balanced_pseudo(spark, d):
 
 
 @register("pl3_target_ratio", ids=("PL3", "C8"), sql=lambda: with_views("semiview", extra=_CONF + ", " + _ranked("pl")) + f"""
-, q AS (SELECT npos, nneg, CAST(floor((npos + nneg) * {RATIO}::DOUBLE) AS BIGINT) AS want_pos FROM k),
-qq AS (SELECT CASE WHEN npos = 0 OR nneg = 0 THEN npos WHEN npos < want_pos THEN npos
-                   WHEN nneg < (npos + nneg) - want_pos THEN least(npos, CAST(floor(nneg * {RATIO}::DOUBLE / (1 - {RATIO}::DOUBLE)) AS BIGINT))
-                   ELSE want_pos END AS qpos,
-              CASE WHEN npos = 0 OR nneg = 0 THEN nneg WHEN npos < want_pos THEN least(nneg, CAST(floor(npos * (1 - {RATIO}::DOUBLE) / {RATIO}::DOUBLE) AS BIGINT))
-                   WHEN nneg < (npos + nneg) - want_pos THEN nneg ELSE (npos + nneg) - want_pos END AS qneg FROM q)
+, {_QUOTAS}
 SELECT row_id, pseudo_label FROM r, qq WHERE rk <= CASE WHEN pseudo_label = 1 THEN qpos ELSE qneg END""")
 def pl3_target_ratio(spark, d):
     """PL3: match a target positive share (0.3), shrinking the other class when one is short."""

@@ -156,6 +156,21 @@ def s1_s2_s3_prediction_files(spark, d):
     return a.join(b, "id").select("id", r6("probability").alias("probability"), "label")
 
 
+@register("s5_epoch_log", ids=("S5",), sql=lambda: with_views("epochs") + """
+SELECT CAST(ensemble_id AS VARCHAR) AS ensemble_id, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
+  round(train_auc, 6) AS train_auc, round(val_auc, 6) AS val_auc, true AS has_time FROM epochs""")
+def s5_epoch_log(spark, d):
+    """Epoch records appended in two writes (odd and even epochs) and read back."""
+    from ..operators.logs import epochs
+
+    e = epochs(V.runlog(spark, d, with_num_models=False)).withColumn("timestamp", F.current_timestamp())
+    path = scratch_path(spark, "epoch-log")
+    for odd in (1, 0):
+        sinks.append_epochs(e.where(F.col("epoch") % 2 == odd), path)
+    return sinks.read_epochs(spark, path).select("ensemble_id", "epoch", *[r6(c).alias(c) for c in ("train_loss", "val_loss", "train_auc", "val_auc")],
+                                                 F.col("timestamp").isNotNull().alias("has_time"))
+
+
 @register("s11_epoch_json_lines", ids=("S11", "S5", "F7"), sql=lambda: with_views("epochs") + """
 SELECT ensemble_id, epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM epochs""")
 def s11_epoch_json_lines(spark, d):

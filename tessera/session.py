@@ -103,6 +103,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written as a table under the shared checkpoint directory and read back: its lineage
+    ends there, and its rows stay as they are when an executor is lost."""
+    path, schema = scratch_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 # ---------------------------------------------------------------- cache lifetime
 _TRACKED: list = []
 

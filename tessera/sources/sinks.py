@@ -58,6 +58,27 @@ def write_hard_labels(df: DataFrame, path: str, key: str = "row_id", p: str = "p
         .write.mode("overwrite").option("header", True).csv(path)
 
 
+# The columns of the epoch log.
+EPOCH_SCHEMA = ("timestamp TIMESTAMP, ensemble_id STRING, epoch BIGINT, train_loss DOUBLE, val_loss DOUBLE, "
+                "train_auc DOUBLE, val_auc DOUBLE")
+
+
+def append_epochs(df: DataFrame, path: str) -> None:
+    """Epoch records appended in the columns of the epoch log. Every column is required: a
+    frame without one fails here, and a null in one fails the write."""
+    cols = []
+    for name, typ in (f.split(" ") for f in EPOCH_SCHEMA.split(", ")):
+        if name not in df.columns:
+            raise ValueError(f"epoch records need {name}")
+        value = F.col(name).cast(typ)
+        cols.append(F.coalesce(value, F.raise_error(F.lit(f"epoch records need {name}")).cast(typ)).alias(name))
+    df.select(*cols).write.mode("append").parquet(path)
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EPOCH_SCHEMA).parquet(path)
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     """One JSON object per epoch row, appended."""
     df.write.mode("append").json(path)

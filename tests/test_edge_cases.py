@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ensemble as E
 from tessera.operators import features as FE
 from tessera.operators import pseudo as PL
-from tessera.operators.logs import run_summary, worker_summary
+from tessera.operators.logs import batch_summary, run_summary, worker_summary
 from tessera.operators.metrics import auc
 from tessera.operators.sampling import stratified_split
 
@@ -112,6 +112,53 @@ def test_c12_empty_log(spark):
     log = spark.createDataFrame([], "run_id long, iteration_num long, accepted int, timeout int, num_models long, "
                                     "stage1_val_auc double, temperature double, timestamp timestamp")
     assert run_summary(log).count() == 0
+    whole = run_summary(log, by=[]).first()
+    assert (whole["total"], whole["accepted"], whole["ensemble_size"], whole["best_auc"], whole["last_temperature"]) == (0, 0, 0, 0.0, 0.0)
+    assert whole["aggregation"] == "N/A" and whole["models_per_hour"] == 0.0 and whole["last_time"] is None
+    jobs = spark.createDataFrame([], "classifier_type string, batch_num int")
+    assert tuple(batch_summary(jobs, F.lit(1)).first()) == (0, 0, 0.0, "")
+    assert batch_summary(jobs, F.lit(1), by=["batch_num"]).count() == 0
+
+
+def test_one_call_of_pseudo_labels(spark):
+    rows = [(i, 0.9 + i / 1000) for i in range(60)] + [(100 + i, 0.04) for i in range(20)] + [(200, 0.5)]
+    df = spark.createDataFrame(rows, "row_id long, p double")
+
+    def run(**options):
+        picked, stats = PL.generate(df, "row_id", threshold=0.9, **options)
+        return {r["pseudo_label"]: r["count"] for r in picked.groupBy("pseudo_label").count().collect()}, stats.first()
+
+    classes, stats = run()
+    assert classes == {0: 20, 1: 20} and (stats["n_total"], stats["n_positive"], stats["test_set_size"]) == (40, 20, 81)
+    assert run(balance=False)[0] == {0: 20, 1: 60}
+    assert run(ratio=0.25)[0] == {0: 20, 1: 6}  # negatives short: int(20 * 0.25 / 0.75) positives
+    capped, stats = run(ratio=0.25, max_samples=5)
+    assert sum(capped.values()) == stats["n_total"] == 5 and stats["coverage"] == pytest.approx(500 / 81)
+    none, stats = PL.generate(df, "row_id", threshold=0.9999)
+    assert none.count() == 0 and stats.first()["n_total"] == 0 and stats.first()["mean_confidence"] is None
+
+
+def test_epoch_records_need_every_column(spark, tmp_path):
+    from datetime import datetime
+
+    from tessera.sources import sinks
+
+    row = (datetime(2024, 1, 1), "e", 1, 0.5, 0.6, 0.7, 0.8)
+    df = spark.createDataFrame([row], sinks.EPOCH_SCHEMA).withColumn("extra", F.lit(1))
+    for _ in range(2):
+        sinks.append_epochs(df, str(tmp_path / "e"))
+    assert [tuple(r) for r in sinks.read_epochs(spark, str(tmp_path / "e")).collect()] == [row, row]
+    with pytest.raises(ValueError):
+        sinks.append_epochs(df.drop("val_auc"), str(tmp_path / "f"))
+    with pytest.raises(Exception, match="epoch records need epoch"):
+        sinks.append_epochs(df.withColumn("epoch", F.lit(None).cast("long")), str(tmp_path / "f"))
+
+
+def test_constant_columns_stay_as_fitted(spark):
+    train = spark.createDataFrame([(1, 1.0, 5.0, None), (2, 2.0, 5.0, None)], "k long, a double, b double, c double")
+    other = spark.createDataFrame([(3, 1.0, 6.0, 7.0)], "k long, a double, b double, c double")
+    op = FE.DropConstant(["a", "b", "c"]).fit(train)
+    assert op.transform(other).columns == ["k", "a"] and op.outputs() == ["a"]
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])

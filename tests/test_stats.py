@@ -47,3 +47,32 @@ def test_norm_ppf_and_quantile_normal_output(spark):
     qt = QuantileTransformer(["x"], 50, output="normal").fit(x)
     out = qt.transform(x).agg(F.avg("x").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     assert abs(out["m"]) < 1e-6 and out["lo"] < -5 and out["hi"] > 5
+
+
+@pytest.mark.parametrize("ranges", [2, 16])
+def test_grouped_quantiles(spark, ranges):
+    """A group of three quarters of the rows, a null group, groups without values and two columns equal
+    numpy's quantiles; the hot group's values lie in several ranges."""
+    rng = np.random.default_rng(11)
+    rows = [("hot", float(v), float(i % 5)) for i, v in enumerate(rng.normal(size=6000))]
+    rows += [(None, float(v), None) for v in rng.exponential(size=500)] + [("one", 2.5, 1.0), ("none", None, None)]
+    rows += [("same", 7.0, float(i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(7)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.999, 1.0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {(r["g"], r["column"]): r for r in ST.grouped_quantiles(df, ["g"], ["x", "y"], probs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 10
+    for (g, column), r in got.items():
+        vals = [row[1 if column == "x" else 2] for row in rows if row[0] == g]
+        vals = [v for v in vals if v is not None]
+        assert r["n"] == len(vals)
+        if vals:
+            assert r["q"] == pytest.approx(np.quantile(vals, probs).tolist(), rel=0, abs=1e-12)
+            assert (r["least"], r["greatest"]) == (min(vals), max(vals)) and r["mean"] == pytest.approx(np.mean(vals))
+        else:
+            assert r["q"] == [None] * len(probs) and r["least"] is None
+    assert ST.grouped_quantiles(df.limit(0), ["g"], ["x"], probs).count() == 0
