@@ -4,64 +4,67 @@ Per run, step i with candidate score c_i, temperature T_i and hash-uniform u_i u
 current score s: accept when c_i > s, c_i == s, or u_i < exp((c_i - s) / T_i); on accept
 s := c_i. The first step of a run starts from s = -inf (always accepted).
 
-Each step is the map f_i(s) = c_i if s < thr_i else s, with thr_i = c_i - T_i ln(u_i)
-(>= c_i). A composition of such maps is a step function: constant pieces below an
-ascending list of bounds, identity above the last. That gives an exact three-stage plan:
-
-  1. every (run, chunk) of at most ``chunk`` (2^20) steps builds its composed step function
-     (``applyInPandas``, backward composition with a monotone stack: O(chunk));
-  2. per run, the chunk functions are folded in chunk order to get each chunk's incoming
-     state (one small row per chunk, not per step);
-  3. every (run, chunk) replays its steps from the incoming state with the original test
+Each step is the map f(s) = c if s < thr else s, with thr = c - T ln(u) >= c (a temperature of
+0 or less gives thr = c). Two such maps in a row are again one: a state below either bound ends
+at one constant, as the first map's constant isn't above its own bound. So the steps of a chunk
+amount to a pair (top, k), the map s -> k if s < top else s, where top is the greatest bound and k
+the state that the chunk reaches from -inf. That gives an exact parallel plan:
+
+  1. every (run, chunk) of at most ``chunk`` (2^20) steps gives its pair (``applyInPandas``);
+  2. up a tree, ``FAN`` (2^16) neighbouring pairs are folded into one, until a run has no more than
+     ``FAN`` of them;
+  3. down the tree, each group of ``FAN`` pairs is folded from its incoming state, which gives the
+     incoming state of each of its members, and at last of each chunk;
+  4. every (run, chunk) replays its steps from the incoming state with the original test
      and emits per-step decisions.
 
-No group larger than one chunk (or one run's chunk table) ever sits in one task.
+No group is larger than one chunk of steps or ``FAN`` pairs, whatever the log looks like. Runs of one
+chunk need no tree.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
+from ..session import stored
 
 CHUNK = 1 << 20
+#: Neighbouring pairs that a task of the tree folds.
+FAN = 1 << 16
 NEG_INF = float("-inf")
 
 
 def _thresholds(c, t, u):
-    with np.errstate(divide="ignore"):
-        return c - t * np.log(u)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(t > 0, c - t * np.log(u), c)
 
 
-def compose_chunk(c: np.ndarray, t: np.ndarray, u: np.ndarray):
-    """Backward composition. Returns (uppers ascending, constants): s < uppers[0] -> k[0],
-    uppers[j-1] <= s < uppers[j] -> k[j], s >= uppers[-1] -> s."""
-    real = ~(np.isnan(c) | np.isnan(t))  # the other steps leave the state as it is
+def apply_pair(top: float, k: float, s: float) -> float:
+    return k if s < top else s
+
+
+def compose_pairs(tops, ks) -> tuple[float, float]:
+    """Maps s -> k if s < top else s, one after the other, as one such map."""
+    top, k = NEG_INF, NEG_INF
+    for bound, c in zip(tops, ks):
+        if k < bound:
+            k = c
+        if bound > top:
+            top = bound
+    return top, k
+
+
+def compose_chunk(c: np.ndarray, t: np.ndarray, u: np.ndarray) -> tuple[float, float]:
+    """The pair of a chunk's steps; a step without a score or temperature leaves every state."""
+    real = ~(np.isnan(c) | np.isnan(t))
     c, t, u = c[real], t[real], u[real]
-    thr = _thresholds(c, t, u)
-    ups: list[float] = []  # descending: the top of the stack is the smallest bound
-    ks: list[float] = []
-    neg = lambda v: -v
-    for i in range(len(c) - 1, -1, -1):
-        m = bisect.bisect_left(ups, -c[i], key=neg)  # number of bounds > c_i
-        val = ks[m - 1] if m > 0 else float(c[i])  # suffix function evaluated at c_i
-        while ups and ups[-1] <= thr[i]:
-            ups.pop()
-            ks.pop()
-        ups.append(float(thr[i]))
-        ks.append(float(val))
-    return ups[::-1], ks[::-1]
-
-
-def apply_composed(uppers, ks, s: float) -> float:
-    j = bisect.bisect_right(uppers, s)
-    return ks[j] if j < len(uppers) else s
+    return compose_pairs(_thresholds(c, t, u).tolist(), c.tolist())
 
 
 def replay(c, t, u, s0: float):
@@ -71,7 +74,7 @@ def replay(c, t, u, s0: float):
     exp = math.exp
     for i in range(len(c)):
         d = c[i] - s
-        ok = d >= 0 or (d == d and t[i] == t[i] and u[i] < exp(d / t[i]))  # not-a-number is rejected
+        ok = d >= 0 or (d == d and t[i] > 0 and u[i] < exp(d / t[i]))  # not-a-number is rejected
         if ok:
             s = c[i]
         acc[i] = ok
@@ -79,50 +82,66 @@ def replay(c, t, u, s0: float):
     return np.array(acc, dtype=bool), np.array(cur)
 
 
+def incoming_states(nodes: DataFrame, pairs: DataFrame, last: int, fan: int = FAN) -> DataFrame:
+    """(run, node, s): the state before every chunk. ``nodes`` is (run, node, s0) with the runs'
+    first states, ``pairs`` (run, node, top, k) of the chunks, ``last`` the greatest node."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        top, k = compose_pairs(pdf["top"].tolist(), pdf["k"].tolist())
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["over"].iloc[0]], "top": [top], "k": [k]})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        s, states = float(pdf["s"].iloc[0]), []
+        for top, k in zip(pdf["top"].tolist(), pdf["k"].tolist()):
+            states.append(s)
+            s = apply_pair(top, k, s)
+        return pd.DataFrame({"run": pdf["run"].to_numpy(), "node": pdf["node"].to_numpy(), "s": states})
+
+    over = F.floor(F.col("node") / F.lit(fan)).cast("bigint")
+    levels = [stored(pairs.withColumn("over", over), "anneal-level")]
+    while last >= fan:
+        up = levels[-1].groupBy("run", "over").applyInPandas(fold, "run long, node long, top double, k double")
+        levels.append(stored(up.withColumn("over", over), "anneal-level"))
+        last //= fan
+    states = nodes.where("node = 0").select("run", "node", F.col("s0").alias("s"))
+    for level in reversed(levels):
+        known = states.select("run", F.col("node").alias("over"), "s")
+        states = level.join(known, ["run", "over"]).groupBy("run", "over").applyInPandas(follow, "run long, node long, s double")
+    return states
+
+
 def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num", score: str = "stage1_val_auc",
-                temperature: str = "temperature", seed: int = 42, chunk: int = CHUNK, start: DataFrame | None = None) -> DataFrame:
+                temperature: str = "temperature", seed: int = 42, chunk: int = CHUNK, start: DataFrame | None = None,
+                fan: int = FAN) -> DataFrame:
     """(run, step, accepted, current_score) for every step; see module doc. ``start`` (run, s0)
     gives runs the score that they go on from; a run without one starts from -inf."""
     d = df.select(F.col(run).alias("run"), F.col(step).alias("step"), F.col(score).cast("double").alias("c"),
                   F.col(temperature).cast("double").alias("t"), hash_uniform(seed, "anneal", step).alias("u"))
     d = d.withColumn("chunk", F.floor(F.col("step") / F.lit(chunk)).cast("bigint"))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        ups, ks = compose_chunk(pdf["c"].to_numpy(), pdf["t"].to_numpy(), pdf["u"].to_numpy())
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]],
-                             "ups": [ups], "ks": [ks]})
-
-    # Only chunks followed by another chunk of the same run need their composed function
-    # (the last chunk's output state is never consumed); with one chunk per run stage 1
-    # and 2 see no rows.
-    last = d.groupBy("run").agg(F.max("chunk").alias("_last"))
+    # a row per chunk: its place among the run's chunks and the run's first state
+    place = F.row_number().over(Window.partitionBy("run").orderBy("chunk")) - 1
+    chunks = d.groupBy("run", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("node", place.cast("bigint"))
     if start is None:
-        last = last.withColumn("_s0", F.lit(NEG_INF))
+        chunks = chunks.withColumn("s0", F.lit(NEG_INF))
     else:
-        known = start.select(F.col(run).alias("run"), F.col("s0").alias("_s0"))
-        last = last.join(known, "run", "left").withColumn("_s0", F.coalesce("_s0", F.lit(NEG_INF)))
-    inner = d.join(last.select("run", "_last"), "run").filter(F.col("chunk") < F.col("_last"))
-    funcs = (inner.groupBy("run", "chunk")
-             .applyInPandas(build, "run long, chunk long, ups array<double>, ks array<double>")
-             .join(last, "run"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s = float(pdf["_s0"].iloc[0])
-        chunks, inc = [], []
-        for ch, ups, ks in zip(pdf["chunk"], pdf["ups"], pdf["ks"]):
-            chunks.append(int(ch))
-            inc.append(s)
-            s = apply_composed(list(ups), list(ks), s)
-        chunks.append(int(pdf["_last"].iloc[0]))  # the run's last chunk starts from the fold of all others
-        inc.append(s)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "chunk": chunks, "s0": inc})
-
-    single = last.select("run", F.col("_last").alias("chunk"), F.col("_s0").alias("s0"))
-    folded = funcs.groupBy("run").applyInPandas(fold, "run long, chunk long, s0 double")
-    # runs with a single chunk have no function rows
-    starts = single.join(folded.select("run").distinct(), "run", "left_anti").unionByName(folded)
+        known = start.select(F.col(run).alias("run"), F.col("s0").cast("double").alias("_s0"))
+        chunks = chunks.join(known, "run", "left").withColumn("s0", F.coalesce("_s0", F.lit(NEG_INF)))
+    nodes = stored(chunks.select("run", "chunk", "node", "s0"), "anneal-chunks")
+    last = nodes.agg(F.max("node")).first()[0] or 0
+    starts = nodes.select("run", "chunk", "s0")
+    if last:
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("step")
+            top, k = compose_chunk(pdf["c"].to_numpy(), pdf["t"].to_numpy(), pdf["u"].to_numpy())
+            return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["node"].iloc[0]], "top": [top], "k": [k]})
+
+        pairs = (d.join(nodes.select("run", "chunk", "node"), ["run", "chunk"]).groupBy("run", "node")
+                 .applyInPandas(build, "run long, node long, top double, k double"))
+        states = incoming_states(nodes, pairs, last, fan)
+        starts = nodes.join(states, ["run", "node"]).select("run", "chunk", F.col("s").alias("s0"))
 
     def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step")

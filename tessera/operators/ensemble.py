@@ -67,6 +67,22 @@ def hybrid_score(preds: DataFrame, ensemble: list[int], meta_models: list[int],
     return g.select("row_id", *(carry or []), share.alias("p_ens"))
 
 
+def evaluate_candidate(scoring: DataFrame, diverse: DataFrame, ensemble: list[int], meta_models: list[int],
+                       meta: DataFrame | None = None, p: str = "p") -> dict:
+    """EN4 of a candidate ensemble: the tie-exact AUC of its hybrid score on the rows of ``scoring``
+    (row_id, model_id, p, label), its mean pairwise correlation on the rows of ``diverse`` and the
+    name of the rule that scored it."""
+    from .metrics import auc
+
+    inside = len(set(meta_models) & set(ensemble))
+    outside = len(set(ensemble)) - inside
+    rule = "simple mean" if not inside else "meta-model" if not outside else f"hybrid (meta-model of {inside}, mean of {outside})"
+    scored = hybrid_score(scoring, ensemble, meta_models, meta, p, carry=["label"])
+    score = auc(scored, "p_ens", "label").first()["auc"]
+    spread = diversity(correlation_matrix(diverse, ensemble, p)) if len(ensemble) > 1 else None
+    return {"score": score, "diversity": spread, "aggregation": rule}
+
+
 def wide_matrix(preds: DataFrame, models: list[int], p: str = "p") -> DataFrame:
     """Rows x models (explicit pivot values: no distinct-values job)."""
     return preds.groupBy("row_id").pivot("model_id", models).agg(F.first(p))

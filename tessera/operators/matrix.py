@@ -457,33 +457,85 @@ class KDEColumns:
 
 # ---------------------------------------------------------------- FE20/FE21 k-means
 class KMeansFeatures:
-    """FE20/FE21: pyspark.ml KMeans (k-means|| init) fitted on the inputs, which must be clean;
-    cluster label and distance to every centre as expressions on the literal centres."""
+    """FE20/FE21: k-means with ``n_init`` starts, fitted on the inputs, which must be clean; cluster
+    label and distance to every centre as expressions on the literal centres of the start with
+    the least cost.
 
-    def __init__(self, inputs, k=4, seed=315, max_iter=100, add_distances=True, prefix="km", n_init=1):
+    Each start picks its centres (k-means++) from the ``seed_rows`` rows with the smallest hashes
+    of their values, the only part of the fit that doesn't read all rows. A Lloyd step then is one
+    aggregation for all starts together: tasks add up their rows per start and centre, so
+    ``n_init`` starts take no more passes than the longest of them. A start ends when the squared
+    moves of its centres fall to ``tol`` times the inputs' mean variance."""
+
+    def __init__(self, inputs, k=4, seed=315, max_iter=100, add_distances=True, prefix="km", n_init=10, tol=1e-4, seed_rows=4096):
         self.inputs, self.k, self.seed, self.max_iter, self.add_distances, self.prefix = list(inputs), k, seed, max_iter, add_distances, prefix
-        self.n_init = n_init
+        self.n_init, self.tol, self.seed_rows = n_init, tol, seed_rows
         self.state = {}
 
+    def _seeds(self, sample: np.ndarray) -> np.ndarray:
+        """(n_init, k, columns): k-means++ on the sampled rows."""
+        out = []
+        for r in range(self.n_init):
+            rng = np.random.default_rng(self.seed + r)
+            centres = [sample[rng.integers(len(sample))]]
+            near = ((sample - centres[0]) ** 2).sum(1)
+            while len(centres) < self.k:
+                weights = near / near.sum() if near.sum() > 0 else np.full(len(sample), 1 / len(sample))
+                centres.append(sample[rng.choice(len(sample), p=weights)])
+                near = np.minimum(near, ((sample - centres[-1]) ** 2).sum(1))
+            out.append(centres)
+        return np.array(out)
+
+    def _step(self, v, centres: np.ndarray) -> np.ndarray:
+        """Per start and centre: rows, sums of the columns and of squared distances."""
+        starts, k, p = centres.shape
+
+        def sums(batches):
+            import pyarrow as pa
+
+            total = np.zeros((starts, k, p + 2))
+            for b in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                for s in range(starts):
+                    far = np.stack([((x - c) ** 2).sum(1) for c in centres[s]], axis=1)
+                    at = far.argmin(1)
+                    for j, w in enumerate((np.ones(len(x)), *x.T, far[np.arange(len(x)), at])):
+                        total[s, :, j] += np.bincount(at, w, minlength=k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "x"])
+
+        got = np.zeros(centres.shape[0] * k * (p + 2))
+        for r in v.mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # starts x centres x columns
+            got[r["i"]] = r["x"]
+        return got.reshape(starts, k, p + 2)
+
     def fit(self, df):
-        """``n_init`` restarts with different seeds (each a distributed k-means|| fit on the
-        cached assembled input); the lowest within-cluster cost wins."""
         from pyspark import StorageLevel
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
 
         # a null or NaN fails the fit: cleaning is a step before this one
-        v = VectorAssembler(inputCols=self.inputs, outputCol="_f", handleInvalid="error").transform(df.select(*self.inputs))
-        v = v.persist(StorageLevel.MEMORY_AND_DISK) if self.n_init > 1 else v
-        best = None
-        for r in range(self.n_init):
-            model = KMeans(k=self.k, seed=self.seed + r, maxIter=self.max_iter, featuresCol="_f").fit(v)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-        if self.n_init > 1:
-            v.unpersist()
-        self.state = {"centers": [list(map(float, c)) for c in best[1].clusterCenters()], "cost": float(best[0])}
+        value = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.raise_error(F.lit(f"null or NaN in {c}")).cast("double")).otherwise(
+            F.col(c).cast("double"))
+        v = df.select(*[value(c).alias(f"x{i}") for i, c in enumerate(self.inputs)]).persist(StorageLevel.MEMORY_AND_DISK)
+        names = v.columns
+        r = v.agg(*[F.var_pop(c).alias(c) for c in names]).first()
+        least = self.tol * float(np.mean([r[c] or 0.0 for c in names]))
+        hashed = v.withColumn("h", F.xxhash64(F.lit(self.seed), *names)).orderBy("h", *names).limit(self.seed_rows).collect()
+        if not hashed:
+            raise ValueError("k-means needs rows")
+        centres = self._seeds(np.array([[row[c] for c in names] for row in hashed]))
+        moving = np.ones(self.n_init, dtype=bool)
+        for _ in range(self.max_iter):
+            if not moving.any():
+                break
+            t = self._step(v, centres[moving])
+            n = t[:, :, :1]
+            new = np.where(n > 0, t[:, :, 1:-1] / np.maximum(n, 1), centres[moving])  # a centre without rows stays
+            far = ((new - centres[moving]) ** 2).sum((1, 2))
+            centres[moving] = new
+            moving[moving] = far > least
+        cost = self._step(v, centres)[:, :, -1].sum(1)
+        v.unpersist()
+        best = int(cost.argmin())
+        self.state = {"centers": centres[best].tolist(), "cost": float(cost[best]), "costs": cost.tolist()}
         return self
 
     def outputs(self):

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sql_bits, sql_uniform
+from ..functions.hashing import hash_uniform, sql_bits, sql_uniform
 from ..functions.scalar import r6, sigmoid
 from ..operators import ensemble as E
 from ..operators.metrics import auc, confusion
+from ..operators.models import GaussianNB
 from ..operators.sampling import stratified_split
 from ..sources import views as V
 from .q_metrics import auc_sql
@@ -63,6 +64,58 @@ def en4_hybrid_score(spark, d):
     return h.select("row_id", "label", r6("p_ens").alias("p_hybrid"))
 
 
+_STACKED = list(range(6))  # the meta-model's members, of ten
+_TEN = list(range(10))
+
+
+def _meta_sql():
+    """Gaussian naive Bayes of the six stacked probabilities, fitted on s1 and applied to s2."""
+    return f"""sp AS (SELECT *, {sql_uniform(42, 'en4', 'row_id')} < 0.5 AS s1 FROM preds WHERE model_id < {len(_TEN)}),
+ov AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(p) AS v FROM sp WHERE s1 AND model_id < {len(_STACKED)} GROUP BY model_id)),
+st AS (SELECT model_id, label AS k, avg(p) AS m, var_pop(p) + (SELECT eps FROM ov) AS v, count(*) AS n FROM sp WHERE s1 AND model_id < {len(_STACKED)} GROUP BY 1, 2),
+pr AS (SELECT k, ln(max(n) / (SELECT sum(n) FROM st WHERE model_id = 0)) AS lp FROM st GROUP BY k),
+jl AS (SELECT sp.row_id, st.k, sum(-0.5 * ln(2 * pi() * v) - 0.5 * (sp.p - m) * (sp.p - m) / v) + max(pr.lp) AS q
+       FROM sp JOIN st USING (model_id) JOIN pr ON pr.k = st.k WHERE NOT s1 GROUP BY 1, 2),
+me AS (SELECT row_id, 1.0 / (1.0 + exp(-(max(CASE WHEN k = 1 THEN q END) - max(CASE WHEN k = 0 THEN q END)))) AS p_meta FROM jl GROUP BY 1),
+hy AS (SELECT sp.row_id, max(label) AS label, (max(p_meta) * {len(_STACKED)} + avg(CASE WHEN model_id >= {len(_STACKED)} THEN p END) * {len(_TEN) - len(_STACKED)})
+       / {len(_TEN)}.0 AS p_hybrid FROM sp JOIN me USING (row_id) WHERE NOT s1 GROUP BY 1)"""
+
+
+def _stacked(spark, d):
+    """(s1 predictions, s2 predictions, meta probabilities of s2): the meta-model is fitted on s1."""
+    p = V.preds(spark, d).filter(F.col("model_id").isin(*_TEN))
+    half = hash_uniform(42, "en4", "row_id") < 0.5
+    s1, s2 = p.where(half), p.where(~half)
+    names = [f"m{m}" for m in _STACKED]
+
+    def wide(rows):
+        at = [F.max(F.when(F.col("model_id") == m, F.col("p"))).alias(n) for m, n in zip(_STACKED, names)]
+        return rows.where(F.col("model_id").isin(*_STACKED)).groupBy("row_id", "label").agg(*at)
+
+    meta = GaussianNB(names).fit(wide(s1)).transform(wide(s2)).select("row_id", F.col("p").alias("p_meta"))
+    return s1, s2, meta
+
+
+@register("en4_meta_model_rows", ids=("EN4", "EN14"), sql=lambda: with_views("preds", extra=_meta_sql()) + """
+SELECT row_id, label, round(p_hybrid, 6) AS p_hybrid FROM hy""")
+def en4_meta_model_rows(spark, d):
+    """EN4 with a meta-model trained on the stacked probabilities of six members; four are new."""
+    _, s2, meta = _stacked(spark, d)
+    return E.hybrid_score(s2, _TEN, _STACKED, meta, carry=["label"]).select("row_id", "label", r6("p_ens").alias("p_hybrid"))
+
+
+@register("en4_evaluate_candidate", ids=("EN4", "EN5", "MT1"), sql=lambda: with_views("preds", extra=_meta_sql()
+  + ", " + auc_sql("hy", "p_hybrid", "1") + """,
+co AS (SELECT corr(x.p, y.p) AS r FROM sp x JOIN sp y ON x.row_id = y.row_id AND x.model_id < y.model_id WHERE x.s1 GROUP BY x.model_id, y.model_id)""") + """
+SELECT round((SELECT auc FROM a), 6) AS score, (SELECT round(avg(r), 6) FROM co) AS diversity, 'hybrid (meta-model of 6, mean of 4)' AS aggregation""")
+def en4_evaluate_candidate(spark, d):
+    """EN4: AUC of the hybrid score on s2 and diversity on s1, as the search takes them."""
+    s1, s2, meta = _stacked(spark, d)
+    got = E.evaluate_candidate(s2, s1, _TEN, _STACKED, meta)
+    return spark.createDataFrame([(round(got["score"], 6), round(got["diversity"], 6), got["aggregation"])],
+                                 "score double, diversity double, aggregation string")
+
+
 def _corr_pairs_sql(lo, hi):
     return f"""pr AS (SELECT a.model_id AS model_a, b.model_id AS model_b, corr(a.p, b.p) AS r
   FROM preds a JOIN preds b ON a.row_id = b.row_id AND a.model_id < b.model_id

@@ -83,6 +83,47 @@ def fe34_nystroem_kernel(spark, d):
 _RBF = MX.RBFSampler(XY, 6, 0.5, seed=42)
 
 
+def _two_landmarks(kernel):
+    """SQL of the kernel of two points, columns {a}x, {a}y and {b}x, {b}y."""
+    dot = "({a}x * {b}x + {a}y * {b}y)"
+    return {"rbf": "exp(-0.5 * (({a}x - {b}x) * ({a}x - {b}x) + ({a}y - {b}y) * ({a}y - {b}y)))", "poly": f"pow(0.5 * {dot} + 1.0, 2)",
+            "cosine": dot + " / (sqrt({a}x * {a}x + {a}y * {a}y) * sqrt({b}x * {b}x + {b}y * {b}y))",
+            "sigmoid": f"tanh(0.5 * {dot} + 1.0)"}[kernel]
+
+
+_KERNELS = ("rbf", "poly", "cosine")
+
+
+@register("fe34_nystroem_map", ids=("FE34",), sql=lambda: _xy_views(f"""lm AS (SELECT x, y, row_number() OVER (ORDER BY {sql_bits(42, 'landmark', 'row_id')}, row_id) AS j
+  FROM xy ORDER BY {sql_bits(42, 'landmark', 'row_id')}, row_id LIMIT 2),
+ab AS (SELECT max(CASE WHEN j = 1 THEN x END) AS ux, max(CASE WHEN j = 1 THEN y END) AS uy,
+       max(CASE WHEN j = 2 THEN x END) AS wx, max(CASE WHEN j = 2 THEN y END) AS wy FROM lm)""") + " UNION ALL ".join(f"""SELECT * FROM (
+WITH m AS (SELECT *, {_two_landmarks(n).format(a='u', b='u')} AS p, {_two_landmarks(n).format(a='u', b='w')} AS q, {_two_landmarks(n).format(a='w', b='w')} AS r FROM ab),
+i AS (SELECT *, sqrt(p * r - q * q) AS s FROM m),
+h AS (SELECT *, sqrt(p + r + 2 * s) / ((p + s) * (r + s) - q * q) AS f FROM i),
+k AS (SELECT row_id, f, p, q, r, s, {_two_landmarks(n).format(a='xy.', b='u')} AS k1, {_two_landmarks(n).format(a='xy.', b='w')} AS k2 FROM xy, h)
+SELECT '{n}' AS kernel, row_id, round(f * ((r + s) * k1 - q * k2), 6) + 0.0 AS ny0, round(f * ((p + s) * k2 - q * k1), 6) + 0.0 AS ny1 FROM k)""" for n in _KERNELS))
+def fe34_nystroem_map(spark, d):
+    """FE34: the whole map of three kernels with two landmarks, K(x, landmarks) K_mm^(-1/2); the inverse
+    square root of a 2 x 2 matrix has a closed form, which the SQL states."""
+    df, rows = _xy(spark, d), None
+    for name in _KERNELS:
+        out = MX.Nystroem(XY, "row_id", 2, name, 0.5, degree=2).fit(df).transform(df)
+        part = out.select(F.lit(name).alias("kernel"), "row_id", *[(r6(c) + F.lit(0.0)).alias(c) for c in ("ny0", "ny1")])  # no -0.0
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@register("fe34_sigmoid_kernel", ids=("FE34",), sql=lambda: _xy_views(f"""lm AS (SELECT x AS lx, y AS ly, row_number() OVER
+  (ORDER BY {sql_bits(42, 'landmark', 'row_id')}, row_id) - 1 AS j FROM xy ORDER BY {sql_bits(42, 'landmark', 'row_id')}, row_id LIMIT 3)""")
+  + f"SELECT row_id, j AS landmark, round({_two_landmarks('sigmoid').format(a='xy.', b='lm.l')}, 6) AS k FROM xy, lm")
+def fe34_sigmoid_kernel(spark, d):
+    df = _xy(spark, d)
+    k = MX.Nystroem(XY, "row_id", 3, "sigmoid", 0.5).fit(df).kernel_columns(df)
+    return k.unpivot("row_id", ["k0", "k1", "k2"], "landmark", "k").select(
+        "row_id", F.substring("landmark", 2, 3).cast("long").alias("landmark"), r6("k").alias("k"))
+
+
 @register("fe35_random_fourier", ids=("FE35",), sql=lambda: _xy_views() + "SELECT row_id, " + ", ".join(
     f"round(sqrt(2.0 / 6) * cos({_RBF.state['b'][k]!r} + {_RBF.state['w'][k][0]!r} * x + {_RBF.state['w'][k][1]!r} * y), 6) AS rff{k}"
     for k in range(6)) + " FROM xy")
@@ -171,8 +212,8 @@ def fe20_fe21_kmeans(spark, d):
     group: every label is the nearest centre, and centres are the means of their rows."""
     df = _xy(spark, d)
     rows = []
-    for name, cols, k, prefix, starts in (("x_y", XY, 4, "g1", 3), ("month", ["month"], 3, "g2", 1)):
-        km = MX.KMeansFeatures(cols, k=k, prefix=prefix, n_init=starts).fit(df)
+    for name, cols, k, prefix in (("x_y", XY, 4, "g1"), ("month", ["month"], 3, "g2")):
+        km = MX.KMeansFeatures(cols, k=k, prefix=prefix).fit(df)
         out = km.transform(df)
         dist = F.array(*[F.col(f"{prefix}_d{j}") for j in range(k)])
         off = F.count_if(F.get(dist, F.col(f"{prefix}_label")) > F.array_min(dist))

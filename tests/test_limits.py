@@ -140,3 +140,21 @@ def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
     monkeypatch.setattr("tessera.session.ship_package", lambda s: None)
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_kmeans_starts_in_one_pass_take_the_least_cost(spark):
+    """Ten starts reach the cost of the true centres, no worse than any one start; the centres are the
+    means of their rows; fewer rows than centres and equal rows are no failure."""
+    rng = np.random.default_rng(8)
+    true = np.array([[0, 0], [6, 0], [0, 6], [6, 6], [3, 12]], dtype=float)
+    x = np.concatenate([c + rng.normal(0, 0.4, (120, 2)) for c in true])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double").repartition(5)
+    km = MX.KMeansFeatures(["a", "b"], k=5, seed_rows=200).fit(df)
+    got = np.array(km.state["centers"])
+    label = ((x[:, None] - got) ** 2).sum(-1).argmin(1)
+    assert len(km.state["costs"]) == 10 and km.state["cost"] == min(km.state["costs"])
+    assert km.state["cost"] == pytest.approx(((x - got[label]) ** 2).sum())
+    assert np.abs(got[np.abs(got[:, None] - true).sum(-1).argmin(0)] - true).max() < 0.3
+    assert np.allclose(got, [x[label == j].mean(0) for j in range(5)], atol=1e-6)
+    same = spark.createDataFrame([(1.0, 2.0)] * 3, "a double, b double")
+    assert MX.KMeansFeatures(["a", "b"], k=4).fit(same).state["cost"] == 0.0
