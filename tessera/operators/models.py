@@ -452,41 +452,3 @@ def platt_calibrated(train: DataFrame, score_fn, fold_col: str = "fold", label:
         return df.withColumn("p", acc / F.lit(float(k)))
 
     return apply
-
-
-# ---------------------------------------------------------------- M6 extra trees
-def extra_trees(train: DataFrame, features: list[str], label: str = "label", n_trees: int = 5, max_depth: int = 5,
-                seed: int = 42, min_leaf: int = 1):
-    """Randomised trees: per tree, every feature is cut at hash-drawn random thresholds
-    between its min and max (``Bucketizer`` bins), then a weighted decision tree is grown
-    on the binned features over all rows. Returns a function df -> df with column ``p``."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import Bucketizer
-
-    from ..functions.hashing import py_uniform
-
-    mm = train.agg(*[F.min(c).alias(f"lo_{c}") for c in features], *[F.max(c).alias(f"hi_{c}") for c in features]).first()
-    trees = []
-    for t in range(n_trees):
-        splits = {}
-        for c in features:
-            lo, hi = mm[f"lo_{c}"], mm[f"hi_{c}"]
-            cuts = sorted({lo + (hi - lo) * py_uniform(seed, "et", t, c, j) for j in range(8)})
-            splits[c] = [-float("inf")] + cuts + [float("inf")]
-        bk = Bucketizer(splitsArray=[splits[c] for c in features], inputCols=features,
-                        outputCols=[f"_b{t}_{c}" for c in features], handleInvalid="keep")
-        binned = bk.transform(train)
-        cols = [f"_b{t}_{c}" for c in features]
-        dt = DecisionTreeClassifier(maxDepth=_depth({"max_depth": max_depth}, 5), minInstancesPerNode=max(1, min_leaf), labelCol=label, featuresCol="features", seed=seed + t,
-                                    predictionCol=f"_pr{t}", probabilityCol=f"_pp{t}", rawPredictionCol=f"_rr{t}")
-        trees.append((bk, cols, dt.fit(assemble(binned, cols))))
-
-    def apply(df: DataFrame) -> DataFrame:
-        d = df
-        acc = F.lit(0.0)
-        for i, (bk, cols, model) in enumerate(trees):
-            d = model.transform(assemble(bk.transform(d), cols)).drop("features")
-            acc = acc + vector_to_array(f"_pp{i}")[1]
-        return d.withColumn("p", acc / F.lit(float(len(trees))))
-
-    return apply

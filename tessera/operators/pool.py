@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import models as M
+from .neural import MLP
 from .sampling import kfold
 from .spaces import CLASSIFIER_SPACES
+from .trees import ExtraTrees, HistogramBoosting
 
 
 class MLModel:
@@ -104,9 +106,24 @@ def _adaboost(params, train, features, label, key, seed):
     return Applied(lambda df: M.adaboost_predict(df, models, features))
 
 
+def _given(params: dict, *names: str) -> dict:
+    return {n: params[n] for n in names if n in params}
+
+
 def _extra_trees(params, train, features, label, key, seed):
-    return Applied(M.extra_trees(train, features, label, params.get("n_estimators", 5), params.get("max_depth", 5), seed,
-                                 params.get("min_samples_leaf", 1)))
+    return ExtraTrees(features, label, seed=seed, **_given(params, "n_estimators", "max_depth", "max_features", "min_samples_split",
+                                                           "min_samples_leaf", "min_impurity_decrease")).fit(train)
+
+
+def _boosting(params, train, features, label, key, seed):
+    return HistogramBoosting(features, label, seed=seed, **_given(
+        params, "max_iter", "learning_rate", "max_depth", "min_samples_leaf", "l2_regularization", "max_bins", "max_leaf_nodes",
+        "validation_fraction", "n_iter_no_change", "tol")).fit(train, key)
+
+
+def _mlp(params, train, features, label, key, seed):
+    hidden = [params.get(f"size_{i + 1}", 32) for i in range(params.get("n_layers", 1))]
+    return MLP(features, label, hidden, seed=seed, **_given(params, "activation", "alpha", "learning_rate_init", "max_iter")).fit(train, key)
 
 
 @dataclass(frozen=True)
@@ -129,8 +146,8 @@ POOL: dict[str, PoolEntry] = {name: PoolEntry(fit, CLASSIFIER_SPACES[name]) for
     "naive_bayes": lambda p, t, f, y, key, seed: M.GaussianNB(f, y).fit(t),
     "lda": lambda p, t, f, y, key, seed: M.LDA(f, y).fit(t),
     "ridge": _calibrated(_ridge_margin),
-    "gradient_boosting": _ml("gradient_boosting", False),
-    "mlp": _ml("mlp", False),
+    "gradient_boosting": _boosting,
+    "mlp": _mlp,
     "knn": _knn,
 }.items()}
 

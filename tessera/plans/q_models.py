@@ -15,6 +15,7 @@ from ..operators.features import StandardScale
 from ..operators.metrics import auc
 from ..operators.pool import fit_classifier
 from ..operators.sampling import class_weights, kfold, stratified_split
+from ..operators.trees import ExtraTrees, HistogramBoosting
 from ..sources import views as V
 from .q_metrics import auc_sql
 from .registry import register
@@ -202,7 +203,29 @@ def m5_sgd_modified_huber(spark, d):
 
 @register("m6_extra_trees", ids=("M6", "X4"), sql=_pool_sql("extra_trees"))
 def m6_extra_trees(spark, d):
-    return _pool_query(spark, d, "extra_trees", {"n_estimators": 5, "max_depth": 6})
+    return _pool_query(spark, d, "extra_trees", {"n_estimators": 8, "max_depth": 6, "max_features": "sqrt", "min_samples_split": 6,
+                                                 "min_samples_leaf": 4, "min_impurity_decrease": 1e-7})
+
+
+_CUTS = [py_uniform(42, "et-cut", 0, 1, f) for f in range(2)]
+
+
+@register("m6_first_split", ids=("M6",), sql=lambda: _z_sql() + f""",
+t AS (SELECT * FROM z WHERE split = 'train'),
+w AS (SELECT label, (SELECT count(*) FROM t) / (2.0 * count(*)) AS w FROM t GROUP BY label),
+c AS (SELECT 0 AS f, min(x1) + (max(x1) - min(x1)) * {_CUTS[0]!r}::DOUBLE AS cut FROM t
+      UNION ALL SELECT 1, min(x2) + (max(x2) - min(x2)) * {_CUTS[1]!r}::DOUBLE FROM t),
+sd AS (SELECT f, cut, CASE WHEN f = 0 THEN x1 ELSE x2 END <= cut AS l, t.label, w.w FROM t JOIN w USING (label), c),
+g AS (SELECT f, cut, sum(w) FILTER (l AND label = 0) AS l0, sum(w) FILTER (l AND label = 1) AS l1,
+      sum(w) FILTER (NOT l AND label = 0) AS r0, sum(w) FILTER (NOT l AND label = 1) AS r1 FROM sd GROUP BY 1, 2)
+SELECT f AS column_index, round(cut, 6) AS cut, round(l1 / (l0 + l1), 6) AS left_value, round(r1 / (r0 + r1), 6) AS right_value FROM g
+ORDER BY (l0 + l1) * (1 - (l0 * l0 + l1 * l1) / ((l0 + l1) * (l0 + l1))) + (r0 + r1) * (1 - (r0 * r0 + r1 * r1) / ((r0 + r1) * (r0 + r1))) LIMIT 1""")
+def m6_first_split(spark, d):
+    """M6: the root's split of a tree with one drawn cut a column, and the values of its leaves."""
+    z = planted_frame(spark, d)
+    s = ExtraTrees(X, n_estimators=1, max_depth=1, max_features="all").fit(z.filter(F.col("split") == "train")).state
+    return spark.createDataFrame([(int(s["feature"][0][1]), round(s["cut"][0][1], 6), *[round(s["value"][0][i], 6) for i in (2, 3)])],
+                                 "column_index int, cut double, left_value double, right_value double")
 
 
 @register("m7_adaboost", ids=("M7", "X4"), sql=_pool_sql("adaboost"))
@@ -221,16 +244,34 @@ def m8_m9_m10_closed_forms_in_pool(spark, d):
 
 @register("m12_gradient_boosting", ids=("M12", "X4"), sql=_pool_sql("gradient_boosting"))
 def m12_gradient_boosting(spark, d):
-    """M12 with early stopping on a hash-held tenth of the train rows."""
-    z = wide_frame(spark, d)
-    train = z.filter(F.col("split") == "train").withColumn("held", hash_uniform(42, "gbt", "row_id") < 0.1)
-    model = fit_classifier("gradient_boosting", {"max_iter": 6, "max_depth": 3, "learning_rate": 0.3, "max_bins": 64, "validation": "held"}, train, XW)
-    return _pool_row(model.transform(z), "gradient_boosting")
+    """M12 with leaf L2 and early stopping on a hash-held tenth of the train rows."""
+    return _pool_query(spark, d, "gradient_boosting", {"max_iter": 6, "max_depth": 3, "learning_rate": 0.3, "max_bins": 64,
+                                                       "l2_regularization": 0.5, "n_iter_no_change": 3})
+
+
+@register("m12_first_round", ids=("M12",), sql=lambda: _z_sql() + """,
+t AS (SELECT label, x1, x2, avg(label) OVER () AS p FROM z WHERE split = 'train'),
+e AS (SELECT 0 AS f, unnest(quantile_cont(x1, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS cut FROM t
+      UNION SELECT 1, unnest(quantile_cont(x2, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) FROM t),
+sd AS (SELECT f, cut, CASE WHEN f = 0 THEN x1 ELSE x2 END <= cut AS l, p - label AS g, p * (1 - p) AS h, p FROM t, e),
+a AS (SELECT f, cut, max(p) AS p, sum(g) FILTER (l) AS gl, sum(h) FILTER (l) AS hl, sum(g) FILTER (NOT l) AS gr, sum(h) FILTER (NOT l) AS hr
+      FROM sd GROUP BY 1, 2 HAVING count(*) FILTER (l) >= 20 AND count(*) FILTER (NOT l) >= 20)
+SELECT f AS column_index, round(cut, 6) AS cut, round(-gl / (hl + 2.0), 6) AS left_value, round(-gr / (hr + 2.0), 6) AS right_value,
+  round(ln(p / (1 - p)), 6) AS base FROM a ORDER BY gl * gl / (hl + 2.0) + gr * gr / (hr + 2.0) DESC LIMIT 1""")
+def m12_first_round(spark, d):
+    """The first split of the first round and its second-order leaf values with l2 = 2."""
+    z = planted_frame(spark, d)
+    m = HistogramBoosting(X, max_iter=1, max_depth=1, learning_rate=1.0, l2_regularization=2.0, max_bins=8, validation_fraction=0.0)
+    s = m.fit(z.filter(F.col("split") == "train")).state
+    feature, cut, value = s["trees"][0]
+    return spark.createDataFrame([(int(feature[1]), round(cut[1], 6), round(value[2], 6), round(value[3], 6), round(s["base"], 6))],
+                                 "column_index int, cut double, left_value double, right_value double, base double")
 
 
 @register("m13_mlp", ids=("M13", "X4"), sql=_pool_sql("mlp"))
 def m13_mlp(spark, d):
-    return _pool_query(spark, d, "mlp", {"n_layers": 2, "size_1": 8, "size_2": 4, "max_iter": 60})
+    return _pool_query(spark, d, "mlp", {"n_layers": 2, "size_1": 8, "size_2": 4, "max_iter": 20, "activation": "tanh", "alpha": 1e-3,
+                                         "learning_rate_init": 0.01})
 
 
 @register("m1_logistic_balanced", ids=("M1", "FE41"), sql=lambda: _z_sql() + """
