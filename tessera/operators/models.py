@@ -436,7 +436,7 @@ def platt_calibrated(train: DataFrame, score_fn, fold_col: str = "fold", label:
     """Sigmoid calibration over k folds: for each fold fit the base model on the other
     folds (``score_fn(train_part) -> fitted model with .decision()``), fit a 1-D logistic
     on its margin over the held-out fold; the calibrated probability is the average of
-    the k calibrated models. Returns a function df -> df with column ``p``."""
+    the k calibrated models."""
     parts = []
     for f in range(k):
         fitted = score_fn(train.filter(F.col(fold_col) != f))
@@ -445,10 +445,39 @@ def platt_calibrated(train: DataFrame, score_fn, fold_col: str = "fold", label:
         cal = lr.fit(VectorAssembler(inputCols=["_m"], outputCol="_mv").transform(hold))
         parts.append((fitted, float(cal.coefficients[0]), float(cal.intercept)))
 
-    def apply(df: DataFrame) -> DataFrame:
-        acc = F.lit(0.0)
-        for fitted, a, b in parts:
-            acc = acc + sigmoid(F.lit(a) * fitted.decision() + F.lit(b))
-        return df.withColumn("p", acc / F.lit(float(k)))
+    return Calibrated(parts)
 
-    return apply
+
+class Calibrated:
+    """The mean of calibrated margins: parts of (fitted model with ``decision``, slope, offset)."""
+
+    def __init__(self, parts):
+        self.parts = [tuple(p) for p in parts]
+
+    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+        total = sum((sigmoid(F.lit(a) * fitted.decision() + F.lit(b)) for fitted, a, b in self.parts), F.lit(0.0))
+        return df.withColumn(out, total / F.lit(float(len(self.parts))))
+
+
+class AdaBoosted:
+    """Fitted stumps with their weights."""
+
+    def __init__(self, models, features):
+        self.models, self.features = [tuple(m) for m in models], list(features)
+
+    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+        keep = [c for c in df.columns if c != out]
+        return adaboost_predict(df.select(*keep), self.models, self.features, out).select(*keep, out)
+
+
+class Neighbours:
+    """M14 as a model: holds the train rows that ``knn_predict`` may read, at most its bound."""
+
+    def __init__(self, rows: DataFrame, features, key: str, label: str, k: int, p_norm: int, weights: str, seed: int, max_train_rows: int = 20_000):
+        self.rows = rows.select(key, label, *features).withColumn("_h", hash_bits(seed, "knn", key)).orderBy("_h", key).limit(max_train_rows).drop("_h")
+        self.features, self.key, self.label, self.k, self.p_norm, self.weights, self.seed = list(features), key, label, k, p_norm, weights, seed
+
+    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+        keep = [c for c in df.columns if c != out]
+        p = knn_predict(df.sparkSession, self.rows, df, self.features, self.key, self.label, self.k, self.p_norm, self.weights, seed=self.seed)
+        return df.select(*keep).join(p.withColumnRenamed("p", out), self.key)

@@ -41,17 +41,6 @@ class Margin:
         return sum((F.lit(w) * F.col(c) for c, w in zip(self.features, self.coefficients)), F.lit(self.intercept))
 
 
-class Applied:
-    """A fitted function df -> df with column p."""
-
-    def __init__(self, fn: Callable[[DataFrame], DataFrame]):
-        self.fn = fn
-
-    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
-        keep = [c for c in df.columns if c != out]
-        return self.fn(df.select(*keep)).select(*keep, F.col("p").alias(out))
-
-
 def _balanced(train: DataFrame, label: str) -> tuple[DataFrame, int]:
     counts = {int(r[label]): r["count"] for r in train.groupBy(label).count().collect()}  # one row per class
     n = sum(counts.values())
@@ -76,7 +65,7 @@ def _ml(kind: str, balanced: bool):
 def _calibrated(fit_margin):
     def fit(params, train, features, label, key, seed):
         folds = kfold(train, key, label, k=3, seed=seed)
-        return Applied(M.platt_calibrated(folds, lambda part: fit_margin(params, part, features, label), label=label, k=3))
+        return M.platt_calibrated(folds, lambda part: fit_margin(params, part, features, label), label=label, k=3)
 
     return fit
 
@@ -93,17 +82,11 @@ def _ridge_margin(params, train, features, label):
 
 
 def _knn(params, train, features, label, key, seed):
-    def apply(df):
-        p = M.knn_predict(df.sparkSession, train, df, features, key, label, params.get("n_neighbors", 5), params.get("p", 2),
-                          params.get("weights", "uniform"), seed=seed)
-        return df.join(p, key)
-
-    return Applied(apply)
+    return M.Neighbours(train, features, key, label, params.get("n_neighbors", 5), params.get("p", 2), params.get("weights", "uniform"), seed)
 
 
 def _adaboost(params, train, features, label, key, seed):
-    models = M.adaboost(train, features, label, params.get("n_estimators", 10), params.get("learning_rate", 1.0))
-    return Applied(lambda df: M.adaboost_predict(df, models, features))
+    return M.AdaBoosted(M.adaboost(train, features, label, params.get("n_estimators", 10), params.get("learning_rate", 1.0)), features)
 
 
 def _given(params: dict, *names: str) -> dict:

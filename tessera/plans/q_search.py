@@ -16,6 +16,7 @@ from ..operators.search import SearchConfig, accept, ensemble_probability, meta_
 from ..session import scratch_path
 from ..sources import sinks
 from ..sources import views as V
+from ..sources.saved import load_fitted, save_fitted
 from ..sources.tables import read_csv
 from .q_models import ABOVE, X, XW, _z_sql, planted_frame, wide_frame
 from .registry import register
@@ -142,6 +143,30 @@ def s12_bundle_roundtrip(spark, d):
                  F.lit(meta["aggregation"]).alias("aggregation"))
 
 
+_SAVED = [draw_spec(XW, 5, it, ["naive_bayes", "lda", "qda", "extra_trees"]) for it in range(1, 4)]
+
+
+@register("s12_saved_pipelines", ids=("S12", "X2", "FE38"), sql=lambda: _z_sql() + """
+SELECT t.*, (SELECT count(*) FROM z WHERE split <> 'train') AS n_scored, 0.0::DOUBLE AS max_abs_diff FROM (VALUES """ + ", ".join(
+    f"({s.iteration}, '{s.model}')" for s in _SAVED) + ") t(iteration, classifier_type)")
+def s12_saved_pipelines(spark, d):
+    """Three hash-drawn pipelines saved whole, loaded and applied: the same probabilities."""
+    z = wide_frame(spark, d)
+    train, rest = z.filter(F.col("split") == "train"), z.filter(F.col("split") != "train")
+    rows = None
+    for spec in _SAVED:
+        ops, _, model = fit_pipeline(spec, train)
+        path = scratch_path(spark, "pipeline")
+        save_fitted(spark, path, {"ops": ops, "model": model})
+        back = load_fitted(spark, path)
+        a = apply_pipeline(ops, model, rest).select("row_id", "p")
+        b = apply_pipeline(back["ops"], back["model"], rest).select("row_id", F.col("p").alias("q"))
+        far = a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n_scored"), F.max(F.abs(F.col("p") - F.col("q"))).alias("max_abs_diff"))
+        far = far.select(F.lit(spec.iteration).alias("iteration"), F.lit(spec.model).alias("classifier_type"), "n_scored", "max_abs_diff")
+        rows = far if rows is None else rows.unionByName(far)
+    return rows
+
+
 @register("s1_s2_s3_prediction_files", ids=("S1", "S2", "S3"), sql=lambda: with_views("preds") + """
 SELECT row_id AS id, round(avg(p), 6) AS probability, CAST(avg(p) >= 0.5 AS INTEGER) AS label FROM preds GROUP BY row_id""")
 def s1_s2_s3_prediction_files(spark, d):
