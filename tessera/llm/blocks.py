@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, give_back, span_hash, string_buffers, tidy
+from .common import bound_batches, give_back, span_hash, string_buffers, tidy, written
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -198,7 +198,8 @@ def hot_prefixes(docs: DataFrame, spans: Callable, buckets: int) -> set[bytes]:
     """Prefixes of the lengths ``DEPTHS`` that hold more than about half a bucket's share of the
     requested words, at each length. A block reports what has over a quarter of a bucket's share of
     its own words, so a prefix with half a share in all is reported with a quarter at the least;
-    the reports and the result are bounded by the number of buckets."""
+    the reports are added up, held against the total and written by Spark, and only hot prefixes, at
+    most ``4 * len(DEPTHS)`` a bucket, reach the driver."""
 
     def reports(batches):
         for run in text_runs(batches):
@@ -212,9 +213,10 @@ def hot_prefixes(docs: DataFrame, spans: Callable, buckets: int) -> set[bytes]:
                                              names=["prefix", "n"])
 
     seen = bound_batches(docs).mapInArrow(tidy(reports), "prefix binary, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    seen = seen.where(F.col("prefix").isNull() | (F.col("n") > 1)).collect()
-    total = sum(r["n"] for r in seen if r["prefix"] is None)
-    return {bytes(r["prefix"]) for r in seen if r["prefix"] is not None and r["n"] * 4 * buckets >= total}
+    seen = written(docs.sparkSession, seen, "prefix-counts")
+    total = seen.where(F.col("prefix").isNull()).agg(F.sum("n")).first()[0] or 0
+    hot = seen.where(F.col("prefix").isNotNull() & (F.col("n") > 1) & (F.col("n") * F.lit(4 * buckets) >= F.lit(total)))
+    return {bytes(r["prefix"]) for r in hot.select("prefix").collect()}
 
 
 def word_block(spans: Callable[[pa.Array], Iterator[tuple[int, int, Spans]]], buckets: int, listed: list | None = None,

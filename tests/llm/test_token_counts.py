@@ -68,6 +68,24 @@ def test_words_of_one_prefix_share_no_bucket(spark, model, tmp_path):
     assert got == {i: sum(viterbi(C.MARK + w, scores) for w in t.split()) for i, t in texts[:2]}
 
 
+def test_hot_prefixes_of_many_buckets(spark, tmp_path):
+    """With more buckets than a block has words every prefix is reported; what comes back is what the
+    totals make hot."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("ab", k=rng.randrange(3, 12))) for _ in range(300)})
+    df = saved(spark, spark.createDataFrame([(i, " ".join(words[i * 10:i * 10 + 200])) for i in range(10)], "doc_id long, text string")
+               .coalesce(1), tmp_path / "m")
+    for buckets in (8, 64, 5000):
+        want = set()
+        distinct = sorted({w for i in range(10) for w in words[i * 10:i * 10 + 200]})
+        for depth in blocks.DEPTHS:
+            for p in {w[:depth] for w in distinct if len(w) > depth}:
+                n = sum(w[:depth] == p for w in distinct if len(w) > depth)
+                if n > 1 and n * 4 * buckets > len(distinct):
+                    want.add(p.encode())
+        assert blocks.hot_prefixes(df, C.spans, buckets) == want
+
+
 def test_buckets_grow_with_the_input(spark, monkeypatch):
     docs = table(spark, SF001, "documents")
     few = blocks.bucket_count(docs)
