@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_uniform
 from ..functions.scalar import r6
 from ..operators import features as FE
+from ..operators.wide import WideFeatures, WideSelect
 from ..sources import views as V
+from ..sources.tables import read_table
 from .registry import register
 from .sqlv import with_views
 
@@ -349,3 +351,59 @@ def p2_fe39_shared_column_branches(spark, d):
     return out.select("row_id", "pass_c_acctbal", F.col("binned_bin_src").alias("bin_c_acctbal"),
                       r6("sq_src_sq").alias("sq_c_acctbal"),
                       F.when(F.col("c_mktsegment") == "BUILDING", 1.0).otherwise(0.0).alias("seg_building"))
+
+
+# ================================================================ generated features at full width
+_EMB = 64
+_WIDE_SQL = f"""
+WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT i::INTEGER AS i FROM range(0, {_EMB}) r(i)),
+mn AS (SELECT d.i, coalesce(min(CASE WHEN isfinite(x.e[d.i + 1]) THEN x.e[d.i + 1] END), 0.0) + 1.0 AS off FROM d, x GROUP BY d.i),
+t AS (SELECT kind, i, j, (row_number() OVER (ORDER BY kind, (i >= 0)::INTEGER + (j >= 0)::INTEGER, i, j) - 1)::INTEGER AS place FROM (
+  SELECT 0 AS kind, a.i, b.i AS j FROM d a JOIN d b ON a.i < b.i
+  UNION ALL SELECT 1, a.i, b.i FROM d a JOIN d b ON a.i < b.i
+  UNION ALL SELECT 2, a.i, b.i FROM d a JOIN d b ON a.i <> b.i
+  UNION ALL SELECT 3, -1, -1 UNION ALL SELECT 3, i, -1 FROM d
+  UNION ALL SELECT 3, a.i, b.i FROM d a JOIN d b ON a.i <= b.i)),
+raw AS (SELECT x.vec_id, x.label, t.place, CASE t.kind WHEN 0 THEN e[t.i + 1] - e[t.j + 1] WHEN 1 THEN e[t.i + 1] + e[t.j + 1]
+    WHEN 2 THEN e[t.i + 1] / nullif(e[t.j + 1] + mn.off, 0) WHEN 3 THEN
+      (CASE WHEN t.i < 0 THEN 1.0::DOUBLE ELSE e[t.i + 1] END) * (CASE WHEN t.j < 0 THEN 1.0::DOUBLE ELSE e[t.j + 1] END) END AS v
+  FROM t LEFT JOIN mn ON mn.i = t.j, x),
+l AS (SELECT vec_id, label, place, CASE WHEN isfinite(v) THEN v END AS v FROM raw),
+g AS (SELECT place, label, count(v) AS n, avg(v) AS m, var_pop(v) AS vp FROM l WHERE label IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2),
+gr AS (SELECT place, sum(n * m) / sum(n) AS grand FROM g GROUP BY 1),
+s AS (SELECT place, sum(n) AS n, count(*) AS k, sum(n * (m - grand) * (m - grand)) AS ssb, sum(n * vp) AS ssw FROM g JOIN gr USING (place) GROUP BY 1),
+f AS (SELECT t.place, CASE WHEN k < 2 OR n <= k THEN NULL WHEN ssw > 0 THEN (ssb / (k - 1)) / (ssw / (n - k))
+    WHEN ssb > 0 THEN 'Infinity'::DOUBLE END AS f FROM t LEFT JOIN s USING (place)),
+r AS (SELECT *, row_number() OVER (ORDER BY coalesce(f, -1) DESC, place) AS rk, count(*) OVER () AS w FROM f)"""
+
+
+def _components(spark, d):
+    e = read_table(spark, d, "embeddings")
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(_EMB)])
+
+
+def _wide(percentile):
+    return WideSelect(WideFeatures([f"e{i}" for i in range(_EMB)], degree=2), "label", percentile)
+
+
+@register("fe9_wide_anova", ids=("FE9", "FE23", "FE24", "FE25", "FE29"), sql=_WIDE_SQL + """
+SELECT place, round(f, 6) AS f_stat, rk <= greatest(1, floor(w * 0.1)) AS kept FROM r""")
+def fe9_wide_anova(spark, d):
+    """FE9 over all 10,209 differences, sums, ratios and degree-2 terms of 64 columns: the top tenth."""
+    op = _wide(10).fit(_components(spark, d))
+    keep = set(op.state["keep"])
+    rows = [(i, None if f is None else round(f, 6), i in keep) for i, f in enumerate(op.state["f"])]
+    return spark.createDataFrame(rows, "place int, f_stat double, kept boolean")
+
+
+@register("fe23_fe29_wide_selected", ids=("FE23", "FE24", "FE25", "FE29", "FE9", "FE39"), sql=_WIDE_SQL + """
+SELECT l.vec_id, l.place, round(l.v, 6) + 0.0 AS value FROM l JOIN r USING (place) WHERE r.rk <= greatest(1, floor(w * 0.01))""")
+def fe23_fe29_wide_selected(spark, d):
+    """The array column of the top hundredth of all generated features, for every vector; one row a
+    feature for the comparison."""
+    x = _components(spark, d)
+    op = _wide(1).fit(x)
+    keep = F.array(*[F.lit(i) for i in op.state["keep"]])
+    out = op.transform(x).select("vec_id", F.posexplode("features").alias("at", "v"))
+    return out.select("vec_id", F.get(keep, F.col("at")).alias("place"), r6("v").alias("value"))
