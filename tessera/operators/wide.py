@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import finite_or_null
 from ..session import track
 from .features import Op, poly_terms
-from .stats import moments
 
 #: Numbers in a piece of generated features.
 CELLS = 1 << 20
@@ -100,8 +100,10 @@ class WideFeatures(Op):
         self.state = {}
 
     def fit(self, df):
-        m = moments(df, self.inputs, clean=True) if (self.terms[:, 0] == KINDS.index("ratio")).any() else None
-        self.state = {"offset": [(m[c]["min"] if m[c]["min"] is not None else 0.0) + 1.0 if m else 1.0 for c in self.inputs]}
+        least = [None] * len(self.inputs)
+        if (self.terms[:, 0] == KINDS.index("ratio")).any():
+            least = list(df.agg(*[F.min(finite_or_null(c)).alias(f"m{i}") for i, c in enumerate(self.inputs)]).first())
+        self.state = {"offset": [(v or 0.0) + 1.0 for v in least]}
         return self
 
     def outputs(self):

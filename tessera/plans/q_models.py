@@ -15,7 +15,9 @@ from ..operators.features import StandardScale
 from ..operators.metrics import auc
 from ..operators.pool import fit_classifier
 from ..operators.sampling import class_weights, kfold, stratified_split
+from ..operators.spaces import log10
 from ..operators.trees import ExtraTrees, HistogramBoosting
+from ..operators.tuning import draw_trials, random_search
 from ..sources import views as V
 from .q_metrics import auc_sql
 from .registry import register
@@ -362,3 +364,38 @@ def mt7_random_search_cv(spark, d):
     n = refit.transform(z.filter(F.col("split") != "train")).filter("p is not null").count()
     return spark.createDataFrame([(i, reg, m, i == best[0], n) for i, reg, m in rows],
                                  "draw int, reg double, mean_auc double, best boolean, n_refit_scored long")
+
+
+_TUNED = {"qda": {"reg_param": log10(-4, 0)}, "naive_bayes": {"var_smoothing": log10(-9, 0)}}
+_TUNE_FITS = {"naive_bayes": lambda p, t, f, y, key, seed: M.GaussianNB(f, y, var_smoothing=p["var_smoothing"]).fit(t)}
+_TRIALS = draw_trials(8, _TUNED)
+
+
+@register("mt7_random_search_families", ids=("MT7", "SM11", "MT5", "M8", "M10"), sql=lambda: _z_sql() + f""",
+zf AS (SELECT row_id, label, x1, x2, (row_number() OVER (PARTITION BY label ORDER BY {sql_bits(42, 'kfold', 'row_id')}, row_id) - 1) % 3
+       AS fold FROM z WHERE split = 'train'),
+dr AS (SELECT * FROM (VALUES {', '.join(f"({t.draw}, '{t.family}', {float(next(iter(t.params.values())))!r}::DOUBLE)" for t in _TRIALS)}) t(draw, family, par)),
+fo AS (SELECT DISTINCT fold AS f FROM zf),
+al AS (SELECT f, greatest(var_pop(x1), var_pop(x2)) AS top FROM fo JOIN zf ON zf.fold <> fo.f GROUP BY f),
+fst AS (SELECT f, label AS k, count(*) AS nk, sum(count(*)) OVER (PARTITION BY f) AS n, avg(x1) AS a1, avg(x2) AS a2, var_samp(x1) AS v1,
+       var_samp(x2) AS v2, covar_samp(x1, x2) AS c12, var_pop(x1) AS p1, var_pop(x2) AS p2 FROM fo JOIN zf ON zf.fold <> fo.f GROUP BY f, label),
+pr AS (SELECT fst.f, k, nk, n, a1, a2, draw, CASE family WHEN 'qda' THEN (1 - par) * v1 + par ELSE p1 + par * top END AS s11,
+       CASE family WHEN 'qda' THEN (1 - par) * v2 + par ELSE p2 + par * top END AS s22,
+       CASE family WHEN 'qda' THEN (1 - par) * c12 ELSE 0.0 END AS s12 FROM fst JOIN al USING (f), dr),
+pd AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM pr),
+sc AS (SELECT zf.row_id, zf.fold, zf.label, draw, k, ln(nk / n) - 0.5 * ln(det) - 0.5 * ((s22 / det) * (x1 - a1) * (x1 - a1)
+         - 2 * (s12 / det) * (x1 - a1) * (x2 - a2) + (s11 / det) * (x2 - a2) * (x2 - a2)) AS q FROM zf JOIN pd ON pd.f = zf.fold),
+od AS (SELECT draw * 3 + fold AS g, label, max(CASE WHEN k = 1 THEN q END) - max(CASE WHEN k = 0 THEN q END) AS s
+       FROM sc GROUP BY row_id, 1, 2),
+""" + auc_sql("od", "s", "g") + """,
+m AS (SELECT CAST(g // 3 AS INTEGER) AS draw, avg(auc) AS mean_auc FROM a GROUP BY 1)
+SELECT m.draw, dr.family, dr.par AS parameter, round(mean_auc, 6) AS mean_auc,
+  m.draw = (SELECT draw FROM m ORDER BY mean_auc DESC, draw LIMIT 1) AS best, (SELECT count(*) FROM z WHERE split <> 'train') AS n_refit_scored
+FROM m JOIN dr USING (draw)""")
+def mt7_random_search_families(spark, d):
+    """MT7: eight draws over two families, each with a parameter of its own; the best refitted."""
+    z = planted_frame(spark, d)
+    got = random_search(z.filter(F.col("split") == "train"), X, 8, _TUNED, _TUNE_FITS)
+    n = got["model"].transform(z.filter(F.col("split") != "train")).filter("p is not null").count()
+    rows = [(t.draw, t.family, float(next(iter(t.params.values()))), round(mean, 6), t == got["best"], n) for t, mean, _ in got["trials"]]
+    return spark.createDataFrame(rows, "draw int, family string, parameter double, mean_auc double, best boolean, n_refit_scored long")
