@@ -41,3 +41,10 @@ def test_bad_candidates_become_rejected_rows(spark, tmp_path, monkeypatch):
     assert [log[i]["timeout"] for i in (1, 2, 3, 4)] == [False, False, True, False]
     assert log[1]["rejection_reason"].startswith("error") and log[2]["rejection_reason"] == "error: ValueError" and log[3]["rejection_reason"] == "timeout"
     assert log[4]["stage1_val_auc"] > 0 and [it for _, it in res["final"]["accepted"]] == ([4] if log[4]["accepted"] else [])
+
+
+def test_resume_query_runs_the_whole_search():
+    """The resumed search has the batches and the pool of models of the search query: founder and six candidates."""
+    from tessera.plans.registry import load_all
+
+    assert load_all()["s13_resume_search"].oracle().startswith("SELECT 7 AS n_logged")
