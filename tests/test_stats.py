@@ -76,3 +76,36 @@ def test_grouped_quantiles(spark, ranges):
         else:
             assert r["q"] == [None] * len(probs) and r["least"] is None
     assert ST.grouped_quantiles(df.limit(0), ["g"], ["x"], probs).count() == 0
+
+
+def test_quantile_levels_are_placed_in_batches(spark):
+    """A value's level is a binary search of a batch, not an expression over the knots for every row."""
+    from tessera.operators.matrix import QuantileTransformer
+
+    df = spark.range(3000).select(F.when(F.col("id") % 10 != 0, F.sin("id") * 50).alias("x"))
+    qt = QuantileTransformer(["x"], 1000).fit(df)
+    out = qt.transform(df.withColumn("raw", F.col("x")))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    raw = np.array([r["raw"] for r in rows if r["raw"] is not None])
+    knots, refs = np.quantile(raw, np.linspace(0, 1, 1000)), np.linspace(0, 1, 1000)
+    want = 0.5 * (np.interp(raw, knots, refs) - np.interp(-raw, -knots[::-1], -refs[::-1]))
+    assert np.abs(np.array([r["x"] for r in rows if r["raw"] is not None]) - want).max() < 1e-9
+    assert all(r["x"] is None for r in rows if r["raw"] is None)
+
+
+def test_covariance_of_many_columns_with_nulls(spark):
+    """Beyond a few columns the pairs aren't aggregates of their own; the numbers are the same."""
+    from tessera.operators import matrix as MX
+    from tessera.operators import models as M
+
+    cols = [f"c{j}" for j in range(12)]
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 2).alias("label"), *[
+        F.when(F.col("id") % (7 + j) != 0, F.sin(F.col("id") * (j + 1)) + 1e6).alias(c) for j, c in enumerate(cols)])
+    want = df.agg(*[F.covar_samp(a, b).alias(f"{a}_{b}") for a in cols for b in cols]).first()
+    _, got, n = MX.covariance(df, cols)
+    assert n == 500 and "covar" not in str(MX.covariances.__code__.co_names)
+    assert max(abs(got[i, j] - want[f"{a}_{b}"]) for i, a in enumerate(cols) for j, b in enumerate(cols)) < 1e-9
+    for k, (rows, _, cov) in M.class_moments(df, cols, "label").items():
+        one = df.where(F.col("label") == k).agg(F.covar_pop("c0", "c5").alias("a"), F.count(F.lit(1)).alias("n")).first()
+        assert rows == one["n"] and abs(cov[0, 5] - one["a"]) < 1e-9
