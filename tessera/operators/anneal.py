@@ -10,7 +10,7 @@ at one constant, as the first map's constant isn't above its own bound. So the s
 amount to a pair (top, k), the map s -> k if s < top else s, where top is the greatest bound and k
 the state that the chunk reaches from -inf. That gives an exact parallel plan:
 
-  1. every (run, chunk) of at most ``chunk`` (2^20) steps gives its pair (``applyInPandas``);
+  1. every (run, chunk) of at most ``chunk`` (2^20) steps gives its pair;
   2. up a tree, ``FAN`` (2^16) neighbouring pairs are folded into one, until a run has no more than
      ``FAN`` of them;
   3. down the tree, each group of ``FAN`` pairs is folded from its incoming state, which gives the
@@ -19,7 +19,8 @@ the state that the chunk reaches from -inf. That gives an exact parallel plan:
      and emits per-step decisions.
 
 No group is larger than one chunk of steps or ``FAN`` pairs, whatever the log looks like. Runs of one
-chunk need no tree.
+chunk need no tree. A task goes through the groups of its partition in order, batch after batch, so many
+small groups cost no more than a large one of as many steps.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
-from ..session import stored
+from ..session import ship_package, stored
 
 CHUNK = 1 << 20
 #: Neighbouring pairs that a task of the tree folds.
@@ -82,33 +82,93 @@ def replay(c, t, u, s0: float):
     return np.array(acc, dtype=bool), np.array(cur)
 
 
+def in_order(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Every (run, ``group``) in one partition, whole and in order; a partition holds many of them. Python is
+    CPU-bound: the number of partitions is pinned, so runtime coalescing by bytes doesn't squeeze it into a few tasks."""
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n_parts, "run", group).sortWithinPartitions("run", group, order)
+
+
+def segments(batches, group: str):
+    """(run, group, columns as arrays) of the stretches of equal (run, ``group``) in Arrow batches. A group that
+    goes over the end of a batch comes in several stretches, one after the other."""
+    for b in batches:
+        x = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns)}
+        run, key = x["run"], x[group]
+        cuts = np.flatnonzero((run[1:] != run[:-1]) | (key[1:] != key[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(run)]):
+            if hi > lo:
+                yield run[lo], key[lo], {n: c[lo:hi] for n, c in x.items()}
+
+
+#: Rows that a task gathers before it hands them on.
+ROWS_OUT = 1 << 14
+
+
+def gathered(parts):
+    """``parts`` gives columns as arrays; they go on in batches of about ``ROWS_OUT`` rows."""
+    def run(batches):
+        import pyarrow as pa
+
+        def batch(held):
+            return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([h[n] for h in held])) for n in held[0]})
+
+        held, rows = [], 0
+        for part in parts(batches):
+            held.append(part)
+            rows += len(part["run"])
+            if rows >= ROWS_OUT:
+                yield batch(held)
+                held, rows = [], 0
+        if held:
+            yield batch(held)
+
+    return run
+
+
+def folding(group: str, pair):
+    """A task's (run, group) as one pair each: ``pair`` gives the bounds and constants of a stretch."""
+    def parts(batches):
+        held, top, k = None, NEG_INF, NEG_INF
+        row = lambda: {"run": np.array([held[0]]), "node": np.array([held[1]]), "top": np.array([top]), "k": np.array([k])}
+        for run, key, x in segments(batches, group):
+            if (run, key) != held:
+                if held:
+                    yield row()
+                held, top, k = (run, key), NEG_INF, NEG_INF
+            tops, ks = pair(x)
+            top, k = compose_pairs([top, *np.asarray(tops).tolist()], [k, *np.asarray(ks).tolist()])
+        if held:
+            yield row()
+
+    return gathered(parts)
+
+
 def incoming_states(nodes: DataFrame, pairs: DataFrame, last: int, fan: int = FAN) -> DataFrame:
     """(run, node, s): the state before every chunk. ``nodes`` is (run, node, s0) with the runs'
     first states, ``pairs`` (run, node, top, k) of the chunks, ``last`` the greatest node."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        top, k = compose_pairs(pdf["top"].tolist(), pdf["k"].tolist())
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["over"].iloc[0]], "top": [top], "k": [k]})
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        s, states = float(pdf["s"].iloc[0]), []
-        for top, k in zip(pdf["top"].tolist(), pdf["k"].tolist()):
-            states.append(s)
-            s = apply_pair(top, k, s)
-        return pd.DataFrame({"run": pdf["run"].to_numpy(), "node": pdf["node"].to_numpy(), "s": states})
+    def follow(batches):
+        held, s = None, NEG_INF
+        for run, over, x in segments(batches, "over"):
+            if (run, over) != held:
+                held, s = (run, over), float(x["s"][0])
+            states = []
+            for top, k in zip(x["top"].tolist(), x["k"].tolist()):
+                states.append(s)
+                s = apply_pair(top, k, s)
+            yield {"run": x["run"], "node": x["node"], "s": np.array(states)}
 
     over = F.floor(F.col("node") / F.lit(fan)).cast("bigint")
     levels = [stored(pairs.withColumn("over", over), "anneal-level")]
     while last >= fan:
-        up = levels[-1].groupBy("run", "over").applyInPandas(fold, "run long, node long, top double, k double")
+        up = in_order(levels[-1], "over", "node").mapInArrow(folding("over", lambda x: (x["top"], x["k"])), "run long, node long, top double, k double")
         levels.append(stored(up.withColumn("over", over), "anneal-level"))
         last //= fan
     states = nodes.where("node = 0").select("run", "node", F.col("s0").alias("s"))
     for level in reversed(levels):
         known = states.select("run", F.col("node").alias("over"), "s")
-        states = level.join(known, ["run", "over"]).groupBy("run", "over").applyInPandas(follow, "run long, node long, s double")
+        states = in_order(level.join(known, ["run", "over"]), "over", "node").mapInArrow(gathered(follow), "run long, node long, s double")
     return states
 
 
@@ -133,25 +193,25 @@ def anneal_fold(df: DataFrame, run: str = "run_id", step: str = "iteration_num",
     last = nodes.agg(F.max("node")).first()[0] or 0
     starts = nodes.select("run", "chunk", "s0")
     if last:
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("step")
-            top, k = compose_chunk(pdf["c"].to_numpy(), pdf["t"].to_numpy(), pdf["u"].to_numpy())
-            return pd.DataFrame({"run": [pdf["run"].iloc[0]], "node": [pdf["node"].iloc[0]], "top": [top], "k": [k]})
+        def pair(x):
+            top, k = compose_chunk(x["c"], x["t"], x["u"])
+            return [top], [k]
 
-        pairs = (d.join(nodes.select("run", "chunk", "node"), ["run", "chunk"]).groupBy("run", "node")
-                 .applyInPandas(build, "run long, node long, top double, k double"))
+        pairs = (in_order(d.join(nodes.select("run", "chunk", "node"), ["run", "chunk"]), "node", "step")
+                 .mapInArrow(folding("node", pair), "run long, node long, top double, k double"))
         states = incoming_states(nodes, pairs, last, fan)
         starts = nodes.join(states, ["run", "node"]).select("run", "chunk", F.col("s").alias("s0"))
 
-    def run_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        acc, cur = replay(pdf["c"].to_numpy(), pdf["t"].to_numpy(), pdf["u"].to_numpy(), float(pdf["s0"].iloc[0]))
-        return pd.DataFrame({"run": pdf["run"].to_numpy(), "step": pdf["step"].to_numpy(), "accepted": acc,
-                             "current_score": cur})
-
-    # Python replay is CPU-bound: pin the number of partitions so runtime coalescing by
-    # bytes does not squeeze it into a few tasks; groupBy reuses this partitioning.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = d.join(starts, ["run", "chunk"]).repartition(n_parts, "run", "chunk")
-    out = j.groupBy("run", "chunk").applyInPandas(run_chunk, "run long, step long, accepted boolean, current_score double")
+    def steps(batches):
+        held, s = None, NEG_INF
+        for own, key, x in segments(batches, "chunk"):
+            if (own, key) != held:
+                held, s = (own, key), float(x["s0"][0])
+            acc, cur = replay(x["c"], x["t"], x["u"], s)
+            s = float(cur[-1])
+            yield {"run": x["run"], "step": x["step"], "accepted": acc, "current_score": cur}
+
+    ship_package(df.sparkSession)
+    out = in_order(d.join(starts, ["run", "chunk"]), "chunk", "step").mapInArrow(
+        gathered(steps), "run long, step long, accepted boolean, current_score double")
     return out.withColumnRenamed("run", run).withColumnRenamed("step", step)

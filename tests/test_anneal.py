@@ -73,3 +73,22 @@ def test_many_chunks_a_run_up_and_down_the_tree(spark, monkeypatch, kind):
     out = anneal_fold(df, chunk=4, start=start, fan=8).collect()
     assert {(r["run_id"], r["iteration_num"]): (r["accepted"], r["current_score"]) for r in out} == plain
     assert seen == [(8, 1100), (8, 138), (8, 18), (3, 3)]
+
+
+def test_groups_share_partitions_and_batches(spark):
+    """Many runs in a partition and runs over the end of a batch: each step is decided as one after the other,
+    and no group is handed to Python by itself."""
+    from pyspark.sql import functions as F
+
+    prev = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch",)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(600).select((F.col("id") % 40).alias("run_id"), F.col("id").alias("iteration_num"),
+                                     (F.sin("id") / 10 + 0.7).alias("stage1_val_auc"), F.lit(0.05).alias("temperature"))
+        whole, cut = anneal_fold(df), anneal_fold(df, chunk=64, fan=4)
+        assert "FlatMapGroups" not in whole._jdf.queryExecution().optimizedPlan().toString()
+        a, b = (sorted(tuple(r) for r in x.collect()) for x in (whole, cut))
+    finally:
+        for k, v in prev.items():
+            spark.conf.set(k, v)
+    assert len(a) == 600 and a == b
