@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import exact_quantiles
+from ..session import stored
 from .common import bound_batches, text_slices, tidy
 
 WINDOW = 256
@@ -33,9 +35,7 @@ FILTERS = 8
 #: Bound of the labelled sample, and windows taken from each of its documents.
 DOCS_PER_LANGUAGE = 300
 WINDOWS_PER_DOC = 4
-#: Bound of the documents that the least score is set on, the share of them under it, and its
-#: distance from an even vote.
-CALIBRATION_DOCS = 1200
+#: The share of the rightly predicted documents under the least score, and its distance from an even vote.
 LOST = 0.001
 MARGIN = 0.05
 N_CLASSES = 157
@@ -296,21 +296,14 @@ def held_out(id_col: Column) -> Column:
 
 def least_score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text",
                 lang_col: str = "lang") -> float:
-    """The score that all but ``LOST`` of the labelled ``docs`` with the right prediction reach, over
-    about ``CALIBRATION_DOCS`` of each language by hash. Not over 0.5, as a language that is more
-    likely than all else is clear, and at least ``MARGIN`` over an even vote of the languages."""
+    """The score that all but ``LOST`` of the labelled ``docs`` with the right prediction reach, over all of
+    them. Not over 0.5, as a language that is more likely than all else is clear, and at least ``MARGIN`` over
+    an even vote of the languages. The scores are written once; the quantile is exact and gathers no rows."""
     floor = min(0.5, 1 / max(len(net.languages), 1) + MARGIN)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return floor
-    span = 1 << 32
-    limits = F.create_map(*[x for k, n in counts.items()
-                            for x in (F.lit(k), F.lit(min(span, int(span * CALIBRATION_DOCS / n))))])
-    order = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("lang")), F.lit(span))
-    seen = predict(labelled.where(order < F.element_at(limits, F.col("lang"))), net)
-    found = seen.where(F.col("lang") == F.col("lang_pred")).agg(F.percentile("lang_score", F.lit(LOST))).first()[0]
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    right = predict(labelled, net).where(F.col("lang") == F.col("lang_pred")).select("lang_score")
+    found = exact_quantiles(stored(right, "lang-scores"), ["lang_score"], [LOST])["lang_score"][0]
     return floor if found is None else max(floor, min(0.5, found))
 
 
