@@ -92,6 +92,8 @@ def test_quantile_levels_are_placed_in_batches(spark):
     want = 0.5 * (np.interp(raw, knots, refs) - np.interp(-raw, -knots[::-1], -refs[::-1]))
     assert np.abs(np.array([r["x"] for r in rows if r["raw"] is not None]) - want).max() < 1e-9
     assert all(r["x"] is None for r in rows if r["raw"] is None)
+    normal = QuantileTransformer(["x"], 100, output="normal").fit(df)
+    assert normal.transform(df).where("x is null").count() == 0  # a null is at the clipped lower end
 
 
 def test_covariance_of_many_columns_with_nulls(spark):
