@@ -2,6 +2,7 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 import tessera.operators.search as S
@@ -48,3 +49,26 @@ def test_resume_query_runs_the_whole_search():
     from tessera.plans.registry import load_all
 
     assert load_all()["s13_resume_search"].oracle().startswith("SELECT 7 AS n_logged")
+
+
+@pytest.mark.parametrize("rows, parts", [(1 << 14, 1), (100, 3)])
+def test_meta_learner_fits_in_partitions_its_rows_fill(spark, monkeypatch, rows, parts):
+    """Before, each pass of a fit had a task for every partition of the frame."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, fit = [], LogisticRegression.fit
+
+    def counted(self, df, params=None):
+        seen.append((df.rdd.getNumPartitions(), df.count()))
+        return fit(self, df, params)
+
+    monkeypatch.setattr(LogisticRegression, "fit", counted)
+    monkeypatch.setattr(S, "META_ROWS", rows)
+    p = (F.col("row_id") % 10) / 10
+    frame = spark.range(300, numPartitions=12).select(
+        F.col("id").alias("row_id"), ((F.col("id") % 10 + F.col("id") % 7) > 7).cast("int").alias("label")).withColumn("v", F.array(p, 1 - p * p))
+    frame = frame.withColumn("part", F.when(F.col("row_id") < 250, "meta_train").otherwise("meta_holdout"))
+    got = S.meta_learner(frame, 2, "logistic", n_draws=2)
+    assert {n for n, _ in seen} == {parts} and len(seen) == 3
+    assert seen[0][1] == seen[1][1] < seen[2][1] == 250  # the last fit has every row
+    assert (got["n_train"], got["n_holdout"]) == (250, 50) and got["meta_auc"] > 0.7
