@@ -5,20 +5,21 @@ fallback (B). Offsets where tokens of both end cut the tokens into groups; a tok
 of B in one group are linked. Neither vocabulary has an entry that goes on over a space after a
 non-space, so a text falls apart there into chunks that are encoded and aligned once a block.
 
-1. First pass: blocks of texts give the distinct linked id pairs of each document, counted per
-   block and dealt to ``BUCKETS`` hash buckets.
+1. One pass over the texts: blocks of them give the distinct linked id pairs of each document, counted
+   per block and dealt to ``BUCKETS`` hash buckets, and all that needs no corpus-wide count: the documents'
+   other columns, their chunks, and each chunk's links as places in the block's sorted pairs.
 2. The blocks' pairs are united up a tree, and each bucket's distinct pairs get a minimal perfect
    hash: levels of bits, where a pair that is alone at its place of a level stays there and the
    others go to the next; the place is the number of set bits before. The pairs stand at their
    places and verify each look-up.
 3. Branches of the tree add their blocks' counts in dense vectors indexed by the hash, and the
    vectors are summed up the tree. The highest count of each id of A is one number an entry.
-4. The blocks' pairs are looked up, the answers meet the blocks' texts by block number, and the
-   second pass aligns the documents again and adds up the counts of their links.
+4. The blocks' pairs are looked up, the answers meet the blocks' documents by block number, and the
+   counts of each document's links are added up; no text is read or aligned twice.
 
 A group of a task is a branch's part of a bucket or a block; nothing grows with the corpus in one
-task, on the driver or in a broadcast. Blocks are runs of rows of a scan's partitions, the same in both passes:
-``docs`` must be a scan with row-wise steps (a pair without a count fails the job).
+task, on the driver or in a broadcast. Blocks are runs of rows of a partition and are written once; a
+checksum of a block's pairs travels with its documents (a pair without a count fails the job).
 
 Defined results: null and empty texts, and those that a tokenizer's bytes don't give back (U+2581
 in a text), have no tokens, zeros and '' for the digest; repeated rows are documents of their own and
@@ -30,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +166,9 @@ class Aligned:
         a = np.concatenate([together, np.array([x for i in others for x in a_ids[i]], np.int64)])
         a_of = np.concatenate([np.array(plain, np.int64)[chunk], np.repeat(np.array(others, np.int64), [len(a_ids[i]) for i in others])])
         order = np.argsort(a_of, kind="stable")
-        b = np.array([x for ids in b_ids for x in ids], np.int64)
-        return a[order], a_of[order], b, np.repeat(np.arange(len(part)), [len(x) for x in b_ids])
+        sizes = [len(x) for x in b_ids]
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, sum(sizes))
+        return a[order], a_of[order], b, np.repeat(np.arange(len(part)), sizes)
 
     def _add(self, part: list[bytes]) -> None:
         a, a_of, b, b_of = self._encoded(part)
@@ -176,8 +180,18 @@ class Aligned:
             got = [entries[i] for i in ids.tolist()]
             return [b"".join(got[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
 
-        whole = np.array([x == y == b" " + w for x, y, w in
-                          zip(bytes_of(a, a_of, a_bytes), bytes_of(b, b_of, b_bytes), part, strict=True)], bool)
+        def kept(ids, of, entries, lengths):
+            """All chunks of the slice have their length and its joined bytes are theirs."""
+            return (np.array_equal(np.bincount(of, lengths[ids], n), want)
+                    and b"".join([entries[i] for i in ids.tolist()]) == joined)
+
+        want = np.fromiter(map(len, part), np.int64, n) + 1
+        joined = b" " + b" ".join(part)
+        if kept(a, a_of, a_bytes, _lengths_a(self.source)) and kept(b, b_of, b_bytes, _lengths_b(self.model)):
+            whole = np.ones(n, bool)
+        else:
+            whole = np.array([x == y == b" " + w for x, y, w in
+                              zip(bytes_of(a, a_of, a_bytes), bytes_of(b, b_of, b_bytes), part, strict=True)], bool)
         keep_a, keep_b = whole[a_of], whole[b_of]
         a, a_of, b, b_of = a[keep_a], a_of[keep_a], b[keep_b], b_of[keep_b]
 
@@ -283,7 +297,7 @@ def verified(keys: np.ndarray, row: dict) -> np.ndarray:
     """Indices of keys that are all in the bucket's table."""
     at = hashed(keys, row["sizes"], row["bits"])
     if (at < 0).any() or not np.array_equal(row["keys"][at], keys):
-        raise RuntimeError("a pair is missing from the table: docs must be a scan with row-wise steps")
+        raise RuntimeError("a pair is missing from the table")
     return at
 
 
@@ -307,41 +321,84 @@ def block_number(made: int) -> int:
     return B._number(made)
 
 
-def count_pairs(docs: DataFrame, source: str, model: bytes) -> DataFrame:
-    """(bucket, block, keys, counts): each block's distinct pairs (id of A << 32 | id of B) with the
-    number of its documents that hold them. ``docs`` is (id, text)."""
+#: A block's documents: their finished columns, chunks in each, the chunks' numbers, links of each chunk,
+#: their places in the block's sorted pairs and how often they occur.
+DOCS = ["docs", "lengths", "codes", "sizes", "places", "times"]
+
+
+def aligned_blocks(docs: DataFrame, source: str, model: bytes) -> DataFrame:
+    """Rows of two kinds. (bucket, block, keys, counts): each block's distinct pairs (id of A << 32 |
+    id of B) with the number of its documents that hold them. Without a bucket, a row for each block:
+    its documents (``DOCS``), the size of ``docs`` and a checksum of all its pairs. ``docs`` is (id, text)."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+                        *[(c, pa.binary()) for c in DOCS], ("docs_size", pa.int64()), ("mark", pa.int64())])
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        chunks = Aligned(source, model, digests=False)
+        chunks = Aligned(source, model, digests=True)
         for made, rows in enumerate(B.text_runs(batches)):
             words: list[bytes] = []
             block = B.word_block(chunk_spans, 1, words)(rows)
             place = chunks.places(words)
             doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
             good = _good(block, chunks, place, doc)
-            each = np.unique(doc[good[doc]] * max(len(words), 1) + block.codes[good[doc]])
-            owner, word = each // max(len(words), 1), place[each % max(len(words), 1)]
-            own = np.unique(place)
-            keys = np.unique(chunks.pair[ragged(chunks.begin[own], chunks.size[own])])
-            if not len(keys):
-                continue
-            ids = np.zeros(len(chunks.pair), np.int32)
-            mine = ragged(chunks.begin[own], chunks.size[own])
-            ids[mine] = np.searchsorted(keys, chunks.pair[mine])
-            n = chunks.size[word]
-            held = np.repeat(owner, n) * len(keys) + ids[ragged(chunks.begin[word], n)]
-            counts = np.bincount(np.unique(held) % len(keys), minlength=len(keys))
-            keys, counts = keys[counts > 0], counts[counts > 0]
-            bucket = (mix64(keys.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            which, n = np.unique(bucket, return_counts=True)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(which, pa.int32()), pa.array(np.full(len(which), block_number(made)), pa.int64()),
-                 _lists(keys[order], ends, pa.int64()), _lists(counts[order], ends, pa.int32())],
-                names=["bucket", "block", "keys", "counts"])
-
-    return bound_batches(docs).mapInArrow(tidy(run), "bucket int, block long, keys array<long>, counts array<int>")
+            number = block_number(made)
+
+            # chunks of documents that keep their bytes, and the links of each
+            lengths, codes = np.where(good, block.lengths, 0), block.codes[good[doc]]
+            used = np.unique(codes)
+            codes = np.searchsorted(used, codes)
+            size, mine = chunks.size[place[used]], ragged(chunks.begin[place[used]], chunks.size[place[used]])
+            keys, at = np.unique(chunks.pair[mine], return_inverse=True)
+            each = np.unique(doc[good[doc]] * max(len(used), 1) + codes)
+            owner, word = each // max(len(used), 1), each % max(len(used), 1)
+            held = np.repeat(owner, size[word]) * max(len(keys), 1) + at[ragged((np.cumsum(size) - size)[word], size[word])]
+            counts = np.bincount(np.unique(held) % max(len(keys), 1), minlength=len(keys))
+
+            done = _columns(block.ids, lengths, codes, [chunks.numbers[place[used], k] for k in range(4)])
+            done = done.append_column("groups_sha256", pa.array(_digests(lengths, codes, [chunks.text[p] for p in place[used].tolist()]), pa.string()))
+            raw = _ipc(done)
+            packed = [B.squeeze(raw), *(B.pack(x) for x in (lengths, codes, size, at, chunks.times[mine]))]
+            yield batch(1, block=pa.array([number], pa.int64()), docs_size=pa.array([len(raw)], pa.int64()),
+                        mark=pa.array([zlib.crc32(keys.tobytes())], pa.int64()),
+                        **{c: pa.array([x], pa.binary()) for c, x in zip(DOCS, packed, strict=True)})
+            if len(keys):
+                bucket = (mix64(keys.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                which, n = np.unique(bucket, return_counts=True)
+                ends = np.cumsum(n)
+                yield batch(len(which), bucket=pa.array(which, pa.int32()), block=pa.array(np.full(len(which), number), pa.int64()),
+                            keys=_lists(keys[order], ends, pa.int64()), counts=_lists(counts[order], ends, pa.int32()))
+
+    names = ", ".join(f"{c} binary" for c in DOCS)
+    return bound_batches(docs).mapInArrow(tidy(run), f"bucket int, block long, keys array<long>, counts array<int>, {names}, docs_size long, mark long")
+
+
+def _columns(ids: pa.Array, lengths: np.ndarray, codes: np.ndarray, by_chunk: list[np.ndarray]) -> pa.Table:
+    """Numbers of chunks added up for each document, beside its id."""
+    limits, columns = np.concatenate([[0], np.cumsum(lengths)]), []
+    for x in by_chunk:
+        total = np.concatenate([[0], np.cumsum(x[codes])])
+        columns.append(pa.array(total[limits[1:]] - total[limits[:-1]], pa.int64()))
+    return pa.table([ids, *columns], names=["id", *[f"n{k}" for k in range(len(columns))]])
+
+
+def _digests(lengths: np.ndarray, codes: np.ndarray, texts: list[str]) -> list[str]:
+    out, at, codes = [], 0, codes.tolist()
+    for n in lengths.tolist():
+        text = ";".join([texts[c] for c in codes[at:at + n]])
+        out.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        at += n
+    return out
+
+
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _good(block: B.Block, chunks: Aligned, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -431,7 +488,8 @@ def pair_counts(spark: SparkSession, pairs: DataFrame) -> tuple[DataFrame, DataF
 def align(spark: SparkSession, docs: DataFrame, source: str, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pairs, table = pair_counts(spark, written(spark, count_pairs(rows, source, model), "block-pairs"))
+    blocks = written(spark, aligned_blocks(rows, source, model), "aligned-blocks")
+    pairs, table = pair_counts(spark, blocks.filter(F.col("bucket").isNotNull()).select("bucket", "block", "keys", "counts"))
     each = table.select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).select(F.shiftright("x.keys", 32).alias("a"), F.col("x.counts").alias("n"))
     most = each.groupBy("a").agg(F.max("n").alias("n")).collect()  # a row for each entry of A's vocabulary at most
     best = np.zeros(max([r["a"] for r in most], default=0) + 1, np.int64)
@@ -439,64 +497,34 @@ def align(spark: SparkSession, docs: DataFrame, source: str, model: bytes, id_co
     answers = (pairs.select("bucket", "branch", "block", "keys").groupBy("bucket", "branch")
                .cogroup(table.groupBy("bucket", "branch")).applyInArrow(_answer, "block long, keys array<long>, counts array<long>"))
 
-    kept_schema = T.StructType([T.StructField("block", T.LongType()), *rows.schema.fields])
-
-    def kept(batches):
-        for made, run in enumerate(B.text_runs(batches)):
-            for b in run.to_batches(max_chunksize=256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, block_number(made)), pa.int64()), *b.columns],
-                                                 names=kept_schema.names)
-
     out = T.StructType([T.StructField(id_col, rows.schema["id"].dataType),
                         *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
                         T.StructField("groups_sha256", T.StringType())])
-    cache: list[Aligned] = []
-
-    def second(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not cache:
-            cache.append(Aligned(source, model, digests=True))
-        chunks, words = cache[0], []
-        block = B.word_block(chunk_spans, 1, words)(texts.select(["id", "text"]))
-        place = chunks.places(words)
-        doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
-        good = _good(block, chunks, place, doc)
+
+    def joined(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        if mine.num_rows != 1:
+            raise RuntimeError(f"{mine.num_rows} blocks of one number")
+        r = mine.to_pylist()[0]
         keys, counts = _flat(answers["keys"]), _flat(answers["counts"])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-
-        held = np.zeros(len(block.lengths), bool)
-        held[doc] = True
-        used = np.unique(block.codes[good[doc]]) if len(doc) else np.zeros(0, np.int64)
-        n = chunks.size[place[used]]
-        at = ragged(chunks.begin[place[used]], n)
-        pair = chunks.pair[at]
-        where = np.searchsorted(keys, pair)
-        if len(pair) and ((where >= len(keys)).any() or not np.array_equal(keys[where], pair)):
-            raise RuntimeError("a block's pairs differ between the passes: docs must be a scan with row-wise steps")
-        count = counts[where]
-        ends = np.concatenate([[0], np.cumsum(n)])
-
-        def per_word(x):
-            run = np.concatenate([[0], np.cumsum(x)])
-            value = np.zeros(len(words), np.int64)
-            value[used] = run[ends[1:]] - run[ends[:-1]]
-            return value
-
-        times = chunks.times[at]
-        by_word = [*(chunks.numbers[place, k] for k in range(4)), per_word(times * (count == best[pair >> 32])), per_word(times * count)]
-        limits = np.concatenate([[0], np.cumsum(block.lengths)])
-        columns = []
-        for x in by_word:
-            run = np.concatenate([[0], np.cumsum(x[block.codes])])
-            columns.append(pa.array(np.where(good, run[limits[1:]] - run[limits[:-1]], 0), pa.int64()))
-        strings = [chunks.text[p] for p in place.tolist()]
-        codes, digests = block.codes.tolist(), []
-        for i, (lo, hi) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)):
-            text = ";".join([strings[c] for c in codes[lo:hi]]) if good[i] and hi > lo else ""
-            digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-        result = pa.table([block.ids, *columns, pa.array(digests, pa.string())], names=out.names)
+        if zlib.crc32(keys.tobytes()) != r["mark"]:
+            raise RuntimeError("a block's pairs differ from their answers")
+        lengths, codes, size, at, times = (B.unpack(r[c]) for c in DOCS[1:])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        count, times = counts[at], times.astype(np.int64)
+
+        def per_chunk(x):
+            total = np.concatenate([[0], np.cumsum(x)])
+            return total[ends[1:]] - total[ends[:-1]]
+
+        sums = [per_chunk(times * (count == best[keys >> 32][at])), per_chunk(times * count)]
+        with pa.ipc.open_stream(B.stretch(r["docs"], r["docs_size"])) as stream:
+            done = stream.read_all().combine_chunks()
+        summed = _columns(done.column(0), lengths, codes, sums)
+        result = pa.table([*done.columns[:5], *summed.columns[1:], done.column(5)], names=out.names)
         give_back()
         return result
 
-    texts = bound_batches(rows).mapInArrow(tidy(kept), kept_schema)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(second, out)
+    docs_of = blocks.filter(F.col("bucket").isNull()).select("block", *DOCS, "docs_size", "mark")
+    return docs_of.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, out)

@@ -112,3 +112,13 @@ def test_tables_of_edge_rows_and_empty(spark, tmp_path):
     got = A.align(spark, saved(spark, edge_docs(spark), tmp_path / "d"), SOURCE, MODEL)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
     assert A.align(spark, saved(spark, empty_docs(spark), tmp_path / "e"), SOURCE, MODEL).count() == 0
+
+
+def test_texts_are_read_and_aligned_once(spark, tmp_path):
+    """Before, a second pass read and aligned all texts again."""
+    folder = tmp_path / "d"
+    docs = saved(spark, spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3), folder)
+    got = A.align(spark, docs, SOURCE, MODEL)
+    assert any(str(folder) in f for f in docs.inputFiles())
+    assert not any(str(folder) in f for f in got.inputFiles())
+    assert sorted(map(tuple, got.collect()), key=str) == brute(ROWS)
