@@ -72,3 +72,52 @@ def test_meta_learner_fits_in_partitions_its_rows_fill(spark, monkeypatch, rows,
     assert {n for n, _ in seen} == {parts} and len(seen) == 3
     assert seen[0][1] == seen[1][1] < seen[2][1] == 250  # the last fit has every row
     assert (got["n_train"], got["n_holdout"]) == (250, 50) and got["meta_auc"] > 0.7
+
+
+def test_searches_and_replays_read_written_rows(spark, tmp_path, monkeypatch):
+    """Before, each plan of a search held the plan of the pool, and the driver ran out of memory by them."""
+    import tessera.plans.q_search as Q
+
+    pool = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 97).cast("double").alias("x"),
+                                   F.when(F.col("id") % 2 == 0, "train").otherwise("val1").alias("split"))
+    plans = []
+
+    def fit(spec, train, key="row_id", label="label", check=lambda: None):
+        plans.append(train._jdf.queryExecution().toString())
+        assert train.count() in (15, 100, 150)  # the founder's tenth, the least sample, all
+        return [], ["x"], Constant()
+
+    def scored(df, *a, **b):
+        plans.append(df._jdf.queryExecution().toString())
+        return auc(df, *a, **b)
+
+    auc = Q.auc
+    monkeypatch.setattr(S, "fit_pipeline", fit)
+    monkeypatch.setattr(Q, "auc", scored)
+    res = S.run_search(spark, pool, ["x"], S.SearchConfig(n_batches=1, batch_size=2, models=["naive_bayes"]), str(tmp_path / "s"))
+    assert all(a and b for a, b in Q.replay(spark, res, pool).values())
+    assert len(plans) == 5 and not any("Range (" in p for p in plans)
+
+
+def test_calibration_reads_written_folds(spark, monkeypatch):
+    from tessera.operators import pool as P
+
+    seen = []
+    monkeypatch.setattr(P.M, "platt_calibrated", lambda folds, fit, label, k: seen.append(folds))
+    df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    P.fit_classifier("ridge", {}, df, ["x"])
+    assert "Window" not in seen[0]._jdf.queryExecution().toString()
+    assert {r["fold"]: r["count"] for r in seen[0].groupBy("fold").count().collect()} == {0: 20, 1: 20, 2: 20}
+
+
+def test_pipeline_keeps_few_frames(spark, monkeypatch):
+    """Row-local stages are not kept one by one: each would hold the rows once more and the plans before it."""
+    import tessera.operators.pipeline as P
+
+    seen = []
+    monkeypatch.setattr(P, "fit_classifier", lambda name, params, d, cur, label, key, seed: seen.append((d._jdf.queryExecution().toString(), d.count())))
+    df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), *[(F.col("id") % k).cast("double").alias(f"x{k}") for k in (5, 7)])
+    spec = P.PipelineSpec(1, ["x5", "x7"], 0.5, 1.0, "robust", [("square", {}), ("log", {})], ("truncated_svd", {"n_components": 1}), "naive_bayes", {}, 42)
+    P.fit_pipeline(spec, df)
+    analysed, kept = seen[0][0].partition("== Physical Plan ==")[2], seen[0][1]
+    assert analysed.count("InMemoryRelation") == 2 and kept == 60
