@@ -121,3 +121,12 @@ def test_pipeline_keeps_few_frames(spark, monkeypatch):
     P.fit_pipeline(spec, df)
     analysed, kept = seen[0][0].partition("== Physical Plan ==")[2], seen[0][1]
     assert analysed.count("InMemoryRelation") == 2 and kept == 60
+
+
+def test_factors_do_not_depend_on_the_order_of_sums(spark):
+    """Between nearly equal variances the last bits of the sums turned the factors."""
+    from tessera.operators.matrix import FactorAnalysis
+
+    df = spark.range(10007).select(F.col("id"), ((F.col("id") * 7919) % 10007 / 10007).alias("a"), ((F.col("id") * 4729) % 10007 / 10007).alias("b"))
+    states = [FactorAnalysis(["a", "b"], 1).fit(df.repartition(n, "id")).state for n in (1, 3, 7, 16)]
+    assert all(s["proj"] == states[0]["proj"] and s["loadings"] == states[0]["loadings"] for s in states)
