@@ -53,3 +53,22 @@ def test_what_cannot_be_saved_or_loaded(spark, tmp_path):
         spark.createDataFrame([(bad,)], "fitted string").coalesce(1).write.mode("overwrite").json(str(tmp_path / "g" / "fitted"))
         with pytest.raises(ValueError):
             load_fitted(spark, str(tmp_path / "g"))
+
+
+def test_densities_do_not_depend_on_how_values_are_listed(spark, monkeypatch):
+    """Values meet their cell's bins in lists: before, each value had a copy of the bins of three cells."""
+    from tessera.operators.matrix import KDEDensity
+
+    x = np.concatenate([np.random.default_rng(3).normal(size=3000), [40.0, 40.0, 90.0]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
+    kde = KDEDensity("x").fit(df)
+    got = []
+    for size, salts in ((1 << 18, 16), (50, 16), (1 << 18, 1)):
+        monkeypatch.setattr(KDEDensity, "LIST", size)
+        monkeypatch.setattr(KDEDensity, "SALTS", salts)
+        got.append({r["x"]: r["density"] for r in kde.density_table(df).collect()})
+    assert got[0] == got[1] == got[2] and set(got[0]) == set(x)
+    var = x.var(ddof=1) * len(x) ** -0.4
+    for v in (x[0], x[1], 40.0, 90.0):
+        want = np.exp(-0.5 * (v - x) ** 2 / var).mean() / np.sqrt(2 * np.pi * var)
+        assert abs(got[0][v] - want) < 2e-4 * want
