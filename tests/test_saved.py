@@ -72,3 +72,11 @@ def test_densities_do_not_depend_on_how_values_are_listed(spark, monkeypatch):
     for v in (x[0], x[1], 40.0, 90.0):
         want = np.exp(-0.5 * (v - x) ** 2 / var).mean() / np.sqrt(2 * np.pi * var)
         assert abs(got[0][v] - want) < 2e-4 * want
+
+
+def test_random_pipelines_draw_from_the_whole_pool():
+    """Before, the classifiers of the drawn pipelines came from six of the pool's families."""
+    from tessera.plans.q_search import _CHAINS, XW
+
+    assert [(s.iteration, s.model, s.params) for s in _CHAINS] == [(s.iteration, s.model, s.params) for s in (draw_spec(XW, 7, it) for it in range(1, 5))]
+    assert "knn" in {s.model for s in _CHAINS}
