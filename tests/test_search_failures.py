@@ -130,3 +130,17 @@ def test_factors_do_not_depend_on_the_order_of_sums(spark):
     df = spark.range(10007).select(F.col("id"), ((F.col("id") * 7919) % 10007 / 10007).alias("a"), ((F.col("id") * 4729) % 10007 / 10007).alias("b"))
     states = [FactorAnalysis(["a", "b"], 1).fit(df.repartition(n, "id")).state for n in (1, 3, 7, 16)]
     assert all(s["proj"] == states[0]["proj"] and s["loadings"] == states[0]["loadings"] for s in states)
+
+
+def test_replayed_means_keep_ties(spark, tmp_path):
+    """Before, a row's predictions were added up in the order in which they came: rows with the same ones got other means."""
+    from tessera.plans.q_search import replay
+
+    pool = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), F.lit("val1").alias("split"))
+    p = {1: 0.1, 2: 0.2, 3: 0.3}
+    rows = [(i, m, p[m]) for i in range(40) for m in ((1, 2, 3) if i % 2 else (3, 2, 1))]
+    spark.createDataFrame(rows, "row_id long, model_id int, p double").coalesce(1).write.parquet(str(tmp_path / "preds"))
+    log = [{"iteration_num": i, "stage1_val_auc": 0.5, "accepted": i > 0, "temperature": 0.01, "rejection_reason": ""} for i in range(4)]
+    S._write_log(spark, str(tmp_path / "log"), S.SearchConfig(), 1, log)
+    got = replay(spark, {"log": str(tmp_path / "log"), "preds": str(tmp_path / "preds"), "run_id": "run-0"}, pool)
+    assert got == {i: (True, True) for i in range(4)}
